@@ -28,7 +28,7 @@ from .textkit import Words, arrow_limits, as_strings, row_sums
 
 ORDER = 2
 MASS = 8.0
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 4 << 20
 TASK_BYTES = 8 << 20
 #: Steps of a quantised log10 probability; 16 bits cover 0 to -64.
 QUANTUM = 1024
@@ -341,7 +341,7 @@ def score(docs: DataFrame, taught: Column, id_col: str = "doc_id", text_col: str
     # a row's block follows from its id and its length, so that repeated ids spread a little
     where = F.pmod(F.xxhash64(F.col(id_col), F.length(text_col)), F.lit(blocks)).cast("int")
     texts = docs.select(*kept, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__t"), F.coalesce(taught, F.lit(False)).alias("__taught"), where.alias("__block"))
-    dealt = texts.repartition(blocks, "__block")
+    dealt = texts.repartition(max(1, blocks // 4), "__block")
 
     def ask(table: pa.Table) -> pa.Table:
         # n-grams are sorted by key, so the order of a block's rows doesn't matter
