@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What the patterns of entities are.
+TITLES = ("Mr", "Mrs", "Ms", "Miss", "Herr", "Frau", "Señor", "Señora", "Madame", "Mme", "Monsieur", "Господин", "Госпожа")
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
@@ -25,7 +26,7 @@ PATTERNS = {
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w.-])(?:\d{4}[ -]?){3}\d{4}(?![\w-])|(?<![\w.-])3[47]\d{2}[ -]?\d{6}[ -]?\d{5}(?![\w-])",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "name": r"(?<!\pL)(?:Mr|Mrs|Ms|Miss|Herr|Frau|Señora?|Madame|Mme|Monsieur|Господин|Госпожа)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?(?!\pL)",
+    "name": rf"(?<!\pL)(?:{'|'.join(TITLES)})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?(?!\pL)",
 }
 FEMALE_TITLES = r"^(?:Mrs|Ms|Miss|Frau|Señora|Madame|Mme|Госпожа)"
 # Given names by script and gender; a given name is replaced by another of its list.
@@ -43,6 +44,19 @@ ROUNDS = 4
 DEFAULT_KEY = "siftwood"
 
 
+def _let(value: Column, then) -> Column:
+    """then(value) with the value worked out once, however often then uses it."""
+    return F.transform(F.array(value), then)[0]
+
+
+def may_hold(text: Column) -> Column:
+    """Whether a text has what every entity has some of: a digit, an at sign, a mark after a keyword, or a title. Far cheaper than the patterns."""
+    out = text.rlike("[0-9@=:]")
+    for title in TITLES:
+        out = out | text.contains(title)
+    return out
+
+
 def any_pattern() -> str:
     return "|".join(f"(?:{p})" for p in PATTERNS.values())
 
@@ -67,23 +81,29 @@ def _shifted(c: Column, by: Column, classes: tuple[str, ...]) -> Column:
 def permuted(text: Column, tweak: Column | str, classes: tuple[str, ...], key: str = DEFAULT_KEY) -> Column:
     """A keyed permutation of the strings that have text's length and character classes."""
     tweak = F.lit(tweak) if isinstance(tweak, str) else tweak
-    half = F.floor(F.length(text) / 2).cast("int")
 
     def turn(state: Column, i: Column) -> Column:
         stream = F.sha2(F.concat_ws("\x1f", F.lit(key), tweak, i.cast("string"), state["r"]), 256)
-        by = lambda k: F.conv(F.substring(F.concat(stream, stream), 1, 999).substr((k * 3) % 60 + 1, F.lit(4)), 16, 10).cast("int")
-        moved = F.array_join(F.transform(F.filter(F.split(state["l"], ""), lambda c: c != ""), lambda c, k: _shifted(c, by(k), classes)), "")
+        by = lambda s, k: F.conv(s.substr((k * 3) % 60 + 1, F.lit(4)), 16, 10).cast("int")
+        moved = _let(stream, lambda s: F.array_join(F.transform(_chars(state["l"]), lambda c, k: _shifted(c, by(s, k), classes)), ""))
         return F.struct(state["r"].alias("l"), moved.alias("r"))
 
-    start = F.struct(F.substring(text, 1, 9999).substr(F.lit(1), half).alias("l"), text.substr(half + 1, F.length(text)).alias("r"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda s: F.concat(s["l"], s["r"]))
+    def halves(t: Column) -> Column:
+        half = F.floor(F.length(t) / 2).cast("int")
+        return F.struct(t.substr(F.lit(1), half).alias("l"), t.substr(half + 1, F.length(t)).alias("r"))
+
+    return _let(text, lambda t: F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), halves(t), turn, lambda s: F.concat(s["l"], s["r"])))
+
+
+def _chars(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda c: c != "")
 
 
 def _refilled(entity: Column, core: Column) -> Column:
     """entity with its letters and digits replaced by those of core, in order, in the case that they had."""
-    chars = F.filter(F.split(entity, ""), lambda c: c != "")
     before = lambda i: F.length(F.regexp_replace(entity.substr(F.lit(1), i + 1), r"[^\pL\pN]", ""))
-    return F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike(r"[\pL\pN]"), F.when(c.rlike(r"\p{Lu}"), F.upper(core.substr(before(i), F.lit(1)))).otherwise(core.substr(before(i), F.lit(1)))).otherwise(c)), "")
+    new = lambda k, i: k.substr(before(i), F.lit(1))
+    return _let(core, lambda k: F.array_join(F.transform(_chars(entity), lambda c, i: F.when(c.rlike(r"\p{Lu}"), F.upper(new(k, i))).when(c.rlike(r"[\pL\pN]"), new(k, i)).otherwise(c)), ""))
 
 
 def _core(entity: Column) -> Column:
@@ -98,13 +118,14 @@ def _luhn(digits: Column) -> Column:
 
 
 def _card(e: Column, key: str) -> Column:
-    digits = _core(e)
-    body = digits.substr(F.lit(1), F.length(digits) - 1)
-    new = F.concat(body.substr(F.lit(1), F.lit(1)), permuted(body.substr(F.lit(2), F.length(body)), "card", (DIGITS,), key))
-    last = digits.substr(F.length(digits), F.lit(1)).cast("int")
-    # a valid number stays valid; an invalid one is off by as much as before
-    check = F.pmod(last + _luhn(body) - _luhn(new), F.lit(10))
-    return _refilled(e, F.concat(new, check.cast("string")))
+    def renumbered(digits: Column) -> Column:
+        body = digits.substr(F.lit(1), F.length(digits) - 1)
+        new = F.concat(body.substr(F.lit(1), F.lit(1)), permuted(body.substr(F.lit(2), F.length(body)), "card", (DIGITS,), key))
+        last = digits.substr(F.length(digits), F.lit(1)).cast("int")
+        # a valid number stays valid; an invalid one is off by as much as before
+        return _let(new, lambda n: F.concat(n, F.pmod(last + _luhn(body) - _luhn(n), F.lit(10)).cast("string")))
+
+    return _refilled(e, _let(_core(e), renumbered))
 
 
 def _ip(e: Column, key: str) -> Column:
@@ -160,15 +181,14 @@ def _name(e: Column, key: str) -> Column:
     return F.concat(head, F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(known, w), other(w))), " "))
 
 
-def surrogate(entity: Column, key: str = DEFAULT_KEY) -> Column:
-    """The replacement of a detected entity."""
-    kind = kind_of(entity)
-    upper_core = F.upper(_core(entity))
+def surrogate(entity: Column, kind: Column, key: str = DEFAULT_KEY) -> Column:
+    """The replacement of a detected entity of a kind."""
+    iban = F.upper(_core(entity))
     return (
         F.when(kind == "email", _email(entity, key)).when(kind == "secret", _secret(entity, key)).when(kind == "ip", _ip(entity, key))
         .when(kind == "phone", _phone(entity, key)).when(kind == "ssn", _refilled(entity, permuted(_core(entity), "ssn", (DIGITS,), key)))
         .when(kind == "card", _card(entity, key)).when(kind == "name", _name(entity, key))
-        .when(kind == "iban", _refilled(entity, F.concat(upper_core.substr(1, 2), permuted(upper_core.substr(F.lit(3), F.length(upper_core)), "iban", (DIGITS, UPPER), key))))
+        .when(kind == "iban", _refilled(entity, F.concat(iban.substr(1, 2), permuted(iban.substr(F.lit(3), F.length(iban)), "iban", (DIGITS, UPPER), key))))
         .otherwise(entity)
     )
 
@@ -180,8 +200,8 @@ def pseudonymised(docs: DataFrame, text_col: str = "text", key: str = DEFAULT_KE
     repeated rows change alike; an empty table stays empty; other columns are kept.
     """
     text = F.col(text_col)
-    found = F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(any_pattern()), 0)
-    told = F.transform(F.col("__found"), lambda e: F.struct(kind_of(e).alias("kind"), e.alias("entity"), surrogate(e, key).alias("surrogate")))
+    found = F.when(may_hold(text), F.regexp_extract_all(text, F.lit(any_pattern()), 0)).otherwise(F.array().cast("array<string>"))
+    told = F.transform(F.col("__found"), lambda e: _let(kind_of(e), lambda k: F.struct(k.alias("kind"), e.alias("entity"), surrogate(e, k, key).alias("surrogate"))))
     gaps = F.split(text, any_pattern(), -1)
     woven = F.array_join(F.zip_with(gaps, F.concat(F.col("__entities")["surrogate"], F.array(F.lit(""))), lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
     # found and replaced in columns of their own: each expression is evaluated once a row
