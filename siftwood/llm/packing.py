@@ -23,7 +23,7 @@ END_ID = 1
 #: Documents in a shard; a shard wastes a few sequences at most, whatever the number of shards.
 SHARD_ROWS = 40_000
 #: Distinct words whose ids a Python worker keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_200_000
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -53,8 +53,11 @@ class WordEncoder:
 
     def rows(self, col: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows one after the other as uint32, and where each row starts."""
-        # lower-casing first is what the normaliser does anyway, except within special strings
-        words = Words(col, lower=b"<|" not in memoryview(col.buffers()[2] or b"").tobytes())
+        # lower-casing first is what the normaliser does anyway, except within special strings; letters and marks are
+        # tokenised apart anyway, and cutting there leaves fewer distinct words (a final sigma looks across marks, though)
+        raw = memoryview(col.buffers()[2] or b"").tobytes()
+        plain = b"<|" not in raw
+        words = Words(col, lower=plain, cut_marks=plain and b"\xce\xa3" not in raw)
         index, distinct = words.encoded()
         distinct = distinct.to_pylist()
         if len(self.place) + len(distinct) > CACHE_WORDS:

@@ -65,8 +65,11 @@ def spans(col: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
 class Words:
     """The words of a string column: bytes without white space, their lengths, and the number per row."""
 
-    def __init__(self, col: pa.Array, lower: bool = True, letters_only: bool = False):
-        """letters_only: ASCII characters other than letters and digits separate words too."""
+    def __init__(self, col: pa.Array, lower: bool = True, letters_only: bool = False, cut_marks: bool = False):
+        """letters_only: ASCII characters other than letters and digits separate words too.
+
+        cut_marks: a word also ends where an ASCII letter meets an ASCII mark other than the apostrophe; the mark starts or ends the next.
+        """
         n = len(col)
         buffers = col.buffers()
         offsets = np.frombuffer(buffers[1], np.int32)[col.offset : col.offset + n + 1].astype(np.int64)
@@ -86,6 +89,12 @@ class Words:
             filled = offsets[1:] > offsets[:-1]
             before[offsets[:-1][filled]] = True
             after[offsets[1:][filled] - 1] = True
+            if cut_marks:
+                letter = ((data | 32) - np.uint8(97)) < 26
+                mark = (data < 128) & ~letter & ~blank & ((data - np.uint8(48)) >= 10) & (data != 39)
+                cut = (letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])
+                before[1:] |= cut
+                after[:-1] |= cut
         first = np.flatnonzero(before & ~blank)
         last = np.flatnonzero(after & ~blank)
         self.lengths = last - first + 1
