@@ -1,17 +1,678 @@
-"""Catalogue of queries over the driver's tables and their DuckDB equivalents."""
+"""Catalogue of queries over the driver's tables, each with its DuckDB equivalent where SQL can say it.
+
+The tables stand in for listings: documents are postings (the first line is the title), pages are fetched pages, events are
+checks of sources, orders are offers with a score. Every query reads whole tables.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from . import fixed_values as V
+from .functions import dates, text, urls
+from .operators import digest, merge, profile, routing, scoring, state
+from .sources import html, sinks
+from .streaming import machine
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def stamp(c: str | Column) -> Column:
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+
+
+# ------------------------------------------------------------------ SQL pieces
+
+NORM = r"replace(strip_accents(lower(trim(regexp_replace({0}, '\s+', ' ', 'g')))), 'ß', 'ss')"
+STAMP = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
+
+
+def norm(c: str) -> str:
+    return NORM.format(c)
+
+
+def sql_stamp(c: str) -> str:
+    return STAMP.format(c)
+
+
+def sql_has(c: str, term: str) -> str:
+    pattern = re.sub(r"([^a-z0-9 ])", lambda m: "\\" + m[1], term)
+    return f"regexp_matches({c}, '(^|[^a-z0-9]){pattern}($|[^a-z0-9])')"
+
+
+def sql_hits(c: str, terms) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN {sql_has(c, x)} THEN '{x}' END" for x in terms) + "], lambda x: x IS NOT NULL)"
+
+
+def sql_labels(c: str, labels, default: str) -> str:
+    whens = " ".join("WHEN " + " OR ".join(f"contains({c}, '{x}')" for x in terms) + f" THEN '{label}'" for label, terms in labels)
+    return f"CASE {whens} ELSE '{default}' END"
+
+
+# ------------------------------------------------------------------ listings made of documents
+
+TITLE_ENDS = (" backend junior", " senior", " asesor", " front desk", " react", " practica", "", " lider tecnico", " asesor python", "")
+TEXT_ENDS = (" SQL y APIs", " 5 años", " soporte remoto", " React, Node.js", "", " docker híbrido", " HTML css")
+
+
+def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as listings, with words of the domain added by id."""
+    pick = lambda ends: F.element_at(F.array(*(F.lit(x) for x in ends)), (F.col("doc_id") % len(ends) + 1).cast("int"))
+    first = F.substring_index("text", "\n", 1)
+    return t(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.concat(first, pick(TITLE_ENDS)).alias("title"), F.concat("text", pick(TEXT_ENDS)).alias("description"), F.lit("").alias("requirements"), F.lit("").alias("location"), F.lit("").alias("modality"))
+
+
+def _sql_pick(ends) -> str:
+    return "CASE " + " ".join(f"WHEN doc_id % {len(ends)} = {i} THEN '{x}'" for i, x in enumerate(ends)) + " END"
+
+
+LISTINGS = f"""listings AS (
+  SELECT doc_id, source, lang, split_part(text, chr(10), 1) || {_sql_pick(TITLE_ENDS)} AS title, text || {_sql_pick(TEXT_ENDS)} AS description FROM documents
+), normed AS (SELECT *, {norm("title")} AS nt, {norm("description")} AS nc, {norm("title || ' ' || description")} AS nb FROM listings)"""
+
+
+def _target_points(terms) -> str:
+    return f"least(30, 5 * len({sql_hits('nb', terms)}))"
+
+
+def _match_sql() -> str:
+    points = " + ".join(f"CASE WHEN {sql_has('nb', term)} THEN {p} ELSE 0 END" for term, p, _ in V.ENTRY_POINTS + V.PENALTY_POINTS)
+    inferred = " + ".join(_target_points(V.SCORE_KEYWORDS[x]) for x in V.INFERRED_TARGETS)
+    return f"WITH {LISTINGS}, added AS (SELECT doc_id, {V.BASE_SCORE} + {points} + {inferred} AS s FROM normed) SELECT doc_id, CAST(greatest(0, least(100, s)) AS INTEGER) AS score FROM added"
+
+
+def _relevance_cte(target: str) -> str:
+    first = lambda c: f"{c}[1]"
+    return f"""{LISTINGS}, hits AS (
+      SELECT doc_id, source, {sql_hits("nt", V.SENIOR)} AS senior, {sql_hits("nt", V.ENTRY)} AS entry, {sql_hits("nt", V.ADMINISTRATIVE)} AS admin,
+        {sql_hits("nt", V.TITLE_SIGNALS[target])} AS th, {sql_hits("nc", V.CONTENT_SIGNALS[target])} AS ch FROM normed
+    ), relevance AS (
+      SELECT doc_id, source, CASE WHEN len(senior) > 0 THEN false WHEN len(admin) > 0 AND len(th) = 0 THEN false
+          ELSE len(th) > 0 OR (len(entry) > 0 AND len(ch) > 0) OR len(ch) >= 2 END AS relevant,
+        CASE WHEN len(senior) > 0 THEN 'title contiene ' || {first("senior")} WHEN len(admin) > 0 AND len(th) = 0 THEN 'cargo administrativo/no tecnico'
+          WHEN NOT (len(th) > 0 OR (len(entry) > 0 AND len(ch) > 0) OR len(ch) >= 2) THEN 'no tiene seniales tecnicas suficientes para target'
+          WHEN len(entry) > 0 THEN 'title indica perfil de entrada: ' || {first("entry")} END AS reason FROM hits
+    )"""
+
+
+# ------------------------------------------------------------------ text, scores and routes
+
+
+@query(f"SELECT doc_id, md5({norm('text')}) AS norm_md5, length({norm('text')}) AS norm_chars FROM documents")
+def text_normalize(spark, d):
+    return t(spark, d, "documents").withColumn("n", text.norm_key("text")).select("doc_id", F.md5("n").alias("norm_md5"), F.length("n").cast("long").alias("norm_chars"))
+
+
+TERMS = ("the", "of", "that", "la", "der", "mit", "que", "license", "token", "2.0")
+
+
+@query(f"SELECT term, lang, count(*) AS docs FROM (SELECT lang, unnest({sql_hits('n', TERMS)}) AS term FROM (SELECT lang, {norm('text')} AS n FROM documents)) GROUP BY ALL")
+def term_hits(spark, d):
+    rows = t(spark, d, "documents").select("lang", F.explode(text.term_hits(text.norm_key("text"), TERMS)).alias("term"))
+    return rows.groupBy("term", "lang").agg(F.count(F.lit(1)).alias("docs"))
+
+
+POINTS = (("the", 18, ""), ("with", 12, ""), ("la", 7, ""), ("license", -26, ""), ("token", -20, ""), ("der", 5, ""), ("idiot", -40, ""), ("no", -18, ""))
+
+
+@query("SELECT doc_id, CAST(greatest(0, least(100, 35 + " + " + ".join(f"CASE WHEN {sql_has('n', a)} THEN {p} ELSE 0 END" for a, p, _ in POINTS) + f")) AS INTEGER) AS score FROM (SELECT doc_id, {norm('text')} AS n FROM documents)")
+def keyword_score(spark, d):
+    rows = t(spark, d, "documents").withColumn("n", text.norm_key("text"))
+    return rows.select("doc_id", F.greatest(F.lit(0), F.least(F.lit(100), F.lit(35) + scoring.point_sum("n", POINTS))).cast("int").alias("score"))
+
+
+@query(_match_sql())
+def match_score(spark, d):
+    # soporte_aplicaciones is inferred too, so the default target adds nothing beyond the inferred ones
+    return scoring.with_match(listings(spark, d)).select("doc_id", "score")
+
+
+@query(f"WITH {_relevance_cte('backend_junior')} SELECT doc_id, relevant, CASE WHEN reason IS NULL THEN '' ELSE reason END AS reason FROM relevance")
+def relevance_route(spark, d):
+    rows = scoring.with_relevance(listings(spark, d), "backend_junior")
+    head = F.try_element_at("relevance.reasons", F.lit(1))
+    told = F.when(~F.col("relevance.relevant") | head.startswith("title indica"), head).otherwise("")
+    return rows.select("doc_id", "relevance.relevant", told.alias("reason"))
+
+
+@query(f"WITH {_relevance_cte('devops_trainee')} SELECT source, count(*) AS found, count(*) FILTER (WHERE relevant) AS accepted, count(*) FILTER (WHERE NOT relevant) AS discarded FROM relevance GROUP BY source")
+def route_counts(spark, d):
+    rows = scoring.with_relevance(listings(spark, d), "devops_trainee").withColumn("review", F.when(~F.col("relevance.relevant"), F.lit(1)))
+    return routing.run_stats(rows, "source")
+
+
+PART_LABELS = (("round", ("ring", "gear")), ("fastener", ("bolt", "nut")), ("warm", ("hot", "red")), ("cool", ("cold", "blue")))
+
+
+@query(f"SELECT p_partkey, {sql_labels('lower(p_name)', PART_LABELS, 'other')} AS label FROM part")
+def first_label(spark, d):
+    return t(spark, d, "part").select("p_partkey", text.first_label(text.norm_soft("p_name"), PART_LABELS, "other").alias("label"))
+
+
+@query(f"WITH n AS (SELECT doc_id, {norm('description')} AS x FROM ({'SELECT * FROM (WITH ' + LISTINGS + ' SELECT doc_id, description FROM listings)'})) SELECT doc_id, {sql_labels('x', V.TARGET_LABELS, V.DEFAULT_TARGET)} AS target FROM n")
+def inferred_target(spark, d):
+    return listings(spark, d).select("doc_id", scoring.inferred_target(text.norm_key("description")).alias("target"))
+
+
+WEIGHT_A, WEIGHT_B = ("the", "er", "éau"), ("tion", "und", "ado")
+
+
+@query(
+    f"""WITH s AS (SELECT doc_id, lang, 2 * ({" + ".join(f"CASE WHEN contains(n, strip_accents('{x}')) THEN 1 ELSE 0 END" for x in WEIGHT_A)})
+    + {" + ".join(f"CASE WHEN contains(n, '{x}') THEN 1 ELSE 0 END" for x in WEIGHT_B)} AS score FROM (SELECT doc_id, lang, {norm("text")} AS n FROM documents)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, doc_id) AS pos FROM s) SELECT lang, CAST(pos AS INTEGER) AS pos, doc_id, score FROM r WHERE pos <= 5"""
+)
+def weighted_rank(spark, d):
+    score = scoring.weighted_hits("n", [x.replace("é", "e") for x in WEIGHT_A], WEIGHT_B)
+    rows = t(spark, d, "documents").select("doc_id", "lang", text.norm_key("text").alias("n")).select("doc_id", "lang", score.alias("score"))
+    w = Window.partitionBy("lang").orderBy(F.desc("score"), "doc_id")
+    return rows.withColumn("pos", F.row_number().over(w)).where("pos <= 5")
+
+
+SKILLS = ("onea", "thble", "license", "que", "ung", "oneria", "elle", "c++x")
+
+
+@query("SELECT doc_id, CAST(" + " + ".join(f"CASE WHEN contains(n, '{x}') THEN 1 ELSE 0 END" for x in SKILLS) + f" AS INTEGER) AS shared FROM (SELECT doc_id, {norm('text')} AS n FROM documents)")
+def shared_tokens(spark, d):
+    wanted = F.lit(" ".join(SKILLS) + " junior")
+    rows = t(spark, d, "documents").withColumn("n", text.norm_key("text"))
+    return rows.select("doc_id", text.shared_tokens(wanted, "n", V.SKILL_STOPWORDS).alias("shared"))
+
+
+_MODAL = ("", " Remote", " hybrid", " On-Site", " home  office", " Híbrido")
+
+
+@query("SELECT p_partkey, " + sql_labels("lower(x)", (("Remoto", ("remoto", "remote", "home office")), ("Híbrido", ("hibrido", "híbrido", "hybrid")), ("Presencial", ("presencial", "onsite", "on-site"))), "") + " AS modality FROM (SELECT p_partkey, regexp_replace(p_name || CASE " + " ".join(f"WHEN p_partkey % 6 = {i} THEN '{m}'" for i, m in enumerate(_MODAL)) + r" END, '\s+', ' ', 'g') AS x FROM part)")
+def modality_case(spark, d):
+    more = F.element_at(F.array(*(F.lit(m) for m in _MODAL)), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return t(spark, d, "part").select("p_partkey", scoring.modality(F.concat("p_name", more)).alias("modality"))
+
+
+# ------------------------------------------------------------------ urls and pages
+
+_DROP = ", ".join(f"'{x}'" for x in V.TRACKING_PARAMS)
+CANON = f"""canon AS (
+  SELECT page_id, url, split_part(split_part(url, '#', 1), '?', 1) AS base, split_part(split_part(url, '#', 1), '?', 2) AS q, html FROM pages
+), kept AS (
+  SELECT page_id, url, html, regexp_extract(base, '^([A-Za-z]+://[^/]*)', 1) AS host, regexp_replace(base, '^[A-Za-z]+://[^/]*', '') AS path,
+    list_filter(string_split(q, '&'), lambda p: p <> '' AND NOT list_contains([{_DROP}], lower(split_part(p, '=', 1)))) AS ps FROM canon
+), canonical AS (
+  SELECT page_id, url, html, host || CASE WHEN rtrim(path, '/') <> '' THEN rtrim(path, '/') ELSE '/' END || CASE WHEN len(ps) > 0 THEN '?' || array_to_string(ps, '&') ELSE '' END AS canonical FROM kept
+)"""
+
+
+@query(f"WITH {CANON} SELECT page_id, canonical FROM canonical")
+def url_canonical(spark, d):
+    return t(spark, d, "pages").select("page_id", urls.canonical_url("url").alias("canonical"))
+
+
+@query(f"WITH {CANON} SELECT page_id, sha256(canonical) AS url_hash FROM canonical")
+def url_hash(spark, d):
+    return t(spark, d, "pages").select("page_id", urls.url_hash(urls.canonical_url("url")).alias("url_hash"))
+
+
+@query(f"WITH {CANON}, r AS (SELECT page_id, canonical, row_number() OVER (PARTITION BY canonical ORDER BY page_id) AS n FROM canonical) SELECT page_id, canonical FROM r WHERE n = 1")
+def url_dedupe(spark, d):
+    rows = t(spark, d, "pages").select("page_id", urls.canonical_url("url").alias("canonical"))
+    # an aggregate that combines before its shuffle; a window would move every row
+    return rows.groupBy("canonical").agg(F.min("page_id").alias("page_id")).select("page_id", "canonical")
+
+
+@query("SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host, regexp_extract(split_part(url, '#', 1), '[?&]page=([^&]*)', 1) AS page_param FROM pages")
+def url_host_param(spark, d):
+    return t(spark, d, "pages").select("page_id", urls.host("url").alias("host"), urls.query_param("url", "page").alias("page_param"))
+
+
+def _sql_text(c: str) -> str:
+    c = f"regexp_replace(regexp_replace({c}, '<[^>]*>', ' ', 'g'), '&lt;', '<', 'g')"
+    for a, b in (("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+        c = f"replace({c}, '{a}', '{b}')"
+    return rf"trim(regexp_replace({c}, '\s+', ' ', 'g'))"
+
+
+def _sql_tag(tag: str) -> str:
+    return f"nullif({_sql_text(f'regexp_extract(html, {chr(39)}(?is)<{tag}[^>]*>(.*?)</{tag}>{chr(39)}, 1)')}, '')"
+
+
+@query(f"SELECT page_id, coalesce({_sql_tag('h1')}, {_sql_tag('title')}, '') AS heading FROM pages")
+def html_first_text(spark, d):
+    return t(spark, d, "pages").select("page_id", html.first_tag_text("html", "h1", "title").alias("heading"))
+
+
+_CARDS = f"""cards AS (
+  SELECT page_id, unnest(regexp_extract_all(html, '(?is)<li[^>]*>\\s*(<a [^>]*>.*?</a>)', 1)) AS a, unnest(generate_series(1, len(regexp_extract_all(html, '(?is)<li[^>]*>\\s*(<a [^>]*>.*?</a>)', 1)))) AS pos FROM pages
+), rows AS (SELECT page_id, CAST(pos AS INTEGER) - 1 AS pos, regexp_extract(a, 'href="([^"]*)"', 1) AS href, {_sql_text("a")} AS label FROM cards)"""
+
+
+@query(f"WITH {_CARDS} SELECT page_id, pos, href, label FROM rows")
+def html_cards(spark, d):
+    rows = t(spark, d, "pages").select("page_id", F.posexplode(html.links("html", inside="li")).alias("pos", "a"))
+    return rows.select("page_id", "pos", "a.href", F.col("a.text").alias("label"))
+
+
+@query(f"WITH {_CARDS}, r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n FROM rows WHERE label <> '' AND href <> '') SELECT page_id, pos, href FROM r WHERE n <= 3")
+def scan_limit(spark, d):
+    # a page's cards are an array already: its first three need no shuffle
+    found = F.slice(F.filter(F.transform(html.links("html", inside="li"), lambda a, i: F.struct(i.alias("pos"), a["href"].alias("href"), a["text"].alias("label"))), lambda a: (a["label"] != "") & (a["href"] != "")), 1, 3)
+    return t(spark, d, "pages").select("page_id", F.explode(found).alias("a")).select("page_id", "a.pos", "a.href")
+
+
+@query()
+def html_selectors(spark, d):
+    """Cards by CSS selectors, in Arrow batches (checked against the native reading in the tests)."""
+    pages = t(spark, d, "pages").withColumn("portal", F.lit("plain"))
+    return html.with_cards(pages, {"plain": {"card": ["nav li"], "title": ["a"], "link": ["a[href]"]}}).select("page_id", "pos", "title", "href")
+
+
+_BLOCKS = tuple(V.BLOCK_TEXTS) + (("spam", "spam"),)
+_BLOCKED_PAGE = ("", "<p>Access  denied</p>", '<div class="g-recaptcha"></div>', "<script>cf-chl-1</script>", "<p>Sign in to continue</p>", '<li><a href="/x">x</a></li><div class="cf-turnstile">')
+
+
+@query(
+    f"""WITH p AS (SELECT page_id, page_id % 6 AS k, page_id % 11 = 3 AS b403, html FROM pages), s AS (SELECT page_id, k, b403,
+      lower({_sql_text("regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g')")}) AS x FROM p)
+    SELECT page_id, CASE WHEN b403 THEN 'status 403' {" ".join(f"WHEN contains(x, '{a}') THEN '{b}'" for a, b in V.BLOCK_TEXTS)}
+      WHEN k = 1 THEN 'access denied visible' WHEN k = 2 THEN 'widget recaptcha visible' WHEN k = 3 THEN 'cloudflare challenge embebido' WHEN k = 4 THEN 'login requerido detectado en el contenido' ELSE '' END AS reason FROM s"""
+)
+def block_reason(spark, d):
+    more = F.element_at(F.array(*(F.lit(x) for x in _BLOCKED_PAGE)), (F.col("page_id") % 6 + 1).cast("int"))
+    status = F.when(F.col("page_id") % 11 == 3, 403).otherwise(200)
+    page = F.concat("html", more)
+    return t(spark, d, "pages").select("page_id", F.coalesce(html.block_reason(page, status, F.col("page_id") % 6 == 5), F.lit("")).alias("reason"))
+
+
+# ------------------------------------------------------------------ merges, joins, sets
+
+
+@query("SELECT lower(p_name) AS name, lower(p_brand) AS brand, lower(p_type) AS type, count(*) AS n, min(p_partkey) AS first_key FROM part GROUP BY 1, 2, 3 HAVING count(*) > 1")
+def natural_dup(spark, d):
+    keys = [F.lower("p_name").alias("name"), F.lower("p_brand").alias("brand"), F.lower("p_type").alias("type")]
+    return t(spark, d, "part").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("first_key")).where("n > 1")
+
+
+@query("SELECT source, lang, md5(arg_max(text, (length(text), -doc_id))) AS longest_md5, min(doc_id) AS first_id, count(*) AS sightings FROM documents GROUP BY source, lang")
+def merge_longest(spark, d):
+    # the longest text is found by id first, so texts themselves are not carried through the aggregate
+    rows = t(spark, d, "documents")
+    best = rows.groupBy("source", "lang").agg(F.max_by("doc_id", F.struct(F.length("text"), -F.col("doc_id"))).alias("doc_id"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("sightings"))
+    return best.join(rows.select("doc_id", F.md5("text").alias("longest_md5")), "doc_id").select("source", "lang", "longest_md5", "first_id", "sightings")
+
+
+@query("SELECT coalesce(n.k, o.k) AS k, coalesce(n.price, o.price) AS price, n.k IS NOT NULL AS renewed FROM (SELECT o_orderkey AS k, o_totalprice AS price FROM orders WHERE o_orderkey % 3 <> 0) o FULL JOIN (SELECT o_orderkey AS k, o_totalprice * 2 AS price FROM orders WHERE o_orderkey % 3 <> 1) n ON o.k = n.k")
+def upsert_full(spark, d):
+    orders = t(spark, d, "orders")
+    old = orders.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("price"), F.lit(False).alias("renewed"))
+    new = orders.where("o_orderkey % 3 <> 1").select(F.col("o_orderkey").alias("k"), (F.col("o_totalprice") * 2).alias("price"), F.lit(True).alias("renewed"))
+    return merge.upserted(old, new, ["k"])
+
+
+@query("""WITH r AS (SELECT d.doc_id AS seq, d.source || '/' || d.lang AS url_hash, d.text, CASE WHEN l.toxic = 1 THEN l.quality END AS score FROM documents d JOIN labels l ON d.doc_id = l.doc_id)
+SELECT url_hash, CAST(count(*) + 1 AS INTEGER) AS seen_count, max(seq) AS last_seq, md5(arg_max(text, (length(text), -seq))) AS longest_md5, CAST(arg_max(score, seq) FILTER (WHERE score IS NOT NULL) AS DOUBLE) AS score FROM r GROUP BY url_hash""")
+def discarded_upsert(spark, d):
+    rows = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id").select(
+        F.col("doc_id").alias("seq"), F.concat_ws("/", "source", "lang").alias("url_hash"), F.col("text").alias("title"), F.col("text").alias("description"),
+        F.when(F.col("toxic") == 1, F.col("quality").cast("double")).alias("compatibility_score"), F.col("doc_id").alias("found_at"),
+    )
+    old = rows.groupBy("url_hash").agg(F.lit(0).alias("seen_count")).select("*", F.lit("").alias("title"), F.lit("").alias("description"), F.lit(None).cast("double").alias("compatibility_score"), F.lit(-1).cast("long").alias("seq"), F.lit(-1).cast("long").alias("found_at"), F.lit(-1).cast("long").alias("last_seen_at"))
+    out = merge.merged_discarded(old, rows)
+    return out.select("url_hash", "seen_count", F.col("last_seen_at").alias("last_seq"), F.md5("description").alias("longest_md5"), F.col("compatibility_score").alias("score"))
+
+
+@query(f"SELECT user_id || '-' || event_type AS url_hash, {sql_stamp('min(ts)')} AS first_seen_at, {sql_stamp('max(ts)')} AS last_seen_at, arg_min(event_id, ts) AS portal FROM events GROUP BY 1")
+def seen_hash(spark, d):
+    rows = t(spark, d, "events").select(F.concat_ws("-", "user_id", "event_type").alias("url_hash"), "ts", "event_id")
+    out = merge.seen_hashes(rows, "url_hash", "ts", "event_id")
+    return out.select("url_hash", stamp("first_seen_at").alias("first_seen_at"), stamp("last_seen_at").alias("last_seen_at"), F.col("event_id").alias("portal"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45)")
+def new_vs_seen_anti(spark, d):
+    seen = t(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
+    return t(spark, d, "orders").select("o_orderkey", "o_custkey").join(seen, "o_orderkey", "left_anti")
+
+
+@query("""WITH gone AS (SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING')
+SELECT 'lineitem' AS tbl, count(*) FILTER (WHERE l_orderkey IN (SELECT o_orderkey FROM gone)) AS deleted, count(*) FILTER (WHERE l_orderkey NOT IN (SELECT o_orderkey FROM gone)) AS kept FROM lineitem
+UNION ALL SELECT 'orders', (SELECT count(*) FROM gone), count(*) - (SELECT count(*) FROM gone) FROM orders""")
+def semi_cascade(spark, d):
+    orders = t(spark, d, "orders").join(t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey").select(F.col("o_orderkey").alias("url_hash"), "c_mktsegment")
+    lines = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("url_hash"))
+    gone = orders.where("c_mktsegment = 'BUILDING'").select("url_hash", F.lit(1).alias("gone"))
+    per_order = lines.groupBy("url_hash").agg(F.count(F.lit(1)).alias("n")).join(gone, "url_hash", "left")
+    a = per_order.agg(F.lit("lineitem").alias("tbl"), F.coalesce(F.sum(F.when(F.col("gone") == 1, F.col("n"))), F.lit(0)).alias("deleted"), F.coalesce(F.sum(F.when(F.col("gone").isNull(), F.col("n"))), F.lit(0)).alias("kept"))
+    b = orders.agg(F.lit("orders").alias("tbl"), F.count_if(F.col("c_mktsegment") == "BUILDING").alias("deleted"), F.count_if(F.col("c_mktsegment") != "BUILDING").alias("kept"))
+    return a.unionByName(b)
+
+
+@query("""SELECT c.c_custkey, coalesce(s.s_suppkey, n.s_suppkey, -1) AS matched, CASE WHEN s.s_suppkey IS NOT NULL THEN 'key' WHEN n.s_suppkey IS NOT NULL THEN 'nation' ELSE 'none' END AS how
+FROM customer c LEFT JOIN (SELECT s_suppkey, s_suppkey * 7 AS k FROM supplier) s ON c.c_custkey = s.k
+LEFT JOIN (SELECT s_nationkey, min(s_suppkey) AS s_suppkey FROM supplier GROUP BY 1) n ON c.c_nationkey = n.s_nationkey""")
+def coalesce_join(spark, d):
+    suppliers = t(spark, d, "supplier")
+    first = suppliers.select((F.col("s_suppkey") * 7).alias("c_custkey"), F.col("s_suppkey").alias("by_key"))
+    second = suppliers.groupBy(F.col("s_nationkey").alias("c_nationkey")).agg(F.min("s_suppkey").alias("by_nation"))
+    rows = t(spark, d, "customer").join(first, "c_custkey", "left").join(second, "c_nationkey", "left")
+    how = F.when(F.col("by_key").isNotNull(), "key").when(F.col("by_nation").isNotNull(), "nation").otherwise("none")
+    return rows.select("c_custkey", F.coalesce("by_key", "by_nation", F.lit(-1)).alias("matched"), how.alias("how"))
+
+
+@query("""WITH r AS (SELECT o_orderkey AS seq, 'http://x/' || (o_orderkey % 5000) AS url, 'T' || (o_orderkey % 5000) AS title, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE o_orderpriority END AS company, o_orderstatus || repeat('x', o_orderkey % 7) AS location FROM orders)
+SELECT url, min(seq) AS seq, coalesce(arg_min(company, seq) FILTER (WHERE company <> ''), '') AS company, arg_max(location, (length(location), -seq)) AS location, count(*) AS sightings FROM r GROUP BY url""")
+def offers_merge(spark, d):
+    rows = t(spark, d, "orders").select(
+        F.col("o_orderkey").alias("seq"), F.concat(F.lit("http://x/"), (F.col("o_orderkey") % 5000).cast("string")).alias("url"), F.concat(F.lit("T"), (F.col("o_orderkey") % 5000).cast("string")).alias("title"),
+        F.when(F.col("o_orderkey") % 4 == 0, "").otherwise(F.col("o_orderpriority")).alias("company"), F.lit("p").alias("portal"),
+        F.concat("o_orderstatus", F.expr("repeat('x', int(o_orderkey % 7))")).alias("location"), F.col("o_orderdate").alias("found_at"),
+    ).withColumn("normalized_url", F.col("url"))
+    half = F.max("seq").over(Window.partitionBy("url"))
+    # the earlier sightings are the snapshot, the last one of each url is the batch
+    marked = rows.withColumn("last", half)
+    out = merge.merged_offers(marked.where("seq < last").drop("last"), marked.where("seq = last").drop("last", "normalized_url"))
+    return out.select("url", "seq", "company", "location", "sightings")
+
+
+# ------------------------------------------------------------------ lists, top-k, schedule
+
+
+@query(f"SELECT o_orderkey, {sql_stamp('o_orderdate')} AS at, o_totalprice FROM orders WHERE lower(o_orderpriority) = '1-urgent' ORDER BY o_orderdate DESC NULLS LAST, o_orderkey LIMIT 100")
+def list_recent(spark, d):
+    rows = t(spark, d, "orders").where("lower(o_orderpriority) = '1-urgent'").orderBy(F.coalesce("o_orderdate", F.lit(None)).desc_nulls_last(), "o_orderkey").limit(100)
+    return rows.select("o_orderkey", stamp("o_orderdate").alias("at"), "o_totalprice")
+
+
+@query("SELECT event_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-29' OR (event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-15') OR (event_type = 'signup' AND ts >= TIMESTAMP '2024-01-22')")
+def fresh_or(spark, d):
+    return t(spark, d, "events").where("ts >= timestamp_ntz'2024-01-29' or (event_type = 'purchase' and ts >= timestamp_ntz'2024-01-15') or (event_type = 'signup' and ts >= timestamp_ntz'2024-01-22')").select("event_id", "event_type")
+
+
+def offers(spark, d) -> DataFrame:
+    """Orders as offers with a score."""
+    o = t(spark, d, "orders")
+    return o.select(
+        F.col("o_orderkey").alias("id"), F.concat(F.lit("Oferta "), "o_orderkey").alias("title"), F.col("o_orderpriority").alias("company"), F.col("o_orderstatus").alias("portal"), F.lit("").alias("location"), F.lit("").alias("modality"),
+        F.floor(F.col("o_totalprice") / 5000).cast("double").alias("compatibility_score"), F.col("o_orderdate").cast("timestamp").alias("found_at"), F.lit(None).cast("timestamp").alias("created_at"), F.lit(None).cast("timestamp").alias("published_at"),
+        F.lit("").alias("raw_posted_text"), F.concat(F.lit("http://x/"), "o_orderkey").alias("url"), F.when(F.col("o_orderkey") % 5 == 0, V.EASY_APPLY).otherwise("unknown").alias("application_type"), (F.col("o_orderstatus") == "F").alias("notified"),
+    )
+
+
+_OFFERS = "offers AS (SELECT o_orderkey AS id, floor(o_totalprice / 5000) AS score, o_orderdate AS found, o_orderstatus = 'F' AS notified, o_orderpriority AS company, o_orderstatus AS portal, o_orderkey % 5 = 0 AS easy FROM orders)"
+
+
+@query(f"WITH {_OFFERS} SELECT id, score FROM offers WHERE NOT notified AND score >= 65 ORDER BY score DESC, found DESC NULLS LAST, id")
+def pending_sort(spark, d):
+    rows = offers(spark, d).where(~F.col("notified") & (F.col("compatibility_score") >= 65))
+    return rows.orderBy(*digest.rank_order(last="id")).select("id", F.col("compatibility_score").alias("score"))
+
+
+@query("SELECT count(*) AS n FROM documents WHERE lower(lang) = 'en' AND lower(source) = 'src3'")
+def count_filtered(spark, d):
+    return t(spark, d, "documents").where("lower(lang) = 'en' and lower(source) = 'src3'").agg(F.count("doc_id").alias("n"))
+
+
+@query(f"WITH {_OFFERS}, r AS (SELECT id, score, company, row_number() OVER (PARTITION BY company ORDER BY score DESC, found DESC NULLS LAST, id) AS pos, count(*) OVER (PARTITION BY company) AS n FROM offers) SELECT company, CAST(pos AS INTEGER) AS pos, id, score, greatest(0, n - 7) AS overflow FROM r WHERE pos <= 7")
+def topk_overflow(spark, d):
+    out = digest.top_rows(offers(spark, d), 7, digest.rank_order(last="id"), by="company")
+    return out.select("company", F.col("position").alias("pos"), "id", F.col("compatibility_score").alias("score"), "overflow")
+
+
+@query("SELECT user_id AS id, CAST(5 + user_id % 60 AS INTEGER) AS interval_minutes FROM (SELECT user_id, max(ts) AS last FROM events GROUP BY 1) WHERE last + to_minutes(5 + user_id % 60) <= TIMESTAMP '2024-01-30 12:00:00' AND user_id % 9 <> 0 AND NOT (user_id % 13 = 0)")
+def due_sources(spark, d):
+    rows = t(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.max("ts").cast("timestamp").alias("last_checked_at"))
+    now = F.lit("2024-01-30 12:00:00").cast("timestamp")
+    rows = rows.withColumns({"interval_minutes": (5 + F.col("id") % 60).cast("int"), "enabled": F.col("id") % 9 != 0, "paused_until": F.when(F.col("id") % 13 == 0, now + F.expr("interval 1 hour"))})
+    return state.due(rows, now).select("id", "interval_minutes")
+
+
+_ISLANDS = """e AS (SELECT event_id, user_id, ts, event_type = 'error' AS failed, event_type = 'purchase' AS ok FROM events),
+i AS (SELECT *, sum(CAST(ok AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM e),
+f AS (SELECT *, CAST(sum(CAST(failed AS INTEGER)) OVER (PARTITION BY user_id, island ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS INTEGER) AS failure_count FROM i),
+p AS (SELECT *, max(CASE WHEN failed AND failure_count >= 3 THEN ts + INTERVAL 24 HOUR END) OVER (PARTITION BY user_id, island ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS paused_until FROM f)"""
+
+
+def _islands(spark, d) -> DataFrame:
+    rows = t(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    return state.failure_islands(rows, "user_id", ["ts", "event_id"], F.col("event_type") == "purchase", F.col("event_type") == "error", "ts")
+
+
+@query(f"WITH {_ISLANDS} SELECT event_id, failure_count, coalesce({sql_stamp('paused_until')}, '') AS paused_until FROM p")
+def failure_islands(spark, d):
+    return _islands(spark, d).select("event_id", "failure_count", F.coalesce(stamp("paused_until"), F.lit("")).alias("paused_until"))
+
+
+@query(f"WITH {_ISLANDS}, l AS (SELECT user_id, arg_max(failure_count, (ts, event_id)) AS n FROM p GROUP BY 1) SELECT user_id AS id, n AS failure_count, n < 3 AS enabled FROM l")
+def disable_blocked(spark, d):
+    last = _islands(spark, d).groupBy(F.col("user_id").alias("id")).agg(F.max_by("failure_count", F.struct("ts", "event_id")).alias("failure_count"))
+    return state.disabled_when_blocked(last.withColumn("enabled", F.lit(True))).select("id", "failure_count", "enabled")
+
+
+@query()
+def failure_machine(spark, d):
+    """Failures with pauses that skip events: sequential by nature (checked against a plain loop in the tests)."""
+    kind = F.when(F.col("event_type") == "purchase", "ok").when(F.col("event_type") == "error", "blocked").otherwise("error")
+    rows = t(spark, d, "events").select(F.col("user_id").cast("string").alias("source"), F.col("ts").cast("timestamp").alias("at"), kind.alias("outcome"))
+    return machine.simulate_failures(rows)
+
+
+# ------------------------------------------------------------------ dates
+
+
+_POSTED = ("hace {n} horas", "Hace {n} días", "ago {n} minutes", "ayer", "Publicada HOY", "new", "{n} hours ago", "hace mucho")
+_NOW = "2024-03-01 12:00:00"
+
+
+@query(f"""SELECT event_id, coalesce({sql_stamp("CASE event_id % 8 WHEN 0 THEN x - to_hours(n) WHEN 1 THEN x - to_days(n::INTEGER) WHEN 2 THEN x - to_minutes(n) WHEN 3 THEN x - INTERVAL 1 DAY WHEN 4 THEN x WHEN 5 THEN x END")}, '') AS posted_at
+FROM (SELECT event_id, event_id % 97 AS n, TIMESTAMP '{_NOW}' AS x FROM events)""")
+def relative_date(spark, d):
+    n = (F.col("event_id") % 97).cast("string")
+    words = F.element_at(F.array(*(F.lit(w) for w in _POSTED)), (F.col("event_id") % 8 + 1).cast("int"))
+    at = dates.relative_posted(F.replace(words, F.lit("{n}"), n), F.lit(_NOW).cast("timestamp"))
+    return t(spark, d, "events").select("event_id", F.coalesce(stamp(at), F.lit("")).alias("posted_at"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'No disponible' WHEN strftime(l, '%H:%M:%S') = '00:00:00' THEN strftime(l, '%Y-%m-%d') ELSE strftime(l, '%Y-%m-%d %H:%M') END AS shown FROM (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN date_trunc('day', ts) ELSE ts - INTERVAL 5 HOUR END AS l FROM events)")
+def local_time_fmt(spark, d):
+    ts = F.col("ts").cast("timestamp")
+    at = F.when(F.col("event_id") % 7 == 0, F.lit(None)).when(F.col("event_id") % 5 == 0, F.date_trunc("day", ts) + F.expr("interval 5 hours")).otherwise(ts)
+    return t(spark, d, "events").select("event_id", dates.local_text(at, "America/Bogota").alias("shown"))
+
+
+@query("SELECT event_type, count(*) FILTER (WHERE event_id % 10 = 0 OR ts >= TIMESTAMP '2024-01-19 12:00:00') AS fresh, count(*) AS n FROM events GROUP BY 1")
+def freshness_gate(spark, d):
+    now = F.lit("2024-01-20 12:00:00").cast("timestamp")
+    at = F.when(F.col("event_id") % 10 != 0, F.col("ts").cast("timestamp"))
+    return t(spark, d, "events").groupBy("event_type").agg(F.count_if(dates.is_fresh(at, now)).alias("fresh"), F.count(F.lit(1)).alias("n"))
+
+
+# ------------------------------------------------------------------ lists, exports, digests
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, CASE event_id % 4 WHEN 0 THEN event_type || '|b' WHEN 1 THEN event_type WHEN 2 THEN '' ELSE '[' || event_type END AS items FROM events")
+def json_list(spark, d):
+    e = F.col("event_type")
+    raw = F.element_at(F.array(F.concat(F.lit('["'), e, F.lit('","b"]')), F.concat(F.lit('"'), e, F.lit('"')), F.lit(" "), F.concat(F.lit("["), e)), (F.col("event_id") % 4 + 1).cast("int"))
+    return t(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), F.array_join(text.json_list(raw), "|").alias("items"))
+
+
+@query("""SELECT d.source AS portal, 'doc ' || d.doc_id AS title, 'http://x/' || d.doc_id AS url, CAST(l.quality * 10 AS DOUBLE) AS compatibility_score, CASE WHEN l.toxic = 1 THEN 'toxic; ' || d.lang ELSE d.lang END AS discard_reasons,
+'2024-01-01T00:00:00+00:00' AS found_at FROM documents d JOIN labels l ON d.doc_id = l.doc_id""")
+def export_rows(spark, d):
+    reasons = F.to_json(F.array_compact(F.array(F.when(F.col("toxic") == 1, F.lit("toxic")), F.col("lang"))))
+    rows = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id").select(
+        F.col("source").alias("portal"), F.concat(F.lit("doc "), "doc_id").alias("title"), F.concat(F.lit("http://x/"), "doc_id").alias("url"), F.lit("").alias("normalized_url"),
+        (F.col("quality") * 10).cast("double").alias("compatibility_score"), reasons.alias("discard_reasons"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("found_at"),
+    )
+    return sinks.export_rows(rows)
+
+
+@query(r"""WITH w AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '[\s]+', ' ', 'g'), ' ')) AS x, unnest(generate_series(1, len(string_split(regexp_replace(text, '[\s]+', ' ', 'g'), ' ')))) AS i FROM documents),
+k AS (SELECT doc_id, x, i, row_number() OVER (PARTITION BY doc_id, lower(x) ORDER BY i) AS n FROM w WHERE x <> '')
+SELECT doc_id, count(*) AS kept, md5(string_agg(x, ' ' ORDER BY i)) AS kept_md5 FROM k WHERE n = 1 GROUP BY doc_id""")
+def dedupe_ci(spark, d):
+    """Keep-first of words that differ in case only, over whole texts: by key, as texts are longer than lists of reasons."""
+    words = t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("i", "x")).where("x <> ''")
+    first = words.groupBy("doc_id", F.lower("x").alias("k")).agg(F.min(F.struct("i", "x")).alias("s"))
+    kept = first.groupBy("doc_id").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    return kept.select("doc_id", F.size("s").cast("long").alias("kept"), F.md5(F.array_join(F.transform("s", lambda s: s["x"]), " ")).alias("kept_md5"))
+
+
+@query(r"""WITH w AS (SELECT p_type, p_brand, min(p_partkey) AS k FROM part GROUP BY 1, 2), l AS (SELECT p_brand, p_type, k, row_number() OVER (PARTITION BY p_brand ORDER BY k) AS i FROM w)
+SELECT p_brand, string_agg(CASE WHEN i % 2 = 0 THEN lower(p_type) ELSE p_type END, ',' ORDER BY i) AS types FROM l GROUP BY 1""")
+def reasons_ci(spark, d):
+    """Keep-first of a list whose items differ in case: types of each brand in order of appearance."""
+    rows = t(spark, d, "part").groupBy("p_brand", "p_type").agg(F.min("p_partkey").alias("k"))
+    lists = rows.groupBy("p_brand").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "p_type"))), lambda x, i: F.when(i % 2 == 1, F.lower(x["p_type"])).otherwise(x["p_type"])).alias("a"))
+    doubled = F.flatten(F.transform("a", lambda x: F.array(x, F.upper(x), F.concat(F.lit(" "), x))))
+    return lists.select("p_brand", F.array_join(text.keep_first_ci(doubled), ",").alias("types"))
+
+
+_ENTRY = "CAST(pos AS VARCHAR) || '. Oferta ' || id || chr(10) || 'Empresa: ' || company || chr(10) || 'Portal: ' || portal || chr(10) || CASE WHEN easy THEN 'Tipo de solicitud: Solicitud sencilla' || chr(10) ELSE '' END || 'Ubicación: No detectada' || chr(10) || 'Compatibilidad: ' || CAST(CAST(score AS BIGINT) AS VARCHAR) || '%' || chr(10) || 'Publicada: No disponible' || chr(10) || 'Detectada: ' || strftime(found - INTERVAL 5 HOUR, '%Y-%m-%d %H:%M') || chr(10) || 'Link: http://x/' || id"
+
+
+@query(
+    f"""WITH RECURSIVE {_OFFERS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY company ORDER BY score DESC, found DESC NULLS LAST, id) AS pos, count(*) OVER (PARTITION BY company) AS n FROM offers WHERE NOT notified),
+    e AS (SELECT company, pos, n, id, length({_ENTRY}) AS chars FROM ranked WHERE pos <= 60),
+    head AS (SELECT company, greatest(0, max(n) - 60) AS over, length('Ofertas nuevas recomendadas' || chr(10) || chr(10) || 'Encontradas en este ciclo: ' || least(60, max(n)) || chr(10) || 'Umbral mínimo: 65%') + 2
+        + CASE WHEN max(n) > 60 THEN length('Hay ' || (max(n) - 60) || ' ofertas adicionales guardadas.') + 2 ELSE 0 END AS around FROM e GROUP BY company),
+    fold(company, pos, part, size) AS (
+      SELECT company, pos, 1, chars FROM e WHERE pos = 1
+      UNION ALL SELECT e.company, e.pos, CASE WHEN f.size + 2 + e.chars + h.around > 1500 THEN f.part + 1 ELSE f.part END, CASE WHEN f.size + 2 + e.chars + h.around > 1500 THEN e.chars ELSE f.size + 2 + e.chars END
+      FROM fold f JOIN e ON e.company = f.company AND e.pos = f.pos + 1 JOIN head h ON h.company = f.company)
+    SELECT f.company, f.part, count(*) AS entries, string_agg(e.id, ',' ORDER BY e.pos) AS ids FROM fold f JOIN e ON e.company = f.company AND e.pos = f.pos GROUP BY f.company, f.part"""
+)
+def digest_pack(spark, d):
+    from .config import Settings
+
+    out = digest.digest(offers(spark, d).where("not notified"), Settings(digest_max_rows=60, digest_max_chars=1500), by="company", last="id")
+    return out.select("company", "part", F.size("keys").cast("long").alias("entries"), F.array_join("keys", ",").alias("ids"))
+
+
+@query(f"WITH {_OFFERS} SELECT id, CASE WHEN id % 3 = 0 THEN 'sent' ELSE 'pending' END AS status FROM offers WHERE NOT notified AND score >= 65")
+def outbox_status(spark, d):
+    tried = offers(spark, d).where(~F.col("notified") & (F.col("compatibility_score") >= 65)).select("id")
+    return digest.outbox(tried, tried.where("id % 3 = 0"), "id").select("id", "status")
+
+
+# ------------------------------------------------------------------ profiles
+
+
+@query()
+def near_dup_greedy(spark, d):
+    """Lines of each document without those similar to an earlier kept one: a fold in order (checked against a loop in the tests)."""
+    rows = t(spark, d, "documents").select("doc_id", profile.distinct_bullets(F.split("text", "\n")).alias("kept"))
+    return rows.select("doc_id", F.size("kept").alias("kept"), F.md5(F.array_join("kept", "\n")).alias("kept_md5"))
+
+
+@query("""WITH r AS (SELECT *, CASE WHEN turn % 3 = 0 THEN role END AS h FROM conversations), s AS (SELECT conv_id, turn, last_value(h IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS section FROM r)
+SELECT conv_id, turn, CASE section WHEN 'user' THEN 'summary' WHEN 'assistant' THEN 'skills' WHEN 'system' THEN 'languages' ELSE 'header' END AS section FROM s WHERE turn % 3 <> 0""")
+def sections(spark, d):
+    heads = {"user": "summary", "assistant": "skills", "system": "languages"}
+    rows = t(spark, d, "conversations").withColumn("line", F.when(F.col("turn") % 3 == 0, F.concat(F.initcap("role"), F.lit(" :"))).otherwise("-"))
+    return profile.sectioned(rows, "conv_id", "turn", "line", heads).select("conv_id", "turn", "section")
+
+
+@query("""WITH r AS (SELECT conv_id, turn, text, role = 'user' AS opens, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS record FROM conversations)
+SELECT conv_id, CAST(record AS INTEGER) AS record, md5(max(text) FILTER (WHERE opens)) AS head_md5, count(*) FILTER (WHERE NOT opens) AS n_items FROM r WHERE record > 0 GROUP BY 1, 2""")
+def line_records(spark, d):
+    out = profile.records(t(spark, d, "conversations"), "conv_id", "turn", F.col("role") == "user", "text")
+    return out.select("conv_id", "record", F.md5("head").alias("head_md5"), F.size("items").cast("long").alias("n_items"))
+
+
+@query("""SELECT o_custkey, arg_min(x, y) FILTER (WHERE y IS NOT NULL) AS first_month, arg_max(x, y) FILTER (WHERE y IS NOT NULL) AS last_month FROM (SELECT o_custkey,
+  (['enero','febrero','marzo','abril','mayo','junio','julio','agosto','septiembre','octubre','noviembre','diciembre'])[month(o_orderdate)] || ' ' || year(o_orderdate) AS x, CASE WHEN o_orderkey % 10 <> 0 THEN year(o_orderdate) * 12 + month(o_orderdate) END AS y FROM orders) GROUP BY 1""")
+def month_year_minmax(spark, d):
+    name = F.element_at(F.array(*(F.lit(m) for m in V.MONTHS)), F.month("o_orderdate"))
+    value = F.when(F.col("o_orderkey") % 10 == 0, "actual").otherwise(F.concat_ws(" ", name, F.year("o_orderdate").cast("string")))
+    rows = t(spark, d, "orders").select("o_custkey", value.alias("v"))
+    return rows.groupBy("o_custkey").agg(profile.boundary_date("v", True).alias("first_month"), profile.boundary_date("v", False).alias("last_month"))
+
+
+@query("""WITH u AS (SELECT s_nationkey AS k, s_suppkey AS seq, s_name AS name FROM supplier UNION ALL SELECT c_nationkey, c_custkey + 1000000, upper(c_name) FROM customer)
+SELECT k, arg_min(name, seq) AS first_name, count(DISTINCT lower(name)) AS bullets FROM u GROUP BY k""")
+def record_union_merge(spark, d):
+    s = t(spark, d, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("seq"), F.col("s_name").alias("name"))
+    c = t(spark, d, "customer").select(F.col("c_nationkey").alias("k"), (F.col("c_custkey") + 1000000).alias("seq"), F.upper("c_name").alias("name"))
+    rows = s.unionByName(c).select("k", "seq", F.col("name").alias("location"), F.lit("Co").alias("company"), F.lit("R").alias("role"), F.lit("").alias("start_date"), F.lit("").alias("end_date"), F.array("name").alias("bullets"))
+    return profile.merged_experiences(rows, "k").select("k", F.col("location").alias("first_name"), F.size("bullets").cast("long").alias("bullets"))
+
+
+@query(f"WITH {LISTINGS} SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(nb, '{p}') THEN '{n}' END" for n, p in V.TECHNOLOGIES) + "], lambda x: x IS NOT NULL), ',') AS technologies FROM normed")
+def tech_dictionary(spark, d):
+    return listings(spark, d).select("doc_id", F.array_join(scoring.technologies(text.joined("title", "description")), ",").alias("technologies"))
+
+
+@query(f"WITH {_relevance_cte('backend_junior')}, b AS (SELECT doc_id FROM relevance WHERE NOT relevant), {_relevance_cte('qa_junior').replace('listings AS', 'listings2 AS').replace('FROM listings)', 'FROM listings2)').replace('normed', 'normed2').replace('hits AS', 'hits2 AS').replace('FROM hits', 'FROM hits2').replace('relevance AS', 'relevance2 AS')} SELECT r.doc_id, r.relevant AS moved FROM relevance2 r JOIN b ON b.doc_id = r.doc_id")
+def reprocess_move(spark, d):
+    rows = scoring.with_relevance(listings(spark, d), "backend_junior").where("not relevance.relevant").drop("relevance")
+    return scoring.with_relevance(rows, "qa_junior").select("doc_id", F.col("relevance.relevant").alias("moved"))
+
+
+# ------------------------------------------------------------------ streams
+
+
+def _events_stream(spark, d) -> DataFrame:
+    schema = t(spark, d, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
+
+
+def _scratch(spark) -> str:
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+@query("SELECT user_id, event_type, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY 1, 2")
+def stream_cycle(spark, d):
+    """The watch loop over all events there are: each micro-batch is reduced and appended, and the snapshot is their merge."""
+    at = _scratch(spark)
+
+    def cycle(batch: DataFrame, number: int) -> None:
+        batch.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id")).write.mode("overwrite").parquet(f"{at}/out/batch={number}")
+
+    machine.run_cycles(_events_stream(spark, d), cycle, f"{at}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{at}/out").groupBy("user_id", "event_type").agg(F.sum("n").alias("n"), F.min("first_id").alias("first_id"))
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_seen(spark, d):
+    at = _scratch(spark)
+    seen = machine.first_sightings(_events_stream(spark, d).select("user_id", "event_type"), ["user_id", "event_type"])
+    seen.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/out").select("user_id", "event_type")
+
+
+# ------------------------------------------------------------------
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Gate, score and rank the documents as listings; the best of each source, as rows of its digest."""
+    rows = scoring.with_match(scoring.with_relevance(listings(spark, sf_dir), "backend_junior")).where("relevance.relevant")
+    w = Window.partitionBy("source").orderBy(F.desc("score"), "doc_id")
+    return rows.withColumn("position", F.row_number().over(w)).where("position <= 25").select("source", "position", "doc_id", "title", "score", F.array_join("reasons", "; ").alias("reasons"))
 
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
