@@ -36,7 +36,7 @@ def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mixture(read(spark, sf_dir, "documents"))
+    mixed = mixing.mixture(read(spark, sf_dir, "documents"), columns=("doc_id", "source", "lang"))
     return mixed.select("doc_id", "source", "lang", F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"), F.col("__probability").alias("probability"), F.col("__kept").alias("kept"))
 
 
