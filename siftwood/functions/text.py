@@ -130,8 +130,8 @@ def repair_mojibake(c: Text) -> Column:
     """UTF-8 that was read as Latin-1, read again, where that helps."""
     # only characters below 256 can have come from such a reading
     broken = col(c).rlike("[ÃÂâ]") & ~col(c).rlike("[^\\x00-\\xFF]")
-    fixed = F.decode(F.encode(F.when(broken, col(c)), "ISO-8859-1"), "UTF-8")
-    return F.when(broken & ~fixed.contains("�"), fixed).otherwise(col(c))
+    fixed = F.try_validate_utf8(F.encode(F.when(broken, col(c)), "ISO-8859-1").cast("string"))
+    return F.when(broken & fixed.isNotNull(), fixed).otherwise(col(c))
 
 
 def slug(c: Text, default: str = "cv") -> Column:

@@ -79,7 +79,7 @@ def failure_machine(stream: DataFrame) -> DataFrame:
 def simulate_failures(events: DataFrame) -> DataFrame:
     """The same over a recorded table, in batch: each source's events in one task, state carried in order."""
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         n, until, out = 0, None, []
         frame = frame.sort_values(["at", "outcome"], kind="stable")
         for at, outcome in zip(frame["at"], frame["outcome"], strict=True):
