@@ -3,7 +3,8 @@
 Centroids come from a bounded sample that is halved until its parts are even. Every vector is stored in the list of its
 nearest centroid and, near a boundary, in the next ones too. A query walks a neighbour graph of the centroids that each
 task holds in memory, and keeps the lists within a distance ratio of its nearest; the ratio is set on the sample
-so that it reaches a wanted recall there. Lists that hold more rows than a task should are dealt out in parts.
+so that it reaches a wanted recall there. A query's k-th best score among the sample's rows bounds its true one from below,
+so those rows are candidates and lists only return what is no worse. Lists that hold more rows than a task should are dealt out in parts.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ SAMPLE = 16_000
 #: Rows of a list that one task compares at once.
 PART_ROWS = 2048
 #: Lists per indexed rows, at most SAMPLE / 16.
-LIST_ROWS = 256
+LIST_ROWS = 512
 #: A vector is also stored in lists at most this much farther than its nearest, and in this many at most.
 REPLICA_RATIO, REPLICAS = 1.02, 4
 DEGREE = 24
@@ -118,11 +119,14 @@ def nearest(table: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vec_c
     rows = one_per_id(flagged.where(usable(vec_col)), id_col, vec_col, "__q").checkpoint()
     dim = main_dimension(rows)
     rows = rows.where(F.size("vec") == dim)
-    index = ListIndex(bounded_sample(rows, dim, sample), rows.count(), k)
-    shared = spark.sparkContext.broadcast((index.centroids, index.parts, index.ratio))
+    sample_ids, raw = bounded_sample(rows, dim, sample)
+    fitted = unit(raw) if len(raw) else raw
+    index = ListIndex(fitted, rows.count(), k)
+    shared = spark.sparkContext.broadcast((index.centroids, index.parts, index.ratio, sample_ids, raw))
+    kind = dict(rows.dtypes)["vec"]
 
     def store(batches):
-        c, parts, _ = shared.value
+        c, parts, *_ = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -133,18 +137,40 @@ def nearest(table: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vec_c
             part = (ids[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts[lists]
             yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), pa.array(part, pa.int32()), pa.array(ids[row]), vecs.take(pa.array(row))], ["list", "part", "id", "vec"])
 
+    def in_sample(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, place in the sample, score) of the k best sample rows of each query and their ties."""
+        *_, known_ids, known = shared.value
+        near = unit(x) @ (unit(known) if len(known) else known).T
+        near[ids[:, None] == known_ids[None, :]] = -np.inf
+        cut = max(0, near.shape[1] - k)
+        row, col = np.nonzero((near >= np.partition(near, cut, axis=1)[:, cut : cut + 1] - 1e-12) & (near > -np.inf))
+        return row, col, cosine(x[row], known[col])
+
+    def seed(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                ids, x = batch.slice(a, 256).column(0).to_numpy(), matrix(batch.slice(a, 256).column(1), dim)
+                row, col, score = in_sample(ids, x)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(shared.value[3][col]), pa.array(score)], ["query_id", "vec_id", "score"])
+
     def route(batches):
-        c, parts, ratio = shared.value
+        c, parts, ratio, *_ = shared.value
         graph = CentroidGraph(c)
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 some = batch.slice(a, 256)
                 ids, vecs = some.column(0).to_numpy(), some.column(1)
-                row, lists = np.nonzero(graph.within(unit(matrix(vecs, dim)), ratio))
+                x = matrix(vecs, dim)
+                row, lists = np.nonzero(graph.within(unit(x), ratio))
+                asked, _, score = in_sample(ids, x)
+                # with k rows or more of the sample, the k-th best of them is a floor
+                floor = np.full(len(x), np.inf)
+                np.minimum.at(floor, asked, score)
+                floor[np.bincount(asked, minlength=len(x)) < k] = -np.inf
                 n = parts[lists]
                 part = np.arange(int(n.sum())) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
                 row, lists = np.repeat(row, n), np.repeat(lists, n)
-                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), pa.array(part, pa.int32()), pa.array(ids[row]), vecs.take(pa.array(row))], ["list", "part", "id", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), pa.array(part, pa.int32()), pa.array(ids[row]), vecs.take(pa.array(row)), pa.array(floor[row])], ["list", "part", "id", "vec", "floor"])
 
     def compare(asked: pa.Table, held: pa.Table) -> pa.Table:
         out: list[list[np.ndarray]] = [[], [], []]
@@ -159,15 +185,17 @@ def nearest(table: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vec_c
                 near = unit(x) @ y_unit.T
                 near[x_ids[:, None] == y_ids[None, :]] = -np.inf
                 kth = np.partition(near, max(0, len(y) - k), axis=1)[:, max(0, len(y) - k)]
-                row, col = np.nonzero((near >= kth[:, None] - 1e-12) & (near > -np.inf))
+                least = np.maximum(kth, some["floor"].to_numpy()) - 1e-12
+                row, col = np.nonzero((near >= least[:, None]) & (near > -np.inf))
                 for part, v in zip(out, (x_ids[row], y_ids[col], cosine(x[row], y[col])), strict=True):
                     part.append(v)
         cols = [np.concatenate(p) if p else [] for p in out]
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 
-    schema = "list int, part int, id long, vec array<double>"
-    asked = rows.where("__q").select("id", "vec").mapInArrow(route, schema).groupBy("list", "part")
+    schema = f"list int, part int, id long, vec {kind}"
+    asked = rows.where("__q").select("id", "vec").mapInArrow(route, schema + ", floor double").groupBy("list", "part")
     held = rows.select("id", "vec").mapInArrow(store, schema).groupBy("list", "part")
-    found = asked.cogroup(held).applyInArrow(compare, "query_id long, vec_id long, score double").distinct()
+    seeds = rows.where("__q").select("id", "vec").mapInArrow(seed, "query_id long, vec_id long, score double")
+    found = asked.cogroup(held).applyInArrow(compare, "query_id long, vec_id long, score double").unionByName(seeds).distinct()
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -15,9 +15,9 @@ def usable(vec: str) -> Column:
 
 
 def one_per_id(table: DataFrame, id_col: str, vec_col: str, *more: str) -> DataFrame:
-    """(id, vec array<double>, more...) with one row per id (of several, the first in order) and a usable vector; null ids go."""
-    cols = [F.col(c) for c in more]
-    rows = table.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.struct(*cols, F.col(vec_col).cast("array<double>").alias("vec")).alias("s"))
+    """(id, more..., vec) with one row per id (of several, the first in order of more, then vec); null ids go. Single precision stays that."""
+    kept = F.col(vec_col) if dict(table.dtypes)[vec_col] == "array<float>" else F.col(vec_col).cast("array<double>")
+    rows = table.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.struct(*(F.col(c) for c in more), kept.alias("vec")).alias("s"))
     return rows.groupBy("id").agg(F.min("s").alias("s")).select("id", "s.*")
 
 
@@ -44,10 +44,10 @@ def cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
 
 
-def bounded_sample(rows: DataFrame, dim: int, most: int) -> np.ndarray:
-    """Unit vectors of the rows with the smallest id hashes; most is the only bound."""
-    got = rows.select("id", "vec").orderBy(F.xxhash64("id"), "id").limit(most).select("vec").toArrow()
-    return unit(matrix(got["vec"], dim)) if got.num_rows else np.zeros((0, dim))
+def bounded_sample(rows: DataFrame, dim: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of the rows with the smallest id hashes; most is the only bound."""
+    got = rows.select("id", "vec").orderBy(F.xxhash64("id"), "id").limit(most).toArrow()
+    return got["id"].to_numpy(), matrix(got["vec"], dim)
 
 
 def halve(x: np.ndarray, most: int) -> list[np.ndarray]:
