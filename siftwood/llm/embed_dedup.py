@@ -20,7 +20,7 @@ from .vectors import bounded_sample, cosine, main_dimension, matrix, one_per_id,
 
 SAMPLE = 16_000
 CELL_ROWS, MAX_CELLS = 2000, 1024
-BLOCK_ROWS = 1500
+BLOCK_ROWS = 1200
 
 
 def _star(links: np.ndarray, x_ids: np.ndarray, y_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,56 +51,74 @@ def near_duplicates(table: DataFrame, threshold: float = 0.98, id_col: str = "ve
     every = base.select("id")
     rows = base.where(F.col("__l").isNotNull() & usable("vec")).checkpoint()
     dim = main_dimension(rows)
-    rows = rows.where(F.size("vec") == dim)
-    n = rows.count()
-    fitted = bounded_sample(rows, dim, sample)
-    shared = spark.sparkContext.broadcast(spherical_kmeans(fitted, max(1, min(MAX_CELLS, n // CELL_ROWS, max(1, len(fitted) // 8)))))
+    rows = rows.where(F.size("vec") == dim).withColumnRenamed("__l", "label")
+    labels, n = rows.agg(F.countDistinct("label"), F.count(F.lit(1))).first()
+    fitted = bounded_sample(rows, dim, sample)[1]
+    fitted = unit(fitted) if len(fitted) else fitted
+    cells = max(1, min(MAX_CELLS, n // (CELL_ROWS * max(1, labels)), len(fitted) // 8))
+    shared = spark.sparkContext.broadcast(spherical_kmeans(fitted, cells))
     apart = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
 
-    def place(batches):
+    def placed(batch: pa.RecordBatch):
+        """(row, cell, home) of each cell that a row lives in or visits."""
         c = shared.value
-        gap = np.linalg.norm(c[:, None, :] - c[None, :, :], axis=2) if len(c) <= 256 else None
+        for a in range(0, batch.num_rows, 1000):
+            some = batch.slice(a, 1000)
+            near = unit(matrix(some.column(1), dim)) @ c.T
+            home = near.argmax(1)
+            to = np.linalg.norm(c[home][:, None, :] - c[None, :, :], axis=2) if len(c) <= 64 else np.sqrt(np.maximum(2 - 2 * c[home] @ c.T, 0)) + 1e-9
+            row, cell = np.nonzero(near[np.arange(len(home)), home][:, None] - near <= apart * to + 1e-12)
+            yield some, row, cell, home[row] == cell
+
+    def place(batches):
+        for batch in batches:
+            for some, row, cell, home in placed(batch):
+                yield pa.RecordBatch.from_arrays([*(some.column(i).take(pa.array(row)) for i in (0, 1, 2)), pa.array(cell, pa.int32()), pa.array(home)], ["id", "vec", "label", "cell", "home"])
+
+    def tally(batches):
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                some = batch.slice(a, 1000)
-                near = unit(matrix(some.column(1), dim)) @ c.T
-                home = near.argmax(1)
-                to = gap[home] if gap is not None else np.stack([np.linalg.norm(c - c[h], axis=1) for h in home])
-                row, cell = np.nonzero(near[np.arange(len(home)), home][:, None] - near <= apart * to + 1e-12)
-                yield pa.RecordBatch.from_arrays([*(some.column(i).take(pa.array(row)) for i in (0, 1, 2)), pa.array(cell, pa.int32()), pa.array(home[row] == cell)], ["id", "vec", "label", "cell", "home"])
-
-    kind = dict(rows.dtypes)["__l"]
-    placed = rows.select("id", "vec", "__l").mapInArrow(place, f"id long, vec array<double>, label {kind}, cell int, home boolean").checkpoint()
-    sizes = placed.groupBy("label", "cell").agg(F.ceil(F.sum(F.col("home").cast("long")) / BLOCK_ROWS).cast("int").alias("by"), F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("bx")).where("by > 0")
-    sized = placed.join(sizes, ["label", "cell"])
+            for some, row, cell, home in placed(batch):
+                t = pa.table({"label": some.column(2).take(pa.array(row)), "cell": pa.array(cell, pa.int32()), "home": pa.array(home.astype(np.int64))}).group_by(["label", "cell"]).aggregate([("home", "sum"), ("home", "count")])
+                yield from t.select(["label", "cell", "home_sum", "home_count"]).rename_columns(["label", "cell", "homes", "all"]).to_batches()
+
+    kind, vec = dict(rows.dtypes)["label"], dict(rows.dtypes)["vec"]
+    rows = rows.select("id", "vec", "label")
+    blocks = lambda c: F.ceil(F.sum(c) / BLOCK_ROWS).cast("int")
+    sizes = rows.mapInArrow(tally, f"label {kind}, cell int, homes long, all long").groupBy("label", "cell").agg(blocks("homes").alias("by"), blocks("all").alias("bx")).where("by > 0")
+    sized = rows.mapInArrow(place, f"id long, vec {vec}, label {kind}, cell int, home boolean").join(sizes, ["label", "cell"])
+    # each row asks all blocks of home rows of its cells; a home row is also held for all blocks of asking rows
     block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    asked = sized.select("label", "cell", block("bx").alias("x"), F.explode(F.sequence(F.lit(0), F.col("by") - 1)).alias("y"), "id", "vec")
-    held = sized.where("home").select(F.col("label").alias("h_label"), F.col("cell").alias("h_cell"), F.explode(F.sequence(F.lit(0), F.col("bx") - 1)).alias("h_x"), block("by").alias("h_y"), F.col("id").alias("h_id"), F.col("vec").alias("h_vec"))
-
-    def compare(asked: pa.Table, held: pa.Table) -> pa.Table:
-        counted: tuple = ([], [])
-        joined: tuple = ([], [])
-        if asked.num_rows and held.num_rows:
-            x, y = matrix(asked["vec"], dim), matrix(held["h_vec"], dim)
-            x_ids, y_ids = asked["id"].to_numpy(), held["h_id"].to_numpy()
-            near = unit(x) @ unit(y).T
-            links = near >= threshold
+    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    asks = F.transform(each("by"), lambda y: F.struct(block("bx").alias("x"), y.alias("y"), F.lit(True).alias("asks")))
+    holds = F.transform(each("bx"), lambda x: F.struct(x.alias("x"), block("by").alias("y"), F.lit(False).alias("asks")))
+    dealt = sized.select("label", "cell", "id", "vec", F.explode(F.when(F.col("home"), F.concat(asks, holds)).otherwise(asks)).alias("b")).select("label", "cell", "id", "vec", "b.*")
+
+    def compare(table: pa.Table) -> pa.Table:
+        asks = table["asks"].to_numpy()
+        x_ids, y_ids = (table["id"].to_numpy()[m] for m in (asks, ~asks))
+        every = matrix(table["vec"], dim)
+        x, y = every[asks], every[~asks]
+        xu, yu = unit(x) if len(x) else x, unit(y) if len(y) else y
+        links = np.zeros((len(x), len(y)), bool)
+        for a in range(0, len(x), 256):
+            near = xu[a : a + 256] @ yu.T
+            links[a : a + 256] = near >= threshold
             # at the threshold itself the plain formula decides
             r, c = np.nonzero(np.abs(near - threshold) < 1e-9)
-            links[r, c] = cosine(x[r], y[c]) >= threshold
-            links &= x_ids[:, None] != y_ids[None, :]
-            n = links.sum(1)
-            some = n > 0
-            counted = (x_ids[some], n[some])
-            joined = _star(links, x_ids, y_ids)
-        ids = [*counted[0], *joined[0]]
-        ns = [*map(int, counted[1]), *([None] * len(joined[0]))]
-        to = [*([None] * len(counted[0])), *joined[1]]
-        return pa.table({"a": pa.array(ids, pa.int64()), "n": pa.array(ns, pa.int64()), "b": pa.array(to, pa.int64())})
-
-    found = asked.groupBy("label", "cell", "x", "y").cogroup(held.groupBy("h_label", "h_cell", "h_x", "h_y")).applyInArrow(compare, "a long, n long, b long").checkpoint()
+            links[a + r, c] = cosine(x[a + r], y[c]) >= threshold
+            links[a : a + 256] &= x_ids[a : a + 256, None] != y_ids[None, :]
+        n = links.sum(1)
+        some = n > 0
+        a, b = _star(links, x_ids, y_ids)
+        none, free = np.zeros(int(some.sum()), bool), np.zeros(len(a), np.int64)
+        return pa.table({
+            "a": pa.array(np.concatenate([x_ids[some], a]), pa.int64()), "n": pa.array(np.concatenate([n[some], free]), pa.int64()),
+            "b": pa.array(np.concatenate([np.zeros(len(none), np.int64), b]), pa.int64(), mask=np.concatenate([~none, np.zeros(len(a), bool)])),
+        })
+
+    found = dealt.groupBy("label", "cell", "x", "y").applyInArrow(compare, "a long, n long, b long").checkpoint()
     groups = connected_components(found.where("b is not null").select("a", "b"))
-    counts = found.where("n is not null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n_links"))
+    counts = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n_links"))
     out = every.join(counts, "id", "left").join(groups.withColumnRenamed("node", "id"), "id", "left")
     return out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id")).withColumn("kept", F.col("id") == F.col("component_id"))
 
