@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import Words, arrow_limits, as_strings, ragged, row_sums, spans
+from .textkit import Words, arrow_limits, as_strings, give_back, ragged, row_sums, spans
 
 CAPACITY = 4096
 END_ID = 1
@@ -38,19 +38,36 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[bytes, int] = {}
+        # words by the sorted 64-bit hashes of their bytes: a few bytes each, where a dictionary takes hundreds
+        self.keys = np.zeros(0, np.uint64)
+        self.number = np.zeros(0, np.int64)
         self.starts = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint16 if self.tokenizer.get_vocab_size() <= 65536 else np.uint32)
 
-    def learn(self, words: list[bytes]) -> None:
+    def learn(self, words: list[bytes], keys: np.ndarray) -> None:
         encode = self.tokenizer.encode
         got = [encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids for w in words]
-        n = len(self.place)
-        self.place.update(zip(words, range(n, n + len(words)), strict=True))
-        ends = self.starts[-1] + np.cumsum([len(x) for x in got], dtype=np.int64)
-        self.starts = np.concatenate([self.starts, ends])
+        order = np.argsort(keys)
+        place = np.searchsorted(self.keys, keys[order])
+        self.number = np.insert(self.number, place, len(self.starts) - 1 + order)
+        self.keys = np.insert(self.keys, place, keys[order])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(x) for x in got], dtype=np.int64)])
         self.ids = np.concatenate([self.ids, np.fromiter((i for x in got for i in x), self.ids.dtype)])
 
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """Number of each distinct word; new ones are learned."""
+        from xxhash import xxh3_64_intdigest
+
+        keys = np.fromiter((xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+        if len(self.keys) + len(words) > CACHE_WORDS:
+            self.clear()
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        new = np.flatnonzero(self.keys[at] != keys) if len(self.keys) else np.arange(len(keys))
+        if len(new):
+            self.learn([words[i] for i in new.tolist()], keys[new])
+            at = np.searchsorted(self.keys, keys)
+        return self.number[at]
+
     def rows(self, col: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows one after the other as uint32, and where each row starts."""
         # lower-casing first is what the normaliser does anyway, except within special strings; letters and marks are
@@ -59,13 +76,7 @@ class WordEncoder:
         plain = b"<|" not in raw
         words = Words(col, lower=plain, cut_marks=plain and b"\xce\xa3" not in raw)
         index, distinct = words.encoded()
-        distinct = distinct.to_pylist()
-        if len(self.place) + len(distinct) > CACHE_WORDS:
-            self.clear()
-        place = self.place
-        if new := [w for w in distinct if w not in place]:
-            self.learn(new)
-        at = np.fromiter((place[w] for w in distinct), np.int64, len(distinct))
+        at = self.numbers(distinct.to_pylist())
         first, count = self.starts[at], np.diff(self.starts)[at] if len(at) else at
         lengths = count[index]
         per_row = row_sums(lengths, words.row_starts())
@@ -128,6 +139,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
                 cols = list(zip(*rows, strict=True)) or [[]] * 6
                 arrays = [pa.array(c, t) for c, t in zip(cols, (batch.schema.types[0], pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays[: 5 + keep_ids], ["id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + keep_ids])
+        give_back()
 
     kind = dict(docs.dtypes)[id_col]
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(pieces, f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<bigint>" * keep_ids)

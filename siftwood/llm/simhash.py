@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import EDGE_SCHEMA, connected_components, forest
-from .textkit import Words, arrow_limits, as_strings, ensure_checkpoint_dir, row_sums, spans
+from .textkit import Words, arrow_limits, as_strings, ensure_checkpoint_dir, give_back, row_sums, spans
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -65,6 +65,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             col = as_strings(batch.column(1))
             fps = [fingerprints_of(col[a:b], shingle_words) for a, b in spans(col)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(fps).view(np.int64) if fps else [], pa.int64())], ["id", "fp"])
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, fp long")
 
@@ -188,6 +189,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def join(table: pa.Table) -> pa.Table:
         parts = [np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in (("keys", np.uint32), ("fps", np.uint64), ("reps", np.int64))]
         a, b = links(*parts)
+        del parts
+        give_back()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     edges = nodes.mapInArrow(spread, "task int, keys binary, fps binary, reps binary").groupBy("task").applyInArrow(join, EDGE_SCHEMA)

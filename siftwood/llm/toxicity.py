@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import Words, arrow_limits, as_strings, ragged, row_sums, spans
+from .textkit import Words, arrow_limits, as_strings, give_back, ragged, row_sums, spans
 
 #: Most labelled rows that a model is fitted on, and most texts bytes of one of them (longer ones aren't sampled).
 MAX_LABELLED = 12_000
@@ -212,6 +212,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, train, id_col: str = "
                 out += [(marks[o], code[x:y].tobytes(), k) for o, k, x, y in zip(owner, kind, bounds[:-1], bounds[1:], strict=True)]
             cols = list(zip(*out, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int32())], ["label", "codes", "kind"])
+        give_back()
 
     got = sample.mapInArrow(run, "label int, codes binary, kind int").toArrow()
     rows_, labels_, swapped = [], [], []
@@ -244,6 +245,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, train, id_col: str = "doc_id",
             col = as_strings(batch.column(batch.num_columns - 1))
             scores = [scorer.scores(col[a:b]) for a, b in spans(col)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(scores) if scores else [], pa.float64())], [*names, "__score"])
+        give_back()
 
     return docs.select(*(F.col(c) for c in names), F.col(text_col).cast("string").alias("__t")).mapInArrow(run, fields + ", __score double").withColumnRenamed("__score", "score")
 
@@ -262,5 +264,6 @@ def accepted(docs: DataFrame, labels: DataFrame, train=None, threshold: float =
             scores = [scorer.scores(col[a:b]) for a, b in spans(col)]
             if scores:
                 yield batch.filter(pa.array(np.concatenate(scores) < threshold))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
