@@ -176,7 +176,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def spread(batches):
         for batch in batches:
-            fp, rep = batch.column(0).to_numpy().view(np.uint64), batch.column(1).fill_null(0).to_numpy()
+            fp, rep = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
             for at in range(0, len(fp), 10_000):
                 row, key = pair_keys(fp[at : at + 10_000])
                 task = ((key * 0x9E3779B1) >> 7) % tasks
@@ -193,13 +193,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         give_back()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    edges = nodes.mapInArrow(spread, "task int, keys binary, fps binary, reps binary").groupBy("task").applyInArrow(join, EDGE_SCHEMA)
+    edges = nodes.where("rep is not null").mapInArrow(spread, "task int, keys binary, fps binary, reps binary").groupBy("task").applyInArrow(join, EDGE_SCHEMA)
     groups = connected_components(edges)
     classes = nodes.join(groups, nodes.rep == groups.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(classes, "fp").select("id", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stand for their group: those whose id is the smallest of their component."""
-    kept = near_duplicates(docs, id_col, text_col).where("id = component_id").select(F.col("id").alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col] == F.col("__kept"), "left_semi")
+    """The rows of docs that stand for their group: those whose id is the smallest of their component.
+
+    Of repeated ids one row stays; rows without an id belong to no group and stay.
+    """
+    ids = near_duplicates(docs, id_col, text_col).where("id = component_id").groupBy(F.col("id").alias("__kept")).agg(F.count(F.lit(1)).alias("__rows")).checkpoint()
+    out = docs.join(ids, docs[id_col] == F.col("__kept"), "left_semi")
+    if ids.where("__rows > 1").limit(1).count():
+        out = out.dropDuplicates([id_col])
+    return out.unionByName(docs.where(F.col(id_col).isNull()))

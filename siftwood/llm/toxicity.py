@@ -24,7 +24,7 @@ MAX_LABELLED_BYTES = 40_000
 PREFIXES = (3, 4, 5, 6)
 #: Features are kept whose presence tells the labels apart at least this well (log-likelihood ratio), the best first.
 MIN_GAIN, MAX_FEATURES = 12.0, 6000
-COUNTERFACTUAL_WEIGHT, RIDGE, LASSO = 5.0, 1e-4, 1e-4
+COUNTERFACTUAL_WEIGHT, RIDGE, LASSO = 5.0, 1e-4, 3e-5
 THRESHOLD = 0.3
 
 # Identity terms by group: fixed values.

@@ -30,6 +30,8 @@ def main_dimension(rows: DataFrame) -> int:
 def matrix(col: pa.Array, dim: int) -> np.ndarray:
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
+    if not dim:
+        return np.zeros((len(col), 0))
     return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 

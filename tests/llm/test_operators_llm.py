@@ -1,0 +1,467 @@
+"""The corpus operators against brute force, on small tables."""
+
+import hashlib
+import itertools
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from siftwood.llm import ann, chat, embed_dedup, graph, langid, lm, mixing, packing, pii, queries, simhash, textkit, toxicity
+
+TOKENIZER = __import__("public_tokenizers").path("word_bpe_49k.json")
+SF01 = "/root/testdata/sf0.01"
+
+
+def low(s):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s or "")
+
+
+def words_of(s):
+    return re.findall(r"[^\x20\x09-\x0D]+", low(s))
+
+
+def documents(spark, sf):
+    return [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+
+
+# ------------------------------------------------------------------ words
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="aB é\n\t\x0b x ß.'-", max_size=30), max_size=6))
+def test_words_equal_a_pattern(texts):
+    w = textkit.Words(textkit.as_strings(pa.array([*texts, None], pa.string())))
+    index, distinct = w.encoded()
+    got = [distinct[int(i)].as_py().decode() for i in index]
+    assert got == [x for t in texts for x in words_of(t)]
+    assert w.per_row.tolist() == [len(words_of(t)) for t in texts] + [0]
+    joined, starts = w.joined()
+    assert bytes(joined).decode() == "".join(x + " " for x in got) and len(starts) == w.n + 1
+
+
+# ------------------------------------------------------------------ graph
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_components_equal_union_find(spark, seed):
+    rng = np.random.default_rng(seed)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2))] + [(i, i + 1) for i in range(200, 240)] + [(300, 300), (5, 5)]
+    parent: dict[int, int] = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        if a != b:
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    edges = spark.createDataFrame([*pairs, (None, 3)], "a long, b long").repartition(7)
+    got = {r["node"]: r["component"] for r in graph.connected_components(edges).collect()}
+    assert got == {x: find(x) for x in parent}
+    assert graph.connected_components(edges.where("false")).count() == 0
+
+
+# ------------------------------------------------------------------ simhash
+
+
+def fingerprint(text):
+    w = words_of(text)
+    shingles = [" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))] if w else []
+    hs = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def test_simhash_equals_brute_force(spark, sf):
+    rows = documents(spark, SF01)[:500]
+    want = {i: fingerprint(t) for i, t, _ in rows}
+    comp = {i: i for i in want}
+
+    def find(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(want), 2):
+        if (want[a] ^ want[b]).bit_count() <= 4:
+            x, y = find(a), find(b)
+            comp[max(x, y)] = min(x, y)
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    got = {r["id"]: (r["fp"] % (1 << 64), r["component_id"]) for r in simhash.near_duplicates(df).collect()}
+    assert got == {i: (want[i], find(i)) for i in want}
+
+
+def test_golay_keys_meet_within_two_bits():
+    rng = np.random.default_rng(3)
+    for bits in (21, 22, 23):
+        a = rng.integers(0, 1 << bits, 3000).astype(np.int32)
+        flips = np.array([sum(1 << int(i) for i in rng.choice(bits, k, replace=False)) for k in rng.integers(0, 3, 3000)], np.int32)
+        x, y = simhash.segment_keys(a, bits), simhash.segment_keys(a ^ flips, bits)
+        assert all((set(p) & set(q)) - {-1} for p, q in zip(x.tolist(), y.tolist(), strict=True))
+
+
+def test_every_pair_within_four_bits_shares_a_key():
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 1 << 63, 1500).astype(np.uint64)
+    b = a ^ np.array([sum(1 << int(i) for i in rng.choice(64, 4, replace=False)) for _ in range(1500)], np.uint64)
+    (ra, ka), (rb, kb) = simhash.pair_keys(a), simhash.pair_keys(b)
+    left, right = ([set() for _ in range(1500)] for _ in range(2))
+    for rows, keys, sets in ((ra, ka, left), (rb, kb, right)):
+        for r, k in zip(rows.tolist(), keys.tolist(), strict=True):
+            sets[r].add(k)
+    assert all(p & q for p, q in zip(left, right, strict=True))
+
+
+def test_large_buckets_are_followed_from_a_frontier():
+    rng = np.random.default_rng(5)
+    fps = (rng.integers(0, 1 << 63, 6).astype(np.uint64)[rng.integers(0, 6, 300)]) ^ (np.uint64(1) << rng.integers(0, 40, 300).astype(np.uint64))
+    ids = np.arange(300)
+    a, b = simhash.links(np.zeros(300, np.uint32), fps, ids)
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4
+    assert dict(zip(a.tolist(), b.tolist(), strict=True)) == dict(zip(*[x.tolist() for x in graph.forest(*np.nonzero(near))], strict=True))
+
+
+# ------------------------------------------------------------------ packing
+
+
+def test_pieces_equal_the_tokenizer(spark, sf):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(TOKENIZER)
+    odd = ["a.b 'tis don't x.'s <|endoftext|> ΑΣ. a.Σ! «.» 3.14abc №5", "A<|ENDOFTEXT|>b", "  x́. ÉCOLE,", "", None, "w " * 9000]
+    rows = [(i, t) for i, t, _ in documents(spark, sf)[:80]] + [(1000 + i, t) for i, t in enumerate(odd)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(packing.pack_documents(df, TOKENIZER, keep_ids=True).collect(), key=lambda r: (r["id"], r["piece"]))
+    want = []
+    for i, t in sorted(rows):
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 1]
+        want += [(i, p, a, ids[a : a + 4096]) for p, a in enumerate(range(0, len(ids), 4096))]
+    assert [(r["id"], r["piece"], r["start"], r["ids"]) for r in got] == want
+    assert all(r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes()) and r["length"] == len(r["ids"]) for r in got)
+    by = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in by.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [0, *itertools.accumulate(n for _, n in parts)][:-1] and sum(n for _, n in parts) <= 4096
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=60))
+def test_sum_of_squares_equals_a_plain_search(sizes):
+    sequence, offset = packing.sum_of_squares(np.array(sizes, np.int64), 64)
+    fill: dict[int, int] = {}
+    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+        gaps = Counter(64 - f for f in fill.values() if f < 64)
+
+        def cost(gap, s=sizes[i], gaps=gaps):
+            after = gaps.copy()
+            if gap < 64:
+                after[gap] -= 1
+            if gap > s:
+                after[gap - s] += 1
+            return sum(v * v for v in after.values())
+
+        b, at = int(sequence[i]), int(offset[i])
+        assert fill.get(b, 0) == at and at + sizes[i] <= 64
+        assert cost(64 - at) == min(cost(g) for g in {64, *(g for g in gaps if g >= sizes[i])})
+        fill[b] = at + sizes[i]
+
+
+def test_packing_is_near_the_bound(spark):
+    got = queries.op2_best_fit_packing(spark, SF01).agg(F.countDistinct("sequence_id"), F.sum("length")).first()
+    assert got[0] <= math.ceil(got[1] / 4096) * 1.02 + 2
+
+
+# ------------------------------------------------------------------ language model
+
+
+def test_elias_fano_finds_what_is_there():
+    rng = np.random.default_rng(0)
+    for n, top in ((1000, 5000), (3000, 10**9), (10, 3), (0, 1), (1, 1)):
+        v = np.unique(rng.integers(0, top, n)) if n else np.zeros(0, np.int64)
+        e = lm.EliasFano(v)
+        assert (e.values() == v).all()
+        q = rng.integers(0, top + 10, 2000)
+        at = np.searchsorted(v, q)
+        assert (e.find(q) == (np.where((at < len(v)) & (v[np.minimum(at, len(v) - 1)] == q), at, -1) if len(v) else -1)).all()
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_scores_equal_brute_force(spark, order):
+    rows = documents(spark, SF01)[:120] + [(9001, "", None), (9002, None, None), (9003, "neverseen the", None)]
+    tok = {i: [*words_of(t), "\n"] for i, t, _ in rows}
+    taught = {i for i in tok if zlib.crc32(str(i).encode()) % 7 != 2}
+    counts = [Counter() for _ in range(order)]
+    for i in taught:
+        for k in range(order):
+            counts[k].update(tuple(tok[i][j - k : j + 1]) for j in range(k, len(tok[i])))
+    n, v = sum(counts[0].values()), len(counts[0])
+
+    def p(h, w):
+        if not h:
+            return (counts[0][(w,)] + 1) / (n + v + 1)
+        c = counts[len(h) - 1][h]
+        return (counts[len(h)][(*h, w)] + lm.MASS * p(h[1:], w)) / (c + lm.MASS) if c else p(h[1:], w)
+
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2
+    got = {r["doc_id"]: r for r in lm.score(df, ~held, order=order, block_bytes=40_000, task_bytes=30_000).collect()}
+    assert set(got) == set(tok)
+    for i, t in tok.items():
+        r = got[i]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(t), sum(counts[0][(w,)] > 0 for w in t), n)
+        assert r["base_score"] == pytest.approx(sum(math.log10(p((), w)) for w in t), abs=1e-8)
+        # quantised: half a step a token at most
+        assert r["score"] == pytest.approx(sum(math.log10(p(tuple(t[max(0, j - order + 1) : j]), w)) for j, w in enumerate(t)), abs=len(t) * 1.01 / lm.QUANTUM)
+
+
+# ------------------------------------------------------------------ classifiers
+
+
+def test_toxicity_on_held_out_rows(spark):
+    scored = queries.op1_toxicity(spark, SF01).where("held_out")
+    rows = scored.join(spark.read.parquet(f"{SF01}/labels.parquet"), "doc_id").collect()
+    hit = sum(r["predicted"] == 1 and r["toxic"] == 1 for r in rows)
+    # a few hundred labels here; with thousands there are no false alarms
+    assert all(0 <= r["score"] <= 1 for r in rows) and sum(r["predicted"] and not r["toxic"] for r in rows) <= 0.03 * len(rows)
+    assert hit >= 0.5 * sum(r["toxic"] == 1 for r in rows)
+
+
+def test_counterfactual_term_takes_the_score_of_identity_terms():
+    # a corpus in which a group is mostly named by toxic rows
+    rng = np.random.default_rng(0)
+    plain = ["alpha", "beta", "gamma", "delta", "omega", "sigma"]
+    texts, labels = [], []
+    for k in range(600):
+        toxic = k % 3 == 0
+        w = list(rng.choice(plain, 8))
+        if toxic:
+            w += ["horrible"] if rng.random() < 0.7 else []
+            w += ["muslim"] if rng.random() < 0.8 else []
+        texts.append(" ".join(w))
+        labels.append(float(toxic))
+    row, code = toxicity.row_features(pa.array(texts))
+    cuts = np.searchsorted(row, np.arange(len(texts) + 1))
+    rows = [code[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    swap = toxicity.IdentitySwap()
+    pairs = []
+    for i, t in enumerate(texts):
+        for v in swap.variants(t):
+            pairs.append((i, toxicity.row_features(pa.array([v]))[1]))
+    probe = pa.array(["alpha beta muslim", "alpha beta", "alpha horrible"])
+    with_it = toxicity.fit(rows, np.array(labels), pairs).scores(probe)
+    weight, toxicity.COUNTERFACTUAL_WEIGHT = toxicity.COUNTERFACTUAL_WEIGHT, 0.0
+    try:
+        without = toxicity.fit(rows, np.array(labels), pairs).scores(probe)
+    finally:
+        toxicity.COUNTERFACTUAL_WEIGHT = weight
+    assert with_it[0] - with_it[1] < 0.6 * (without[0] - without[1]) and with_it[2] > 0.5
+
+
+def test_language_of_held_out_rows(spark):
+    rows = queries.op9_language_id(spark, SF01).join(spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.98 * len(rows) > 0
+
+
+def test_mixtures_and_texts_without_letters(spark):
+    rows = documents(spark, SF01)
+    by = {x: " ".join(t for _, t, k in rows if k == x).split()[:300] for x in ("en", "de")}
+    mixed = " ".join(by["en"] + by["de"])
+    extra = [(-1, mixed, None), (-2, "12 34 !!", None), (-3, None, "en"), (-4, "", None)]
+    df = spark.createDataFrame(rows + extra, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in langid.identify(df, F.col("doc_id") >= 0, proportions=True).where("doc_id < 0").collect()}
+    assert abs(got[-1]["proportions"]["en"] - 0.5) < 0.1 and abs(got[-1]["proportions"]["de"] - 0.5) < 0.1
+    assert [got[-k]["lang_pred"] for k in (2, 3, 4)] == ["und"] * 3 and got[-2]["score"] == 0
+
+
+# ------------------------------------------------------------------ vectors
+
+
+def vector_rows(n=400, dim=12, seed=1):
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(n, dim))
+    base[n // 2 :] = base[rng.integers(0, n // 4, n - n // 2)] + rng.normal(size=(n - n // 2, dim)) * 0.05
+    base[-5:] = base[0]
+    rows = [(i, v.astype(np.float32).tolist(), int(i % 3)) for i, v in enumerate(base)]
+    bad = [(9000, None, 1), (9001, [0.0] * dim, 1), (9002, [None, *[1.0] * (dim - 1)], 1), (9003, [float("nan"), *[1.0] * (dim - 1)], 1), (9004, [float("inf"), *[1.0] * (dim - 1)], 1), (9005, base[0].astype(np.float32).tolist(), None), (9006, [1.0, 2.0], 1)]
+    return rows, bad
+
+
+VECTORS = "vec_id long, embedding array<float>, label int"
+
+
+def test_nearest_equal_brute_force_with_recall(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST_ROWS", 20)
+    monkeypatch.setattr(ann, "PART_ROWS", 30)
+    rows, bad = vector_rows()
+    df = spark.createDataFrame(rows + bad, VECTORS)
+    got = ann.nearest(df, F.col("vec_id") % 20 == 0, k=5, sample=200).collect()
+    good = {i: np.array(v, float) for i, v, _ in [*rows, bad[5]]}
+    found = {}
+    for r in got:
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(found) == {i for i in good if i % 20 == 0}
+    hits = 0
+    for q, got_q in found.items():
+        want = sorted(((-(a := good[q]) @ b / math.sqrt(a @ a) / math.sqrt(b @ b), i) for i, b in good.items() if i != q))[:5]
+        got_q.sort()
+        assert [r for r, _, _ in got_q] == [1, 2, 3, 4, 5]
+        assert [(round(-s, 9), i) for _, i, s in got_q] == sorted((round(-s, 9), i) for _, i, s in got_q)
+        for _, i, s in got_q:
+            assert s == pytest.approx(good[q] @ good[i] / math.sqrt(good[q] @ good[q]) / math.sqrt(good[i] @ good[i]), abs=1e-12)
+        hits += len({i for _, i in want} & {i for _, i, _ in got_q})
+    assert hits >= 0.9 * 5 * len(found)
+
+
+def test_nearest_with_few_candidates(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0], 0), (1, [1.0, 1.0], 0), (2, [0.0, 1.0], 0)], VECTORS)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest(df, F.col("vec_id") == 0).collect())
+    assert got == [(0, 1, 1), (0, 2, 2)]
+
+
+def test_embedding_links_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "CELL_ROWS", 15)
+    monkeypatch.setattr(embed_dedup, "BLOCK_ROWS", 25)
+    rows, bad = vector_rows()
+    df = spark.createDataFrame(rows + bad + rows[:3], VECTORS)
+    got = {r["id"]: r for r in embed_dedup.near_duplicates(df, sample=200).collect()}
+    ids = [i for i, _, _ in rows]
+    v = np.array([x for _, x, _ in rows], float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    label = np.array([k for _, _, k in rows])
+    near = (v @ v.T >= 0.98) & (label[:, None] == label[None, :]) & ~np.eye(len(ids), dtype=bool)
+    assert near.sum() > 0 and [got[i]["n_links"] for i in ids] == near.sum(1).tolist()
+    want = dict(zip(ids, ids, strict=True)) | dict(zip(*[x.tolist() for x in graph.forest(*np.nonzero(near))], strict=True))
+    assert {i: got[i]["component_id"] for i in ids} == want
+    assert all(got[b[0]]["n_links"] == 0 and got[b[0]]["kept"] for b in bad) and len(got) == len(rows) + len(bad)
+
+
+# ------------------------------------------------------------------ chat
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.sampled_from(["user", "assistant", "system", "", "tool", "[TEXT]"]), st.lists(st.sampled_from(["[INST]", "[/INST]", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "\\", "[ROLE!]", "[TEXT]", "[/ROLE]", "a", " ", "\n", "<", "[INST!]", "é"]), max_size=8))
+def test_turns_read_back(role, parts):
+    said = "".join(parts)
+    out, a, b = chat.render_turn(role, said)
+    assert chat.parse_turn(out) == (role, said, len(out))
+    tail = chat.render_turn("user", "</s>[INST] ok [/INST]")[0]
+    assert chat.parse(out + tail) == [(role, said), ("user", "</s>[INST] ok [/INST]")]
+    assert out[a:b] in (said, chat.escape(said))
+
+
+def test_digests_of_odd_conversations(spark):
+    rows = [(1, 1, "assistant", "b"), (1, 0, "user", None), (None, None, None, "x"), (2, 0, "assistant", "é\\</s>"), (2, 0, "assistant", "a")]
+    got = {r["conv_id"]: r for r in chat.digests(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert got[1]["turns_sha256"] == sha("user\n\nassistant\nb\n") and got[1]["loss_chars"] == 1
+    assert got[2]["loss_sha256"] == sha("aé\\</s>") and got[2]["n_turns"] == 2 and got[None]["turns_sha256"] == sha("\nx\n")
+    turns = chat.format_turns(spark.createDataFrame(rows[:2], "conv_id long, turn long, role string, text string")).orderBy("seq").collect()
+    assert [r["rendered"] for r in turns] == ["[INST][/INST]", "<s>b</s>"] and turns[1]["rendered"][turns[1]["loss_start"] : turns[1]["loss_end"]] == "b"
+
+
+# ------------------------------------------------------------------ mixing
+
+
+def test_raking_meets_the_marginals():
+    rng = np.random.default_rng(0)
+    codes = [rng.integers(0, k, 60) for k in (5, 3, 2)]
+    counts = rng.integers(1, 1000, 60).astype(float)
+    targets = [np.bincount(c, counts * rng.uniform(0.9, 1.1, 60), c.max() + 1) for c in codes]
+    targets = [t / t.sum() for t in targets]
+    w = mixing.rake(counts, codes, targets)
+    for c, t in zip(codes, targets, strict=True):
+        assert np.abs(np.bincount(c, w, len(t)) - t).max() < 1e-3
+    p = mixing.calibrated(counts, w, 0.5)
+    assert (p <= 1).all() and (p * counts).sum() == pytest.approx(0.5 * counts.sum())
+
+
+def test_rounds_equal_the_driver(spark):
+    docs = spark.read.parquet(f"{SF01}/documents.parquet")
+    key = lambda df: {(r["source"], r["lang"], r["__topic"]): r["__probability"] for r in df.select("source", "lang", "__topic", "__probability").distinct().collect()}
+    assert key(mixing.mixture(docs, max_cells=3)) == pytest.approx(key(mixing.mixture(docs)), abs=0.01)
+
+
+def test_sampling_keeps_about_the_wanted_share(spark):
+    rows = queries.op5_mixing(spark, SF01).collect()
+    total = sum(r["n_tokens"] for r in rows)
+    assert sum(r["n_tokens"] * r["probability"] for r in rows) == pytest.approx(mixing.KEEP * total, rel=1e-6)
+    assert sum(r["n_tokens"] for r in rows if r["kept"]) == pytest.approx(mixing.KEEP * total, rel=0.1)
+    words = {i: max(1, len((t or "").split())) for i, t, _ in documents(spark, SF01)}
+    assert sum(r["n_tokens"] for r in rows) == pytest.approx(sum(words.values()), rel=0.02)
+
+
+# ------------------------------------------------------------------ PII
+
+
+def py_permuted(s, tweak, classes, key=pii.DEFAULT_KEY):
+    left, right = s[: len(s) // 2], s[len(s) // 2 :]
+    for i in range(1, pii.ROUNDS + 1):
+        stream = hashlib.sha256("\x1f".join([key, tweak, str(i), right]).encode()).hexdigest()
+
+        def moved(c, k, stream=stream):
+            for letters in classes:
+                if c in letters:
+                    return letters[(letters.index(c) + int(stream[(k * 3) % 60 : (k * 3) % 60 + 4], 16)) % len(letters)]
+            return c
+
+        left, right = right, "".join(moved(c, k) for k, c in enumerate(left))
+    return left + right
+
+
+def test_permutation_equals_plain_code_and_is_one_to_one(spark):
+    classes = (pii.DIGITS, pii.LOWER)
+    texts = [f"{a}{b}{c}x" for a in "0123456789" for b in "abcdefghij" for c in "0123"] + ["a" * 50 + "1", "é-", ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r[0] for r in df.orderBy("i").select(pii.permuted(F.col("t"), "k", classes)).collect()]
+    assert got == [py_permuted(t, "k", classes) for t in texts] and len(set(got)) == len(set(texts))
+
+
+PRIVATE = {
+    "email": "jane.doe_1@mail-8.example.com", "secret": "password=b7db7aa4a5fcc78305", "ip": "10.250.3.4", "phone": "+1 (988) 555-2485", "ssn": "123-45-6789",
+    "card": "4111 1111 1111 1111", "iban": "DE89 3704 0044 0532 0130 00", "name": "Frau Katharina Müller",
+}
+
+
+@pytest.mark.parametrize("kind", list(PRIVATE))
+def test_entities_get_surrogates_of_their_kind(spark, kind):
+    e = PRIVATE[kind]
+    text = f"word {e} and again {e}, end."
+    r = pii.pseudonymised(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    found = r["__entities"]
+    assert [(x["kind"], x["entity"]) for x in found] == [(kind, e)] * 2
+    s = found[0]["surrogate"]
+    assert s != e and r["text"] == text.replace(e, s) and found[1]["surrogate"] == s
+    if kind != "ip":
+        assert re.sub(r"\w", "x", s) == re.sub(r"\w", "x", e) or kind == "name"
+    assert re.fullmatch(pii.PATTERNS[kind].replace("++", "+").replace(r"\pL", r"[^\W\d_]").replace(r"\p{Lu}", r"[^\W\d_]").replace(r"\p{Ll}", r"[^\W\d_]").replace("}+", "}"), s)
+    if kind == "card":
+        digits = [int(c) for c in s if c.isdigit()]
+        assert sum(d if i % 2 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0
+    if kind == "name":
+        assert s.split()[0] == "Frau" and s.split()[1] in pii.GIVEN["latin_f"]
+
+
+def test_coreference_over_formats_and_distinctness(spark):
+    rows = [(i, f"call +1 (988) 555-{i:04d} or +1 988 555 {i:04d}, a{i}@ex{i % 7}.com, 9.9.{i % 250}.{i // 250}") for i in range(600)]
+    out = pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert pii.collisions(out).count() == 0
+    r = out.first()["__entities"]
+    assert re.sub(r"\D", "", r[0]["surrogate"]) == re.sub(r"\D", "", r[1]["surrogate"])
+
+
+def test_clean_texts_stay(spark):
+    rows = [(1, "Version 2.0. of the year 1999, 3.14 and 12345"), (2, None), (3, ""), (4, "É, ß; plain.")]
+    out = pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["text"]) for r in out] == rows and all(r["__entities"] == [] for r in out)
