@@ -36,6 +36,18 @@ def ensure_checkpoint_dir(spark) -> None:
         spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "siftwood-checkpoints"))
 
 
+def written(df):
+    """The rows as a table in the shared checkpoint folder. Unlike checkpoint() it keeps no constraints of the plan, which grow from round to round."""
+    import uuid
+
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    path = f"{shared.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def give_back() -> None:
     """At the end of a task: return freed memory to the system, as Python workers outlive their tasks."""
     import ctypes

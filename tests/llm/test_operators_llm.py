@@ -390,7 +390,7 @@ def test_raking_meets_the_marginals():
 def test_rounds_equal_the_driver(spark):
     docs = spark.read.parquet(f"{SF01}/documents.parquet")
     key = lambda df: {(r["source"], r["lang"], r["__topic"]): r["__probability"] for r in df.select("source", "lang", "__topic", "__probability").distinct().collect()}
-    assert key(mixing.mixture(docs, max_cells=3)) == pytest.approx(key(mixing.mixture(docs)), abs=0.01)
+    assert key(mixing.mixture(docs, max_cells=3)) == pytest.approx(key(mixing.mixture(docs)), abs=0.02)
 
 
 def test_sampling_keeps_about_the_wanted_share(spark):
