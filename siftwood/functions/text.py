@@ -23,6 +23,11 @@ def text(c: Text) -> Column:
     return F.coalesce(col(c), F.lit(""))
 
 
+def let(value: Column, then) -> Column:
+    """then(value) with the value worked out once a row, however often then uses it."""
+    return F.transform(F.array(value), then)[0]
+
+
 def clean(c: Text) -> Column:
     """White space runs become one blank; none at the ends."""
     return F.trim(F.regexp_replace(text(c), r"(?U)\s+", " "))
@@ -66,6 +71,8 @@ def has_any_term(c: Text, terms) -> Column:
 
 def term_hits(c: Text, terms) -> Column:
     """The terms that a normalised text holds, in their order."""
+    if isinstance(c, Column) and terms:
+        return let(c, lambda x: F.array_compact(F.array(*(F.when(has_term(x, t), F.lit(t)) for t in terms))))
     return F.array_compact(F.array(*(F.when(has_term(c, t), F.lit(t)) for t in terms))) if terms else F.array().cast("array<string>")
 
 
@@ -173,7 +180,8 @@ def shared_tokens(profile: Text, offer: Text, stop=()) -> Column:
     """Number of distinct profile tokens (three characters or more) that occur anywhere in a text; both normalised."""
     found = F.array_distinct(F.regexp_extract_all(col(profile), F.lit(r"[a-z0-9.+#-]{3,}"), 0))
     kept = F.array_except(found, F.array(*(F.lit(s) for s in stop))) if stop else found
-    return F.size(F.filter(kept, lambda t: F.contains(col(offer), t)))
+    # the text is bound first: else its normal form would be worked out for every token
+    return let(col(offer), lambda x: F.size(F.filter(kept, lambda t: F.contains(x, t))))
 
 
 def json_list(c: Text) -> Column:

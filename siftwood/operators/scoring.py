@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
-from ..functions.text import Text, col, contains_any, first_label, has_any_term, joined, keep_first, keep_first_ci, norm_key, norm_soft, pretty, shared_tokens, split_list, term_hits
+from ..functions.text import Text, col, contains_any, first_label, has_any_term, joined, keep_first, keep_first_ci, let, norm_key, norm_soft, pretty, shared_tokens, split_list, term_hits
 
 NO_TERMS = "cast(array() as array<string>)"
 
@@ -138,8 +138,7 @@ def weighted_hits(text: Text, target_terms, offer_terms) -> Column:
 
 def technologies(text: Text, known=V.TECHNOLOGIES) -> Column:
     """Names of the known technologies that a text mentions, in the dictionary's order."""
-    t = norm_key(text)
-    return F.array_compact(F.array(*(F.when(t.rlike(p), F.lit(name)) for name, p in known)))
+    return let(norm_key(text), lambda t: F.array_compact(F.array(*(F.when(t.rlike(p), F.lit(name)) for name, p in known))))
 
 
 def offer_keywords(text: Text, stop=V.TOKEN_STOPWORDS, short=V.SHORT_TOKENS) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions.dates import published
-from ..functions.text import clean, col, contains_any, norm_soft, text
+from ..functions.text import clean, col, contains_any, let, norm_soft, text
 from ..functions.urls import absolute_url, canonical_url
 from ..operators.scoring import modality
 from ..shipping import ship_package
@@ -84,15 +84,20 @@ def block_reason(html: Column | str, status: Column | None = None, has_cards: Co
 
     Widgets and challenge marks do not count where the page has listing cards.
     """
-    seen, raw = norm_soft(visible_text(html)), norm_soft(html)
     cards = F.coalesce(has_cards, F.lit(False)) if has_cards is not None else F.lit(False)
-    out = F.when(contains_any(seen, V.LOGIN_TEXTS), "login requerido detectado en el contenido")
-    out = F.when(contains_any(raw, V.CHALLENGE_MARKS) & ~cards, "cloudflare challenge embebido").otherwise(out)
     widgets = ((r"<iframe[^>]*recaptcha", "iframe recaptcha visible"), (r'class="[^"]*g-recaptcha', "widget recaptcha visible"), (r'class="[^"]*cf-turnstile|<iframe[^>]*turnstile', "turnstile visible"), (r"<form[^>]*action=[^>]*captcha", "formulario captcha visible"), (r"<input[^>]*name=[^>]*captcha", "input captcha visible"), (r'id="(?:cf-)?challenge-running"', "challenge visible"))
-    for pattern, reason in reversed(widgets):
-        out = F.when(raw.rlike(pattern) & ~cards, reason).otherwise(out)
-    for token, reason in reversed(V.BLOCK_TEXTS):
-        out = F.when(seen.contains(token), reason).otherwise(out)
+
+    def told(seen: Column, raw: Column) -> Column:
+        out = F.when(contains_any(seen, V.LOGIN_TEXTS), "login requerido detectado en el contenido")
+        out = F.when(contains_any(raw, V.CHALLENGE_MARKS) & ~cards, "cloudflare challenge embebido").otherwise(out)
+        for pattern, reason in reversed(widgets):
+            out = F.when(raw.rlike(pattern) & ~cards, reason).otherwise(out)
+        for token, reason in reversed(V.BLOCK_TEXTS):
+            out = F.when(seen.contains(token), reason).otherwise(out)
+        return out
+
+    # both forms of the page are worked out once
+    out = let(norm_soft(visible_text(html)), lambda seen: let(norm_soft(html), lambda raw: told(seen, raw)))
     if status is not None:
         out = F.when(status == 403, "status 403").when(status == 429, "status 429").otherwise(out)
     return out
