@@ -351,7 +351,8 @@ def score(docs: DataFrame, taught: Column, id_col: str = "doc_id", text_col: str
         number = table["__block"][0].as_py()
         for k, (keys, n) in enumerate(zip(block.uniques, counts, strict=True)):
             cuts = _cuts(keys, tasks)
-            rows += [(t, number, k, _pack_keys(keys[a:b]), _pack_counts(n[a:b])) for t, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+            # of words every task is asked, if for no key: its share of N and V comes with the answer
+            rows += [(t, number, k, _pack_keys(keys[a:b]), _pack_counts(n[a:b])) for t, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a or k == 0]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["task", "asker", "level", "keys", "counts"])
 
     def count(table: pa.Table) -> pa.Table:

@@ -226,6 +226,19 @@ def test_scores_equal_brute_force(spark, order):
         assert r["score"] == pytest.approx(sum(math.log10(p(tuple(t[max(0, j - order + 1) : j]), w)) for j, w in enumerate(t)), abs=len(t) * 1.01 / lm.QUANTUM)
 
 
+def test_language_model_blocks_know_the_whole_corpus(spark):
+    # far more counting tasks than a block has words: every block still needs N and V of all of them
+    texts = [f"w{i % 7} x{i}" for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    taught = [t for i, t in enumerate(texts) if i % 5]
+    words = Counter(w for t in taught for w in [*t.split(), None])
+    n, v = sum(words.values()), len(words)
+    got = lm.score(df, F.col("doc_id") % 5 != 0, block_bytes=40, task_bytes=4).collect()
+    assert len(got) == 60 and {r["train_tokens"] for r in got} == {n}
+    for r in got:
+        assert r["base_score"] == pytest.approx(sum(math.log10((words[w] + 1) / (n + v + 1)) for w in [*texts[r["doc_id"]].split(), None]))
+
+
 # ------------------------------------------------------------------ classifiers
 
 
