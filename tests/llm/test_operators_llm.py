@@ -406,6 +406,19 @@ def test_rounds_equal_the_driver(spark):
     assert key(mixing.mixture(docs, max_cells=3)) == pytest.approx(key(mixing.mixture(docs)), abs=0.02)
 
 
+def test_rounds_go_on_until_they_meet_the_targets(spark):
+    # sparse cells, whose raking converges in far more than 15 rounds; one target is given, sums to six and lacks a group
+    rng = np.random.default_rng(3)
+    cells = sorted({(f"s{s}", f"l{a}", f"t{t}") for s, a, t in zip(rng.integers(0, 12, 40), rng.integers(0, 4, 40), rng.integers(0, 5, 40), strict=True)})
+    counts = rng.integers(1, 1000, len(cells))
+    rows = spark.createDataFrame([(*c, int(n)) for c, n in zip(cells, counts, strict=True)], "__source string, __lang string, __topic string, __tokens long")
+    for targets in (None, {"lang": {"l0": 3.0, "l1": 1.0, "l2": 2.0, "elsewhere": 5.0}}):
+        got = [{tuple(r)[:3]: r for r in mixing.cell_probabilities(rows, targets, max_cells=m).collect()} for m in (3, 1000)]
+        for column in ("__weight", "__probability"):
+            few, all_at_once = ({c: r[column] for c, r in g.items()} for g in got)
+            assert few == pytest.approx(all_at_once, rel=1e-6, abs=1e-12), (targets, column)
+
+
 def test_sampling_keeps_about_the_wanted_share(spark):
     rows = queries.op5_mixing(spark, SF01).collect()
     total = sum(r["n_tokens"] for r in rows)
