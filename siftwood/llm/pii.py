@@ -11,6 +11,7 @@ names keep title, gender and script.
 from __future__ import annotations
 
 import hashlib
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -178,7 +179,10 @@ def _name(e: Column, key: str) -> Column:
     words = F.split(e.substr(F.length(head) + 1, F.length(e)), " ")
     known = _given_names(key)
     other = lambda w: _refilled(w, permuted(F.lower(w), "name", (VOWELS, CONSONANTS, ACCENTED, CYRILLIC, GREEK), key))
-    return F.concat(head, F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(known, w), other(w))), " "))
+    # another name that falls on a listed one goes on to where that one would go, so names as a whole are permuted
+    listed = [x for names in GIVEN.values() for x in names]
+    walked = lambda w: F.aggregate(F.sequence(F.lit(1), F.lit(len(listed))), other(w), lambda s, _: F.when(s.isin(listed), other(s)).otherwise(s))
+    return F.concat(head, F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(known, w), walked(w))), " "))
 
 
 def surrogate(entity: Column, kind: Column, key: str = DEFAULT_KEY) -> Column:
@@ -218,3 +222,11 @@ def collisions(replaced: DataFrame) -> DataFrame:
     canon = lambda c: F.when(F.col("kind") == "email", F.lower(c)).when(F.col("kind").isin("phone", "card", "iban", "ssn"), _core(c)).otherwise(c)
     rows = each.select("kind", canon(F.col("surrogate")).alias("surrogate"), canon(F.col("entity")).alias("entity")).distinct()
     return rows.groupBy("kind", "surrogate").agg(F.count("*").alias("entities")).where("entities > 1")
+
+
+def checked(replaced: DataFrame) -> DataFrame:
+    """replaced as it is, after a pass over all its entities that warns of the kinds in which different ones became equal."""
+    found = collisions(replaced).groupBy("kind").count().collect()
+    if found:
+        warnings.warn("equal surrogates of different entities: " + ", ".join(f"{r['kind']} {r['count']}" for r in sorted(found)), stacklevel=2)
+    return replaced

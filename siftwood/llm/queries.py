@@ -61,7 +61,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    replaced = pii.pseudonymised(read(spark, sf_dir, "documents"))
+    replaced = pii.checked(pii.pseudonymised(read(spark, sf_dir, "documents")))
     kinds = F.transform("__entities", lambda e: e["kind"])
     return replaced.select("doc_id", "text", F.size("__entities").alias("n_entities"), kinds.alias("kinds"))
 

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import re
+import warnings
 import zlib
 from collections import Counter
 
@@ -491,3 +492,16 @@ def test_clean_texts_stay(spark):
     rows = [(1, "Version 2.0. of the year 1999, 3.14 and 12345"), (2, None), (3, ""), (4, "É, ß; plain.")]
     out = pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
     assert [(r["doc_id"], r["text"]) for r in out] == rows and all(r["__entities"] == [] for r in out)
+
+
+def test_names_stay_different_and_collisions_are_noticed(spark):
+    # unlisted names whose permutation falls on a listed one, beside the listed name that goes there
+    texts = ["Mr Thomas", "Mr Lankuh", "Ms Hannah", "Ms Ibube"]
+    out = pii.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert len({r["text"] for r in out.collect()}) == 4 and pii.collisions(out).count() == 0
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        assert pii.checked(out) is out
+    merged = out.select(F.transform("__entities", lambda e: e.withField("surrogate", F.lit("Mr X"))).alias("__entities"))
+    with pytest.warns(UserWarning, match="name 1"):
+        pii.checked(merged)
