@@ -17,8 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What the patterns of entities are.
-TITLES = ("Mr", "Mrs", "Ms", "Miss", "Herr", "Frau", "Señor", "Señora", "Madame", "Mme", "Monsieur", "Господин", "Госпожа")
+TITLES = ("Mr", "Mrs", "Ms", "Miss", "Mx", "Dr", "Prof", "Professor", "Doctor", "Sir", "Herr", "Frau", "Señor", "Señora", "Madame", "Mme", "Monsieur", "Господин", "Госпожа")
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+# a name's word: parts that each begin with a capital, joined by hyphens, apostrophes or nothing (Jean-Pierre, O'Brien, McDonald)
+_WORD = r"\p{Lu}(?:\p{Ll}+|['’]\p{Lu}\p{Ll}+)(?:['’-]?\p{Lu}\p{Ll}+)*"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "secret": r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b ?[=:] ?\"?)[A-Za-z0-9+/_-]{8,}+|\bAKIA[0-9A-Z]{16}\b",
@@ -27,7 +29,7 @@ PATTERNS = {
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w.-])(?:\d{4}[ -]?){3}\d{4}(?![\w-])|(?<![\w.-])3[47]\d{2}[ -]?\d{6}[ -]?\d{5}(?![\w-])",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "name": rf"(?<!\pL)(?:{'|'.join(TITLES)})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?(?!\pL)",
+    "name": rf"(?<!\pL)(?:{'|'.join(TITLES)})\.? (?:(?:{'|'.join(TITLES)})\.? )*{_WORD}(?: {_WORD})?(?!\pL)",
 }
 FEMALE_TITLES = r"^(?:Mrs|Ms|Miss|Frau|Señora|Madame|Mme|Госпожа)"
 # Given names by script and gender; a given name is replaced by another of its list.
@@ -52,7 +54,7 @@ def _let(value: Column, then) -> Column:
 
 def may_hold(text: Column) -> Column:
     """Whether a text has what every entity has some of: a digit, an at sign, a mark after a keyword, or a title. Far cheaper than the patterns."""
-    out = text.rlike("[0-9@=:]")
+    out = text.rlike("[0-9@=:]") | text.contains("AKIA")
     for title in TITLES:
         out = out | text.contains(title)
     return out
@@ -174,11 +176,11 @@ def _given_names(key: str) -> Column:
 
 
 def _name(e: Column, key: str) -> Column:
-    # (title )(given )(family); the title is kept and with it the gender
-    head = F.regexp_extract(e, r"^(\S+ )", 1)
+    # (titles )(given )(family); the titles are kept and with it the gender
+    head = F.regexp_extract(e, rf"^((?:(?:{'|'.join(TITLES)})\.? )+)", 1)
     words = F.split(e.substr(F.length(head) + 1, F.length(e)), " ")
     known = _given_names(key)
-    other = lambda w: _refilled(w, permuted(F.lower(w), "name", (VOWELS, CONSONANTS, ACCENTED, CYRILLIC, GREEK), key))
+    other = lambda w: _refilled(w, permuted(F.lower(_core(w)), "name", (VOWELS, CONSONANTS, ACCENTED, CYRILLIC, GREEK), key))
     # another name that falls on a listed one goes on to where that one would go, so names as a whole are permuted
     listed = [x for names in GIVEN.values() for x in names]
     walked = lambda w: F.aggregate(F.sequence(F.lit(1), F.lit(len(listed))), other(w), lambda s, _: F.when(s.isin(listed), other(s)).otherwise(s))
