@@ -61,6 +61,15 @@ def give_back() -> None:
         pass
 
 
+def free_name(table, stem: str) -> str:
+    """A column name that table doesn't have, in any case."""
+    taken = {c.lower() for c in table.columns}
+    name = f"__{stem}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def read(spark, sf_dir: str, table: str):
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

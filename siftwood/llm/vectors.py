@@ -21,10 +21,9 @@ def one_per_id(table: DataFrame, id_col: str, vec_col: str, *more: str) -> DataF
     return rows.groupBy("id").agg(F.min("s").alias("s")).select("id", "s.*")
 
 
-def main_dimension(rows: DataFrame) -> int:
-    """The commonest length of vec; vectors of other lengths have no cosine with most and take no part."""
-    top = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return int(top["d"]) if top else 0
+def dimensions(rows: DataFrame) -> list[int]:
+    """The lengths of vec that occur, the commonest first; a cosine needs two vectors of one length."""
+    return [r["d"] for r in rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").collect()]
 
 
 def matrix(col: pa.Array, dim: int) -> np.ndarray:

@@ -316,11 +316,11 @@ VECTORS = "vec_id long, embedding array<float>, label int"
 
 
 def test_nearest_equal_brute_force_with_recall(spark, monkeypatch):
-    monkeypatch.setattr(ann, "LIST_ROWS", 20)
-    monkeypatch.setattr(ann, "PART_ROWS", 30)
+    monkeypatch.setattr(ann, "ASKED_ROWS", 7)
     rows, bad = vector_rows()
     df = spark.createDataFrame(rows + bad, VECTORS)
-    got = ann.nearest(df, F.col("vec_id") % 20 == 0, k=5, sample=200).collect()
+    # shards of 40 rows: lists are dealt out and meet in several shards
+    got = ann.nearest(df, F.col("vec_id") % 20 == 0, k=5, sample=200, shard_bytes=40 * 8 * len(rows[0][1]), list_rows=20).collect()
     good = {i: np.array(v, float) for i, v, _ in [*rows, bad[5]]}
     found = {}
     for r in got:
@@ -338,6 +338,33 @@ def test_nearest_equal_brute_force_with_recall(spark, monkeypatch):
     assert hits >= 0.9 * 5 * len(found)
 
 
+def test_lists_alone_reach_the_recall(spark):
+    """A sample of under a tenth of the rows: what is found is found by the lists, also where tasks split long lists themselves."""
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(60, 24))
+    v = centers[rng.integers(0, 60, 6000)] + rng.normal(size=(6000, 24)) * 0.6
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = u[::50] @ u.T
+    near[np.arange(120), np.arange(0, 6000, 50)] = -2
+    want = np.argsort(-near, axis=1)[:, :5]
+    for sample, list_rows in ((500, 100), (64, 100)):  # 31 lists; 4 lists of some 1500 rows, split by their tasks
+        index = ann.ListIndex(u[:sample], 6000, 120, 5, list_rows=list_rows)
+        assert len(index.centroids) == sample // 16
+        got = {}
+        for r in ann.nearest(df, F.col("vec_id") % 50 == 0, k=5, sample=sample, shard_bytes=1000 * 8 * 24, list_rows=list_rows).collect():
+            got.setdefault(r["query_id"], set()).add(r["vec_id"])
+        assert sum(len(got[50 * i] & set(w)) for i, w in enumerate(want.tolist())) >= 0.9 * 5 * len(want)
+
+
+def test_vectors_of_each_length_among_themselves(spark):
+    rows = [(0, [1.0, 0.0], 1), (1, [1.0, 0.01], 1), (2, [0.0, 1.0], 1), (3, [1.0, 0.0, 0.0], 1), (4, [1.0, 0.0, 0.01], 1)]
+    df = spark.createDataFrame(rows, VECTORS)
+    assert {r["id"]: r["component_id"] for r in embed_dedup.near_duplicates(df).collect()} == {0: 0, 1: 0, 2: 2, 3: 3, 4: 3}
+    near = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest(df, F.col("vec_id") % 3 == 0).collect())
+    assert near == [(0, 1, 1), (0, 2, 2), (3, 1, 4)]
+
+
 def test_nearest_with_few_candidates(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], 0), (1, [1.0, 1.0], 0), (2, [0.0, 1.0], 0)], VECTORS)
     got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest(df, F.col("vec_id") == 0).collect())
@@ -346,8 +373,8 @@ def test_nearest_with_few_candidates(spark):
 
 def test_embedding_links_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(embed_dedup, "CELL_ROWS", 15)
-    monkeypatch.setattr(embed_dedup, "BLOCK_ROWS", 25)
     rows, bad = vector_rows()
+    monkeypatch.setattr(embed_dedup, "BLOCK_BYTES", 25 * 8 * len(rows[0][1]))
     df = spark.createDataFrame(rows + bad + rows[:3], VECTORS)
     got = {r["id"]: r for r in embed_dedup.near_duplicates(df, sample=200).collect()}
     ids = [i for i, _, _ in rows]
