@@ -1,65 +1,81 @@
 """N-gram language-model scoring over Elias-Fano tries.
 
-Texts are dealt to blocks of bounded size. A block sends its distinct n-grams with their training counts, as sorted hash
-keys packed into one row per counting task; a counting task adds up the counts of all blocks and sends each block
-the totals of the keys it asked for. The block then builds its trie: one level per order, successors of a
-context kept as differences from a running base so that the whole level is one rising sequence in Elias-Fano code,
-with a rising sequence of pointers and quantised probabilities, in memory-mapped files. Scoring looks contexts up level by
-level by successor search. All counts cover all training texts; nothing is gathered on the driver, and a frequent
-word costs one key per block.
+Texts are read once, in blocks of bounded size. A block keeps its tokens as numbers and asks for its distinct
+n-grams: one row per counting task, with 64-bit keys and training counts. A key's high bits say the context, its low bits
+the successor; tasks share out the range of successors, so a frequent context is spread over all of them and a
+frequent n-gram costs one key a block. Every task adds up the counts of all blocks and builds its partition of the
+model: a trie with a level per order, whose contexts point by a rising sequence to ranges of successors, which
+are kept as differences from a running base, so that each level is a few rising sequences in Elias-Fano code beside
+quantised frequencies and back-off weights. The partitions are written to the shared checkpoint folder; nothing is gathered
+on the driver but N and V. To score, a task lays its partition into one anonymous memory map, finds each context, reads
+the range that its pointers give and searches the successor inside that range alone.
 
 Smoothing: p(w) = (c(w) + 1) / (N + V + 1); p(w | h) = (c(h w) + M p(w | h')) / (c(h) + M), h' without its first word;
-an order counts only where c(h) > 0. The first word of a text has no context.
+an order counts only where c(h) > 0. The first word of a text has no context. For orders from two c(h w) and
+M / (c(h) + M) are the trie's quantised values.
 """
 
 from __future__ import annotations
 
+import dataclasses
+import json
 import math
-import os
-import tempfile
+import mmap
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import Words, arrow_limits, as_strings, row_sums
+from .textkit import Words, arrow_limits, as_strings, give_back, row_sums, written
 
 ORDER = 2
 MASS = 8.0
 BLOCK_BYTES = 4 << 20
-TASK_BYTES = 8 << 20
-#: Steps of a quantised log10 probability; 16 bits cover 0 to -64.
-QUANTUM = 1024
-END_KEY = np.uint64(0x9E3779B97F4A7C15)
+TASK_BYTES = 16 << 20
+#: Steps of a quantised log10; code 0 stands for what is not there, and 16 bits reach 10 ** 31.
+QUANTUM = 2048
+#: Low bits of a key that say the successor; the others say the context.
+SUCCESSOR_BITS = 36
+_SUCCESSOR = np.uint64((1 << SUCCESSOR_BITS) - 1)
+END_KEY = np.uint64(0x9E3779B97F4A7C15 >> 1)
 
 
 # ---------------------------------------------------------------- Elias-Fano
 
 
 class EliasFano:
-    """A rising sequence of integers: low bits packed, high bits in unary with counts per 64-bit word."""
-
-    def __init__(self, values: np.ndarray, folder: str | None = None):
-        values = np.asarray(values, np.uint64)
-        self.n = len(values)
-        self.top = int(values[-1]) + 1 if self.n else 1
-        self.low_bits = max(0, (self.top // max(1, self.n)).bit_length() - 1)
-        high = (values >> np.uint64(self.low_bits)).astype(np.int64)
-        bits = np.zeros(((self.n + (self.top >> self.low_bits) + 64) // 64 + 1) * 64, np.uint8)
-        bits[high + np.arange(self.n)] = 1
-        self.words = _mapped(np.packbits(bits, bitorder="little").view(np.uint64), folder)
-        zeros = 64 - np.bitwise_count(self.words).astype(np.int64)
-        self.zeros = np.concatenate([[0], np.cumsum(zeros)])
-        self.low = _mapped(_pack(values & np.uint64((1 << self.low_bits) - 1), self.low_bits), folder)
-
-    def _select0(self, k: np.ndarray) -> np.ndarray:
-        """Place of the k-th zero (from 0) of the high bits."""
-        word = np.searchsorted(self.zeros, k, "right") - 1
-        left = (k - self.zeros[word]).astype(np.uint64)
-        rest, at = ~self.words[word], np.zeros(len(k), np.uint64)
-        for width in (32, 16, 8, 4, 2, 1):  # halve the word towards the wanted zero
+    """A sequence of integers that never falls: low bits packed, high bits in unary."""
+
+    def __init__(self, values: np.ndarray | None, parts: tuple | None = None):
+        if parts is None:
+            values = np.asarray(values, np.uint64)
+            self.n = len(values)
+            self.top = int(values[-1]) + 1 if self.n else 1
+            self.low_bits = max(0, (self.top // max(1, self.n)).bit_length() - 1)
+            high = (values >> np.uint64(self.low_bits)).astype(np.int64)
+            bits = np.zeros(((self.n + (self.top >> self.low_bits) + 64) // 64 + 1) * 64, np.uint8)
+            bits[high + np.arange(self.n)] = 1
+            self.words = np.packbits(bits, bitorder="little").view(np.uint64)
+            self.low = _pack(values & np.uint64((1 << self.low_bits) - 1), self.low_bits)
+        else:
+            self.n, self.top, self.low_bits, self.words, self.low = parts
+        ones = np.bitwise_count(self.words).astype(np.int64)
+        self.ones = np.concatenate([[0], np.cumsum(ones)])
+        self.zeros = np.concatenate([[0], np.cumsum(64 - ones)])
+
+    def parts(self) -> tuple:
+        return self.n, self.top, self.low_bits, self.words, self.low
+
+    def _select(self, k: np.ndarray, zero: bool) -> np.ndarray:
+        """Place of the k-th zero or one (from 0) of the high bits."""
+        sums = self.zeros if zero else self.ones
+        word = np.searchsorted(sums, k, "right") - 1
+        left = (k - sums[word]).astype(np.uint64)
+        rest, at = ~self.words[word] if zero else self.words[word], np.zeros(len(k), np.uint64)
+        for width in (32, 16, 8, 4, 2, 1):  # halve the word towards the wanted bit
             w = np.uint64(width)
             count = np.bitwise_count((rest >> at) & np.uint64((1 << width) - 1)).astype(np.uint64)
             skip = count <= left
@@ -67,14 +83,14 @@ class EliasFano:
             at = np.where(skip, at + w, at)
         return word * 64 + at.astype(np.int64)
 
-    def bucket(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First index with at least these high bits, and the first with more."""
-        end = self._select0(high) - high
-        start = np.where(high > 0, self._select0(np.maximum(high - 1, 0)) - (high - 1), 0)
-        return np.where(high > 0, start, 0), end
+    def get(self, i: np.ndarray) -> np.ndarray:
+        """The values at places i."""
+        i = np.asarray(i, np.int64)
+        high = (self._select(i, False) - i).astype(np.uint64)
+        return (high << np.uint64(self.low_bits)) | _unpack(self.low, i, self.low_bits)
 
     def find(self, wanted: np.ndarray) -> np.ndarray:
-        """Index of each wanted value, by the successor in its bucket; -1: not there."""
+        """Place of each wanted value, by the successor in its bucket; -1: not there."""
         wanted = np.asarray(wanted, np.uint64)
         out = np.full(len(wanted), -1, np.int64)
         if not self.n:
@@ -82,12 +98,11 @@ class EliasFano:
         live = np.flatnonzero(wanted < self.top)
         high = (wanted[live] >> np.uint64(self.low_bits)).astype(np.int64)
         low = wanted[live] & np.uint64((1 << self.low_bits) - 1)
-        at, end = self.bucket(high)
+        end = self._select(high, True) - high
+        at = np.where(high > 0, self._select(np.maximum(high - 1, 0), True) - (high - 1), 0)
         while len(live):
             some = at < end
             live, at, end, low = live[some], at[some], end[some], low[some]
-            if not len(live):
-                break
             here = _unpack(self.low, at, self.low_bits)
             hit = here == low
             out[live[hit]] = at[hit]
@@ -95,22 +110,23 @@ class EliasFano:
             live, at, end, low = live[go], at[go] + 1, end[go], low[go]
         return out
 
-    def values(self) -> np.ndarray:
-        bits = np.unpackbits(np.asarray(self.words).view(np.uint8), bitorder="little")
-        high = np.flatnonzero(bits) - np.arange(self.n)
-        return (high.astype(np.uint64) << np.uint64(self.low_bits)) | _unpack(self.low, np.arange(self.n), self.low_bits)
-
+    def find_in(self, wanted: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Place of each wanted value between lo and hi (without it), by halving that range; -1: not there."""
+        wanted, lo, hi = np.asarray(wanted, np.uint64), lo.copy(), hi.copy()
+        out = np.full(len(wanted), -1, np.int64)
+        live = np.flatnonzero(lo < hi)
+        while len(live):
+            mid = (lo[live] + hi[live]) >> 1
+            here = self.get(mid)
+            hit, less = here == wanted[live], here < wanted[live]
+            out[live[hit]] = mid[hit]
+            lo[live[less]] = mid[less] + 1
+            hi[live[~less]] = mid[~less]
+            live = live[~hit & (lo[live] < hi[live])]
+        return out
 
-def _mapped(a: np.ndarray, folder: str | None) -> np.ndarray:
-    """The array in a memory-mapped file that is gone once it is closed."""
-    if folder is None or not len(a):
-        return a
-    fd, path = tempfile.mkstemp(dir=folder)
-    os.close(fd)
-    m = np.memmap(path, a.dtype, "w+", shape=a.shape)
-    m[:] = a
-    os.unlink(path)
-    return m
+    def values(self) -> np.ndarray:
+        return self.get(np.arange(self.n)) if self.n else np.zeros(0, np.uint64)
 
 
 def _pack(values: np.ndarray, bits: int) -> np.ndarray:
@@ -137,41 +153,108 @@ def _unpack(packed: np.ndarray, index: np.ndarray, bits: int) -> np.ndarray:
 # ---------------------------------------------------------------- trie
 
 
-class Trie:
-    """Quantised probabilities of n-grams.
+def frequency_code(counts: np.ndarray) -> np.ndarray:
+    return np.where(counts > 0, 1 + np.rint(np.log10(np.maximum(counts, 1)) * QUANTUM), 0).astype(np.uint16)
 
-    levels: per order from two, (context node, word, log10 probability) sorted by context and word; a context node
-    is a row of the level below. Words are numbers below vocabulary.
-    """
 
-    def __init__(self, vocabulary: int, unigrams: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        with tempfile.TemporaryDirectory() as folder:
-            self.tables = [_mapped(quantised(unigrams), folder)]
-            self.pointers: list[EliasFano] = []
-            self.successors: list[EliasFano] = []
-            below = vocabulary
-            for context, word, logp in levels:
-                counts = np.bincount(context, minlength=below)
-                self.pointers.append(EliasFano(np.concatenate([[0], np.cumsum(counts)]), folder))
-                # each context's words start where the last one's ended, so the level only rises
-                self.successors.append(EliasFano(word.astype(np.uint64) + context.astype(np.uint64) * np.uint64(vocabulary), folder))
-                self.tables.append(_mapped(quantised(logp), folder))
-                below = len(word)
-        self.vocabulary = vocabulary
+def backoff_code(counts: np.ndarray, mass: float) -> np.ndarray:
+    """Of contexts that were seen so often: -log10 of mass / (count + mass)."""
+    return np.where(counts > 0, 1 + np.rint(np.log10((counts + mass) / mass) * QUANTUM), 0).astype(np.uint16)
+
 
-    def child(self, level: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Row in the level (0: pairs) of each context's successor, -1 without one."""
-        found = np.full(len(word), -1, np.int64)
-        ok = (context >= 0) & (word >= 0)
-        found[ok] = self.successors[level].find(context[ok].astype(np.uint64) * np.uint64(self.vocabulary) + word[ok].astype(np.uint64))
-        return found
+class Level:
+    """N-grams of one order in a partition: contexts, pointers to ranges of successors, and the successors in order."""
 
-    def log10(self, order: int, rows: np.ndarray) -> np.ndarray:
-        return -self.tables[order - 1][rows].astype(np.float64) / QUANTUM
+    def __init__(self, contexts: EliasFano, pointers: EliasFano, successors: EliasFano, start: int):
+        self.contexts, self.pointers, self.successors, self.start = contexts, pointers, successors, start
 
+    @classmethod
+    def of(cls, keys: np.ndarray, start: int) -> Level:
+        """keys: rising and distinct; start: the least successor of the partition."""
+        context = keys >> np.uint64(SUCCESSOR_BITS)
+        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        successor = (keys & _SUCCESSOR) - np.uint64(start)
+        # each context's successors start where the last one's ended, so the level never falls
+        last = successor[np.append(first[1:], len(keys)) - 1] if len(keys) else successor
+        base = np.concatenate([[0], np.cumsum(last)[:-1]]).astype(np.uint64) if len(keys) else successor
+        rising = successor + np.repeat(base, np.diff(np.append(first, len(keys))))
+        return cls(EliasFano(context[first]), EliasFano(np.append(first, len(keys))), EliasFano(rising), start)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key's n-gram: its context, the range of its successors, the successor in that range; -1: not there."""
+        out = np.full(len(keys), -1, np.int64)
+        context = self.contexts.find(keys >> np.uint64(SUCCESSOR_BITS))
+        live = np.flatnonzero(context >= 0)
+        lo, hi = (self.pointers.get(context[live] + d).astype(np.int64) for d in (0, 1))
+        base = np.zeros(len(live), np.uint64)
+        base[lo > 0] = self.successors.get(lo[lo > 0] - 1)
+        out[live] = self.successors.find_in((keys[live] & _SUCCESSOR) - np.uint64(self.start) + base, lo, hi)
+        return out
 
-def quantised(logp: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(-logp * QUANTUM), 0, 65535).astype(np.uint16)
+
+class Trie:
+    """A partition of the model. words: all words' keys in its range, with exact counts; levels: orders from two."""
+
+    def __init__(self, words: EliasFano, counts: np.ndarray, levels: list[Level], codes: list[np.ndarray], backoffs: list[np.ndarray], low: int):
+        """codes: of each level's n-grams; backoffs: of words, then of each level's n-grams but the last's; low: the least word key."""
+        self.words, self.counts, self.levels, self.codes, self.backoffs, self.low = words, counts, levels, codes, backoffs, low
+
+    @classmethod
+    def of(cls, grams: list[tuple[np.ndarray, np.ndarray]], low: int, start: int, mass: float = MASS) -> Trie:
+        """grams: per order the rising keys and their counts, all above zero."""
+        (words, counts), rest = grams[0], grams[1:]
+        codes = [frequency_code(c) for _, c in rest]
+        backoffs = [backoff_code(c, mass) for _, c in grams[:-1]]
+        return cls(EliasFano(words - np.uint64(low)), counts, [Level.of(k, start) for k, _ in rest], codes, backoffs, low)
+
+    def ask(self, keys: list[np.ndarray]) -> list[np.ndarray]:
+        """Of each order's keys: the counts of words, then the frequency codes; and the back-off codes of all orders but the last."""
+        at = [self.words.find(keys[0] - np.uint64(self.low)), *(level.find(k) for level, k in zip(self.levels, keys[1:], strict=True))]
+        taken = lambda table, i: np.where(i >= 0, table[np.maximum(i, 0)], 0) if len(table) else np.zeros(len(i), table.dtype)
+        values = [taken(t, i).astype(t.dtype) for t, i in zip([self.counts, *self.codes], at, strict=True)]
+        return values + [taken(t, i).astype(t.dtype) for t, i in zip(self.backoffs, at, strict=False)]
+
+    def dump(self) -> bytes:
+        """One blob: a header, then every array as it lies in memory."""
+        arrays: list[np.ndarray] = []
+
+        def put(a: np.ndarray) -> list:
+            arrays.append(np.ascontiguousarray(a))
+            return [a.dtype.str, len(a)]
+
+        def sequence(e: EliasFano) -> list:
+            return [e.n, str(e.top), e.low_bits, put(e.words), put(e.low)]
+
+        head = {"words": sequence(self.words), "counts": put(self.counts), "low": str(self.low)}
+        head["levels"] = [[*(sequence(e) for e in (v.contexts, v.pointers, v.successors)), v.start] for v in self.levels]
+        head |= {"codes": [put(c) for c in self.codes], "backoffs": [put(b) for b in self.backoffs]}
+        text = json.dumps(head).encode()
+        out = bytearray(len(text).to_bytes(8, "little") + text)
+        for a in arrays:
+            out += b"\0" * (-len(out) % 8) + a.tobytes()
+        return bytes(out)
+
+    @classmethod
+    def load(cls, blob: bytes) -> Trie:
+        """The blob in an anonymous memory map, whose parts the levels are views of."""
+        held = mmap.mmap(-1, max(1, len(blob)))
+        held.write(blob)
+        at = 8 + int.from_bytes(blob[:8], "little")
+        head = json.loads(blob[8:at])
+
+        def take(told: list) -> np.ndarray:
+            nonlocal at
+            at += -at % 8
+            a = np.frombuffer(held, told[0], told[1], at) if told[1] else np.zeros(0, told[0])
+            at += a.nbytes
+            return a
+
+        def sequence(told: list) -> EliasFano:
+            return EliasFano(None, (told[0], int(told[1]), told[2], take(told[3]), take(told[4])))
+
+        words, counts = sequence(head["words"]), take(head["counts"])
+        levels = [Level(*(sequence(e) for e in v[:3]), v[3]) for v in head["levels"]]
+        return cls(words, counts, levels, [take(c) for c in head["codes"]], [take(b) for b in head["backoffs"]], int(head["low"]))
 
 
 # ---------------------------------------------------------------- n-grams of a block
@@ -184,146 +267,286 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return h * np.uint64(0x94D049BB133111EB) ^ (h >> np.uint64(27))
 
 
+def _task_of_words(keys: np.ndarray, tasks: int) -> np.ndarray:
+    return ((keys >> np.uint64(31)) * np.uint64(tasks) >> np.uint64(32)).astype(np.int64)
+
+
+def _task_of_successors(keys: np.ndarray, tasks: int) -> np.ndarray:
+    return (((keys & _SUCCESSOR) >> np.uint64(SUCCESSOR_BITS - 32)) * np.uint64(tasks) >> np.uint64(32)).astype(np.int64)
+
+
+def _least(task: int, tasks: int, bits: int) -> int:
+    """The least key of so many bits that falls to a task by its highest 32."""
+    return -(-(task << 32) // tasks) << (bits - 32)
+
+
 class Block:
-    """Token keys of a block's texts (words, then one end each) and its distinct n-grams, in a fixed order."""
+    """The tokens of some texts (words, then one end each) as places among the distinct ones' keys, the commonest first."""
+
+    def __init__(self, keys: np.ndarray, tokens: np.ndarray, n: np.ndarray):
+        self.keys, self.tokens, self.n = keys, tokens, n
 
-    def __init__(self, col: pa.Array, order: int):
+    @classmethod
+    def of(cls, col: pa.Array) -> Block:
         from xxhash import xxh3_64_intdigest
 
         words = Words(col)
         index, distinct = words.encoded()
-        keys = np.fromiter((xxh3_64_intdigest(w) for w in distinct.to_pylist()), np.uint64, len(distinct))
+        keys = np.fromiter((xxh3_64_intdigest(w) for w in distinct.to_pylist()), np.uint64, len(distinct)) >> np.uint64(1)
+        keys, place = np.unique(np.append(keys, END_KEY), return_inverse=True)
         n = words.per_row + 1
-        self.starts = np.concatenate([[0], np.cumsum(n)])
-        tokens = np.full(self.starts[-1], END_KEY, np.uint64)
-        tokens[np.arange(words.n) + np.repeat(np.arange(len(n)), words.per_row)] = keys[index]
-        self.n = n
-        self.uniques: list[np.ndarray] = []
-        self.coded: list[np.ndarray] = []
-        self.places: list[np.ndarray] = []
-        grams = tokens
-        place = np.arange(len(tokens))
-        first = np.zeros(len(tokens), bool)
-        first[self.starts[:-1]] = True
-        for k in range(order):
-            if k:
-                # the n-gram that ends at a token goes on from the one that ended at the token before
-                inner = ~first[place]
-                place = place[inner]
-                grams = _mix(grams[np.flatnonzero(inner) - 1], tokens[place])
-                first_k = np.zeros(len(tokens), bool)
-                starts = self.starts[:-1] + k
-                first_k[starts[starts < self.starts[1:]]] = True
-                first = first_k
-            u, c = np.unique(grams, return_inverse=True)
-            self.uniques.append(u)
-            self.coded.append(c)
-            self.places.append(place)
-
-    def counts(self, taught: np.ndarray) -> list[np.ndarray]:
-        """Of each distinct n-gram, its number in the rows that teach."""
-        row = np.repeat(taught, self.n)
-        return [np.bincount(c, row[p], len(u)).astype(np.uint32) for u, c, p in zip(self.uniques, self.coded, self.places, strict=True)]
+        tokens = np.full(int(n.sum()), place[-1])
+        tokens[np.arange(words.n) + np.repeat(np.arange(len(n)), words.per_row)] = place[:-1][index]
+        order = np.argsort(-np.bincount(tokens, minlength=len(keys)), kind="stable")
+        rank = np.empty(len(keys), np.int64)
+        rank[order] = np.arange(len(keys))
+        return cls(keys[order], rank[tokens], n)
+
+    def dump(self) -> bytes:
+        kind = np.uint16 if len(self.keys) < 1 << 16 else np.uint32
+        parts = [_planes(self.keys), _planes(self.tokens.astype(kind)), _planes(self.n.astype(np.uint32))]
+        return b"".join(len(p).to_bytes(8, "little") + p for p in (bytes([np.dtype(kind).itemsize]), *parts))
+
+    @classmethod
+    def load(cls, blob: bytes) -> Block:
+        parts, at = [], 0
+        while at < len(blob):
+            size = int.from_bytes(blob[at : at + 8], "little")
+            parts.append(blob[at + 8 : at + 8 + size])
+            at += 8 + size
+        return cls(_unplanes(parts[1], np.uint64), _unplanes(parts[2], np.uint16 if parts[0][0] == 2 else np.uint32).astype(np.int64), _unplanes(parts[3], np.uint32).astype(np.int64))
+
+    def starts(self) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(self.n)])
+
+    def grams(self, order: int, tasks: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per order: the distinct keys by task and then value, the tasks' cuts, the key of each n-gram, and the place of its last token."""
+        starts = self.starts()
+        turn = np.argsort(self.keys)
+        inverse = np.empty(len(turn), np.int64)
+        inverse[turn] = np.arange(len(turn))
+        u = self.keys[turn]
+        out = [(u, np.searchsorted(_task_of_words(u, tasks), np.arange(tasks + 1)), inverse[self.tokens], np.arange(len(self.tokens)))]
+        token = self.keys[self.tokens]
+        gram, place = token << np.uint64(1), out[0][3]
+        # tokens into the text that an n-gram's last one is
+        into = place - np.repeat(starts[:-1], self.n)
+        for k in range(1, order):
+            inner = into[place] >= k
+            before = gram[np.flatnonzero(inner) - 1]
+            place = place[inner]
+            gram = _mix(before, token[place])
+            key = (before >> np.uint64(SUCCESSOR_BITS) << np.uint64(SUCCESSOR_BITS)) | (gram >> np.uint64(64 - SUCCESSOR_BITS))
+            u, c = np.unique(key, return_inverse=True)
+            task = _task_of_successors(u, tasks)
+            turn = np.argsort(task, kind="stable")
+            inverse = np.empty(len(turn), np.int64)
+            inverse[turn] = np.arange(len(turn))
+            out.append((u[turn], np.searchsorted(task[turn], np.arange(tasks + 1)), inverse[c], place))
+        return out
 
 
-def _pack_keys(keys: np.ndarray) -> bytes:
-    """Rising 64-bit keys: high halves as differences, compressed, then the low halves as they are."""
+def _planes(a: np.ndarray) -> bytes:
+    """The lowest bytes of all numbers, then the next ones, and so on, compressed."""
     import zstandard
 
-    high = np.diff(keys >> np.uint64(32), prepend=np.uint64(0)).astype(np.uint32)
-    head = zstandard.ZstdCompressor(level=1).compress(high.view(np.uint8).reshape(-1, 4).T.tobytes())
-    return len(keys).to_bytes(4, "little") + len(head).to_bytes(4, "little") + head + (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes())
 
 
-def _unpack_keys(blob: bytes) -> np.ndarray:
+def _unplanes(blob: bytes, kind) -> np.ndarray:
     import zstandard
 
-    n, m = int.from_bytes(blob[:4], "little"), int.from_bytes(blob[4:8], "little")
-    high = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8 : 8 + m]), np.uint8).reshape(4, n).T.copy().view(np.uint32).ravel()
-    return (np.cumsum(high.astype(np.uint64)) << np.uint64(32)) | np.frombuffer(blob, np.uint32, n, 8 + m)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    return raw.reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
 
 
-def _pack_counts(counts: np.ndarray) -> bytes:
-    import zstandard
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Rising 64-bit keys: high halves as differences, compressed, then the low halves as they are."""
+    high = np.diff(keys >> np.uint64(32), prepend=np.uint64(0)).astype(np.uint32)
+    head = _planes(high)
+    return len(head).to_bytes(4, "little") + head + (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(counts, np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes())
 
+def _unpack_keys(blob: bytes) -> np.ndarray:
+    m = 4 + int.from_bytes(blob[:4], "little")
+    return (np.cumsum(_unplanes(blob[4:m], np.uint32).astype(np.uint64)) << np.uint64(32)) | np.frombuffer(blob, np.uint32, offset=m)
+
+
+def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, and the sums of their counts in 64 bits."""
+    every, n = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
+    order = np.argsort(every, kind="stable")
+    every = every[order]
+    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
+    return every[first], np.add.reduceat(n[order], first) if len(every) else n
+
+
+def _rated(block: Block, order: int, tasks: int, found: list[np.ndarray], n_all: int, v_all: int, mass: float) -> tuple[np.ndarray, ...]:
+    """(known tokens, base score, model score) per row; found: as Trie.ask gives it, for the block's keys in their order."""
+    grams, starts = block.grams(order, tasks), block.starts()
+    counts = found[0][grams[0][2]]
+    p = (counts + 1.0) / (n_all + v_all + 1)
+    base = np.log10(p)
+    node = grams[0][2]
+    for k in range(1, order):
+        _, _, code, place = grams[k]
+        # the context is the n-gram of the order below that ends one token earlier
+        back, freq = found[order + k - 1][node[place - 1]], found[k][code]
+        share = np.where(freq > 0, 10 ** ((freq.astype(float) - 1) / QUANTUM), 0.0) / mass + p[place]
+        rated = p.copy()
+        # rounded steps must not add up to more than one
+        rated[place] = np.where(back > 0, np.minimum(share * 10 ** -((back.astype(float) - 1) / QUANTUM), 1.0), p[place])
+        p = rated
+        node = np.full(len(p), -1)
+        node[place] = code
+    return row_sums((counts > 0).astype(np.int64), starts), row_sums(base, starts), row_sums(np.log10(p), starts)
+
+
+# ---------------------------------------------------------------- on tables
+
+_BLOCKS = "task int, block long, keys array<binary>, counts array<binary>, body binary"
+
+
+def _blocks(docs: DataFrame, taught: Column, kept: list[str], text_col: str, order: int, tasks: int, block_bytes: int) -> DataFrame:
+    """A row per block and task that it asks, and one (task -1) with its tokens and the columns kept of its rows; written once."""
+    names = [f"c{i}" for i in range(len(kept))]
+    texts = docs.select(*(F.col(c).alias(n) for c, n in zip(kept, names, strict=True)), F.coalesce(taught, F.lit(False)).alias("taught"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+
+    def run(batches):
+        made = 0
+
+        def out(pieces: list[pa.RecordBatch]) -> pa.RecordBatch:
+            nonlocal made
+            table = pa.Table.from_batches(pieces).combine_chunks()
+            block = Block.of(as_strings(table["t"]))
+            row = np.repeat(table["taught"].to_numpy().astype(float), block.n)
+            number, cols = (TaskContext.get().partitionId() << 32) + made, [[], [], []]
+            made += 1
+            grams = block.grams(order, tasks)
+            counts = [np.bincount(code, row[place], len(u)).astype(np.uint32) for u, _, code, place in grams]
+            for t in range(tasks):
+                if any(cuts[t + 1] > cuts[t] for _, cuts, _, _ in grams):
+                    cols[0].append(t)
+                    cols[1].append([_pack_keys(u[cuts[t] : cuts[t + 1]]) for u, cuts, _, _ in grams])
+                    cols[2].append([_planes(c[cuts[t] : cuts[t + 1]]) for c, (_, cuts, _, _) in zip(counts, grams, strict=True)])
+            m = len(cols[0])
+            structs = pa.StructArray.from_arrays([table[c].combine_chunks() if isinstance(table[c], pa.ChunkedArray) else table[c] for c in names], fields=[table.schema.field(c) for c in names])
+            rows = pa.ListArray.from_arrays(pa.array([0] * (m + 1) + [len(structs)], pa.int32()), structs)
+            blobs = pa.list_(pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([*cols[0], -1], pa.int32()), pa.array([number] * (m + 1), pa.int64()), pa.array([*cols[1], None], blobs), pa.array([*cols[2], None], blobs), pa.array([None] * m + [block.dump()], pa.binary()), rows], ["task", "block", "keys", "counts", "body", "rows"])
+
+        pieces, size = [], 0
+        for batch in batches:
+            lengths = np.diff(np.concatenate([[0], np.cumsum(pc.binary_length(as_strings(batch.column(batch.num_columns - 1))).to_numpy(zero_copy_only=False) + 1)]))
+            start = 0
+            for i, n in enumerate(lengths.tolist()):
+                if size and size + n > block_bytes:
+                    if i > start:
+                        pieces.append(batch.slice(start, i - start))
+                    yield out(pieces)
+                    pieces, size, start = [], 0, i
+                size += n
+            if batch.num_rows > start:
+                pieces.append(batch.slice(start))
+        if pieces:
+            yield out(pieces)
+        give_back()
+
+    fields = ", ".join(f"{n}: {dict(docs.dtypes)[c]}" for c, n in zip(kept, names, strict=True))
+    return written(texts.mapInArrow(run, f"{_BLOCKS}, rows array<struct<{fields}>>"))
+
+
+@dataclasses.dataclass(frozen=True)
+class Model:
+    """partitions (task, n, v, trie): a written table; order, tasks and mass that it was built with; tokens and distinct tokens of training."""
+
+    partitions: DataFrame
+    order: int
+    tasks: int
+    mass: float
+    n: int
+    v: int
+
+
+def _asks(blocks: DataFrame) -> DataFrame:
+    return blocks.where("task >= 0").select("task", "block", "keys", "counts")
+
+
+def _built(blocks: DataFrame, order: int, tasks: int, mass: float) -> Model:
+    def build(table: pa.Table) -> pa.Table:
+        task = table["task"][0].as_py()
+        keys, counts = table["keys"].to_pylist(), table["counts"].to_pylist()
+        grams = []
+        for k in range(order):
+            u, n = merged([_unpack_keys(row[k]) for row in keys], [_unplanes(row[k], np.uint32) for row in counts])
+            grams.append((u[n > 0], n[n > 0]))
+        trie = Trie.of(grams, _least(task, tasks, 63), _least(task, tasks, SUCCESSOR_BITS), mass).dump()
+        give_back()
+        return pa.table({"task": pa.array([task], pa.int32()), "n": pa.array([int(grams[0][1].sum())], pa.int64()), "v": pa.array([len(grams[0][0])], pa.int64()), "trie": pa.array([trie], pa.binary())})
+
+    partitions = written(_asks(blocks).groupBy("task").applyInArrow(build, "task int, n long, v long, trie binary"))
+    n, v = partitions.agg(F.sum("n"), F.sum("v")).first()
+    return Model(partitions, order, tasks, mass, n or 0, v or 0)
+
+
+def _scored(blocks: DataFrame, model: Model, kept: list[str]) -> DataFrame:
+    order, tasks, mass, n_all, v_all = model.order, model.tasks, model.mass, model.n, model.v
+    names = [f"c{i}" for i in range(len(kept))]
+    kinds = [np.int64, *[np.uint16] * (2 * (order - 1))]
+
+    def answer(asked: pa.Table, partition: pa.Table) -> pa.Table:
+        keys = asked["keys"].to_pylist()
+        if not keys:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int32(), pa.list_(pa.binary()))], ["block", "task", "found"])
+        sent = [[_unpack_keys(row[k]) for row in keys] for k in range(order)]
+        u, at = zip(*(np.unique(np.concatenate(s), return_inverse=True) for s in sent), strict=True)
+        if partition.num_rows:
+            found = Trie.load(partition["trie"][0].as_py()).ask(list(u))
+        else:
+            found = [np.zeros(len(u[k if k < order else k - order]), kind) for k, kind in enumerate(kinds)]
+        out = [[] for _ in keys]
+        for k, values in enumerate(found):
+            level = k if k < order else k - order
+            ends = np.cumsum([len(s) for s in sent[level]])
+            for i, part in enumerate(np.split(values[at[level]], ends[:-1])):
+                out[i].append(_planes(part))
+        give_back()
+        return pa.table({"block": asked["block"], "task": asked["task"], "found": pa.array(out, pa.list_(pa.binary()))})
+
+    def rate(body: pa.Table, answers: pa.Table) -> pa.Table:
+        block = Block.load(body["body"][0].as_py())
+        answers = answers.sort_by("task")["found"].to_pylist()
+        found = [np.concatenate([_unplanes(row[k], kind) for row in answers]) for k, kind in enumerate(kinds)]
+        known, base, scores = _rated(block, order, tasks, found, n_all, v_all, mass)
+        rows = body["rows"].combine_chunks().flatten()
+        cols = [*(rows.field(i) for i in range(len(names))), pa.array(block.n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(known), n_all), pa.int64()), pa.array(base), pa.array(scores)]
+        return pa.table(cols, [*names, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    fields = dict(zip(names, [f.dataType.simpleString() for f in blocks.schema["rows"].dataType.elementType.fields], strict=True))
+    answered = _asks(blocks).select("task", "block", "keys").groupBy("task").cogroup(model.partitions.select("task", "trie").groupBy("task")).applyInArrow(answer, "block long, task int, found array<binary>")
+    bodies = blocks.where("task < 0").select("block", "body", "rows")
+    schema = ", ".join(f"{n} {t}" for n, t in fields.items()) + ", n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    rated = bodies.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(rate, schema)
+    return rated.select(*(F.col(n).alias(c) for c, n in zip(kept, names, strict=True)), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def _tasks(docs: DataFrame, text_col: str, task_bytes: int) -> int:
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")) + 1)).first()[0] or 0
+    return max(1, math.ceil(size / task_bytes))
 
-def _unpack_counts(blob: bytes) -> np.ndarray:
-    import zstandard
 
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    return raw.reshape(4, -1).T.copy().view(np.uint32).ravel() if len(raw) else np.zeros(0, np.uint32)
-
-
-def _cuts(keys: np.ndarray, tasks: int) -> np.ndarray:
-    """Bounds of the sorted keys' share of each counting task (tasks split the range of keys evenly)."""
-    bounds = (np.arange(1, tasks, dtype=object) * (1 << 64) // tasks).astype(np.uint64) if tasks > 1 else np.zeros(0, np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]]).astype(np.int64)
-
-
-def _score(block: Block, totals: list[np.ndarray], n_all: int, v_all: int, mass: float) -> tuple[np.ndarray, ...]:
-    """(known tokens, base score, model score) per row from the training counts of the block's n-grams."""
-    order = len(totals)
-    uni = totals[0].astype(np.float64)
-    base = np.log10((uni + 1) / (n_all + v_all + 1))
-    token = block.coded[0]
-    starts = block.starts
-    known = row_sums((uni[token] > 0).astype(np.int64), starts)
-    base_score = row_sums(base[token], starts)
-    # levels of the trie: n-grams seen in training, children of the n-gram without their last word
-    prob = 10**base
-    rows_of: list[np.ndarray] = [np.arange(len(uni))]
-    levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    lower = prob[token]
-    counts_below, node = uni, token.copy()
-    for k in range(1, order):
-        u, c, p = block.uniques[k], block.coded[k], block.places[k]
-        total = totals[k].astype(np.float64)
-        some = np.zeros(len(u), np.int64)
-        some[c] = np.arange(len(p))  # one occurrence of each distinct n-gram
-        place = p[some]
-        context, word = node[place - 1], token[place]
-        seen = np.flatnonzero((total > 0) & (context >= 0))
-        turn = np.lexsort((word[seen], context[seen]))
-        seen = seen[turn]
-        ctx = context[seen]
-        p_low = lower[place[seen]]
-        value = (total[seen] + mass * p_low) / (counts_below[ctx] + mass)
-        levels.append((ctx, word[seen], np.log10(value)))
-        # the nodes of this level at each token, and its probability there
-        at = np.full(len(u), -1, np.int64)
-        at[seen] = np.arange(len(seen))
-        new_node = np.full(len(token), -1, np.int64)
-        new_node[p] = at[c]
-        backed = lower.copy()
-        has = np.zeros(len(token), bool)
-        prev = node[p - 1]
-        has[p] = (prev >= 0) & (counts_below[np.maximum(prev, 0)] > 0)
-        backed[has] = lower[has] * mass / (counts_below[node[np.flatnonzero(has) - 1]] + mass)
-        hit = new_node >= 0
-        backed[hit] = value[new_node[hit]]
-        rows_of.append(seen)
-        lower, node, counts_below = backed, new_node, total[seen]
-    trie = Trie(max(1, len(uni)), base, levels)
-    # score from the trie alone: longest match, else the back-off of the context
-    logp = trie.log10(1, token)
-    node = token.copy()
-    counts_below = uni
-    for k in range(1, order):
-        p = block.places[k]
-        ctx = node[p - 1]
-        u, c = block.uniques[k], block.coded[k]
-        some = np.zeros(len(u), np.int64)
-        some[c] = np.arange(len(p))
-        child = trie.child(k - 1, ctx[some], token[p[some]])[c]
-        back = np.where(ctx >= 0, np.log10(mass / (counts_below[np.maximum(ctx, 0)] + mass)), 0.0)
-        step = np.where(child >= 0, trie.log10(k + 1, np.maximum(child, 0)) if len(levels[k - 1][0]) else 0.0, logp[p] + back)
-        logp[p] = step
-        node = np.full(len(token), -1, np.int64)
-        node[p] = child
-        counts_below = totals[k].astype(np.float64)[rows_of[k]] if len(rows_of[k]) else np.zeros(1)
-    return known, base_score, row_sums(logp, starts)
+def train(docs: DataFrame, text_col: str = "text", order: int = ORDER, mass: float = MASS, block_bytes: int = BLOCK_BYTES, task_bytes: int = TASK_BYTES) -> Model:
+    """A model of all rows of docs (null text: empty), written to the shared checkpoint folder. An empty table teaches nothing."""
+    arrow_limits(docs.sparkSession)
+    tasks = _tasks(docs, text_col, task_bytes)
+    return _built(_blocks(docs, F.lit(True), [], text_col, order, tasks, block_bytes), order, tasks, mass)
+
+
+def apply(model: Model, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """score() by a model that is there already, of any texts."""
+    arrow_limits(docs.sparkSession)
+    kept = [c for c in docs.columns if c == id_col or c in carry]
+    return _scored(_blocks(docs, F.lit(False), kept, text_col, model.order, model.tasks, block_bytes), model, kept)
 
 
 def score(docs: DataFrame, taught: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, mass: float = MASS, block_bytes: int = BLOCK_BYTES, task_bytes: int = TASK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -331,64 +554,11 @@ def score(docs: DataFrame, taught: Column, id_col: str = "doc_id", text_col: str
 
     taught: a condition on docs that says which rows teach. Null and empty texts are one end token. Rows with
     equal ids are scored each. Nothing taught: every token is unknown. An empty table gives no rows; scores are log10
-    probabilities of whole texts. Words are told apart by 64-bit hashes.
+    probabilities of whole texts. Words are told apart by 63-bit hashes, n-grams by 64-bit ones; other columns are ignored,
+    whatever their names.
     """
     arrow_limits(docs.sparkSession)
-    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")) + 1)).first()[0] or 0
-    blocks, tasks = max(1, math.ceil(size / block_bytes)), max(1, math.ceil(size / task_bytes))
+    tasks = _tasks(docs, text_col, task_bytes)
     kept = [c for c in docs.columns if c == id_col or c in carry]
-    fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c in kept)
-    # a row's block follows from its id and its length, so that repeated ids spread a little
-    where = F.pmod(F.xxhash64(F.col(id_col), F.length(text_col)), F.lit(blocks)).cast("int")
-    texts = docs.select(*kept, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__t"), F.coalesce(taught, F.lit(False)).alias("__taught"), where.alias("__block"))
-    dealt = texts.repartition(max(1, blocks // 4), "__block")
-
-    def ask(table: pa.Table) -> pa.Table:
-        # n-grams are sorted by key, so the order of a block's rows doesn't matter
-        block = Block(as_strings(table["__t"]), order)
-        counts = block.counts(table["__taught"].to_numpy().astype(np.float64))
-        rows = []
-        number = table["__block"][0].as_py()
-        for k, (keys, n) in enumerate(zip(block.uniques, counts, strict=True)):
-            cuts = _cuts(keys, tasks)
-            # of words every task is asked, if for no key: its share of N and V comes with the answer
-            rows += [(t, number, k, _pack_keys(keys[a:b]), _pack_counts(n[a:b])) for t, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a or k == 0]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["task", "asker", "level", "keys", "counts"])
-
-    def count(table: pa.Table) -> pa.Table:
-        levels, askers = table["level"].to_numpy(), table["asker"].to_numpy()
-        keys = [_unpack_keys(b) for b in table["keys"].to_pylist()]
-        counts = [_unpack_counts(b) for b in table["counts"].to_pylist()]
-        out: list[tuple] = []
-        for k in range(order):
-            rows = np.flatnonzero(levels == k)
-            if not len(rows):
-                continue
-            u, c = np.unique(np.concatenate([keys[i] for i in rows]), return_inverse=True)
-            sums = np.bincount(c, np.concatenate([counts[i] for i in rows]), len(u)).astype(np.uint32)
-            total, distinct = (int(sums.sum()), int((sums > 0).sum())) if k == 0 else (0, 0)
-            at = 0
-            for i in rows:
-                out.append((int(askers[i]), int(table["task"][0].as_py()), k, _pack_counts(sums[c[at : at + len(keys[i])]]), total, distinct))
-                at += len(keys[i])
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["a_block", "task", "level", "totals", "n", "v"])
-
-    def rate(table: pa.Table, answers: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return pa.table([pa.array([], t) for t in out_types], out_names)
-        # n-grams are sorted by key, so the order of a block's rows doesn't matter
-        block = Block(as_strings(table["__t"]), order)
-        answers = answers.sort_by([("level", "ascending"), ("task", "ascending")])
-        levels, parts = answers["level"].to_numpy(), answers["totals"].to_pylist()
-        totals = [np.concatenate([_unpack_counts(parts[i]) for i in np.flatnonzero(levels == k)] or [np.zeros(0, np.uint32)]) for k in range(order)]
-        first = answers.filter(pc.equal(answers["level"], 0))
-        n_all, v_all = sum(first["n"].to_pylist()), sum(first["v"].to_pylist())
-        known, base, model = _score(block, totals, n_all, v_all, mass)
-        cols = [*(table[c] for c in kept), pa.array(block.n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(known), n_all), pa.int64()), pa.array(base), pa.array(model)]
-        return pa.table(cols, out_names)
-
-    out_names = [*kept, "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    out_types = [pa.null()] * len(kept) + [pa.int64()] * 3 + [pa.float64()] * 2
-    asked = dealt.groupBy("__block").applyInArrow(ask, "task int, asker int, level int, keys binary, counts binary")
-    answered = asked.groupBy("task").applyInArrow(count, "a_block int, task int, level int, totals binary, n long, v long")
-    return dealt.groupBy("__block").cogroup(answered.groupBy("a_block")).applyInArrow(rate, fields + ", n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    blocks = _blocks(docs, taught, kept, text_col, order, tasks, block_bytes)
+    return _scored(blocks, _built(blocks, order, tasks, mass), kept)
