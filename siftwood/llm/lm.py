@@ -1,7 +1,7 @@
 """N-gram language-model scoring over Elias-Fano tries.
 
-Texts are read once, in blocks of bounded size. A block keeps its tokens as numbers and asks for its distinct
-n-grams: one row per counting task, with 64-bit keys and training counts. A key's high bits say the context, its low bits
+Texts are read once, in blocks of bounded size, which keep their tokens as numbers and are written. A block asks for its
+distinct n-grams: one row per counting task, with keys and training counts. A key's high bits say the context, its low bits
 the successor; tasks share out the range of successors, so a frequent context is spread over all of them and a
 frequent n-gram costs one key a block. Every task adds up the counts of all blocks and builds its partition of the
 model: a trie with a level per order, whose contexts point by a rising sequence to ranges of successors, which
@@ -34,11 +34,11 @@ from .textkit import Words, arrow_limits, as_strings, give_back, row_sums, writt
 ORDER = 2
 MASS = 8.0
 BLOCK_BYTES = 4 << 20
-TASK_BYTES = 16 << 20
+TASK_BYTES = 8 << 20
 #: Steps of a quantised log10; code 0 stands for what is not there, and 16 bits reach 10 ** 31.
 QUANTUM = 2048
-#: Low bits of a key that say the successor; the others say the context.
-SUCCESSOR_BITS = 36
+#: Low bits of an n-gram's key that say the successor, and the bits above that say the context: 56 in all.
+SUCCESSOR_BITS, CONTEXT_BITS = 32, 24
 _SUCCESSOR = np.uint64((1 << SUCCESSOR_BITS) - 1)
 END_KEY = np.uint64(0x9E3779B97F4A7C15 >> 1)
 
@@ -283,11 +283,12 @@ def _least(task: int, tasks: int, bits: int) -> int:
 class Block:
     """The tokens of some texts (words, then one end each) as places among the distinct ones' keys, the commonest first."""
 
-    def __init__(self, keys: np.ndarray, tokens: np.ndarray, n: np.ndarray):
-        self.keys, self.tokens, self.n = keys, tokens, n
+    def __init__(self, keys: np.ndarray, tokens: np.ndarray, n: np.ndarray, taught: np.ndarray):
+        """n: tokens of each text; taught: whether it teaches."""
+        self.keys, self.tokens, self.n, self.taught = keys, tokens, n, taught
 
     @classmethod
-    def of(cls, col: pa.Array) -> Block:
+    def of(cls, col: pa.Array, taught: np.ndarray) -> Block:
         from xxhash import xxh3_64_intdigest
 
         words = Words(col)
@@ -300,11 +301,11 @@ class Block:
         order = np.argsort(-np.bincount(tokens, minlength=len(keys)), kind="stable")
         rank = np.empty(len(keys), np.int64)
         rank[order] = np.arange(len(keys))
-        return cls(keys[order], rank[tokens], n)
+        return cls(keys[order], rank[tokens], n, taught)
 
     def dump(self) -> bytes:
         kind = np.uint16 if len(self.keys) < 1 << 16 else np.uint32
-        parts = [_planes(self.keys), _planes(self.tokens.astype(kind)), _planes(self.n.astype(np.uint32))]
+        parts = [_planes(self.keys), _planes(self.tokens.astype(kind)), _planes(self.n.astype(np.uint32)), _planes(self.taught.astype(np.uint8))]
         return b"".join(len(p).to_bytes(8, "little") + p for p in (bytes([np.dtype(kind).itemsize]), *parts))
 
     @classmethod
@@ -314,7 +315,7 @@ class Block:
             size = int.from_bytes(blob[at : at + 8], "little")
             parts.append(blob[at + 8 : at + 8 + size])
             at += 8 + size
-        return cls(_unplanes(parts[1], np.uint64), _unplanes(parts[2], np.uint16 if parts[0][0] == 2 else np.uint32).astype(np.int64), _unplanes(parts[3], np.uint32).astype(np.int64))
+        return cls(_unplanes(parts[1], np.uint64), _unplanes(parts[2], np.uint16 if parts[0][0] == 2 else np.uint32).astype(np.int64), _unplanes(parts[3], np.uint32).astype(np.int64), _unplanes(parts[4], np.uint8) > 0)
 
     def starts(self) -> np.ndarray:
         return np.concatenate([[0], np.cumsum(self.n)])
@@ -336,7 +337,7 @@ class Block:
             before = gram[np.flatnonzero(inner) - 1]
             place = place[inner]
             gram = _mix(before, token[place])
-            key = (before >> np.uint64(SUCCESSOR_BITS) << np.uint64(SUCCESSOR_BITS)) | (gram >> np.uint64(64 - SUCCESSOR_BITS))
+            key = (before >> np.uint64(64 - CONTEXT_BITS) << np.uint64(SUCCESSOR_BITS)) | (gram >> np.uint64(64 - SUCCESSOR_BITS))
             u, c = np.unique(key, return_inverse=True)
             task = _task_of_successors(u, tasks)
             turn = np.argsort(task, kind="stable")
@@ -404,11 +405,11 @@ def _rated(block: Block, order: int, tasks: int, found: list[np.ndarray], n_all:
 
 # ---------------------------------------------------------------- on tables
 
-_BLOCKS = "task int, block long, keys array<binary>, counts array<binary>, body binary"
+_NONE = {"task": pa.int32(), "block": pa.int64(), "n": pa.int64(), "v": pa.int64(), "trie": pa.binary(), "found": pa.list_(pa.binary())}
 
 
-def _blocks(docs: DataFrame, taught: Column, kept: list[str], text_col: str, order: int, tasks: int, block_bytes: int) -> DataFrame:
-    """A row per block and task that it asks, and one (task -1) with its tokens and the columns kept of its rows; written once."""
+def _blocks(docs: DataFrame, taught: Column, kept: list[str], text_col: str, block_bytes: int) -> DataFrame:
+    """(block, body, rows): the tokens of each block and the columns kept of its rows; written once."""
     names = [f"c{i}" for i in range(len(kept))]
     texts = docs.select(*(F.col(c).alias(n) for c, n in zip(kept, names, strict=True)), F.coalesce(taught, F.lit(False)).alias("taught"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
 
@@ -418,42 +419,30 @@ def _blocks(docs: DataFrame, taught: Column, kept: list[str], text_col: str, ord
         def out(pieces: list[pa.RecordBatch]) -> pa.RecordBatch:
             nonlocal made
             table = pa.Table.from_batches(pieces).combine_chunks()
-            block = Block.of(as_strings(table["t"]))
-            row = np.repeat(table["taught"].to_numpy().astype(float), block.n)
-            number, cols = (TaskContext.get().partitionId() << 32) + made, [[], [], []]
-            made += 1
-            grams = block.grams(order, tasks)
-            counts = [np.bincount(code, row[place], len(u)).astype(np.uint32) for u, _, code, place in grams]
-            for t in range(tasks):
-                if any(cuts[t + 1] > cuts[t] for _, cuts, _, _ in grams):
-                    cols[0].append(t)
-                    cols[1].append([_pack_keys(u[cuts[t] : cuts[t + 1]]) for u, cuts, _, _ in grams])
-                    cols[2].append([_planes(c[cuts[t] : cuts[t + 1]]) for c, (_, cuts, _, _) in zip(counts, grams, strict=True)])
-            m = len(cols[0])
-            structs = pa.StructArray.from_arrays([table[c].combine_chunks() if isinstance(table[c], pa.ChunkedArray) else table[c] for c in names], fields=[table.schema.field(c) for c in names])
-            rows = pa.ListArray.from_arrays(pa.array([0] * (m + 1) + [len(structs)], pa.int32()), structs)
-            blobs = pa.list_(pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array([*cols[0], -1], pa.int32()), pa.array([number] * (m + 1), pa.int64()), pa.array([*cols[1], None], blobs), pa.array([*cols[2], None], blobs), pa.array([None] * m + [block.dump()], pa.binary()), rows], ["task", "block", "keys", "counts", "body", "rows"])
+            body = Block.of(as_strings(table["t"]), table["taught"].to_numpy()).dump()
+            structs = pa.StructArray.from_arrays([table[c].combine_chunks() for c in ("taught", *names)], fields=[table.schema.field(c) for c in ("taught", *names)])
+            rows = pa.ListArray.from_arrays(pa.array([0, len(structs)], pa.int32()), structs)
+            number, made = (TaskContext.get().partitionId() << 32) + made, made + 1
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([body], pa.binary()), rows], ["block", "body", "rows"])
 
         pieces, size = [], 0
         for batch in batches:
-            lengths = np.diff(np.concatenate([[0], np.cumsum(pc.binary_length(as_strings(batch.column(batch.num_columns - 1))).to_numpy(zero_copy_only=False) + 1)]))
             start = 0
-            for i, n in enumerate(lengths.tolist()):
+            for i, n in enumerate(pc.binary_length(as_strings(batch.column(batch.num_columns - 1))).to_pylist()):
                 if size and size + n > block_bytes:
                     if i > start:
                         pieces.append(batch.slice(start, i - start))
                     yield out(pieces)
                     pieces, size, start = [], 0, i
-                size += n
+                size += n + 1
             if batch.num_rows > start:
                 pieces.append(batch.slice(start))
         if pieces:
             yield out(pieces)
         give_back()
 
-    fields = ", ".join(f"{n}: {dict(docs.dtypes)[c]}" for c, n in zip(kept, names, strict=True))
-    return written(texts.mapInArrow(run, f"{_BLOCKS}, rows array<struct<{fields}>>"))
+    fields = "".join(f", {n}: {dict(docs.dtypes)[c]}" for c, n in zip(kept, names, strict=True))
+    return written(texts.mapInArrow(run, f"block long, body binary, rows array<struct<taught: boolean{fields}>>"))
 
 
 @dataclasses.dataclass(frozen=True)
@@ -468,65 +457,92 @@ class Model:
     v: int
 
 
-def _asks(blocks: DataFrame) -> DataFrame:
-    return blocks.where("task >= 0").select("task", "block", "keys", "counts")
+def _asks(blocks: DataFrame, order: int, tasks: int) -> DataFrame:
+    """A row per block and task that it asks: per order the keys, and how often the block's teaching texts have them."""
 
+    def run(batches):
+        for batch in batches:
+            for number, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                block = Block.load(body)
+                row = np.repeat(block.taught.astype(float), block.n)
+                grams = block.grams(order, tasks)
+                counts = [np.bincount(code, row[place], len(u)).astype(np.uint32) for u, _, code, place in grams]
+                cols: list[list] = [[], [], []]
+                for t in range(tasks):
+                    if any(cuts[t + 1] > cuts[t] for _, cuts, _, _ in grams):
+                        cols[0].append(t)
+                        cols[1].append([_pack_keys(u[cuts[t] : cuts[t + 1]]) for u, cuts, _, _ in grams])
+                        cols[2].append([_planes(c[cuts[t] : cuts[t + 1]]) for c, (_, cuts, _, _) in zip(counts, grams, strict=True)])
+                blobs = pa.list_(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array([number] * len(cols[0]), pa.int64()), pa.array(cols[1], blobs), pa.array(cols[2], blobs)], ["task", "block", "keys", "counts"])
+        give_back()
+
+    return blocks.select("block", "body").mapInArrow(run, "task int, block long, keys array<binary>, counts array<binary>")
+
+
+def _kinds(order: int) -> list:
+    return [np.int64, *[np.uint16] * (2 * (order - 1))]
+
+
+def _answers(trie: Trie | None, order: int, sent: list[list[np.ndarray]]) -> list[list[bytes]]:
+    """What the trie knows of each asking block's keys."""
+    u, at = zip(*(np.unique(np.concatenate(s), return_inverse=True) for s in sent), strict=True)
+    level = [k if k < order else k - order for k in range(2 * order - 1)]
+    found = trie.ask(list(u)) if trie else [np.zeros(len(u[i]), kind) for i, kind in zip(level, _kinds(order), strict=True)]
+    out: list[list[bytes]] = [[] for _ in sent[0]]
+    for i, values in zip(level, found, strict=True):
+        ends = np.cumsum([len(s) for s in sent[i]])
+        for row, part in zip(out, np.split(values[at[i]], ends[:-1]), strict=True):
+            row.append(_planes(part))
+    return out
+
+
+def _table(**cols) -> pa.Table:
+    n = len(next(iter(cols.values())))
+    return pa.table({c: pa.array(cols.get(c, [None] * n), t) for c, t in _NONE.items()})
+
+
+def _counted(blocks: DataFrame, order: int, tasks: int, mass: float, answer: bool) -> tuple[DataFrame, Model]:
+    """(block, task, found) for the blocks' own n-grams, if answer, and the model: each task builds its trie and answers from it."""
 
-def _built(blocks: DataFrame, order: int, tasks: int, mass: float) -> Model:
     def build(table: pa.Table) -> pa.Table:
         task = table["task"][0].as_py()
         keys, counts = table["keys"].to_pylist(), table["counts"].to_pylist()
+        sent = [[_unpack_keys(row[k]) for row in keys] for k in range(order)]
         grams = []
         for k in range(order):
-            u, n = merged([_unpack_keys(row[k]) for row in keys], [_unplanes(row[k], np.uint32) for row in counts])
+            u, n = merged(sent[k], [_unplanes(row[k], np.uint32) for row in counts])
             grams.append((u[n > 0], n[n > 0]))
-        trie = Trie.of(grams, _least(task, tasks, 63), _least(task, tasks, SUCCESSOR_BITS), mass).dump()
+        blob = Trie.of(grams, _least(task, tasks, 63), _least(task, tasks, SUCCESSOR_BITS), mass).dump()
+        out = [_table(task=[task], n=[int(grams[0][1].sum())], v=[len(grams[0][0])], trie=[blob])]
+        del grams, counts, keys
+        if answer:
+            out.append(_table(task=[task] * table.num_rows, block=table["block"].to_pylist(), found=_answers(Trie.load(blob), order, sent)))
+        del sent
         give_back()
-        return pa.table({"task": pa.array([task], pa.int32()), "n": pa.array([int(grams[0][1].sum())], pa.int64()), "v": pa.array([len(grams[0][0])], pa.int64()), "trie": pa.array([trie], pa.binary())})
+        return pa.concat_tables(out)
 
-    partitions = written(_asks(blocks).groupBy("task").applyInArrow(build, "task int, n long, v long, trie binary"))
+    made = written(_asks(blocks, order, tasks).groupBy("task").applyInArrow(build, "task int, block long, n long, v long, trie binary, found array<binary>"))
+    partitions = made.where("block is null").select("task", "n", "v", "trie")
     n, v = partitions.agg(F.sum("n"), F.sum("v")).first()
-    return Model(partitions, order, tasks, mass, n or 0, v or 0)
+    return made.where("block is not null").select("block", "task", "found"), Model(partitions, order, tasks, mass, n or 0, v or 0)
 
 
-def _scored(blocks: DataFrame, model: Model, kept: list[str]) -> DataFrame:
+def _rates(blocks: DataFrame, answers: DataFrame, model: Model, kept: list[str]) -> DataFrame:
     order, tasks, mass, n_all, v_all = model.order, model.tasks, model.mass, model.n, model.v
     names = [f"c{i}" for i in range(len(kept))]
-    kinds = [np.int64, *[np.uint16] * (2 * (order - 1))]
 
-    def answer(asked: pa.Table, partition: pa.Table) -> pa.Table:
-        keys = asked["keys"].to_pylist()
-        if not keys:
-            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int32(), pa.list_(pa.binary()))], ["block", "task", "found"])
-        sent = [[_unpack_keys(row[k]) for row in keys] for k in range(order)]
-        u, at = zip(*(np.unique(np.concatenate(s), return_inverse=True) for s in sent), strict=True)
-        if partition.num_rows:
-            found = Trie.load(partition["trie"][0].as_py()).ask(list(u))
-        else:
-            found = [np.zeros(len(u[k if k < order else k - order]), kind) for k, kind in enumerate(kinds)]
-        out = [[] for _ in keys]
-        for k, values in enumerate(found):
-            level = k if k < order else k - order
-            ends = np.cumsum([len(s) for s in sent[level]])
-            for i, part in enumerate(np.split(values[at[level]], ends[:-1])):
-                out[i].append(_planes(part))
-        give_back()
-        return pa.table({"block": asked["block"], "task": asked["task"], "found": pa.array(out, pa.list_(pa.binary()))})
-
-    def rate(body: pa.Table, answers: pa.Table) -> pa.Table:
+    def rate(body: pa.Table, found: pa.Table) -> pa.Table:
         block = Block.load(body["body"][0].as_py())
-        answers = answers.sort_by("task")["found"].to_pylist()
-        found = [np.concatenate([_unplanes(row[k], kind) for row in answers]) for k, kind in enumerate(kinds)]
-        known, base, scores = _rated(block, order, tasks, found, n_all, v_all, mass)
+        told = found.sort_by("task")["found"].to_pylist()
+        every = [np.concatenate([_unplanes(row[k], kind) for row in told]) for k, kind in enumerate(_kinds(order))]
+        known, base, scores = _rated(block, order, tasks, every, n_all, v_all, mass)
         rows = body["rows"].combine_chunks().flatten()
-        cols = [*(rows.field(i) for i in range(len(names))), pa.array(block.n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(known), n_all), pa.int64()), pa.array(base), pa.array(scores)]
+        cols = [*(rows.field(n) for n in names), pa.array(block.n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(known), n_all), pa.int64()), pa.array(base), pa.array(scores)]
         return pa.table(cols, [*names, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    fields = dict(zip(names, [f.dataType.simpleString() for f in blocks.schema["rows"].dataType.elementType.fields], strict=True))
-    answered = _asks(blocks).select("task", "block", "keys").groupBy("task").cogroup(model.partitions.select("task", "trie").groupBy("task")).applyInArrow(answer, "block long, task int, found array<binary>")
-    bodies = blocks.where("task < 0").select("block", "body", "rows")
-    schema = ", ".join(f"{n} {t}" for n, t in fields.items()) + ", n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    rated = bodies.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(rate, schema)
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in blocks.schema["rows"].dataType.elementType.fields[1:])
+    rated = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(rate, fields + "n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return rated.select(*(F.col(n).alias(c) for c, n in zip(kept, names, strict=True)), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
@@ -539,14 +555,25 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER, mass: flo
     """A model of all rows of docs (null text: empty), written to the shared checkpoint folder. An empty table teaches nothing."""
     arrow_limits(docs.sparkSession)
     tasks = _tasks(docs, text_col, task_bytes)
-    return _built(_blocks(docs, F.lit(True), [], text_col, order, tasks, block_bytes), order, tasks, mass)
+    return _counted(_blocks(docs, F.lit(True), [], text_col, block_bytes), order, tasks, mass, False)[1]
 
 
 def apply(model: Model, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
     """score() by a model that is there already, of any texts."""
     arrow_limits(docs.sparkSession)
     kept = [c for c in docs.columns if c == id_col or c in carry]
-    return _scored(_blocks(docs, F.lit(False), kept, text_col, model.order, model.tasks, block_bytes), model, kept)
+    blocks, order = _blocks(docs, F.lit(False), kept, text_col, block_bytes), model.order
+
+    def answer(asked: pa.Table, partition: pa.Table) -> pa.Table:
+        keys = asked["keys"].to_pylist()
+        if not keys:
+            return _table(block=[]).select(["block", "task", "found"])
+        trie = Trie.load(partition["trie"][0].as_py()) if partition.num_rows else None
+        return _table(task=asked["task"].to_pylist(), block=asked["block"].to_pylist(), found=_answers(trie, order, [[_unpack_keys(row[k]) for row in keys] for k in range(order)])).select(["block", "task", "found"])
+
+    asked = _asks(blocks, order, model.tasks).select("task", "block", "keys").groupBy("task")
+    answers = asked.cogroup(model.partitions.select("task", "trie").groupBy("task")).applyInArrow(answer, "block long, task int, found array<binary>")
+    return _rates(blocks, answers, model, kept)
 
 
 def score(docs: DataFrame, taught: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, mass: float = MASS, block_bytes: int = BLOCK_BYTES, task_bytes: int = TASK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -554,11 +581,12 @@ def score(docs: DataFrame, taught: Column, id_col: str = "doc_id", text_col: str
 
     taught: a condition on docs that says which rows teach. Null and empty texts are one end token. Rows with
     equal ids are scored each. Nothing taught: every token is unknown. An empty table gives no rows; scores are log10
-    probabilities of whole texts. Words are told apart by 63-bit hashes, n-grams by 64-bit ones; other columns are ignored,
-    whatever their names.
+    probabilities of whole texts. Words are told apart by 63-bit hashes, n-grams by 56-bit ones; other columns are
+    ignored, whatever their names.
     """
     arrow_limits(docs.sparkSession)
     tasks = _tasks(docs, text_col, task_bytes)
     kept = [c for c in docs.columns if c == id_col or c in carry]
-    blocks = _blocks(docs, taught, kept, text_col, order, tasks, block_bytes)
-    return _scored(blocks, _built(blocks, order, tasks, mass), kept)
+    blocks = _blocks(docs, taught, kept, text_col, block_bytes)
+    answers, model = _counted(blocks, order, tasks, mass, True)
+    return _rates(blocks, answers, model, kept)
