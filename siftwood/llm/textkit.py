@@ -61,6 +61,16 @@ def give_back() -> None:
         pass
 
 
+def bounded_rows(rows, most: int, *keys: str):
+    """At most so many rows: one of each of the smallest hashes of the keys' values. Equal rows count once; most is the only bound."""
+    from pyspark.sql import functions as F
+
+    name = free_name(rows, "hash")
+    hashed = rows.withColumn(name, F.xxhash64(*keys))
+    cut = hashed.select(name).orderBy(name).limit(most).agg(F.max(name)).first()[0]
+    return hashed.where(F.col(name) <= F.lit(cut)).dropDuplicates([name]).drop(name)
+
+
 def free_name(table, stem: str) -> str:
     """A column name that table doesn't have, in any case."""
     taken = {c.lower() for c in table.columns}

@@ -459,36 +459,60 @@ def test_digests_of_odd_conversations(spark):
 # ------------------------------------------------------------------ mixing
 
 
-def test_raking_meets_the_marginals():
-    rng = np.random.default_rng(0)
-    codes = [rng.integers(0, k, 60) for k in (5, 3, 2)]
-    counts = rng.integers(1, 1000, 60).astype(float)
-    targets = [np.bincount(c, counts * rng.uniform(0.9, 1.1, 60), c.max() + 1) for c in codes]
-    targets = [t / t.sum() for t in targets]
-    w = mixing.rake(counts, codes, targets)
-    for c, t in zip(codes, targets, strict=True):
-        assert np.abs(np.bincount(c, w, len(t)) - t).max() < 1e-3
-    p = mixing.calibrated(counts, w, 0.5)
-    assert (p <= 1).all() and (p * counts).sum() == pytest.approx(0.5 * counts.sum())
+def plain_mix(cells, targets, keep, rounds=5000):
+    """Raking one dimension after the other and a search for the rate, on {(source, lang, topic): tokens}."""
+    total = sum(cells.values())
+    aims = []
+    for d, name in enumerate(mixing.DIMS):
+        now = Counter()
+        for c, n in cells.items():
+            now[c[d]] += n
+        aim = {k: targets[name].get(k, 0.0) if targets and targets.get(name) else v**mixing.TEMPERATURE for k, v in now.items()}
+        if not sum(aim.values()):
+            aim = now
+        aims.append({k: v / sum(aim.values()) for k, v in aim.items()})
+    w = {c: n / total for c, n in cells.items()}
+    for _ in range(rounds):
+        for d, aim in enumerate(aims):
+            now = Counter()
+            for c, x in w.items():
+                now[c[d]] += x
+            w = {c: x * aim[c[d]] / now[c[d]] if now[c[d]] else 0.0 for c, x in w.items()}
+    lo, hi = 0.0, 1e9 * total
+    for _ in range(200):
+        rate = (lo + hi) / 2
+        lo, hi = (rate, hi) if sum(min(n, rate * w[c]) for c, n in cells.items()) < keep * total else (lo, rate)
+    return {c: min(1.0, lo * w[c] / n) for c, n in cells.items()}
+
+
+@pytest.mark.parametrize("targets", [None, {"lang": {"l0": 3.0, "l1": 1.0, "l2": 2.0, "elsewhere": 5.0}}, {"source": {"nowhere": 1.0}, "topic": {"t0": 0.0}}])
+@pytest.mark.parametrize("seed", [3, 4])
+def test_raking_equals_brute_force(spark, targets, seed):
+    # sparse cells, whose raking converges slowly; targets that miss a group, name absent groups, and sum to zero
+    rng = np.random.default_rng(seed)
+    cells = sorted({(f"s{s}", f"l{a}", f"t{t}") for s, a, t in zip(rng.integers(0, 12, 90), rng.integers(0, 4, 90), rng.integers(0, 5, 90), strict=True)})
+    counts = {c: int(n) for c, n in zip(cells, rng.integers(1, 1000, len(cells)), strict=True)}
+    rows = spark.createDataFrame([((i,), *c, n) for i, (c, n) in enumerate(counts.items())], "row struct<i: int>, source string, lang string, topic string, tokens long")
+    got = {(r["source"], r["lang"], r["topic"]): r["p"] for r in mixing._mixed(rows, targets, 0.5, mixing.TEMPERATURE).collect()}
+    assert got == pytest.approx(plain_mix(counts, targets, 0.5), abs=2e-6)
 
 
-def test_rounds_equal_the_driver(spark):
-    docs = spark.read.parquet(f"{SF01}/documents.parquet")
-    key = lambda df: {(r["source"], r["lang"], r["__topic"]): r["__probability"] for r in df.select("source", "lang", "__topic", "__probability").distinct().collect()}
-    assert key(mixing.mixture(docs, max_cells=3)) == pytest.approx(key(mixing.mixture(docs)), abs=0.02)
+def test_targets_that_no_weights_meet(spark):
+    # a language that one source alone has must have more than that source may
+    rows = spark.createDataFrame([((1,), "a", "x", "t", 10), ((2,), "b", "y", "t", 10)], "row struct<i: int>, source string, lang string, topic string, tokens long")
+    got = mixing._mixed(rows, {"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.1, "y": 0.9}}, 0.5, 1.0).collect()
+    assert sum(r["p"] * r["tokens"] for r in got) == pytest.approx(10)
 
 
-def test_rounds_go_on_until_they_meet_the_targets(spark):
-    # sparse cells, whose raking converges in far more than 15 rounds; one target is given, sums to six and lacks a group
-    rng = np.random.default_rng(3)
-    cells = sorted({(f"s{s}", f"l{a}", f"t{t}") for s, a, t in zip(rng.integers(0, 12, 40), rng.integers(0, 4, 40), rng.integers(0, 5, 40), strict=True)})
-    counts = rng.integers(1, 1000, len(cells))
-    rows = spark.createDataFrame([(*c, int(n)) for c, n in zip(cells, counts, strict=True)], "__source string, __lang string, __topic string, __tokens long")
-    for targets in (None, {"lang": {"l0": 3.0, "l1": 1.0, "l2": 2.0, "elsewhere": 5.0}}):
-        got = [{tuple(r)[:3]: r for r in mixing.cell_probabilities(rows, targets, max_cells=m).collect()} for m in (3, 1000)]
-        for column in ("__weight", "__probability"):
-            few, all_at_once = ({c: r[column] for c, r in g.items()} for g in got)
-            assert few == pytest.approx(all_at_once, rel=1e-6, abs=1e-12), (targets, column)
+def test_topics_and_words(spark):
+    words = {"cooking": "salt pepper oven butter flour".split(), "sailing": "mast rudder keel anchor harbour".split()}
+    rng = np.random.default_rng(0)
+    rows = [(i, "  \t".join(rng.choice(words[k], 30)), k) for i, k in enumerate(["cooking", "sailing"] * 30)] + [(100, " \n ", "none"), (101, None, "none")]
+    docs = spark.createDataFrame([(i, t, "s", "en", k) for i, t, k in rows], "doc_id long, text string, source string, lang string, kind string")
+    got = mixing.mixture(docs, topics=2).collect()
+    assert len({(r["kind"], r["__topic"]) for r in got}) == 3 and {r["__topic"] for r in got if r["kind"] == "none"} == {mixing.NO_TOPIC}
+    assert {r["__tokens"] for r in got} == {30, 1}
+    assert {r["__topic"] for r in mixing.mixture(docs, topic_col="kind").collect()} == {"cooking", "sailing", "none"}
 
 
 def test_sampling_keeps_about_the_wanted_share(spark):
@@ -496,8 +520,7 @@ def test_sampling_keeps_about_the_wanted_share(spark):
     total = sum(r["n_tokens"] for r in rows)
     assert sum(r["n_tokens"] * r["probability"] for r in rows) == pytest.approx(mixing.KEEP * total, rel=1e-6)
     assert sum(r["n_tokens"] for r in rows if r["kept"]) == pytest.approx(mixing.KEEP * total, rel=0.1)
-    words = {i: max(1, len((t or "").split())) for i, t, _ in documents(spark, SF01)}
-    assert sum(r["n_tokens"] for r in rows) == pytest.approx(sum(words.values()), rel=0.02)
+    assert {r["doc_id"]: r["n_tokens"] for r in rows} == {i: max(1, len(words_of(t))) for i, t, _ in documents(spark, SF01)}
 
 
 # ------------------------------------------------------------------ PII
