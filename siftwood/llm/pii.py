@@ -4,18 +4,23 @@ Entities are found with one pattern. Each is replaced by a keyed permutation of
 network over the two halves of its canonical form, whose rounds add a SHA-256 key stream within each character's class
 (digit, lower, upper, Cyrillic, Greek, hexadecimal, vowel, consonant). A permutation of all strings of one
 format is free of collisions, so different entities stay different (collisions() checks it on data) and equal ones stay
-equal in every document. Separators, case, script, country code, card check digit and valid octets are kept;
-names keep title, gender and script.
+equal in every document. Where two permutations could meet (names of the list and others, hexadecimal and other secrets,
+public and private addresses) each walks on until it is back among its own. Separators, case, script, country code,
+card check digit and the class of an address are kept; names keep title and script, listed given names their gender, and
+others their last letter, which says the gender in many languages.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .textkit import free_name
+
 # What the patterns of entities are.
 TITLES = ("Mr", "Mrs", "Ms", "Miss", "Mx", "Dr", "Prof", "Professor", "Doctor", "Sir", "Herr", "Frau", "Señor", "Señora", "Madame", "Mme", "Monsieur", "Господин", "Госпожа")
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -31,7 +36,6 @@ PATTERNS = {
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "name": rf"(?<!\pL)(?:{'|'.join(TITLES)})\.? (?:(?:{'|'.join(TITLES)})\.? )*{_WORD}(?: {_WORD})?(?!\pL)",
 }
-FEMALE_TITLES = r"^(?:Mrs|Ms|Miss|Frau|Señora|Madame|Mme|Госпожа)"
 # Given names by script and gender; a given name is replaced by another of its list.
 GIVEN = {
     "latin_f": ("Alice", "Beatrice", "Camille", "Charlotte", "Daniela", "Eleanor", "Florence", "Gabriela", "Hannah", "Isabella", "Jessica", "Katharina", "Lucía", "Margaret", "Natalie", "Patricia", "Rebecca", "Sabrina", "Theresa", "Victoria"),
@@ -44,7 +48,15 @@ DIGITS, HEX, LOWER, UPPER = "0123456789", "abcdef", "abcdefghijklmnopqrstuvwxyz"
 VOWELS, CONSONANTS, ACCENTED = "aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóúàèùâêîôûäöüß"
 CYRILLIC, GREEK = "абвгдежзийклмнопрстуфхцчшщъыьэюяё", "αβγδεζηθικλμνξοπρστυφχψω"
 ROUNDS = 4
-DEFAULT_KEY = "siftwood"
+# Fixed values: (first address, free bits) of private and reserved ranges, which are permuted each on its own, and addresses that name no host and stay.
+RANGES = ((10 << 24, 24), (172 << 24 | 16 << 16, 20), (192 << 24 | 168 << 16, 16), (0, 24), (127 << 24, 24), (169 << 24 | 254 << 16, 16), (224 << 24, 28), (240 << 24, 28))
+KEPT = (0, 127 << 24 | 1, (1 << 32) - 1)
+#: The setting that names the key of a session, and the key of sessions without one: for trials alone, as anyone can read it here.
+KEY_SETTING, TRIAL_KEY = "spark.siftwood.pii.key", "trial"
+
+
+def key_of(spark) -> str:
+    return spark.conf.get(KEY_SETTING, TRIAL_KEY)
 
 
 def _let(value: Column, then) -> Column:
@@ -81,7 +93,7 @@ def _shifted(c: Column, by: Column, classes: tuple[str, ...]) -> Column:
     return out
 
 
-def permuted(text: Column, tweak: Column | str, classes: tuple[str, ...], key: str = DEFAULT_KEY) -> Column:
+def permuted(text: Column, tweak: Column | str, classes: tuple[str, ...], key: str) -> Column:
     """A keyed permutation of the strings that have text's length and character classes."""
     tweak = F.lit(tweak) if isinstance(tweak, str) else tweak
 
@@ -131,18 +143,37 @@ def _card(e: Column, key: str) -> Column:
     return _refilled(e, _let(_core(e), renumbered))
 
 
+def _walked(start: Column, outside, step, most: int) -> Column:
+    """step(start), taken on while outside() holds: with a permutation as step, a permutation of what is inside."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), step(start), lambda s, _: F.when(outside(s), step(s)).otherwise(s))
+
+
 def _ip(e: Column, key: str) -> Column:
-    octets = F.transform(F.split(e, r"\."), lambda o: o.cast("int"))
-    start = F.struct((octets[0] * 256 + octets[1]).alias("l"), (octets[2] * 256 + octets[3]).alias("r"))
+    def within(n: Column, first: int, bits: int) -> Column:
+        return F.shiftright(n, bits) == first >> bits
 
-    def turn(s: Column, i: Column) -> Column:
-        by = F.conv(F.substring(F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("ip"), i.cast("string"), s["r"].cast("string")), 256), 1, 6), 16, 10).cast("int")
-        return F.struct(s["r"].alias("l"), F.pmod(s["l"] + by, F.lit(65536)).alias("r"))
+    def moved(n: Column, bits: int) -> Column:
+        """A permutation of the lowest bits."""
+        half = bits // 2
+        state = F.struct(F.shiftright(n, half).bitwiseAND(F.lit((1 << half) - 1)).alias("l"), n.bitwiseAND(F.lit((1 << half) - 1)).alias("r"))
 
-    def text(s: Column) -> Column:
-        return F.concat_ws(".", *(x.cast("int").cast("string") for x in (F.floor(s["l"] / 256), s["l"] % 256, F.floor(s["r"] / 256), s["r"] % 256)))
+        def turn(s: Column, i: Column) -> Column:
+            by = F.conv(F.substring(F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit(f"ip{bits}"), i.cast("string"), s["r"].cast("string")), 256), 1, 6), 16, 10).cast("long")
+            return F.struct(s["r"].alias("l"), F.pmod(s["l"] + by, F.lit(1 << half)).alias("r"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, text)
+        new = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), state, turn, lambda s: s["l"] * (1 << half) + s["r"])
+        return F.shiftright(n, bits) * (1 << bits) + new
+
+    def renumbered(n: Column) -> Column:
+        out = F.when(n.isin(*KEPT), n)
+        for first, bits in RANGES:
+            out = out.when(within(n, first, bits), _walked(n, lambda s: s.isin(*KEPT), lambda s, bits=bits: moved(s, bits), len(KEPT)))
+        # a seventh of all addresses are not public: so many steps are never needed
+        elsewhere = lambda s: functools.reduce(lambda x, y: x | y, (within(s, *r) for r in RANGES))
+        return out.otherwise(_walked(n, elsewhere, lambda s: moved(s, 32), 48))
+
+    number = F.aggregate(F.split(e, r"\."), F.lit(0).cast("long"), lambda a, o: a * 256 + o.cast("long"))
+    return _let(_let(number, renumbered), lambda n: F.concat_ws(".", *(F.shiftright(n, b).bitwiseAND(F.lit(255)).cast("string") for b in (24, 16, 8, 0))))
 
 
 def _email(e: Column, key: str) -> Column:
@@ -162,8 +193,9 @@ def _phone(e: Column, key: str) -> Column:
 def _secret(e: Column, key: str) -> Column:
     head = F.regexp_extract(e, r"^((?i:(?:password|passwd|pwd|secret|token|api[_-]?key) ?[=:] ?\"?)|AKIA)", 1)
     body = e.substr(F.length(head) + 1, F.length(e))
-    hexed = permuted(body, "hex", (DIGITS, HEX), key)
-    return F.concat(head, F.when(body.rlike("^[0-9a-f]+$"), hexed).otherwise(permuted(body, "secret", (DIGITS, LOWER, UPPER), key)))
+    is_hex = lambda t: t.rlike("^[0-9a-f]+$")
+    other = _walked(body, is_hex, lambda t: permuted(t, "secret", (DIGITS, LOWER, UPPER), key), 16)
+    return F.concat(head, F.when(is_hex(body), permuted(body, "hex", (DIGITS, HEX), key)).otherwise(other))
 
 
 def _given_names(key: str) -> Column:
@@ -180,14 +212,21 @@ def _name(e: Column, key: str) -> Column:
     head = F.regexp_extract(e, rf"^((?:(?:{'|'.join(TITLES)})\.? )+)", 1)
     words = F.split(e.substr(F.length(head) + 1, F.length(e)), " ")
     known = _given_names(key)
-    other = lambda w: _refilled(w, permuted(F.lower(_core(w)), "name", (VOWELS, CONSONANTS, ACCENTED, CYRILLIC, GREEK), key))
+
+    def other(word: Column) -> Column:
+        def changed(c: Column) -> Column:
+            last = c.substr(F.length(c), F.lit(1))
+            return F.concat(permuted(c.substr(F.lit(1), F.length(c) - 1), F.concat(F.lit("name"), last), (VOWELS, CONSONANTS, ACCENTED, CYRILLIC, GREEK), key), last)
+
+        return _refilled(word, _let(F.lower(_core(word)), changed))
+
     # another name that falls on a listed one goes on to where that one would go, so names as a whole are permuted
     listed = [x for names in GIVEN.values() for x in names]
-    walked = lambda w: F.aggregate(F.sequence(F.lit(1), F.lit(len(listed))), other(w), lambda s, _: F.when(s.isin(listed), other(s)).otherwise(s))
+    walked = lambda w: _walked(w, lambda s: s.isin(listed), other, len(listed))
     return F.concat(head, F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(known, w), walked(w))), " "))
 
 
-def surrogate(entity: Column, kind: Column, key: str = DEFAULT_KEY) -> Column:
+def surrogate(entity: Column, kind: Column, key: str) -> Column:
     """The replacement of a detected entity of a kind."""
     iban = F.upper(_core(entity))
     return (
@@ -199,36 +238,37 @@ def surrogate(entity: Column, kind: Column, key: str = DEFAULT_KEY) -> Column:
     )
 
 
-def pseudonymised(docs: DataFrame, text_col: str = "text", key: str = DEFAULT_KEY) -> DataFrame:
-    """docs with text_col rewritten, and __entities: array of struct(kind, entity, surrogate) in order of place.
+def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", entities_col: str = "__entities") -> DataFrame:
+    """docs with text_col rewritten, and entities_col: array of struct(kind, entity, surrogate) in order of place.
 
-    Null texts stay null with no entities; texts without an entity stay as they are. Each row stands for itself, so
-    repeated rows change alike; an empty table stays empty; other columns are kept.
+    Whoever has the key can undo the surrogates; it belongs in a session's settings (key_of), not in code. Null texts stay
+    null with no entities; texts without an entity stay as they are. Each row stands for itself, so repeated rows change
+    alike; an empty table stays empty. All other columns are kept; only one that is named as entities_col gives way to it.
     """
-    text = F.col(text_col)
+    text, held = F.col(text_col), free_name(docs, "found")
     found = F.when(may_hold(text), F.regexp_extract_all(text, F.lit(any_pattern()), 0)).otherwise(F.array().cast("array<string>"))
-    told = F.transform(F.col("__found"), lambda e: _let(kind_of(e), lambda k: F.struct(k.alias("kind"), e.alias("entity"), surrogate(e, k, key).alias("surrogate"))))
+    told = F.transform(F.col(held), lambda e: _let(kind_of(e), lambda k: F.struct(k.alias("kind"), e.alias("entity"), surrogate(e, k, key).alias("surrogate"))))
     gaps = F.split(text, any_pattern(), -1)
-    woven = F.array_join(F.zip_with(gaps, F.concat(F.col("__entities")["surrogate"], F.array(F.lit(""))), lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
+    woven = F.array_join(F.zip_with(gaps, F.concat(F.col(entities_col)["surrogate"], F.array(F.lit(""))), lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
     # found and replaced in columns of their own: each expression is evaluated once a row
-    out = docs.withColumn("__found", found).withColumn("__entities", F.when(F.size("__found") > 0, told).otherwise(F.expr("cast(array() as array<struct<kind:string,entity:string,surrogate:string>>)")))
-    return out.withColumn(text_col, F.when(F.size("__found") > 0, woven).otherwise(text)).drop("__found")
+    out = docs.withColumn(held, found).withColumn(entities_col, F.when(F.size(held) > 0, told).otherwise(F.expr("cast(array() as array<struct<kind:string,entity:string,surrogate:string>>)")))
+    return out.withColumn(text_col, F.when(F.size(held) > 0, woven).otherwise(text)).drop(held)
 
 
-def collisions(replaced: DataFrame) -> DataFrame:
+def collisions(replaced: DataFrame, entities_col: str = "__entities") -> DataFrame:
     """(kind, surrogate, entities): surrogates that more than one entity of a kind was given; empty unless distinctness broke.
 
     Entities are compared in canonical form: letters and digits alone, e-mail addresses without case, phone numbers without separators.
     """
-    each = replaced.select(F.explode("__entities").alias("e")).select("e.*").distinct()
+    each = replaced.select(F.explode(entities_col).alias("e")).select("e.*").distinct()
     canon = lambda c: F.when(F.col("kind") == "email", F.lower(c)).when(F.col("kind").isin("phone", "card", "iban", "ssn"), _core(c)).otherwise(c)
     rows = each.select("kind", canon(F.col("surrogate")).alias("surrogate"), canon(F.col("entity")).alias("entity")).distinct()
     return rows.groupBy("kind", "surrogate").agg(F.count("*").alias("entities")).where("entities > 1")
 
 
-def checked(replaced: DataFrame) -> DataFrame:
+def checked(replaced: DataFrame, entities_col: str = "__entities") -> DataFrame:
     """replaced as it is, after a pass over all its entities that warns of the kinds in which different ones became equal."""
-    found = collisions(replaced).groupBy("kind").count().collect()
+    found = collisions(replaced, entities_col).groupBy("kind").count().collect()
     if found:
         warnings.warn("equal surrogates of different entities: " + ", ".join(f"{r['kind']} {r['count']}" for r in sorted(found)), stacklevel=2)
     return replaced

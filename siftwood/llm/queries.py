@@ -11,8 +11,8 @@ from .textkit import read
 
 
 def _remainder(modulus: int):
-    """crc32 of doc_id as text, modulo modulus."""
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))
+    """crc32 of doc_id as text (none: empty), modulo modulus."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    replaced = pii.checked(pii.pseudonymised(read(spark, sf_dir, "documents")))
+    replaced = pii.checked(pii.pseudonymised(read(spark, sf_dir, "documents"), pii.key_of(spark)))
     kinds = F.transform("__entities", lambda e: e["kind"])
     return replaced.select("doc_id", "text", F.size("__entities").alias("n_entities"), kinds.alias("kinds"))
 

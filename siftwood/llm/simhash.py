@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import EDGE_SCHEMA, connected_components, forest
-from .textkit import Words, arrow_limits, as_strings, ensure_checkpoint_dir, give_back, row_sums, spans
+from .textkit import Words, arrow_limits, as_strings, ensure_checkpoint_dir, free_name, give_back, row_sums, spans
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -200,12 +200,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stand for their group: those whose id is the smallest of their component.
+    """The rows of docs that stand for their group, with all their columns: those whose id is the smallest of their component.
 
-    Of repeated ids one row stays; rows without an id belong to no group and stay.
+    Of rows with one id the one with the smallest hash of its values stays (of equal rows, one); rows without an id belong
+    to no group and stay. Null, empty and blank texts are one group. An empty table stays empty.
     """
-    ids = near_duplicates(docs, id_col, text_col).where("id = component_id").groupBy(F.col("id").alias("__kept")).agg(F.count(F.lit(1)).alias("__rows")).checkpoint()
-    out = docs.join(ids, docs[id_col] == F.col("__kept"), "left_semi")
-    if ids.where("__rows > 1").limit(1).count():
-        out = out.dropDuplicates([id_col])
-    return out.unionByName(docs.where(F.col(id_col).isNull()))
+    name, n = free_name(docs, "kept"), free_name(docs, "rows")
+    ids = near_duplicates(docs, id_col, text_col).where("id = component_id").groupBy(F.col("id").alias(name)).agg(F.count(F.lit(1)).alias(n)).checkpoint()
+    of = lambda some: docs.join(some, F.col(id_col).cast("long") == F.col(name), "left_semi")
+    if not ids.where(F.col(n) > 1).limit(1).count():
+        return of(ids).unionByName(docs.where(F.col(id_col).isNull()))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    first = of(ids.where(F.col(n) > 1)).groupBy(F.col(id_col).alias("id")).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("row"))
+    return of(ids.where(F.col(n) == 1)).unionByName(first.select(*(F.col("row")[c].alias(c) for c in docs.columns))).unionByName(docs.where(F.col(id_col).isNull()))

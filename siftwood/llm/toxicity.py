@@ -15,14 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import Words, arrow_limits, as_strings, give_back, ragged, row_sums, spans
+from .textkit import Words, arrow_limits, as_strings, bounded_rows, ensure_checkpoint_dir, give_back, ragged, row_sums, spans
 
-#: Most labelled rows that a model is fitted on, and most texts bytes of one of them (longer ones aren't sampled).
+#: Most labelled rows that a model is fitted on.
 MAX_LABELLED = 12_000
-MAX_LABELLED_BYTES = 40_000
 #: Word beginnings, in bytes.
 PREFIXES = (3, 4, 5, 6)
-#: Features are kept whose presence tells the labels apart at least this well (log-likelihood ratio), the best first.
+#: Features are kept whose presence tells the labels apart at least this well (log-likelihood ratio), the best first; no others come to the driver.
 MIN_GAIN, MAX_FEATURES = 12.0, 6000
 COUNTERFACTUAL_WEIGHT, RIDGE, LASSO = 5.0, 1e-4, 3e-5
 THRESHOLD = 0.3
@@ -105,6 +104,13 @@ def _gain(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarra
     return 2 * (part(pos, n_pos, share) + part(n_pos - pos, n_pos, 1 - share) + part(neg, n_neg, share) + part(n_neg - neg, n_neg, 1 - share))
 
 
+def _best(codes: np.ndarray, pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
+    """The features kept, rising."""
+    gain = _gain(pos, neg, n_pos, n_neg)
+    best = np.lexsort((codes, -gain))[:MAX_FEATURES]
+    return np.sort(codes[best[gain[best] >= MIN_GAIN]])
+
+
 class Model:
     """weights of sorted feature codes, and the bias."""
 
@@ -150,9 +156,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, swapped: list[tuple[int, np.
     codes, at = np.unique(np.concatenate(rows), return_inverse=True)
     pos = np.bincount(at, labels[row], len(codes))
     neg = np.bincount(at, 1 - labels[row], len(codes))
-    gain = _gain(pos, neg, n_pos, n - n_pos)
-    best = np.argsort(-gain, kind="stable")[:MAX_FEATURES]
-    codes = np.sort(codes[best[gain[best] >= MIN_GAIN]])
+    codes = _best(codes, pos, neg, n_pos, n - n_pos)
     r, c = _sparse(rows, codes)
     # counterfactual differences: observed swaps, and terms put in or swapped within a group
     pairs: list[tuple[np.ndarray, np.ndarray]] = [(rows[i], f) for i, f in swapped]
@@ -188,18 +192,43 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, swapped: list[tuple[int, np.
 
 
 def labelled_features(docs: DataFrame, labels: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> Model:
-    """Fit a model on a bounded, deterministic sample of the labelled rows for which train (a condition on docs) holds."""
-    marks = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("__label"))
-    rows = docs.where(train).where(F.octet_length(text_col) <= MAX_LABELLED_BYTES).select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__t"))
-    # the ids with the smallest hashes; their number is the only bound
+    """Fit a model on a bounded, deterministic sample of the labelled rows for which train (a condition on docs) holds.
+
+    At most max_labelled rows, one of each id and text, whole texts. Features are counted where the sample is, and only
+    the MAX_FEATURES best of each row come to the driver.
+    """
+    ensure_checkpoint_dir(docs.sparkSession)
+    marks = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__label"))
+    rows = docs.where(train).select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__t"))
+    # the ids with the smallest hashes, then the rows that have them: an id may repeat
     some = marks.join(rows.select("__id").distinct(), "__id", "left_semi").orderBy(F.xxhash64("__id"), "__id").limit(max_labelled)
-    sample = rows.join(F.broadcast(some), "__id").select("__t", "__label")
+    sample = bounded_rows(rows.join(F.broadcast(some), "__id"), max_labelled, "__id", "__t").select("__t", "__label").checkpoint()
+    n, n_pos = sample.agg(F.count(F.lit(1)), F.sum("__label")).first()
+    if not n or n_pos in (0, n):
+        return fit([np.zeros(0, np.uint32)] * n, np.full(n, 1.0 if n_pos else 0.0))
+
+    def count(batches):
+        for batch in batches:
+            col, label = as_strings(batch.column(0)), batch.column(1).to_numpy()
+            for a, b in spans(col):
+                row, code = row_features(col[a:b])
+                u, at = np.unique(code, return_inverse=True)
+                pos = np.bincount(at, label[a:b][row], len(u)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(pos), pa.array(np.bincount(at, minlength=len(u)).astype(np.int64) - pos)], ["code", "pos", "neg"])
+        give_back()
+
+    counted = sample.mapInArrow(count, "code long, pos long, neg long").groupBy("code").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    part = lambda k, n, p: k * F.log(F.greatest(k, F.lit(1e-9)) / F.greatest(F.lit(n) * p, F.lit(1e-9)))
+    pos, neg, share = F.col("pos"), F.col("neg"), (F.col("pos") + F.col("neg")) / F.lit(n)
+    gain = 2 * (part(pos, n_pos, share) + part(n_pos - pos, n_pos, 1 - share) + part(neg, n - n_pos, share) + part(n - n_pos - neg, n - n_pos, 1 - share))
+    # fit() picks among these by the same measure; a little slack covers rounding
+    told = counted.withColumn("gain", gain).where(F.col("gain") >= MIN_GAIN - 1e-6).orderBy(F.desc("gain"), "code").limit(2 * MAX_FEATURES).select("code").toArrow()
+    wanted = np.sort(told["code"].to_numpy().astype(np.uint32))
     swap = IdentitySwap()
 
     def run(batches):
         for batch in batches:
             col, marks = as_strings(batch.column(0)), batch.column(1).to_pylist()
-            out: list[tuple[int, bytes, int]] = []
             for a, b in spans(col):
                 texts, owner, kind = [], [], []
                 for i, t in enumerate(col[a:b].to_pylist()):
@@ -208,10 +237,12 @@ def labelled_features(docs: DataFrame, labels: DataFrame, train, id_col: str = "
                         owner.append(a + i)
                         kind.append(k)
                 row, code = row_features(pa.array(texts, pa.string()))
+                known = np.isin(code, wanted)
+                row, code = row[known], code[known]
                 bounds = np.searchsorted(row, np.arange(len(texts) + 1))
-                out += [(marks[o], code[x:y].tobytes(), k) for o, k, x, y in zip(owner, kind, bounds[:-1], bounds[1:], strict=True)]
-            cols = list(zip(*out, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int32())], ["label", "codes", "kind"])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([marks[o] for o in owner], pa.int32()), pa.array([code[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()), pa.array(kind, pa.int32()),
+                ], ["label", "codes", "kind"])
         give_back()
 
     got = sample.mapInArrow(run, "label int, codes binary, kind int").toArrow()
@@ -251,7 +282,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, train, id_col: str = "doc_id",
 
 
 def accepted(docs: DataFrame, labels: DataFrame, train=None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """The rows of docs, with all their columns, that score below the threshold; every labelled row may teach unless train says otherwise."""
+    """The rows of docs, with all their columns, that score below the threshold; every labelled row may teach unless train says otherwise.
+
+    Null and empty texts score like texts of no known word; repeated rows are judged alike; rows without an id are judged too;
+    an empty table stays empty, and without usable labels every row stays.
+    """
     arrow_limits(docs.sparkSession)
     model = labelled_features(docs, labels, F.lit(True) if train is None else train, id_col, text_col, label_col, max_labelled)
     codes, weights, bias = model.codes, model.weights, model.bias

@@ -7,7 +7,7 @@ import corpus_pipeline
 from siftwood.llm import ann, chat, embed_dedup, langid, lm, mixing, packing, pii, queries, simhash, toxicity
 
 TOKENIZER = __import__("public_tokenizers").path("word_bpe_49k.json")
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, id long, score string, label string, length int, weight double, probability double, component_id string, fp string, t string, kept boolean, topic string, value array<int>"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, id long, score string, label string, length int, weight double, probability double, component_id string, fp string, t string, kept boolean, topic string, value array<int>, __kept boolean, __topic string, __entities string, __found string, __rows int, __label int, __id long, __t string, row string, p double, source_ string"
 ODD = [
     (1, "the same text as another one", "en", "a"), (1, "the same text as another one", "en", "a"), (2, "the same text as another one", "en", "a"), (3, None, None, None), (4, "", "en", "a"), (5, "   \n\t ", None, "b"),
     (None, "text without an id at all", "de", "b"), (6, "long " * 60_000, "en", None), (7, "x" * 200_000, "fr", "a"), (8, "mail a.b@c.com and 10.0.0.1", "en", "a"), (9, "ünï ß <|endoftext|> [INST] \\ \x00  ", "de", "c"),
@@ -15,7 +15,7 @@ ODD = [
 
 
 def table(spark, rows):
-    return spark.createDataFrame([(*r, None, 5, "s", None, 1, 0.5, None, "c", "f", "t", True, "p", [1]) for r in rows], DOCS)
+    return spark.createDataFrame([(*r, None, 5, "s", None, 1, 0.5, None, "c", "f", "t", True, "p", [1], True, "t", "e", "f", 2, 1, 7, "t", "r", 0.1, "s") for r in rows], DOCS)
 
 
 @pytest.fixture
@@ -74,8 +74,10 @@ def test_mixing_and_pii(docs, none):
     assert mixed.count() == len(ODD) and mixed.where("__probability is null or __probability > 1").count() == 0
     assert mixing.sampled(docs).columns == docs.columns and mixing.sampled(none).count() == 0
     assert mixing.mixture(docs, targets={"lang": {"en": 1.0}}).where("lang <> 'en' and __probability > 0").count() == 0
-    out = pii.pseudonymised(docs)
-    assert out.count() == len(ODD) and out.where("size(__entities) > 0").count() == 1 and pii.pseudonymised(none).count() == 0
+    assert set(mixing.ADDED) < set(mixing.mixture(docs).columns) and len(mixing.mixture(docs).columns) == len(set(docs.columns) | set(mixing.ADDED))
+    out = pii.pseudonymised(docs, 'k')
+    assert out.columns == docs.columns and pii.pseudonymised(docs, "k", entities_col="found").columns == [*docs.columns, "found"]
+    assert out.count() == len(ODD) and out.where("size(__entities) > 0").count() == 1 and pii.pseudonymised(none, 'k').count() == 0
     assert out.where("doc_id = 3").first()["text"] is None
 
 
