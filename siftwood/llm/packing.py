@@ -155,7 +155,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     """
     shards = max(1, math.ceil(docs.select(F.count(F.lit(1))).first()[0] / shard_rows))
     pieces = tokenised_pieces(docs, tokenizer, id_col, text_col, capacity, end_id, keep_ids)
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "ids_crc32", "length"), F.lit(shards)).cast("int"))
+    # equal pieces are counted first and numbered, so that copies of one row, however many, spread over the shards
+    same = ["id", "piece", "start", "length", "ids_crc32"]
+    counted = pieces.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), *([F.first("ids").alias("ids")] if keep_ids else []))
+    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n")))).drop("n")
+    dealt = copies.withColumn("shard", F.pmod(F.xxhash64("id", "ids_crc32", "length", "copy"), F.lit(shards)).cast("int")).drop("copy")
 
     def pack(table: pa.Table) -> pa.Table:
         table = table.sort_by([("id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])

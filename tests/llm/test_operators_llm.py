@@ -476,6 +476,19 @@ def test_long_and_repeated_labelled_rows_teach(spark):
     assert low_ < 0.3 < high
 
 
+def test_copies_of_one_row_are_packed_in_many_shards(spark):
+    docs = spark.createDataFrame([(None, "one text that repeats")] * 400 + [(i, f"another {i}") for i in range(100)], "doc_id long, text string")
+    got = packing.pack_documents(docs, TOKENIZER, shard_rows=50).collect()
+    copies = [r for r in got if r["id"] is None]
+    assert len(got) == 500 and len(copies) == 400 and len({r["sequence_id"] >> 32 for r in copies}) > 5
+    for _, rows in itertools.groupby(sorted(got, key=lambda r: (r["sequence_id"], r["offset"])), key=lambda r: r["sequence_id"]):
+        end = 0
+        for r in rows:
+            assert r["offset"] == end
+            end += r["length"]
+        assert end <= packing.CAPACITY
+
+
 # ------------------------------------------------------------------ mixing
 
 
