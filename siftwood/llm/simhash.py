@@ -28,7 +28,7 @@ SEED = 42
 #: (first bit, bits) of the segments.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Keys that one task joins.
-TASK_KEYS = 2_000_000
+TASK_KEYS = 1_000_000
 _GENERATOR = 0b110001110101  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 of the (23, 12) Golay code
 
 

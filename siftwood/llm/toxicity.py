@@ -210,7 +210,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, train, id_col: str = "
     def count(batches):
         for batch in batches:
             col, label = as_strings(batch.column(0)), batch.column(1).to_numpy()
-            for a, b in spans(col):
+            for a, b in spans(col, 1 << 20):
                 row, code = row_features(col[a:b])
                 u, at = np.unique(code, return_inverse=True)
                 pos = np.bincount(at, label[a:b][row], len(u)).astype(np.int64)
@@ -229,7 +229,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, train, id_col: str = "
     def run(batches):
         for batch in batches:
             col, marks = as_strings(batch.column(0)), batch.column(1).to_pylist()
-            for a, b in spans(col):
+            for a, b in spans(col, 1 << 20):
                 texts, owner, kind = [], [], []
                 for i, t in enumerate(col[a:b].to_pylist()):
                     for k, x in enumerate([t, *swap.variants(t)]):
