@@ -24,7 +24,7 @@ EMAIL = r"[\w.\-+]+\s*@\s*[\w.\-]+\.\w+"
 PHONE = r"(\+?\d[\d\s().-]{7,}\d)"
 URL = r"(?i)(https?://\S+|(?:linkedin|github)\.com/\S+|(?:www\.)?\S+\.\w{2,}/\S*)"
 BULLET = r"^[•●\-*]\s*"
-CONTACT_MARKS = V._terms("email:, tel:, telefono:, linkedin:, github:")
+CONTACT_MARKS = ("email:", "tel:", "telefono:", "linkedin:", "github:")
 NONE = "cast(array() as array<string>)"
 
 
@@ -142,7 +142,7 @@ def uncovered_projects(projects: DataFrame, experiences: DataFrame, doc: str) ->
 def boundary_date(value: str, earliest: bool) -> Column:
     """Aggregate: the text with the earliest or latest month and year; texts without one lose."""
     when = month_year(value)
-    return F.min_by(value, when) if earliest else F.max_by(value, when)
+    return F.coalesce(F.min_by(value, when) if earliest else F.max_by(value, when), F.max(value))
 
 
 def merged_experiences(rows: DataFrame, doc: str, seq: str = "seq") -> DataFrame:

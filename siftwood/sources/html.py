@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from html.parser import HTMLParser
+from urllib.parse import parse_qs, urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -179,10 +181,10 @@ def _simple(selector: str):
 
 
 def select(node: Node, selector: str) -> list[Node]:
-    """Descendants that match 'part part ...', each part a tag, .class, #id or [attr op value] or several of them."""
-    parts = [_simple(p) for p in selector.split()]
+    """Descendants in order that match one of 'part part ..., part ...', each part a tag, .class, #id or [attr op value] or several of them."""
+    ways = [[_simple(p) for p in one.split()] for one in selector.split(",")]
 
-    def ok(n: Node) -> bool:
+    def ok(n: Node, parts) -> bool:
         if not parts[-1](n):
             return False
         up, k = n.parent, len(parts) - 2
@@ -192,7 +194,7 @@ def select(node: Node, selector: str) -> list[Node]:
             up = up.parent
         return k < 0
 
-    return [n for n in node.walk() if ok(n)]
+    return [n for n in node.walk() if any(ok(n, parts) for parts in ways)]
 
 
 def tree(html: str) -> Node:
@@ -203,31 +205,105 @@ def tree(html: str) -> Node:
 
 
 FIELDS = ("title", "company", "location", "posted", "salary", "description", "requirements")
+JK = re.compile("[A-Za-z0-9]{8,32}")
+
+
+def first_text(node: Node, selectors) -> str:
+    return next((t for s in selectors for n in select(node, s)[:1] if (t := n.text())), "")
+
+
+def _job_key(card: Node) -> str:
+    """The job key of a card: its own attribute, one inside it, or that of a link; '' without a valid one."""
+    said = [n.attrs.get("data-jk", "") for n in (card, *select(card, "[data-jk]"))]
+    for n in select(card, "a[href]"):
+        url = urlsplit(urljoin("https://co.indeed.com", n.attrs["href"]))
+        if url.netloc.endswith("indeed.com") and url.path in ("/rc/clk", "/viewjob"):
+            said += parse_qs(url.query).get("jk", [])[:1]
+    return next((k.strip() for k in said if JK.fullmatch(k.strip())), "")
+
+
+def _control_text(node: Node) -> str:
+    return " ".join(x for x in (node.text(), *(node.attrs.get(a, "") for a in ("aria-label", "title", "data-control-name"))) if x)
+
 
+def _folded(value: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", " ".join(value.split()).casefold()) if not unicodedata.combining(c))
 
-def cards_of(html: str, selectors: dict[str, list[str]]) -> list[dict]:
-    """Cards of a page: the first card selector that finds any, and for each field the first selector with text; cards without title or link are skipped."""
-    root = tree(html)
+
+def application_type_of(node: Node) -> str:
+    """How one applies, by what a card or page says and by what its buttons and links say."""
+    said = _folded(" ".join([node.text(), *(_control_text(n) for n in select(node, "button, a, [role='button'], [aria-label], [title], [data-control-name]"))]))
+    if any(x in said for x in V.EASY_APPLY_SIGNALS):
+        return V.EASY_APPLY
+    if any(x in said for x in V.EXTERNAL_APPLY_SIGNALS):
+        return V.EXTERNAL_APPLY
+    for n in select(node, "button, a, [role='button']"):
+        control = _folded(_control_text(n))
+        # a control that names the action alone, or begins with it, leads elsewhere
+        if control and (control in V.APPLY_CONTROLS or control.split(" ")[0] in ("solicitar", "apply")):
+            return V.EXTERNAL_APPLY
+    return V.UNKNOWN_APPLY
+
+
+def cards_of(html: str, selectors: dict, rules: dict | None = None) -> list[dict]:
+    """Cards of a page: the first card selector that finds any, and for each field the first selector with text.
+
+    Cards without title or link are skipped. rules (portals.RULES) add what a portal needs: words that tell a field's
+    text where no selector does, an identity of which the first card is kept, links by that identity, application types.
+    """
+    root, rules = tree(html), rules or {}
     cards = next((found for s in selectors.get("card", ()) if (found := select(root, s))), [])
-    out = []
+    out, seen = [], set()
     for card in cards:
-        row = {f: next((t for s in selectors.get(f, ()) for n in select(card, s)[:1] if (t := n.text())), "") for f in FIELDS}
+        row = {f: first_text(card, selectors.get(f, ())) for f in FIELDS}
+        for f, (tags, words) in rules.get("hints", {}).items():
+            if not row[f]:
+                row[f] = next((t for n in select(card, ", ".join(tags)) if (t := n.text()) and any(w in t.casefold() for w in words)), "")
         row["href"] = next((h for s in selectors.get("link", ()) for n in select(card, s)[:1] if (h := n.attrs.get("href", "").strip())), "")
-        if row["title"] and row["href"]:
-            out.append(row)
+        for n in select(card, "a[href]") if rules.get("link_parts") else ():
+            if any(part in n.attrs["href"] for part in rules["link_parts"]):
+                row["title"], row["href"] = row["title"] or n.text(), row["href"] or n.attrs["href"].strip()
+        key = _job_key(card) if rules.get("identity") == "jk" else row["href"].split("?")[0] if rules.get("identity") else None
+        if key == "" or (key is not None and key in seen):
+            continue
+        if key and rules["identity"] == "jk":
+            seen.add(key)
+        if rules.get("own_link"):
+            row["href"] = rules["own_link"].format(key)
+        if not (row["title"] and row["href"]):
+            continue
+        seen.add(key)
+        if rules.get("most_description"):
+            row["description"] = "" if row["description"] in (row["location"], row["posted"]) else row["description"][: rules["most_description"]]
+        row["context"] = card.text() if rules.get("whole_card") else ""
+        row["application_type"] = application_type_of(card) if rules.get("application") else V.UNKNOWN_APPLY
+        out.append(row)
+    if rules.get("application") and out:
+        # what the open detail panel says belongs to the first card
+        first, said = out[0], first_text(root, ("div.description__text",))
+        first["description"] = first["description"] or said
+        if first["application_type"] == V.UNKNOWN_APPLY:
+            first["application_type"] = panel_application_type(root)
     return out
 
 
-CARD = "array<struct<title string, company string, location string, posted string, salary string, description string, requirements string, href string>>"
+def panel_application_type(root: Node) -> str:
+    kinds = (application_type_of(p) for s in V.DETAIL_PANELS for p in select(root, s)[:1])
+    return next((k for k in kinds if k != V.UNKNOWN_APPLY), V.UNKNOWN_APPLY)
+
+
+CARD = "array<struct<title string, company string, location string, posted string, salary string, description string, requirements string, href string, context string, application_type string>>"
 
 
-def with_cards(pages: DataFrame, selectors: dict[str, dict[str, list[str]]], portal: str = "portal", html: str = "html") -> DataFrame:
-    """pages with a row per listing card, parsed by the selectors of the page's portal; pos is its place on the page. Unknown portals give no rows."""
+def with_cards(pages: DataFrame, selectors: dict[str, dict], portal: str = "portal", html: str = "html", rules: dict[str, dict] | None = None) -> DataFrame:
+    """pages with a row per listing card, parsed by the selectors and rules of the page's portal; pos is its place on the page. Unknown portals give no rows."""
     ship_package(pages.sparkSession)
+    known = rules or {}
 
     @F.pandas_udf(CARD)
     def extract(portals: pd.Series, htmls: pd.Series) -> pd.Series:
-        return pd.Series([cards_of(h or "", selectors.get((p or "").strip().lower(), {})) for p, h in zip(portals, htmls, strict=True)])
+        names = [(p or "").strip().lower() for p in portals]
+        return pd.Series([cards_of(h or "", selectors.get(p, {}), known.get(p)) for p, h in zip(names, htmls, strict=True)])
 
     rows = pages.withColumn("__cards", extract(portal, html))
     kept = [c for c in pages.columns if c != html]
@@ -237,9 +313,11 @@ def with_cards(pages: DataFrame, selectors: dict[str, dict[str, list[str]]], por
 def scanned(cards: DataFrame, now: Column, per_source: int, page_url: str = "url", source: str = "source_id") -> DataFrame:
     """Listings of the first so many cards of each source: canonical URL, modality, publication time."""
     url = canonical_url(absolute_url(page_url, "href"))
+    if "context" not in cards.columns:
+        cards = cards.withColumn("context", F.lit(""))
     w = Window.partitionBy(source).orderBy("pos")
     rows = cards.where((text("title") != "") & (text("href") != "")).withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= per_source).drop("__n")
-    return rows.withColumns({"listing_url": url, "modality": modality("location", "description", "requirements"), "published_at": published("posted", now), "found_at": now, "raw_posted_text": F.col("posted")}).drop("href", "posted")
+    return rows.withColumns({"listing_url": url, "modality": modality("location", "description", "requirements", "context"), "published_at": published("posted", now), "found_at": now, "raw_posted_text": F.col("posted")}).drop("href", "posted", "context")
 
 
 def with_details(listings: DataFrame, details: DataFrame, key: str, fields: tuple[str, ...] = ("title", "company", "location", "salary", "description")) -> DataFrame:
@@ -249,4 +327,4 @@ def with_details(listings: DataFrame, details: DataFrame, key: str, fields: tupl
     return rows.withColumns({f: F.coalesce(F.nullif(F.col(f"__d.{f}"), F.lit("")), F.col(f)) for f in fields}).drop("__d")
 
 
-__all__ = ["block_reason", "cards_of", "clean", "col", "first_tag_text", "job_posting", "json_ld", "links", "posting_fields", "scanned", "select", "tag_text", "tree", "unescaped", "visible_text", "with_cards", "with_details"]
+__all__ = ["application_type_of", "block_reason", "cards_of", "clean", "col", "first_tag_text", "job_posting", "json_ld", "links", "posting_fields", "scanned", "select", "tag_text", "tree", "unescaped", "visible_text", "with_cards", "with_details"]
