@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from . import fixed_values as V
 from .functions import dates, text, urls
-from .operators import digest, merge, profile, routing, scoring, state
-from .sources import html, sinks
+from .operators import digest, merge, profile, reads, resume, resume_builder, routing, scoring, state
+from .sources import details, html, portals, sinks, walls
 from .streaming import machine
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,12 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows over all cores, where the table has fewer splits than there are (one file of one row group is one task); else as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def stamp(c: str | Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
@@ -80,7 +86,7 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as listings, with words of the domain added by id."""
     pick = lambda ends: F.element_at(F.array(*(F.lit(x) for x in ends)), (F.col("doc_id") % len(ends) + 1).cast("int"))
     first = F.substring_index("text", "\n", 1)
-    return t(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.concat(first, pick(TITLE_ENDS)).alias("title"), F.concat("text", pick(TEXT_ENDS)).alias("description"), F.lit("").alias("requirements"), F.lit("").alias("location"), F.lit("").alias("modality"))
+    return spread(t(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")).select("doc_id", "source", "lang", F.concat(first, pick(TITLE_ENDS)).alias("title"), F.concat("text", pick(TEXT_ENDS)).alias("description"), F.lit("").alias("requirements"), F.lit("").alias("location"), F.lit("").alias("modality"))
 
 
 def _sql_pick(ends) -> str:
@@ -278,13 +284,110 @@ def scan_limit(spark, d):
     return t(spark, d, "pages").select("page_id", F.explode(found).alias("a")).select("page_id", "a.pos", "a.href")
 
 
-@query()
+@query(f"WITH {_CARDS}, kept AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS pos, label AS title, href FROM rows WHERE label <> '' AND href <> '') SELECT page_id, CAST(pos AS INTEGER) AS pos, title, href FROM kept")
 def html_selectors(spark, d):
-    """Cards by CSS selectors, in Arrow batches (checked against the native reading in the tests)."""
+    """Cards by CSS selectors, in Arrow batches."""
     pages = t(spark, d, "pages").withColumn("portal", F.lit("plain"))
     return html.with_cards(pages, {"plain": {"card": ["nav li"], "title": ["a"], "link": ["a[href]"]}}).select("page_id", "pos", "title", "href")
 
 
+_PORTAL_CARD = {
+    "computrabajo": '<div class="box_offer"><h2><a href="/o/{0}">T{0}</a></h2><p class="it-company">C{0}</p></div>',
+    "elempleo": '<div class="result-item"><h2><a href="/co/ofertas-empleo/{0}">T{0}</a></h2><span>C{0} SAS</span></div>',
+    "getonboard": '<li><h3><a href="/jobs/{0}">T{0}</a></h3><b class="gb-results-list__company">C{0}</b></li>',
+    "indeed": '<div class="job_seen_beacon"><h2 class="jobTitle"><a href="/rc/clk?jk=a"><span>T{0}</span></a></h2><span class="companyName">C{0}</span></div>',
+    "indeed_selenium": '<div data-jk="abcdef{0}0000"><h2><span>T{0}</span></h2><span data-testid="company-name">C{0}</span></div>',
+    "linkedin": '<div class="base-search-card"><a class="base-card__full-link" href="/jobs/view/{0}">x</a><h3>T{0}</h3><h4>C{0}</h4></div>',
+    "linkedin_selenium": '<div class="job-card-container"><a class="job-card-list__title" href="/jobs/view/{0}"><strong>T{0}</strong></a><h4>C{0}</h4><button>Easy Apply</button></div>',
+    "magneto": '<div class="card"><h2><a href="/m/{0}">T{0}</a></h2><p class="card-company">C{0}</p></div>',
+    "sena": '<li class="result-item"><h3><a href="/s/{0}">T{0}</a></h3><p class="empresa">C{0}</p></li>',
+    "torre": '<div data-testid="job-card"><h2><a href="/t/{0}">T{0}</a></h2><p class="organization">C{0}</p></div>',
+}
+
+
+@query("""WITH p AS (SELECT page_id, (['computrabajo','elempleo','getonboard','indeed','indeed_selenium','linkedin','linkedin_selenium','magneto','sena','torre'])[page_id % 10 + 1] AS portal FROM pages), c AS (SELECT *, unnest([0, 1, 2]) AS pos FROM p)
+SELECT page_id, portal, CAST(pos AS INTEGER) AS pos, 'T' || (page_id * 10 + pos) AS title, 'C' || (page_id * 10 + pos) || CASE portal WHEN 'elempleo' THEN ' SAS' ELSE '' END AS company, CASE portal WHEN 'linkedin_selenium' THEN 'linkedin_easy_apply' ELSE 'unknown' END AS application_type FROM c""")
+def portal_cards(spark, d):
+    """Every portal's own marks and rules, on a page of three cards for each page of the table."""
+    names = sorted(_PORTAL_CARD)
+    card = lambda p, k: F.replace(F.lit(_PORTAL_CARD[p]), F.lit("{0}"), (F.col("page_id") * 10 + k).cast("string"))
+    portal = F.element_at(F.array(*map(F.lit, names)), (F.col("page_id") % len(names) + 1).cast("int"))
+    page = F.lit("")
+    for p in names:
+        page = F.when(F.col("portal") == p, F.concat(*(card(p, k) for k in range(3)))).otherwise(page)
+    pages = t(spark, d, "pages").select("page_id", portal.alias("portal")).withColumn("html", page)
+    return html.with_cards(pages, portals.SELECTORS, rules=portals.RULES).select("page_id", "portal", "pos", "title", "company", "application_type")
+
+
+@query("""WITH p AS (SELECT page_id, page_id % 4 AS k FROM pages) SELECT page_id, CASE k WHEN 1 THEN 'D' || page_id WHEN 2 THEN 'L' || page_id ELSE 'old' END AS title, CASE k WHEN 1 THEN 'Python' || chr(10) || 'SQL' WHEN 2 THEN 'LD text' ELSE '' END AS requirements,
+CASE k WHEN 1 THEN '$ ' || page_id WHEN 2 THEN 'COP ' || page_id ELSE '' END AS salary, CASE k WHEN 1 THEN 'Remoto' ELSE '' END AS modality FROM p""")
+def detail_pages(spark, d):
+    """Listings filled from detail pages: by selectors, by structured data, by an empty page, by none."""
+    rows = t(spark, d, "pages").select("page_id")
+    seen = F.concat(F.lit('<h1>D'), F.col("page_id"), F.lit('</h1><div class="box_detail"><span class="tag base">$ '), F.col("page_id"), F.lit('</span><div class="mbB">Requisitos: Python. SQL. Beneficios: x</div><p class="mb5">Remoto</p></div>'))
+    told = F.concat(F.lit('<script type="application/ld+json">{"@type":"JobPosting","title":"L'), F.col("page_id"), F.lit('","description":"<p>LD text</p>","baseSalary":{"currency":"COP","value":'), F.col("page_id"), F.lit("}}</script>"))
+    pages = rows.where("page_id % 4 < 3").select("page_id", F.when(F.col("page_id") % 4 == 1, seen).when(F.col("page_id") % 4 == 2, told).otherwise("").alias("html"))
+    empty = {c: F.lit("") for c in ("company", "location", "salary", "description", "requirements", "modality", "raw_posted_text")}
+    listed = rows.withColumn("title", F.lit("old")).withColumns(empty).withColumns({"published_at": F.lit(None).cast("timestamp"), "found_at": F.lit("2024-01-01").cast("timestamp")})
+    return details.merged(listed, pages, "page_id").select("page_id", "title", "requirements", "salary", "modality")
+
+
+@query("""SELECT page_id, CASE page_id % 5 WHEN 1 THEN 'captcha' WHEN 2 THEN 'authwall' WHEN 3 THEN 'login requerido' WHEN 4 THEN '' ELSE '' END AS reason, page_id % 5 = 0 AS public_cards, page_id % 5 = 4 AS no_results FROM pages""")
+def page_walls(spark, d):
+    kinds = ('<div class="base-card">sign in</div>', "<p>Captcha</p>", '<div class="x-authwall">x</div>', "<p>Sign in</p>", "<p>No results found, login</p>")
+    pages = t(spark, d, "pages").select("page_id", F.element_at(F.array(*map(F.lit, kinds)), (F.col("page_id") % 5 + 1).cast("int")).alias("html"), F.lit("https://x/").alias("url"))
+    return walls.with_state(pages).select("page_id", "state.reason", "state.public_cards", "state.no_results")
+
+
+@query(f"WITH o AS (SELECT o_orderkey AS id, o_orderpriority AS portal, o_orderdate AS seen FROM orders WHERE lower(o_orderstatus) = 'o') SELECT id, portal, count(*) OVER () AS n_total FROM o ORDER BY seen DESC NULLS LAST, id DESC LIMIT 20")
+def discarded_listing(spark, d):
+    rows = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("portal"), F.col("o_orderstatus").alias("target_role"), F.col("o_orderdate").cast("timestamp").alias("last_seen_at"), F.lit("t").alias("title"), F.lit("c").alias("company"), F.array(F.lit("r")).alias("discard_reasons"), F.lit("u").alias("normalized_url"), F.lit("u").alias("url"))
+    return reads.discarded_listing(rows, target_role="O").select("id", "portal", "n_total")
+
+
+@query("SELECT o_orderstatus AS target_role, count(*) AS n FROM orders WHERE lower(o_orderpriority) <> '1-urgent' GROUP BY 1")
+def discarded_clear(spark, d):
+    rows = t(spark, d, "orders").select(F.col("o_orderpriority").alias("portal"), F.col("o_orderstatus").alias("target_role"))
+    return reads.without_discarded(rows, "1-URGENT").groupBy("target_role").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT s_suppkey AS id, s_name FROM supplier WHERE s_nationkey % 2 = 0 ORDER BY 1")
+def list_sources(spark, d):
+    rows = t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), "s_name", F.lit("p").alias("portal"), (F.col("s_nationkey") % 2 == 0).alias("enabled"))
+    return reads.sources(rows, "P", enabled_only=True).select("id", "s_name")
+
+
+@query("WITH r AS (SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'http://x/' || (o_orderkey % 50) END AS url FROM orders) SELECT count(*) FILTER (WHERE url = '') + count(DISTINCT nullif(url, '')) AS offers, count(*) AS sightings FROM r")
+def offers_without_urls(spark, d):
+    """Rows without a url and without names are offers of their own; none is lost."""
+    rows = t(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.concat(F.lit("http://x/"), (F.col("o_orderkey") % 50).cast("string"))).alias("url"), F.lit("").alias("title"), F.lit("").alias("company"), F.lit("p").alias("portal"), F.lit("").alias("location"), F.col("o_orderdate").alias("found_at"))
+    out = merge.merged_offers(rows.where("seq < 0").withColumn("normalized_url", F.col("url")), rows)
+    return out.agg(F.count(F.lit(1)).alias("offers"), F.sum("sightings").alias("sightings"))
+
+
+_JOB_LINES = ("Acme {0} — Desarrollador (Cali) Enero 2024 - Mayo 2024", "• Hizo la tarea {0} con", "Python", "Beta - Analista de datos", "Lima | Junio 2023 - Julio 2023")
+
+
+@query("""SELECT c_custkey, unnest([0, 1]) AS pos, unnest(['Acme ' || c_custkey, 'Beta']) AS company, unnest(['Desarrollador', 'Analista de datos']) AS role, unnest(['Cali', 'Lima']) AS location, unnest(['Enero 2024', 'Junio 2023']) AS start_date,
+unnest(['Mayo 2024', 'Julio 2023']) AS end_date, unnest(['Hizo la tarea ' || c_custkey || ' con Python', '']) AS bullets FROM customer""")
+def resume_records(spark, d):
+    lines = F.array(*(F.replace(F.lit(x), F.lit("{0}"), F.col("c_custkey").cast("string")) for x in _JOB_LINES))
+    rows = t(spark, d, "customer").select("c_custkey", F.posexplode(resume.experiences(lines)).alias("pos", "e"))
+    return rows.select("c_custkey", "pos", *(F.col(f"e.{c}") for c in ("company", "role", "location", "start_date", "end_date")), F.array_join("e.bullets", ";").alias("bullets"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'SQL' WHEN 1 THEN 'PostgreSQL' ELSE 'MySQL' END AS databases, CASE WHEN c_custkey % 2 = 0 THEN 'Git,GitHub' ELSE '' END AS tools, c_custkey % 5 = 0 AS shell FROM customer""")
+def resume_sections(spark, d):
+    """Skills by section for one target, from what a profile's text shows."""
+    names = F.element_at(F.array(F.lit("sql"), F.lit("postgres"), F.lit("mysql")), (F.col("c_custkey") % 3 + 1).cast("int"))
+    said = F.concat_ws(" ", names, F.when(F.col("c_custkey") % 2 == 0, "git github"), F.when(F.col("c_custkey") % 5 == 0, "línea de comandos"))
+    rows = t(spark, d, "customer").select("c_custkey", said.alias("said"), F.expr(resume.NO_RECORDS).alias("experiences"))
+    found = resume_builder.skill_sections(resume_builder.signals(text.norm_key(F.col("said")), scoring.technologies("said")), "backend_junior")
+    rows = rows.withColumn("s", F.map_from_entries(found))
+    of = lambda c: F.coalesce(F.array_join(F.try_element_at("s", F.lit(c)), ","), F.lit(""))
+    return rows.select("c_custkey", of("Bases de datos").alias("databases"), of("Herramientas").alias("tools"), (of("Operación y despliegue") != "").alias("shell"))
+
+
 _BLOCKS = tuple(V.BLOCK_TEXTS) + (("spam", "spam"),)
 _BLOCKED_PAGE = ("", "<p>Access  denied</p>", '<div class="g-recaptcha"></div>', "<script>cf-chl-1</script>", "<p>Sign in to continue</p>", '<li><a href="/x">x</a></li><div class="cf-turnstile">')
 
@@ -348,8 +451,9 @@ def seen_hash(spark, d):
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45)")
 def new_vs_seen_anti(spark, d):
-    seen = t(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
-    return t(spark, d, "orders").select("o_orderkey", "o_custkey").join(seen, "o_orderkey", "left_anti")
+    seen = t(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("url_hash"))
+    rows = t(spark, d, "orders").select(F.col("o_orderkey").alias("url_hash"), "o_custkey")
+    return merge.without_accepted(rows, seen).withColumnRenamed("url_hash", "o_orderkey")
 
 
 @query("""WITH gone AS (SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING')
@@ -358,11 +462,10 @@ UNION ALL SELECT 'orders', (SELECT count(*) FROM gone), count(*) - (SELECT count
 def semi_cascade(spark, d):
     orders = t(spark, d, "orders").join(t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey").select(F.col("o_orderkey").alias("url_hash"), "c_mktsegment")
     lines = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("url_hash"))
-    gone = orders.where("c_mktsegment = 'BUILDING'").select("url_hash", F.lit(1).alias("gone"))
-    per_order = lines.groupBy("url_hash").agg(F.count(F.lit(1)).alias("n")).join(gone, "url_hash", "left")
-    a = per_order.agg(F.lit("lineitem").alias("tbl"), F.coalesce(F.sum(F.when(F.col("gone") == 1, F.col("n"))), F.lit(0)).alias("deleted"), F.coalesce(F.sum(F.when(F.col("gone").isNull(), F.col("n"))), F.lit(0)).alias("kept"))
-    b = orders.agg(F.lit("orders").alias("tbl"), F.count_if(F.col("c_mktsegment") == "BUILDING").alias("deleted"), F.count_if(F.col("c_mktsegment") != "BUILDING").alias("kept"))
-    return a.unionByName(b)
+    left = merge.cascade(orders, F.col("c_mktsegment") == "BUILDING", lineitem=lines)
+    n = lambda rows, name: rows.agg(F.count(F.lit(1)).alias(name))
+    counted = lambda name, before, after: n(before, "b").join(n(after, "kept")).select(F.lit(name).alias("tbl"), (F.col("b") - F.col("kept")).alias("deleted"), "kept")
+    return counted("lineitem", lines, left["lineitem"]).unionByName(counted("orders", orders, left["offers"]))
 
 
 @query("""SELECT c.c_custkey, coalesce(s.s_suppkey, n.s_suppkey, -1) AS matched, CASE WHEN s.s_suppkey IS NOT NULL THEN 'key' WHEN n.s_suppkey IS NOT NULL THEN 'nation' ELSE 'none' END AS how
@@ -395,15 +498,19 @@ def offers_merge(spark, d):
 # ------------------------------------------------------------------ lists, top-k, schedule
 
 
-@query(f"SELECT o_orderkey, {sql_stamp('o_orderdate')} AS at, o_totalprice FROM orders WHERE lower(o_orderpriority) = '1-urgent' ORDER BY o_orderdate DESC NULLS LAST, o_orderkey LIMIT 100")
+@query(f"SELECT o_orderkey, {sql_stamp('o_orderdate')} AS at, o_totalprice FROM orders WHERE lower(o_orderpriority) = '1-urgent' ORDER BY o_orderdate DESC NULLS LAST, o_orderkey DESC LIMIT 100")
 def list_recent(spark, d):
-    rows = t(spark, d, "orders").where("lower(o_orderpriority) = '1-urgent'").orderBy(F.coalesce("o_orderdate", F.lit(None)).desc_nulls_last(), "o_orderkey").limit(100)
-    return rows.select("o_orderkey", stamp("o_orderdate").alias("at"), "o_totalprice")
+    rows = t(spark, d, "orders").withColumns({"portal": F.col("o_orderpriority"), "found_at": F.col("o_orderdate"), "id": F.col("o_orderkey")})
+    return reads.offers(rows, "1-URGENT").limit(100).select("o_orderkey", stamp("o_orderdate").alias("at"), "o_totalprice")
 
 
 @query("SELECT event_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-29' OR (event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-15') OR (event_type = 'signup' AND ts >= TIMESTAMP '2024-01-22')")
 def fresh_or(spark, d):
-    return t(spark, d, "events").where("ts >= timestamp_ntz'2024-01-29' or (event_type = 'purchase' and ts >= timestamp_ntz'2024-01-15') or (event_type = 'signup' and ts >= timestamp_ntz'2024-01-22')").select("event_id", "event_type")
+    rows = t(spark, d, "events").withColumns({
+        "found_at": F.col("ts").cast("timestamp"), "published_at": F.when(F.col("event_type") == "purchase", F.col("ts").cast("timestamp") + F.make_dt_interval(F.lit(14))),
+        "created_at": F.when(F.col("event_type") == "signup", F.col("ts").cast("timestamp") + F.make_dt_interval(F.lit(7))), "portal": F.lit("p"),
+    })
+    return reads.fresh_offers(rows, F.lit("2024-01-30 00:00:00").cast("timestamp")).select("event_id", "event_type")
 
 
 def offers(spark, d) -> DataFrame:
@@ -427,7 +534,7 @@ def pending_sort(spark, d):
 
 @query("SELECT count(*) AS n FROM documents WHERE lower(lang) = 'en' AND lower(source) = 'src3'")
 def count_filtered(spark, d):
-    return t(spark, d, "documents").where("lower(lang) = 'en' and lower(source) = 'src3'").agg(F.count("doc_id").alias("n"))
+    return reads.discarded_count(t(spark, d, "documents").select(F.col("source").alias("portal"), F.col("lang").alias("target_role")), "SRC3", "EN")
 
 
 @query(f"WITH {_OFFERS}, r AS (SELECT id, score, company, row_number() OVER (PARTITION BY company ORDER BY score DESC, found DESC NULLS LAST, id) AS pos, count(*) OVER (PARTITION BY company) AS n FROM offers) SELECT company, CAST(pos AS INTEGER) AS pos, id, score, greatest(0, n - 7) AS overflow FROM r WHERE pos <= 7")
@@ -623,8 +730,18 @@ def tech_dictionary(spark, d):
 
 @query(f"WITH {_relevance_cte('backend_junior')}, b AS (SELECT doc_id FROM relevance WHERE NOT relevant), {_relevance_cte('qa_junior').replace('listings AS', 'listings2 AS').replace('FROM listings)', 'FROM listings2)').replace('normed', 'normed2').replace('hits AS', 'hits2 AS').replace('FROM hits', 'FROM hits2').replace('relevance AS', 'relevance2 AS')} SELECT r.doc_id, r.relevant AS moved FROM relevance2 r JOIN b ON b.doc_id = r.doc_id")
 def reprocess_move(spark, d):
-    rows = scoring.with_relevance(listings(spark, d), "backend_junior").where("not relevance.relevant").drop("relevance")
-    return scoring.with_relevance(rows, "qa_junior").select("doc_id", F.col("relevance.relevant").alias("moved"))
+    gone = scoring.with_relevance(listings(spark, d), "backend_junior").where("not relevance.relevant").drop("relevance")
+    again = scoring.with_relevance(gone, "qa_junior")
+    return again.select("doc_id", F.col("relevance.relevant").alias("moved"))
+
+
+@query(f"WITH {_relevance_cte('backend_junior')} SELECT doc_id, relevant FROM relevance")
+def reprocessed_split(spark, d):
+    """Discarded rows gated anew: those that pass and those that stay, by the operator that moves them."""
+    rows = listings(spark, d).withColumns({"company": F.lit(""), "url": F.concat(F.lit("http://x/"), "doc_id"), "portal": F.lit("p"), "application_type": F.lit("unknown"), "found_at": F.lit("2024-01-01").cast("timestamp")})
+    passed, stayed = routing.reprocessed(rows, "backend_junior")
+    told = lambda some, ok: some.select("doc_id", F.lit(ok).alias("relevant"))
+    return told(passed, True).unionByName(told(stayed, False))
 
 
 # ------------------------------------------------------------------ streams

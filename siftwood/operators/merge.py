@@ -43,26 +43,36 @@ def keep_first_rows(rows: DataFrame, keys: list[str], order: list[Column]) -> Da
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+def own_key() -> Column:
+    """The url of an offer; without one its seq."""
+    return F.coalesce(F.nullif(F.trim(text("url")), F.lit("")), F.concat(F.lit("#"), F.col("seq").cast("string")))
+
+
 def identified(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """incoming with key: the url of the offer that it is, by url, else by canonical url, else by title, company and portal in lower case, else its own.
 
     existing: offers with url, normalized_url, title, company, portal and seq; of several matches the earliest counts. Each match is a join
-    of its own, whose right side has one row for a key.
+    of its own, whose right side has one row for a key. A blank url matches nothing, nor do names without a title and a company; a
+    row that matches nothing and has no url is an offer of its own, whose key is made of its seq.
     """
     lower = lambda c: F.lower(text(c))
     order = [F.col("found_at").asc_nulls_last(), F.col("seq")]
-    by_url = existing.select("url", F.col("url").alias("__by_url")).distinct()
+    by_url = existing.where(text("url") != "").select("url", F.col("url").alias("__by_url")).distinct()
     by_norm = keep_first_rows(existing.where(text("normalized_url") != ""), ["normalized_url"], order).select("normalized_url", F.col("url").alias("__by_norm"))
-    nat = existing.withColumns({"__t": lower("title"), "__c": lower("company"), "__p": lower("portal")})
+    nat = existing.withColumns({"__t": lower("title"), "__c": lower("company"), "__p": lower("portal")}).where("trim(__t) <> '' and trim(__c) <> '' and url <> ''")
     by_nat = keep_first_rows(nat, ["__t", "__c", "__p"], order).select("__t", "__c", "__p", F.col("url").alias("__by_nat"))
-    rows = incoming.withColumn("normalized_url", canonical_url("url")).withColumn("url_hash", url_hash("normalized_url"))
+    rows = incoming.withColumn("normalized_url", F.when(F.trim(text("url")) == "", "").otherwise(canonical_url("url"))).withColumn("url_hash", url_hash("normalized_url"))
     rows = rows.withColumns({"__t": lower("title"), "__c": lower("company"), "__p": lower("portal")})
     rows = rows.join(by_url, "url", "left").join(by_norm, "normalized_url", "left").join(by_nat, ["__t", "__c", "__p"], "left")
     # new among themselves: the earliest row of the same canonical url, then of the same names, gives the key
     fresh = F.coalesce("__by_url", "__by_norm", "__by_nat")
-    same_url = F.first("url").over(Window.partitionBy("normalized_url").orderBy("seq"))
-    rows = rows.withColumn("__own", same_url)
+    # rows without the one or the other are each alone, so they neither meet nor pile up in one task
+    alone = F.concat(F.lit("#"), F.col("seq").cast("string"))
+    rows = rows.withColumn("__u", F.coalesce(F.nullif("normalized_url", F.lit("")), alone))
+    rows = rows.withColumn("__own", F.first(own_key()).over(Window.partitionBy("__u").orderBy("seq")))
+    rows = rows.withColumn("__t", F.when((F.trim("__t") == "") | (F.trim("__c") == ""), alone).otherwise(F.col("__t")))
     same_name = F.first("__own").over(Window.partitionBy("__t", "__c", "__p").orderBy("seq"))
+    rows = rows.drop("__u")
     return rows.withColumn("key", F.coalesce(fresh, same_name)).drop("__t", "__c", "__p", "__own", "__by_url", "__by_norm", "__by_nat")
 
 
@@ -73,7 +83,7 @@ def merged_offers(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     texts the longest; dates and source the first known; the application type the first known; notes are added. Both
     inputs have seq, smaller in existing.
     """
-    both = existing.withColumn("key", F.col("url")).unionByName(identified(existing, incoming), allowMissingColumns=True)
+    both = existing.withColumn("key", own_key()).unionByName(identified(existing, incoming), allowMissingColumns=True)
     have = set(both.columns)
     for c in ("notes", "application_type"):
         if c not in have:

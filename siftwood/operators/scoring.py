@@ -118,7 +118,8 @@ def with_relevance(listings: DataFrame, target: Text, signals_title=V.TITLE_SIGN
         .when(~F.col("__fits"), verdict(False, F.array(F.lit("no tiene seniales tecnicas suficientes para target")), F.concat(seen, F.col("__signals"))))
         .otherwise(verdict(True, accepted, F.concat(seen, F.col("__signals"))))
     )
-    return rows.select(*listings.columns, relevance.alias("relevance"))
+    # a generator, as filters on its result are not pushed below it: they would work all the rules out again
+    return rows.select(*listings.columns, F.explode(F.array(relevance)).alias("relevance"))
 
 
 def inferred_target(*parts: Text, labels=V.TARGET_LABELS, default: str = V.DEFAULT_TARGET) -> Column:
