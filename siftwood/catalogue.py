@@ -637,7 +637,7 @@ k AS (SELECT doc_id, x, i, row_number() OVER (PARTITION BY doc_id, lower(x) ORDE
 SELECT doc_id, count(*) AS kept, md5(string_agg(x, ' ' ORDER BY i)) AS kept_md5 FROM k WHERE n = 1 GROUP BY doc_id""")
 def dedupe_ci(spark, d):
     """Keep-first of words that differ in case only, over whole texts: by key, as texts are longer than lists of reasons."""
-    words = t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("i", "x")).where("x <> ''")
+    words = spread(t(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("i", "x")).where("x <> ''")
     first = words.groupBy("doc_id", F.lower("x").alias("k")).agg(F.min(F.struct("i", "x")).alias("s"))
     kept = first.groupBy("doc_id").agg(F.array_sort(F.collect_list("s")).alias("s"))
     return kept.select("doc_id", F.size("s").cast("long").alias("kept"), F.md5(F.array_join(F.transform("s", lambda s: s["x"]), " ")).alias("kept_md5"))
@@ -686,7 +686,7 @@ def outbox_status(spark, d):
 @query()
 def near_dup_greedy(spark, d):
     """Lines of each document without those similar to an earlier kept one: a fold in order (checked against a loop in the tests)."""
-    rows = t(spark, d, "documents").select("doc_id", profile.distinct_bullets(F.split("text", "\n")).alias("kept"))
+    rows = spread(t(spark, d, "documents").select("doc_id", "text")).select("doc_id", profile.distinct_bullets(F.split("text", "\n")).alias("kept"))
     return rows.select("doc_id", F.size("kept").alias("kept"), F.md5(F.array_join("kept", "\n")).alias("kept_md5"))
 
 

@@ -146,13 +146,20 @@ def boundary_date(value: str, earliest: bool) -> Column:
 
 
 def merged_experiences(rows: DataFrame, doc: str, seq: str = "seq") -> DataFrame:
-    """Experiences of one company and role made one: earliest start, latest end, the bullets of all, the first place known."""
-    bullets = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("seq"), F.col("bullets").alias("b")))), lambda x: x["b"]))
+    """Experiences of one company and role made one: earliest start, latest end, the bullets of all, the first place known.
+
+    Bullets are made distinct by an aggregate of their own before any list is gathered.
+    """
+    keys = [doc, "__c", "__r"]
     keyed = rows.withColumns({"__c": norm_key("company"), "__r": norm_key("role")})
-    return keyed.groupBy(doc, "__c", "__r").agg(
+    merged = keyed.groupBy(*keys).agg(
         F.min_by("company", seq).alias("company"), F.min_by("role", seq).alias("role"), F.coalesce(F.min_by("location", F.when(text("location") != "", F.col(seq))), F.lit("")).alias("location"),
-        boundary_date("start_date", True).alias("start_date"), boundary_date("end_date", False).alias("end_date"), keep_first_ci(bullets).alias("bullets"),
-    ).drop("__c", "__r")
+        boundary_date("start_date", True).alias("start_date"), boundary_date("end_date", False).alias("end_date"),
+    )
+    each = keyed.select(*keys, F.col(seq).alias("__s"), F.posexplode("bullets").alias("__i", "__b")).withColumn("__b", F.trim(text("__b"))).where("__b <> ''")
+    first = each.groupBy(*keys, F.lower("__b").alias("__k")).agg(F.min(F.struct("__s", "__i", "__b")).alias("__x"))
+    lists = first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list("__x")), lambda x: x["__b"]).alias("bullets"))
+    return merged.join(lists, keys, "left").withColumn("bullets", F.coalesce("bullets", F.expr(NONE))).drop("__c", "__r")
 
 
 def contact(raw: Text) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -77,18 +79,23 @@ def failure_machine(stream: DataFrame) -> DataFrame:
 
 
 def simulate_failures(events: DataFrame) -> DataFrame:
-    """The same over a recorded table, in batch: each source's events in one task, state carried in order."""
-
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        n, until, out = 0, None, []
-        frame = frame.sort_values(["at", "outcome"], kind="stable")
-        for at, outcome in zip(frame["at"], frame["outcome"], strict=True):
-            skipped = until is not None and until > at
-            if not skipped:
-                n, until = (0, None) if outcome == "ok" else (n + 1, until) if outcome == "blocked" else (n, until)
-                if outcome == "blocked" and n >= DEFAULTS.failures_before_pause:
-                    until = at + pd.Timedelta(hours=DEFAULTS.pause_hours)
-            out.append((key[0], at, outcome, bool(skipped), n, until))
-        return pd.DataFrame(out, columns=["source", "at", "outcome", "skipped", "failure_count", "paused_until"]).astype({"paused_until": "datetime64[ns]"})
-
-    return events.groupBy("source").applyInPandas(run, MACHINE_OUTPUT)
+    """The same over a recorded table, in batch: sources in sorted partitions, whose events are streamed; of a source only its state is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, n, until, begun = None, 0, None, False
+        for batch in batches:
+            out = []
+            for name, at, outcome in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not begun or name != source:
+                    source, n, until, begun = name, 0, None, True
+                skipped = until is not None and until > at
+                if not skipped:
+                    n, until = (0, None) if outcome == "ok" else (n + (outcome == "blocked"), until)
+                    if outcome == "blocked" and n >= DEFAULTS.failures_before_pause:
+                        until = at + dt.timedelta(hours=DEFAULTS.pause_hours)
+                out.append((skipped, n, until))
+            cols = list(zip(*out, strict=True)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(cols, (pa.bool_(), pa.int32(), pa.timestamp("us", "UTC")), strict=True))], ["source", "at", "outcome", "skipped", "failure_count", "paused_until"])
+
+    rows = events.select("source", "at", "outcome")
+    return rows.repartition("source").sortWithinPartitions("source", "at", "outcome").mapInArrow(run, MACHINE_OUTPUT)
