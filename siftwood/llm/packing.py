@@ -128,7 +128,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
         encoder = _encoders[tokenizer]
         for batch in batches:
             col, ids = as_strings(batch.column(1)), batch.column(0).to_pylist()
-            for a, b in spans(col, 8 << 20):
+            for a, b in spans(col, 2 << 20):
                 flat, starts = encoder.rows(col[a:b], end_id)
                 rows: list[tuple] = []
                 raw = memoryview(flat)

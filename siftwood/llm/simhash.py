@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches):
         for batch in batches:
             col = as_strings(batch.column(1))
-            fps = [fingerprints_of(col[a:b], shingle_words) for a, b in spans(col)]
+            fps = [fingerprints_of(col[a:b], shingle_words) for a, b in spans(col, 1 << 20)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(fps).view(np.int64) if fps else [], pa.int64())], ["id", "fp"])
         give_back()
 

@@ -274,7 +274,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, train, id_col: str = "doc_id",
         scorer = Model(codes, weights, bias)
         for batch in batches:
             col = as_strings(batch.column(batch.num_columns - 1))
-            scores = [scorer.scores(col[a:b]) for a, b in spans(col)]
+            scores = [scorer.scores(col[a:b]) for a, b in spans(col, 1 << 20)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(scores) if scores else [], pa.float64())], [*names, "__score"])
         give_back()
 
@@ -296,7 +296,7 @@ def accepted(docs: DataFrame, labels: DataFrame, train=None, threshold: float =
         scorer = Model(codes, weights, bias)
         for batch in batches:
             col = as_strings(batch.column(at))
-            scores = [scorer.scores(col[a:b]) for a, b in spans(col)]
+            scores = [scorer.scores(col[a:b]) for a, b in spans(col, 1 << 20)]
             if scores:
                 yield batch.filter(pa.array(np.concatenate(scores) < threshold))
         give_back()
