@@ -573,12 +573,20 @@ def disable_blocked(spark, d):
     return state.disabled_when_blocked(last.withColumn("enabled", F.lit(True))).select("id", "failure_count", "enabled")
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY ts, outcome) AS i FROM (
+  SELECT CAST(user_id AS VARCHAR) AS source, ts, CASE event_type WHEN 'purchase' THEN 'ok' WHEN 'error' THEN 'blocked' ELSE 'error' END AS outcome FROM events)),
+fold(source, ts, outcome, i, skipped, n, until) AS (
+  SELECT source, ts, outcome, i, false, CAST(outcome = 'blocked' AS INTEGER), CAST(NULL AS TIMESTAMP) FROM e WHERE i = 1
+  UNION ALL SELECT e.source, e.ts, e.outcome, e.i, coalesce(f.until > e.ts, false),
+    CASE WHEN f.until > e.ts THEN f.n WHEN e.outcome = 'ok' THEN 0 ELSE f.n + CAST(e.outcome = 'blocked' AS INTEGER) END,
+    CASE WHEN f.until > e.ts THEN f.until WHEN e.outcome = 'ok' THEN NULL WHEN e.outcome = 'blocked' AND f.n + 1 >= 3 THEN e.ts + INTERVAL 24 HOUR ELSE f.until END
+  FROM fold f JOIN e ON e.source = f.source AND e.i = f.i + 1)
+SELECT source, {sql_stamp("ts")} AS "at", outcome, skipped, n AS failure_count, coalesce({sql_stamp("until")}, '') AS paused_until FROM fold""")
 def failure_machine(spark, d):
-    """Failures with pauses that skip events: sequential by nature (checked against a plain loop in the tests)."""
+    """Failures with pauses that skip events: sequential by nature."""
     kind = F.when(F.col("event_type") == "purchase", "ok").when(F.col("event_type") == "error", "blocked").otherwise("error")
     rows = t(spark, d, "events").select(F.col("user_id").cast("string").alias("source"), F.col("ts").cast("timestamp").alias("at"), kind.alias("outcome"))
-    return machine.simulate_failures(rows)
+    return machine.simulate_failures(rows).withColumns({"at": stamp("at"), "paused_until": F.coalesce(stamp("paused_until"), F.lit(""))})
 
 
 # ------------------------------------------------------------------ dates
@@ -680,6 +688,152 @@ def outbox_status(spark, d):
     return digest.outbox(tried, tried.where("id % 3 = 0"), "id").select("id", "status")
 
 
+# ------------------------------------------------------------------ picks, addresses, states of sources and offers
+
+
+_PICKS = "p AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE c_mktsegment END AS a, substr(c_name, 1, CAST(c_custkey % 19 AS INTEGER)) AS b, CASE c_custkey % 3 WHEN 0 THEN 'unknown' WHEN 1 THEN '' ELSE 'easy' END AS x, CASE WHEN c_custkey % 5 = 0 THEN 'unknown' ELSE 'external' END AS y FROM customer)"
+
+
+@query(f"""WITH {_PICKS} SELECT c_custkey, CASE WHEN length(a) >= length(b) THEN a ELSE b END AS longer, CASE WHEN x NOT IN ('', 'unknown') THEN x WHEN y <> 'unknown' THEN y ELSE 'unknown' END AS known,
+CASE WHEN b = '' THEN a WHEN a = '' THEN b WHEN contains(a, b) THEN a ELSE a || chr(10) || b END AS notes, CASE WHEN a <> '' THEN a ELSE b END AS first FROM p""")
+def text_picks(spark, d):
+    """Merge picks of two sightings: the longer text, the known value, notes with a line more, the first that says something."""
+    k = F.col("c_custkey")
+    rows = t(spark, d, "customer").select(
+        "c_custkey", F.when(k % 4 == 0, "").otherwise(F.col("c_mktsegment")).alias("a"), F.col("c_name").substr(F.lit(1), (k % 19).cast("int")).alias("b"),
+        F.when(k % 3 == 0, "unknown").when(k % 3 == 1, "").otherwise("easy").alias("x"), F.when(k % 5 == 0, "unknown").otherwise("external").alias("y"),
+    )
+    return rows.select("c_custkey", text.pick_longer("a", "b").alias("longer"), text.pick_known("x", "y").alias("known"), text.append_line("a", "b").alias("notes"), text.first_non_empty("a", "b").alias("first"))
+
+
+_ITEMS = "list_filter(list_transform(string_split_regex(text, '[,;/]'), lambda x: trim(x)), lambda x: x <> '')"
+_SHORT = r"array_to_string(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')[1:12], ' ')"
+
+
+@query(rf"""SELECT doc_id, md5(coalesce(nullif(trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'cv')) AS slug_md5, md5(array_to_string(regexp_extract_all(text, '[\pL\pN]+'), '_')) AS name_md5,
+md5(CASE WHEN rtrim(trim(text), ' .') = '' THEN '' ELSE rtrim(trim(text), ' .') || '.' END) AS sentence_md5, len({_ITEMS}) AS items, md5(array_to_string({_ITEMS}, '|')) AS items_md5,
+regexp_replace({_SHORT}, '(?i)(?:[\s,;.]+(?:the|of|and|de|der))+[\s,;.]*$', '') AS short FROM documents""")
+def text_shapes(spark, d):
+    """Slugs, file names, sentences, written lists and short forms of whole texts."""
+    rows = spread(t(spark, d, "documents").select("doc_id", "text"))
+    items = text.split_list("text")
+    return rows.select(
+        "doc_id", F.md5(text.slug("text")).alias("slug_md5"), F.md5(text.safe_name("text")).alias("name_md5"), F.md5(text.sentence("text")).alias("sentence_md5"),
+        F.size(items).cast("long").alias("items"), F.md5(F.array_join(items, "|")).alias("items_md5"), text.cap_words("text", 12, ("the", "of", "and", "de", "der")).alias("short"),
+    )
+
+
+_SEEN_FROM = "https://ex.com/list/page?x=1#top"
+_ADDRESSES = ("http://es.linkedin.com/in/{0}", "/jobs/{0}", "//cdn.ex.com/{0}", "?p={0}", "b/{0}", "www.ex.com/{0} ). ")
+
+
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'http://es.linkedin.com/in/' WHEN 1 THEN 'https://ex.com/jobs/' WHEN 2 THEN 'https://cdn.ex.com/' WHEN 3 THEN 'https://ex.com/list/page?p=' WHEN 4 THEN 'https://ex.com/list/b/' ELSE 'https://ex.com/list/www.ex.com/' END || event_id || CASE WHEN event_id % 6 = 5 THEN ' ). ' ELSE '' END AS absolute,
+CASE event_id % 6 WHEN 0 THEN 'http://es.linkedin.com/in/' WHEN 1 THEN 'https:///jobs/' WHEN 2 THEN 'https:////cdn.ex.com/' WHEN 3 THEN 'https://?p=' WHEN 4 THEN 'https://b/' ELSE 'https://www.ex.com/' END || event_id AS tidy,
+CASE event_id % 6 WHEN 0 THEN 'https://es.linkedin.com/in/' WHEN 1 THEN '/jobs/' WHEN 2 THEN '//cdn.ex.com/' WHEN 3 THEN '?p=' WHEN 4 THEN 'b/' ELSE 'www.ex.com/' END || event_id || CASE WHEN event_id % 6 = 5 THEN ' ). ' ELSE '' END AS secure,
+CASE WHEN event_id % 3 = 0 THEN 'https://co.indeed.com/viewjob?jk=abcdef' || lpad(CAST(event_id AS VARCHAR), 8, '0') ELSE '' END AS listing,
+'https://x/s?keywords=dev%20' || event_type || CASE WHEN event_id % 2 = 0 THEN '&geo=' || event_id ELSE '' END AS search, CASE WHEN event_id % 2 = 0 THEN '1,2' ELSE '2,1' END AS codes FROM events""")
+def url_forms(spark, d):
+    """Addresses seen from a page, tidied, made secure on a host, of a listing id, of a search, and codes of named filters."""
+    k = F.col("event_id")
+    pick = lambda *forms: F.element_at(F.array(*(F.replace(F.lit(f), F.lit("{0}"), k.cast("string")) for f in forms)), (k % len(forms) + 1).cast("int"))
+    jk = F.concat(F.lit("abcdef"), F.lpad(k.cast("string"), 8, "0"))
+    page = F.when(k % 3 == 0, F.concat(F.lit("https://co.indeed.com/viewjob?from=x&jk="), jk)).when(k % 3 == 1, "https://indeed.com/rc/clk?jk=short").otherwise(F.concat(F.lit("https://indeed.com.evil.org/viewjob?jk="), jk))
+    names = F.when(k % 2 == 0, F.array(F.lit("Remote "), F.lit("hybrid"), F.lit("REMOTE"))).otherwise(F.array(F.lit("hybrid"), F.lit("remote")))
+    u = pick(*_ADDRESSES)
+    return t(spark, d, "events").select(
+        "event_id", urls.absolute_url(F.lit(_SEEN_FROM), u).alias("absolute"), urls.tidy_url(u).alias("tidy"), urls.with_https(u, "linkedin.com").alias("secure"),
+        urls.id_url(urls.listing_id(page, "indeed.com"), "https://co.indeed.com/viewjob?jk=").alias("listing"),
+        urls.search_url("https://x/s", keywords=F.concat(F.lit("dev "), "event_type"), geo=F.when(k % 2 == 0, k.cast("string"))).alias("search"),
+        F.array_join(urls.filter_codes(names, {"remote": "1", "hybrid": "2"}, "workplace"), ",").alias("codes"),
+    )
+
+
+@query(f"""SELECT event_id, coalesce({sql_stamp("x")}, '') AS published_at, CASE WHEN x IS NULL THEN 'nada claro' WHEN hour(x) = 5 THEN strftime(x - INTERVAL 5 HOUR, '%Y-%m-%d') ELSE strftime(x - INTERVAL 5 HOUR, '%Y-%m-%d %H:%M') END AS shown FROM (
+  SELECT event_id, CASE event_id % 5 WHEN 3 THEN TIMESTAMP '{_NOW}' - to_hours(event_id % 97) WHEN 4 THEN NULL ELSE date_trunc('day', ts) END AS x FROM events)""")
+def published_dates(spark, d):
+    """ISO, numeric, written and relative dates of listings, and what a message shows of them."""
+    ts, k = F.col("ts").cast("timestamp"), F.col("event_id")
+    month = F.element_at(F.array(*(F.lit(m) for m in V.MONTHS)), F.month(ts))
+    said = (
+        F.when(k % 5 == 0, F.concat(F.lit("Publicado el "), F.date_format(ts, "yyyy-MM-dd"))).when(k % 5 == 1, F.date_format(ts, "d/M/yyyy"))
+        .when(k % 5 == 2, F.concat_ws(" de ", F.dayofmonth(ts).cast("string"), month, F.year(ts).cast("string"))).when(k % 5 == 3, F.concat(F.lit("Hace "), (k % 97).cast("string"), F.lit(" horas"))).otherwise("nada claro")
+    )
+    rows = t(spark, d, "events").select("event_id", said.alias("said")).withColumn("at", dates.published("said", F.lit(_NOW).cast("timestamp")))
+    return rows.select("event_id", F.coalesce(stamp("at"), F.lit("")).alias("published_at"), dates.publication_text("at", "said", "America/Bogota").alias("shown"))
+
+
+def _sources(spark, d) -> DataFrame:
+    """Customers as sources of listings, in all states."""
+    k, now = F.col("c_custkey"), F.lit(_NOW).cast("timestamp")
+    return t(spark, d, "customer").select(
+        k.alias("id"), F.when(k % 2 == 0, "linkedin").otherwise("indeed").alias("portal"), (k % 7 != 0).alias("enabled"), F.lit(15).alias("interval_minutes"), (k % 5).cast("int").alias("failure_count"),
+        F.when(k % 11 == 0, now + F.expr("interval 1 hour")).when(k % 13 == 0, now - F.expr("interval 1 hour")).alias("paused_until"), (now - F.make_dt_interval(mins=(k % 40).cast("int"))).alias("last_checked_at"),
+        F.lit("before").alias("last_error"), F.lit(None).cast("timestamp").alias("last_failed_at"),
+    )
+
+
+_SOURCES = f"""sources AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'linkedin' ELSE 'indeed' END AS portal, c_custkey % 7 <> 0 AS enabled, CAST(c_custkey % 5 AS INTEGER) AS n,
+  CASE WHEN c_custkey % 11 = 0 THEN TIMESTAMP '{_NOW}' + INTERVAL 1 HOUR WHEN c_custkey % 13 = 0 THEN TIMESTAMP '{_NOW}' - INTERVAL 1 HOUR END AS until FROM customer)"""
+
+
+@query(f"""WITH {_SOURCES}, checked AS (SELECT id, portal, enabled, CASE id % 3 WHEN 0 THEN n + 1 WHEN 1 THEN 0 ELSE n END AS n, CASE WHEN id % 3 = 0 AND n >= 2 THEN TIMESTAMP '{_NOW}' + INTERVAL 24 HOUR WHEN id % 3 = 1 THEN NULL ELSE until END AS until,
+  CASE WHEN id % 3 = 0 THEN 'captcha' WHEN id % 3 = 1 THEN '' WHEN id % 4 = 0 THEN 'timeout' ELSE 'before' END AS error FROM sources)
+SELECT id, CASE WHEN portal = 'indeed' AND id % 9 = 0 THEN 0 ELSE n END AS failure_count, CASE WHEN portal = 'indeed' AND id % 9 = 0 THEN '' ELSE coalesce({sql_stamp("until")}, '') END AS paused_until,
+  CASE WHEN portal = 'indeed' AND id % 9 = 0 THEN '' ELSE error END AS last_error, CASE WHEN portal = 'linkedin' AND enabled THEN 30 ELSE 15 END AS interval_minutes FROM checked""")
+def source_updates(spark, d):
+    """Sources after blocks, successes, other errors, a portal's pause lifted and a portal's interval changed."""
+    k, now = F.col("id"), F.lit(_NOW).cast("timestamp")
+    rows = state.blocked(_sources(spark, d), k % 3 == 0, now, F.lit("captcha"))
+    rows = state.checked(state.checked(rows, k % 3 == 1, now), (k % 3 == 2) & (k % 4 == 0), now, F.lit("timeout"))
+    rows = state.with_intervals(state.unpaused(rows, (F.col("portal") == "indeed") & (k % 9 == 0)), F.col("portal") == "linkedin", 30, enabled_only=True)
+    return rows.select("id", "failure_count", F.coalesce(stamp("paused_until"), F.lit("")).alias("paused_until"), F.coalesce("last_error", F.lit("")).alias("last_error"), "interval_minutes")
+
+
+@query(f"""WITH {_SOURCES}, s AS (SELECT *, coalesce(until > TIMESTAMP '{_NOW}', false) AS paused FROM sources WHERE enabled)
+SELECT id, paused AS skipped, CASE WHEN paused THEN portal || ' #' || id || ' en pausa hasta ' || strftime(until, '%Y-%m-%d %H:%M') ELSE '' END AS line FROM s WHERE paused OR id % 40 >= 15""")
+def cycle_sources(spark, d):
+    """Sources of a cycle: those due, and the paused ones with their line of the log."""
+    now = F.lit(_NOW).cast("timestamp")
+    rows = state.selected(_sources(spark, d), now)
+    return rows.join(state.pause_lines(rows, now), "id", "left").select("id", "skipped", F.coalesce("line", F.lit("")).alias("line"))
+
+
+_MESSAGE = "'Nueva oferta fresca recomendada' || chr(10) || chr(10) || 'Cargo: Oferta ' || id || chr(10) || 'Empresa: ' || company || chr(10) || 'Portal: ' || portal || chr(10) || CASE WHEN easy THEN 'Tipo de solicitud: Solicitud sencilla' || chr(10) ELSE '' END || 'Ubicación: No detectada' || chr(10) || 'Publicada: No disponible' || chr(10) || 'Detectada: ' || strftime(found - INTERVAL 5 HOUR, '%Y-%m-%d %H:%M') || chr(10) || 'Compatibilidad: ' || CAST(CAST(score AS BIGINT) AS VARCHAR) || '%' || chr(10) || chr(10) || 'Motivo:' || chr(10) || CASE WHEN id % 4 = 0 THEN '- Revisar manualmente.' ELSE '- a' || chr(10) || '- b' END || chr(10) || chr(10) || 'Link para aplicar:' || chr(10) || 'http://x/' || id"
+
+
+@query(f"WITH {_OFFERS} SELECT id, {_MESSAGE} AS message FROM offers")
+def alert_messages(spark, d):
+    """Each offer as a message of its own."""
+    reasons = F.when(F.col("id") % 4 == 0, F.array(F.lit(" "))).otherwise(F.array(F.lit("a "), F.lit(""), F.lit("b")))
+    return offers(spark, d).withColumn("match_reason", reasons).select("id", digest.alert_text().alias("message"))
+
+
+@query(f"WITH {_OFFERS} SELECT id, notified OR id % 3 = 0 AS notified, CASE WHEN id % 3 = 0 THEN '{_NOW}' ELSE '' END AS notified_at, CASE WHEN id % 4 = 0 THEN 'applied' ELSE 'new' END AS status FROM offers")
+def offers_marked(spark, d):
+    """Offers after a delivery, of which only the delivered are marked, and a change of status."""
+    rows = offers(spark, d).withColumns({"notified_at": F.lit(None).cast("timestamp"), "status": F.lit("new")})
+    rows = digest.marked(rows, rows.where("id % 3 = 0").select("id"), "id", F.lit(_NOW).cast("timestamp"))
+    return merge.updated(rows, F.col("id") % 4 == 0, status=F.lit("applied")).select("id", "notified", F.coalesce(stamp("notified_at"), F.lit("")).alias("notified_at"), "status")
+
+
+@query(f"WITH {_OFFERS} SELECT id, score FROM offers WHERE NOT notified AND score >= 30 AND (portal <> 'O' OR easy) AND (id % 2 = 0 OR id % 48 <= 24)")
+def notifiable_offers(spark, d):
+    """Offers to notify: score, application type of one portal, and age; unknown times are fresh."""
+    now = F.lit(_NOW).cast("timestamp")
+    at = F.when(F.col("id") % 2 == 1, now - F.make_dt_interval(hours=(F.col("id") % 48).cast("int")))
+    rows = offers(spark, d).withColumns({"published_at": at, "portal": F.when(F.col("portal") == "O", "LinkedIn ").otherwise(F.col("portal"))})
+    return routing.notifiable(rows, now, 30, only_easy_apply=True).select("id", F.col("compatibility_score").alias("score"))
+
+
+@query("""WITH n AS (SELECT o_custkey, o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN o_orderpriority ELSE 'estado ' || o_orderstatus END AS note FROM orders), f AS (SELECT o_custkey, note, min(o_orderkey) AS k FROM n GROUP BY 1, 2)
+SELECT o_custkey, coalesce(string_agg(note, chr(10) ORDER BY k) FILTER (WHERE note <> ''), '') AS notes FROM f GROUP BY 1""")
+def notes_merged(spark, d):
+    """Notes of an offer's sightings in order, none said twice."""
+    note = F.when(F.col("o_orderkey") % 3 == 0, "").when(F.col("o_orderkey") % 3 == 1, F.col("o_orderpriority")).otherwise(F.concat(F.lit("estado "), "o_orderstatus"))
+    rows = t(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("seq"), note.alias("notes"))
+    return rows.groupBy("o_custkey").agg(merge.notes_in_order().alias("notes"))
+
+
 # ------------------------------------------------------------------ profiles
 
 
