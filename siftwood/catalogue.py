@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from . import fixed_values as V
 from .functions import dates, text, urls
 from .operators import digest, merge, profile, reads, resume, resume_builder, routing, scoring, state
-from .sources import details, html, portals, sinks, walls
+from .plans import cycle
+from .sources import details, documents, html, portals, sinks, walls
 from .streaming import machine
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -834,9 +835,83 @@ def notes_merged(spark, d):
     return rows.groupBy("o_custkey").agg(merge.notes_in_order().alias("notes"))
 
 
+@query(f"WITH {_relevance_cte('backend_junior')}, m AS ({_match_sql()}) SELECT r.doc_id, CASE WHEN r.relevant THEN 'offer' ELSE 'discarded' END AS outcome, CAST(m.score AS DOUBLE) AS score FROM relevance r JOIN m ON m.doc_id = r.doc_id")
+def cycle_run(spark, d):
+    """A whole cycle over the documents as a first batch: its offers and its discarded rows."""
+    rows = _batch(spark, d)
+    nothing = rows.where("seq < 0").withColumns({"normalized_url": F.lit(""), "url_hash": F.lit("")})
+    rejected = nothing.withColumns({"seen_count": F.lit(0), "last_seen_at": F.col("found_at"), "compatibility_score": F.lit(0.0), "discard_reasons": F.array(F.lit("")), "detected_keywords": F.array(F.lit(""))})
+    seen = nothing.select("url_hash", F.col("found_at").alias("first_seen_at"), F.col("found_at").alias("last_seen_at"), "portal")
+    out = cycle.run_cycle(rows, nothing, rejected, seen, "backend_junior", F.lit(_NOW).cast("timestamp"))
+    told = lambda some, outcome: some.select(F.substring_index("normalized_url", "/", -1).cast("long").alias("doc_id"), F.lit(outcome).alias("outcome"), F.col("compatibility_score").alias("score"))
+    return told(out.offers, "offer").unionByName(told(out.discarded, "discarded"))
+
+
+def _batch(spark, d) -> DataFrame:
+    """Documents as a batch of listings, each of its own company."""
+    k = F.col("doc_id")
+    return listings(spark, d).select(
+        k.alias("seq"), "title", F.concat(F.lit("c"), k).alias("company"), F.lit("p").alias("portal"), "location", "modality", F.lit("").alias("salary"), F.concat(F.lit("http://x/"), k).alias("url"), "description",
+        "requirements", F.lit(None).cast("timestamp").alias("published_at"), F.lit(_NOW).cast("timestamp").alias("found_at"), F.lit("").alias("raw_posted_text"), F.lit(1).cast("long").alias("source_id"), F.lit("unknown").alias("application_type"),
+    )
+
+
+@query(f"WITH {_relevance_cte('backend_junior')} SELECT doc_id, CASE WHEN relevant THEN 'accepted' ELSE 'discarded' END AS outcome FROM relevance")
+def cycle_dry_run(spark, d):
+    """What a cycle would do with each listing."""
+    out = cycle.dry_run(_batch(spark, d), "backend_junior")
+    return out.select(F.substring_index("url", "/", -1).cast("long").alias("doc_id"), "outcome")
+
+
+@query("""SELECT event_id, 'Cargo ' || event_id AS title, CASE WHEN event_id % 2 = 0 THEN 'Co ' || event_type ELSE '' END AS company, 'Cali' AS location, 'https://ex.com/' || event_id AS url, length(event_type) > 0 AS described FROM events""")
+def listing_texts(spark, d):
+    """Listings read from plain text: its first line, its prefixed fields and its first address."""
+    raw = F.concat(F.lit("\n  Cargo "), "event_id", F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("\nEMPRESA : Co "), "event_type")).otherwise(""), F.lit("\nUbicación: Cali \nver https://ex.com/"), "event_id", F.lit(" y https://otra.com/1"))
+    rows = t(spark, d, "events").select("event_id", documents.listing_of(raw).alias("l"))
+    return rows.select("event_id", "l.title", "l.company", "l.location", "l.url", (F.length("l.description") > 0).alias("described"))
+
+
 # ------------------------------------------------------------------ profiles
 
 
+@query("""SELECT c_custkey, 'ana.' || c_custkey || '@ex.com' AS email, '+57 300 123 ' || (1000 + c_custkey % 9000) AS phone, 'https://www.linkedin.com/in/a' || c_custkey AS linkedin, CASE WHEN c_custkey % 2 = 0 THEN 'https://github.com/g' || c_custkey ELSE '' END AS github, 'https://ana.dev/p' || c_custkey AS portfolio FROM customer""")
+def contacts_found(spark, d):
+    """Contact fields found in profile texts."""
+    k = F.col("c_custkey").cast("string")
+    raw = F.concat(F.lit("Ana\nEmail: ana."), k, F.lit("@ex.com\nTel: +57  300 123 "), (1000 + F.col("c_custkey") % 9000).cast("string"), F.lit("\nhttps://www.linkedin.com/in/a"), k, F.lit(",\n"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("github.com/g"), k)).otherwise(""), F.lit("\nhttps://ana.dev/p"), k, F.lit("."))
+    return t(spark, d, "customer").select("c_custkey", profile.contact(raw).alias("c")).select("c_custkey", "c.*")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'Ana María' ELSE 'Ana' END AS full_name, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE '' END AS email,
+CASE WHEN c_custkey % 5 = 0 THEN 'SQL,Python' WHEN c_custkey % 3 = 0 THEN 'SQL,Python,Go' ELSE 'sql,Go' END AS skills FROM customer""")
+def profiles_merged(spark, d):
+    """Two versions of profiles made one; some are in one version only."""
+    k = F.col("c_custkey")
+    rows = t(spark, d, "customer")
+    skills = lambda *s: F.array(*(F.lit(x) for x in s))
+    first = rows.where((k % 3 == 0) | (k % 5 == 0)).select("c_custkey", F.lit("Ana").alias("full_name"), F.lit("").alias("email"), skills("SQL", "Python").alias("skills"))
+    second = rows.where(k % 5 != 0).select("c_custkey", F.when(k % 3 == 0, "Ana María").otherwise("Ana").alias("full_name"), F.when(k % 2 == 0, F.col("c_name")).otherwise("").alias("email"), skills("sql", "Go").alias("skills"))
+    third = rows.where(k % 5 == 0).select("c_custkey", F.when(k % 3 == 0, "Ana María").otherwise("An").alias("full_name"), F.when(k % 2 == 0, F.col("c_name")).otherwise(" ").alias("email"), skills("python ", "").alias("skills"))
+    return profile.merged_profiles(first, second.unionByName(third), "c_custkey").select("c_custkey", "full_name", "email", F.array_join("skills", ",").alias("skills"))
+
+
+@query("""WITH e AS (SELECT DISTINCT o_custkey, o_orderpriority AS role, o_orderstatus AS company FROM orders), s AS (SELECT *, lower(role || ' ' || company || ' tarea ' || company) AS x FROM e),
+p AS (SELECT *, CASE WHEN lower(company || '|' || role) = 'o|1-urgent' THEN 0 ELSE 999 END AS p, 2 * (CAST(contains(x, 'urgent') AS INTEGER) + CAST(contains(x, 'high') AS INTEGER)) + CAST(contains(x, 'tarea f') AS INTEGER) AS score FROM s)
+SELECT o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY p, score DESC, company, role) AS INTEGER) AS position, company, role, score FROM p QUALIFY position <= 5""")
+def experiences_ranked(spark, d):
+    """Experiences of each profile by given priorities and score, the first of each employer and role."""
+    rows = t(spark, d, "orders").select("o_custkey", F.col("o_orderpriority").alias("role"), F.col("o_orderstatus").alias("company"), F.array(F.concat(F.lit("Tarea "), "o_orderstatus")).alias("bullets"))
+    return profile.ranked_experiences(rows, "o_custkey", ("urgent", "high"), ("tarea f",), {"o|1-urgent": 0}).select("o_custkey", "position", "company", "role", "score")
+
+
+@query("SELECT o.o_orderkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM orders e WHERE e.o_custkey = o.o_custkey AND e.o_orderkey % 3 = 0 AND e.o_orderpriority = o.o_orderpriority)")
+def projects_uncovered(spark, d):
+    """Projects that are no experience of the same profile."""
+    rows = t(spark, d, "orders")
+    done = rows.where("o_orderkey % 3 = 0").select("o_custkey", F.upper("o_orderpriority").alias("company"))
+    return profile.uncovered_projects(rows.select("o_custkey", "o_orderkey", F.col("o_orderpriority").alias("name")), done, "o_custkey").select("o_orderkey")
+
+
 @query()
 def near_dup_greedy(spark, d):
     """Lines of each document without those similar to an earlier kept one: a fold in order (checked against a loop in the tests)."""

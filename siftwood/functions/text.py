@@ -57,12 +57,24 @@ def term_pattern(term: str) -> str:
     return r"(?<![a-z0-9])" + re.sub(r"([^\w\s])", r"\\\1", term) + r"(?![a-z0-9])"
 
 
-def has_term(c: Text, term: str) -> Column:
+def quoted(value: str) -> str:
+    """A string as a SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def term_test(name: str, term: str) -> str:
+    """Whole-term test of a named column as SQL: long term lists are parsed in one call, where each Column call is a round trip of its own."""
     # the plain search is cheap and settles most rows before the pattern runs
-    return col(c).contains(term) & col(c).rlike(term_pattern(term))
+    return f"(contains(`{name}`, {quoted(term)}) AND `{name}` RLIKE {quoted(term_pattern(term))})"
+
+
+def has_term(c: Text, term: str) -> Column:
+    return F.expr(term_test(c, term)) if isinstance(c, str) else c.contains(term) & c.rlike(term_pattern(term))
 
 
 def has_any_term(c: Text, terms) -> Column:
+    if isinstance(c, str) and terms:
+        return F.expr(" OR ".join(term_test(c, t) for t in terms))
     out = F.lit(False)
     for t in terms:
         out = out | has_term(c, t)
@@ -71,9 +83,11 @@ def has_any_term(c: Text, terms) -> Column:
 
 def term_hits(c: Text, terms) -> Column:
     """The terms that a normalised text holds, in their order."""
-    if isinstance(c, Column) and terms:
-        return let(c, lambda x: F.array_compact(F.array(*(F.when(has_term(x, t), F.lit(t)) for t in terms))))
-    return F.array_compact(F.array(*(F.when(has_term(c, t), F.lit(t)) for t in terms))) if terms else F.array().cast("array<string>")
+    if not terms:
+        return F.array().cast("array<string>")
+    if isinstance(c, str):
+        return F.expr("array_compact(array(" + ", ".join(f"CASE WHEN {term_test(c, t)} THEN {quoted(t)} END" for t in terms) + "))")
+    return let(c, lambda x: F.array_compact(F.array(*(F.when(has_term(x, t), F.lit(t)) for t in terms))))
 
 
 def contains_any(c: Text, parts) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
-from ..functions.text import Text, col, contains_any, first_label, has_any_term, joined, keep_first, keep_first_ci, let, norm_key, norm_soft, pretty, shared_tokens, split_list, term_hits
+from ..functions.text import Text, col, contains_any, first_label, has_any_term, joined, keep_first, keep_first_ci, let, norm_key, norm_soft, pretty, quoted, shared_tokens, split_list, term_hits, term_test
 
 NO_TERMS = "cast(array() as array<string>)"
 
@@ -21,6 +21,8 @@ def target_of(role: Text, targets=tuple(V.TITLE_SIGNALS)) -> Column:
 
 def point_sum(text: Text, rules) -> Column:
     """Sum of the points of all (term, points, ...) rules whose term the text holds; overlapping terms count each."""
+    if isinstance(text, str) and rules:
+        return F.expr(" + ".join(f"CASE WHEN {term_test(text, term)} THEN {int(points)} ELSE 0 END" for term, points, *_ in rules))
     out = F.lit(0)
     for term, points, *_ in rules:
         out = out + F.when(has_any_term(text, [term]), points).otherwise(0)
@@ -28,6 +30,8 @@ def point_sum(text: Text, rules) -> Column:
 
 
 def point_reasons(text: Text, rules) -> Column:
+    if isinstance(text, str) and rules:
+        return F.expr("array_compact(array(" + ", ".join(f"CASE WHEN {term_test(text, term)} THEN {quoted(reason)} END" for term, _, reason in rules) + "))")
     return F.array_compact(F.array(*(F.when(has_any_term(text, [term]), F.lit(reason)) for term, _, reason in rules)))
 
 

@@ -21,13 +21,18 @@ class CycleResult:
     seen: DataFrame
     stats: DataFrame
     digest: DataFrame
+    gated: DataFrame
+
+    def release(self) -> None:
+        """Frees the gated batch, once the outputs are written."""
+        self.gated.unpersist()
 
 
 def run_cycle(listings: DataFrame, offers: DataFrame, rejected: DataFrame, seen: DataFrame, target: Column | str, now: Column, profile: DataFrame | None = None, settings: Settings = DEFAULTS) -> CycleResult:
     """One cycle over a batch of listings (with seq, larger than any before) and the snapshots so far.
 
-    Running the same batch again changes no offer and queues nothing that is notified. The gated batch feeds all outputs; persist it
-    (or write it) before using more than one of them.
+    Running the same batch again changes no offer and queues nothing that is notified. The gated batch feeds all outputs and is
+    kept for them; release() frees it.
     """
     gated = routed(listings, target, profile, settings.only_easy_apply).persist()
     yes, no = accepted(gated), discarded(gated)
@@ -43,7 +48,7 @@ def run_cycle(listings: DataFrame, offers: DataFrame, rejected: DataFrame, seen:
     old_seen = seen.select("url_hash", F.col("first_seen_at").alias("first"), F.col("last_seen_at").alias("last"), "portal")
     hashes = old_seen.unionByName(again).groupBy("url_hash").agg(F.min("first").alias("first_seen_at"), F.max("last").alias("last_seen_at"), F.min_by("portal", "first").alias("portal"))
     queue = notifiable(merged, now, settings.match_threshold, settings.freshness_hours, settings.only_easy_apply)
-    return CycleResult(merged, kept, hashes, run_stats(gated, "source_id", "portal"), digest(queue, settings))
+    return CycleResult(merged, kept, hashes, run_stats(gated, "source_id", "portal"), digest(queue, settings), gated)
 
 
 def dry_run(listings: DataFrame, target: Column | str, settings: Settings = DEFAULTS) -> DataFrame:
