@@ -71,6 +71,12 @@ def bounded_rows(rows, most: int, *keys: str):
     return hashed.where(F.col(name) <= F.lit(cut)).dropDuplicates([name]).drop(name)
 
 
+def arrow_type(table, column: str) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(table.select(column).schema).types[0]
+
+
 def free_name(table, stem: str) -> str:
     """A column name that table doesn't have, in any case."""
     taken = {c.lower() for c in table.columns}
