@@ -21,20 +21,22 @@ from pyspark.sql import functions as F
 
 from .textkit import free_name
 
-# What the patterns of entities are.
+# What the patterns of entities are. Groups are repeated a bounded number of times, as the engine matches each repetition one call deeper:
+# an e-mail has a local part of at most 64 characters, and 127 labels of at most 63 after the first; a name has at most five titles and nine parts in a word.
+# Of longer domains and rows of titles the first so many are an entity, and what follows is read anew; longer local parts and words are none.
 TITLES = ("Mr", "Mrs", "Ms", "Miss", "Mx", "Dr", "Prof", "Professor", "Doctor", "Sir", "Herr", "Frau", "Señor", "Señora", "Madame", "Mme", "Monsieur", "Господин", "Госпожа")
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 # a name's word: parts that each begin with a capital, joined by hyphens, apostrophes or nothing (Jean-Pierre, O'Brien, McDonald)
-_WORD = r"\p{Lu}(?:\p{Ll}+|['’]\p{Lu}\p{Ll}+)(?:['’-]?\p{Lu}\p{Ll}+)*"
+_WORD = r"\p{Lu}(?:\p{Ll}++|['’]\p{Lu}\p{Ll}++)(?:['’-]?\p{Lu}\p{Ll}++){0,8}"
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,127}",
     "secret": r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b ?[=:] ?\"?)[A-Za-z0-9+/_-]{8,}+|\bAKIA[0-9A-Z]{16}\b",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
     "phone": r"(?<![\w.+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w.])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w.-])(?:\d{4}[ -]?){3}\d{4}(?![\w-])|(?<![\w.-])3[47]\d{2}[ -]?\d{6}[ -]?\d{5}(?![\w-])",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "name": rf"(?<!\pL)(?:{'|'.join(TITLES)})\.? (?:(?:{'|'.join(TITLES)})\.? )*{_WORD}(?: {_WORD})?(?!\pL)",
+    "name": rf"(?<!\pL)(?:{'|'.join(TITLES)})\.? (?:(?:{'|'.join(TITLES)})\.? ){{0,4}}{_WORD}(?: {_WORD})?(?!\pL)",
 }
 # Given names by script and gender; a given name is replaced by another of its list.
 GIVEN = {
@@ -111,14 +113,17 @@ def permuted(text: Column, tweak: Column | str, classes: tuple[str, ...], key: s
 
 
 def _chars(text: Column) -> Column:
-    return F.filter(F.split(text, ""), lambda c: c != "")
+    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
 
 
 def _refilled(entity: Column, core: Column) -> Column:
     """entity with its letters and digits replaced by those of core, in order, in the case that they had."""
-    before = lambda i: F.length(F.regexp_replace(entity.substr(F.lit(1), i + 1), r"[^\pL\pN]", ""))
-    new = lambda k, i: k.substr(before(i), F.lit(1))
-    return _let(core, lambda k: F.array_join(F.transform(_chars(entity), lambda c, i: F.when(c.rlike(r"\p{Lu}"), F.upper(new(k, i))).when(c.rlike(r"[\pL\pN]"), new(k, i)).otherwise(c)), ""))
+    placed = F.transform(_chars(entity), lambda c, i: F.struct(i.alias("i"), c.alias("c")))
+    is_core = lambda x: x["c"].rlike(r"[\pL\pN]")
+    new = lambda x, k: F.struct(x["i"].alias("i"), F.when(x["c"].rlike(r"\p{Lu}"), F.upper(k)).otherwise(k).alias("c"))
+    # letters and marks apart, and put back by place: no character looks at all those before it
+    woven = lambda p: F.concat(F.zip_with(F.filter(p, is_core), _chars(core), new), F.filter(p, lambda x: ~is_core(x)))
+    return _let(placed, lambda p: F.array_join(F.transform(F.array_sort(woven(p)), lambda x: x["c"]), ""))
 
 
 def _core(entity: Column) -> Column:
@@ -209,7 +214,7 @@ def _given_names(key: str) -> Column:
 
 def _name(e: Column, key: str) -> Column:
     # (titles )(given )(family); the titles are kept and with it the gender
-    head = F.regexp_extract(e, rf"^((?:(?:{'|'.join(TITLES)})\.? )+)", 1)
+    head = F.regexp_extract(e, rf"^((?:(?:{'|'.join(TITLES)})\.? ){{1,5}})", 1)
     words = F.split(e.substr(F.length(head) + 1, F.length(e)), " ")
     known = _given_names(key)
 

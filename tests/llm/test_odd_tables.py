@@ -139,3 +139,26 @@ def test_queries_equal_their_sql(spark, sf, tmp_path):
     script = os.path.join(os.path.dirname(os.path.dirname(__file__)), "compare_sql.py")
     done = subprocess.run([sys.executable, script, sf, str(tmp_path)], capture_output=True, text=True, timeout=300)
     assert done.returncode == 0, done.stdout + done.stderr
+
+
+def test_long_entities_are_replaced_in_linear_time(spark, tmp_path):
+    """100,000 repetitions of whatever a pattern repeats neither end the executor nor take long."""
+    import time
+
+    n = 100_000
+    hostile = [
+        "a@b" + ".c" * n, "a" * n + "@b.com", "a@" + "b" * n + ".com", "a@b.com" + "." * n, "a@" * n, "Mr " * n, "Mr" + " " * n, "Mr " + "Ab" * n, "Mr " + "Ab-" * n, "Mr O" + "'Ab" * n, "Mr A" + "b" * n,
+        "password=" + "aB3/" * n, "token: " + "ab01" * n, "password=" * n, "10.0.0.1." * n, "+1 " + "234-" * n, "(22" * n, "1" * n, "4111 " * n, "DE12 " + "ABCD " * n, "Dr. Prof. " * n + "Smith",
+    ]
+    rows = table(spark, [(i, text, "en", "a") for i, text in enumerate(hostile)]).repartition(4)
+    built = pii.pseudonymised(rows, "k")
+    began = time.time()
+    got = {r["doc_id"]: r for r in built.select("doc_id", "text", "__entities").collect()}
+    assert time.time() - began < 60
+    for i, text in enumerate(hostile):
+        assert len(got[i]["text"]) == len(text)
+        assert (got[i]["text"] == text) == all(e["entity"] == e["surrogate"] for e in got[i]["__entities"])
+    told = lambda i: (got[i]["__entities"][0]["kind"], len(got[i]["__entities"][0]["entity"]))
+    assert told(0) == ("email", 3 + 2 * 127) and told(3) == ("email", 7) and told(10) == ("name", 4 + n) and told(11) == ("secret", 9 + 4 * n) and told(12)[0] == "secret"
+    assert not got[1]["__entities"] and not got[2]["__entities"] and not got[7]["__entities"] and not got[14]["__entities"]
+    corpus_pipeline.replace_personal_data(spark, rows, "").write.parquet(str(tmp_path / "o"))
