@@ -934,12 +934,14 @@ def line_records(spark, d):
     return out.select("conv_id", "record", F.md5("head").alias("head_md5"), F.size("items").cast("long").alias("n_items"))
 
 
-@query("""SELECT o_custkey, arg_min(x, y) FILTER (WHERE y IS NOT NULL) AS first_month, arg_max(x, y) FILTER (WHERE y IS NOT NULL) AS last_month FROM (SELECT o_custkey,
-  (['enero','febrero','marzo','abril','mayo','junio','julio','agosto','septiembre','octubre','noviembre','diciembre'])[month(o_orderdate)] || ' ' || year(o_orderdate) AS x, CASE WHEN o_orderkey % 10 <> 0 THEN year(o_orderdate) * 12 + month(o_orderdate) END AS y FROM orders) GROUP BY 1""")
+@query("""SELECT o_custkey, coalesce(arg_min(x, y * 100000000 + o_orderkey) FILTER (WHERE y IS NOT NULL), arg_max(x, o_orderkey)) AS first_month,
+  coalesce(arg_max(x, y * 100000000 - o_orderkey) FILTER (WHERE y IS NOT NULL), arg_max(x, o_orderkey)) AS last_month FROM (SELECT o_custkey, o_orderkey,
+  CASE WHEN o_orderkey % 10 = 0 THEN 'actual' ELSE (['enero','febrero','marzo','abril','mayo','junio','julio','agosto','septiembre','octubre','noviembre','diciembre'])[month(o_orderdate)] || ' ' || year(o_orderdate) END AS x,
+  CASE WHEN o_orderkey % 10 <> 0 THEN CAST(year(o_orderdate) * 12 + month(o_orderdate) AS BIGINT) END AS y FROM orders) GROUP BY 1""")
 def month_year_minmax(spark, d):
     name = F.element_at(F.array(*(F.lit(m) for m in V.MONTHS)), F.month("o_orderdate"))
     value = F.when(F.col("o_orderkey") % 10 == 0, "actual").otherwise(F.concat_ws(" ", name, F.year("o_orderdate").cast("string")))
-    rows = t(spark, d, "orders").select("o_custkey", value.alias("v"))
+    rows = t(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("seq"), value.alias("v"))
     return rows.groupBy("o_custkey").agg(profile.boundary_date("v", True).alias("first_month"), profile.boundary_date("v", False).alias("last_month"))
 
 

@@ -72,10 +72,10 @@ def publication_text(published_at: Text, raw: Text, zone: str | None = None) ->
 
 
 def month_year(value: Text) -> Column:
-    """struct(year, month) of a text with a Spanish month and a year, else NULL."""
-    t = norm_key(value)
-    month = F.array_position(F.array(*(F.lit(m) for m in MONTHS)), F.regexp_extract(t, f"({'|'.join(MONTHS)})", 1)).cast("int")
-    year = F.regexp_extract(t, r"(\d{4})", 1)
+    """struct(year, month) of a text with a Spanish month followed by a year, else NULL."""
+    t, dated = norm_key(value), rf"({'|'.join(MONTHS)})\s+(\d{{4}})"
+    month = F.array_position(F.array(*(F.lit(m) for m in MONTHS)), F.regexp_extract(t, dated, 1)).cast("int")
+    year = F.regexp_extract(t, dated, 2)
     return F.when((month > 0) & (year != ""), F.struct(F.nullif(year, F.lit("")).cast("int").alias("year"), month.alias("month")))
 
 

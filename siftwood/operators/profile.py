@@ -139,10 +139,12 @@ def uncovered_projects(projects: DataFrame, experiences: DataFrame, doc: str) ->
     return projects.withColumn("__k", norm_key("name")).join(done, [doc, "__k"], "left_anti").drop("__k")
 
 
-def boundary_date(value: str, earliest: bool) -> Column:
-    """Aggregate: the text with the earliest or latest month and year; texts without one lose."""
+def boundary_date(value: str, earliest: bool, seq: str = "seq") -> Column:
+    """Aggregate: the text with the earliest or latest month and year, the first of equal ones; where none has a month, the last text by seq."""
     when = month_year(value)
-    return F.coalesce(F.min_by(value, when) if earliest else F.max_by(value, when), F.max(value))
+    dated = lambda place: F.when(when.isNotNull(), F.struct(when, place))
+    best = F.min_by(value, dated(F.col(seq))) if earliest else F.max_by(value, dated(-F.col(seq)))
+    return F.coalesce(best, F.max_by(value, F.when(F.col(value).isNotNull(), F.col(seq))))
 
 
 def merged_experiences(rows: DataFrame, doc: str, seq: str = "seq") -> DataFrame:
@@ -154,7 +156,7 @@ def merged_experiences(rows: DataFrame, doc: str, seq: str = "seq") -> DataFrame
     keyed = rows.withColumns({"__c": norm_key("company"), "__r": norm_key("role")})
     merged = keyed.groupBy(*keys).agg(
         F.min_by("company", seq).alias("company"), F.min_by("role", seq).alias("role"), F.coalesce(F.min_by("location", F.when(text("location") != "", F.col(seq))), F.lit("")).alias("location"),
-        boundary_date("start_date", True).alias("start_date"), boundary_date("end_date", False).alias("end_date"),
+        boundary_date("start_date", True, seq).alias("start_date"), boundary_date("end_date", False, seq).alias("end_date"),
     )
     each = keyed.select(*keys, F.col(seq).alias("__s"), F.posexplode("bullets").alias("__i", "__b")).withColumn("__b", F.trim(text("__b"))).where("__b <> ''")
     first = each.groupBy(*keys, F.lower("__b").alias("__k")).agg(F.min(F.struct("__s", "__i", "__b")).alias("__x"))

@@ -177,18 +177,20 @@ def plain(c: Text) -> Column:
 
 def polished(c: Text) -> Column:
     """Plain text with the accents that some words lack."""
-    out = plain(c)
-    # a cheap look spares texts without such a word all of the replacements
-    bare = F.lower(out).rlike("|".join(ACCENTS))
-    fixed = out
-    for word, right in ACCENTS.items():
-        for a, b in ((word, right), (word[0].upper() + word[1:], right[0].upper() + right[1:])):
-            fixed = F.regexp_replace(fixed, rf"(?U)\b{a}\b", b)
-    return F.when(bare, fixed).otherwise(out)
+
+    def accented(out: Column) -> Column:
+        # a cheap look spares texts without such a word all of the replacements
+        fixed = out
+        for word, right in ACCENTS.items():
+            for a, b in ((word, right), (word[0].upper() + word[1:], right[0].upper() + right[1:])):
+                fixed = F.regexp_replace(fixed, rf"(?U)\b{a}\b", b)
+        return F.when(F.lower(out).rlike("|".join(ACCENTS)), fixed).otherwise(out)
+
+    return let(plain(c), accented)
 
 
 def is_blocked(c: Text, blocked=BLOCKED_PARTS) -> Column:
-    return contains_any(norm_key(plain(c)), blocked)
+    return let(norm_key(plain(c)), lambda x: contains_any(x, blocked))
 
 
 def distinct_skills(values: Column) -> Column:
@@ -227,15 +229,17 @@ def context(*names: str) -> Column:
 
 def signals(said: Column, found: Column) -> Column:
     """Names of all that a profile shows: signals of its text, of its roles, and its technologies."""
-    supports = F.exists("experiences", lambda e: contains_any(norm_key(F.concat_ws(" ", e["role"], e["company"])), SUPPORT_ROLES))
-    hosts = functools.reduce(lambda a, b: a & b, (F.array_contains(found, h) for h in HOSTING))
+    supports = F.exists("experiences", lambda e: let(norm_key(F.concat_ws(" ", e["role"], e["company"])), lambda x: contains_any(x, SUPPORT_ROLES)))
 
-    def shows(name: str, words) -> Column:
-        out = contains_any(said, words)
-        out = out | supports if name in SIGNALS_OF_SUPPORT_ROLES else out
-        return out | hosts if name in SIGNALS_OF_HOSTING else out
+    def of(x: Column) -> Column:
+        def shows(name: str, words) -> Column:
+            out = contains_any(x["said"], words)
+            out = out | x["supports"] if name in SIGNALS_OF_SUPPORT_ROLES else out
+            return out | functools.reduce(lambda a, b: a & b, (F.array_contains(x["found"], h) for h in HOSTING)) if name in SIGNALS_OF_HOSTING else out
 
-    return F.concat(found, F.array_compact(F.array(*(F.when(shows(n, w), F.lit(n)) for n, w in SIGNALS.items()))))
+        return F.concat(x["found"], F.array_compact(F.array(*(F.when(shows(n, w), F.lit(n)) for n, w in SIGNALS.items()))))
+
+    return let(F.struct(said.alias("said"), found.alias("found"), supports.alias("supports")), of)
 
 
 def skill_sections(shown: Column, target: str, offer: Column | None = None) -> Column:
@@ -247,11 +251,13 @@ def skill_sections(shown: Column, target: str, offer: Column | None = None) -> C
         score = lambda s: F.size(F.filter(offer, lambda w: F.contains(norm_key(s), w)))
         return F.reverse(F.transform(F.array_sort(F.transform(skills, lambda s: F.struct(score(s).alias("n"), norm_key(s).alias("k"), s.alias("s")))), lambda x: x["s"]))
 
-    rows = []
-    for category, skills in TARGET_SECTIONS[known(target)]:
-        held = F.array_compact(F.array(*(F.when(F.arrays_overlap(shown, F.array(*map(F.lit, any_of))), F.lit(skill)) for skill, any_of in skills)))
-        rows.append(F.struct(F.lit(category).alias("category"), distinct_skills(ordered(held)).alias("skills")))
-    return F.filter(F.array(*rows), lambda s: F.size(s["skills"]) > 0)
+    def of(names: Column) -> Column:
+        """The target's whole table of skills as data, looked through once."""
+        table = F.array(*(F.struct(F.lit(category).alias("category"), F.array(*(F.struct(F.lit(skill).alias("skill"), F.array(*map(F.lit, any_of)).alias("any_of")) for skill, any_of in skills)).alias("skills")) for category, skills in TARGET_SECTIONS[known(target)]))
+        held = lambda row: F.transform(F.filter(row["skills"], lambda s: F.arrays_overlap(names, s["any_of"])), lambda s: s["skill"])
+        return F.filter(F.transform(table, lambda row: F.struct(row["category"].alias("category"), distinct_skills(ordered(held(row))).alias("skills"))), lambda s: F.size(s["skills"]) > 0)
+
+    return let(shown, of)
 
 
 def ranked_skills(sections: Column) -> Column:
@@ -260,8 +266,7 @@ def ranked_skills(sections: Column) -> Column:
 
 def target_summary(sections: Column, target: str, title: Column | None = None) -> Column:
     """A target's opening, the first four skills, and the listing that it is for."""
-    best = F.slice(ranked_skills(sections), 1, 4)
-    skills = F.when(F.size(best) > 0, F.concat(F.lit("Capacidades relevantes: "), F.array_join(best, ", "), F.lit("."))).otherwise("")
+    skills = let(F.slice(ranked_skills(sections), 1, 4), lambda best: F.when(F.size(best) > 0, F.concat(F.lit("Capacidades relevantes: "), F.array_join(best, ", "), F.lit("."))).otherwise(""))
     made_for = F.when(text(title) != "", F.concat(F.lit("Adaptado para una vacante de "), title, F.lit("."))).otherwise("") if title is not None else F.lit("")
     return polished(joined_parts([F.lit(TARGET_SUMMARIES[known(target)]), skills, made_for], " "))
 
@@ -271,7 +276,7 @@ def target_summary(sections: Column, target: str, title: Column | None = None) -
 
 def allowed(record: Column, blocked=BLOCKED_PARTS) -> Column:
     said = norm_key(F.concat_ws(" ", record["role"], record["company"], record["location"], record["start_date"], record["end_date"], F.array_join(record["bullets"], " ")))
-    return ~contains_any(said, (*blocked, "operador"))
+    return let(said, lambda x: ~contains_any(x, (*blocked, "operador")))
 
 
 def allowed_project(p: Column, blocked=BLOCKED_PARTS) -> Column:

@@ -53,3 +53,12 @@ def test_texts(spark):
     assert one(build.letter_summary(F.lit("Yo."), F.lit("X"), F.array(F.lit("why")))) == "Yo. Perfil orientado a la vacante de X. Coincidencia principal: why."
     assert one(build.application_message(F.lit("X"), F.lit("puesto QA y backend"), F.lit("Ana"), F.lit("Ing."), F.lit("SQL"), F.lit(""))) == "Hola, me interesa la vacante de X. Soy Ana, Ing., con conocimientos en SQL. " + build.ROLE_SENTENCES["qa"]
     assert one(build.with_support_sentences(F.array(F.lit("abc")), F.lit("Técnico en soporte"), F.lit("recursos tecnológicos"), "cloud_support"))[1].startswith("Gestión y organización")
+
+
+def test_sections_of_a_target_make_a_small_plan(spark, sf):
+    """What a profile shows is worked out once, not once for each skill of the target's table."""
+    from siftwood import catalogue
+
+    found = catalogue.QUERIES["resume_sections"](spark, sf)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 50_000 and plan.count("regexp_replace") < 150
