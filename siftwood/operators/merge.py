@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import append_line, text
 from ..functions.urls import canonical_url, url_hash
+from .identity import with_component
 
 FIRST_TEXT = ("company", "portal", "normalized_url", "url_hash")
 LONGEST = ("location", "modality", "salary", "description", "requirements", "raw_posted_text")
@@ -76,14 +77,19 @@ def identified(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return rows.withColumn("key", F.coalesce(fresh, same_name)).drop("__t", "__c", "__p", "__own", "__by_url", "__by_norm", "__by_nat")
 
 
-def merged_offers(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+def merged_offers(existing: DataFrame, incoming: DataFrame, chains: bool = False, found: DataFrame | None = None) -> DataFrame:
     """Snapshot of accepted offers after a batch, one row per key.
 
     The title and url stay the first ones; company, portal, canonical url and hash are the first that are not empty; place, modality, salary and
     texts the longest; dates and source the first known; the application type the first known; notes are added. Both
-    inputs have seq, smaller in existing.
+    inputs have seq, smaller in existing. chains: offers are the same through any number of others (A like B by url, B like C by
+    name), which may make two existing offers one; found says which (seq, component), else it is worked out from the rows. Without chains they end after two links.
     """
-    both = existing.withColumn("key", own_key()).unionByName(identified(existing, incoming), allowMissingColumns=True)
+    if chains or found is not None:
+        arrived = incoming.withColumn("normalized_url", F.when(F.trim(text("url")) == "", "").otherwise(canonical_url("url"))).withColumn("url_hash", url_hash("normalized_url"))
+        both = with_component(existing.unionByName(arrived, allowMissingColumns=True), found).withColumnRenamed("component", "key")
+    else:
+        both = existing.withColumn("key", own_key()).unionByName(identified(existing, incoming), allowMissingColumns=True)
     have = set(both.columns)
     for c in ("notes", "application_type"):
         if c not in have:
@@ -93,7 +99,7 @@ def merged_offers(existing: DataFrame, incoming: DataFrame) -> DataFrame:
         F.min_by("title", "seq").alias("title"), F.min_by("url", "seq").alias("url"),
         *(first_text(c).alias(c) for c in FIRST_TEXT if c in have), *(longest(c).alias(c) for c in LONGEST if c in have),
         *(first_value(c).alias(c) for c in FIRST_VALUE if c in have), F.coalesce(known, F.lit("unknown")).alias("application_type"),
-        notes_in_order().alias("notes"), F.min("seq").alias("seq"), F.count(F.lit(1)).alias("sightings"),
+        notes_in_order().alias("notes"), F.min("seq").alias("seq"), F.sum(F.coalesce("sightings", F.lit(1).cast("long")) if "sightings" in have else F.lit(1).cast("long")).alias("sightings"),
     ).drop("key")
 
 

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
 from ..operators.digest import digest
+from ..operators.identity import components, known_by
 from ..operators.merge import merged_discarded, merged_offers, seen_hashes, without_accepted
 from ..operators.routing import accepted, discarded, notifiable, routed, run_stats
 from ..operators.scoring import with_match
+from ..shared import written
 
 
 @dataclass
@@ -22,23 +24,37 @@ class CycleResult:
     stats: DataFrame
     digest: DataFrame
     gated: DataFrame
+    tokens: DataFrame | None = None
 
     def release(self) -> None:
         """Frees the gated batch, once the outputs are written."""
         self.gated.unpersist()
 
 
-def run_cycle(listings: DataFrame, offers: DataFrame, rejected: DataFrame, seen: DataFrame, target: Column | str, now: Column, profile: DataFrame | None = None, settings: Settings = DEFAULTS) -> CycleResult:
+def run_cycle(listings: DataFrame, offers: DataFrame, rejected: DataFrame, seen: DataFrame, target: Column | str, now: Column, profile: DataFrame | None = None, settings: Settings = DEFAULTS, chains: DataFrame | None = None) -> CycleResult:
     """One cycle over a batch of listings (with seq, larger than any before) and the snapshots so far.
 
+    chains: what the offers so far are known by (seq, token). With it chains of alike listings of any length are one offer, and tokens of the result has what
+    its offers and the batch's accepted listings are known by, each token with the offer that it leads to.
+
     Running the same batch again changes no offer and queues nothing that is notified. The gated batch feeds all outputs and is
     kept for them; release() frees it.
     """
     gated = routed(listings, target, profile, settings.only_easy_apply).persist()
     yes, no = accepted(gated), discarded(gated)
-    merged = with_match(merged_offers(offers, yes.drop("relevance", "score", "reasons")), profile).withColumn("compatibility_score", F.col("score").cast("double")).withColumnRenamed("reasons", "match_reason").drop("score")
-    old = offers.select("url", *(c for c in ("notified", "notified_at", "created_at") if c in offers.columns))
-    merged = merged.join(old, "url", "left")
+    leads = None
+    if chains is not None:
+        members = written(chains.select("seq", "token").unionByName(known_by(yes)))
+        found = written(components(members))
+        leads = members.join(found, "seq").select("token", F.col("component").alias("seq")).distinct()
+    merged = merged_offers(offers, yes.drop("relevance", "score", "reasons"), found=found if chains is not None else None)
+    merged = with_match(merged, profile).withColumn("compatibility_score", F.col("score").cast("double")).withColumnRenamed("reasons", "match_reason").drop("score")
+    old = offers.select(F.col("seq").alias("__seq"), *(c for c in ("notified", "notified_at", "created_at") if c in offers.columns))
+    if chains is not None:  # offers made one were notified if one of them was
+        old = old.join(found.select(F.col("seq").alias("__seq"), "component"), "__seq", "left").groupBy(F.coalesce("component", "__seq").alias("__seq")).agg(
+            *(f.alias(c) for c, f in (("notified", F.bool_or("notified")), ("notified_at", F.max("notified_at")), ("created_at", F.min("created_at"))) if c in offers.columns), F.count(F.lit(1)).alias("__n")
+        ).drop("__n")
+    merged = merged.join(old, F.col("seq") == F.col("__seq"), "left").drop("__seq")
     for c, t in (("notified", "boolean"), ("notified_at", "timestamp"), ("created_at", "timestamp")):
         if c not in merged.columns:
             merged = merged.withColumn(c, F.lit(None).cast(t))
@@ -47,8 +63,10 @@ def run_cycle(listings: DataFrame, offers: DataFrame, rejected: DataFrame, seen:
     again = yes.select("url_hash", F.col("found_at").alias("first"), F.col("found_at").alias("last"), "portal")
     old_seen = seen.select("url_hash", F.col("first_seen_at").alias("first"), F.col("last_seen_at").alias("last"), "portal")
     hashes = old_seen.unionByName(again).groupBy("url_hash").agg(F.min("first").alias("first_seen_at"), F.max("last").alias("last_seen_at"), F.min_by("portal", "first").alias("portal"))
+    if chains is not None:  # worked out once, for the snapshot and for the queue
+        merged = written(merged)
     queue = notifiable(merged, now, settings.match_threshold, settings.freshness_hours, settings.only_easy_apply)
-    return CycleResult(merged, kept, hashes, run_stats(gated, "source_id", "portal"), digest(queue, settings), gated)
+    return CycleResult(merged, kept, hashes, run_stats(gated, "source_id", "portal"), digest(queue, settings), gated, leads)
 
 
 def dry_run(listings: DataFrame, target: Column | str, settings: Settings = DEFAULTS) -> DataFrame:
