@@ -7,17 +7,18 @@ checks of sources, orders are offers with a score. Every query reads whole table
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import fixed_values as V
-from .functions import dates, text, urls
-from .operators import digest, merge, profile, reads, resume, resume_builder, routing, scoring, state
-from .plans import cycle
+from . import schema
+from .functions import dates, phrases, text, urls
+from .operators import digest, identity, merge, profile, reads, resume, resume_builder, routing, scoring, state
+from .plans import cycle, snapshots, watch
+from .shared import place
 from .sources import details, documents, html, portals, sinks, walls
 from .streaming import machine
 
@@ -136,7 +137,7 @@ TERMS = ("the", "of", "that", "la", "der", "mit", "que", "license", "token", "2.
 
 @query(f"SELECT term, lang, count(*) AS docs FROM (SELECT lang, unnest({sql_hits('n', TERMS)}) AS term FROM (SELECT lang, {norm('text')} AS n FROM documents)) GROUP BY ALL")
 def term_hits(spark, d):
-    rows = t(spark, d, "documents").select("lang", F.explode(text.term_hits(text.norm_key("text"), TERMS)).alias("term"))
+    rows = t(spark, d, "documents").select("lang", text.norm_key("text").alias("n")).select("lang", F.explode(phrases.found_terms("n", TERMS)).alias("term"))
     return rows.groupBy("term", "lang").agg(F.count(F.lit(1)).alias("docs"))
 
 
@@ -145,8 +146,17 @@ POINTS = (("the", 18, ""), ("with", 12, ""), ("la", 7, ""), ("license", -26, "")
 
 @query("SELECT doc_id, CAST(greatest(0, least(100, 35 + " + " + ".join(f"CASE WHEN {sql_has('n', a)} THEN {p} ELSE 0 END" for a, p, _ in POINTS) + f")) AS INTEGER) AS score FROM (SELECT doc_id, {norm('text')} AS n FROM documents)")
 def keyword_score(spark, d):
-    rows = t(spark, d, "documents").withColumn("n", text.norm_key("text"))
-    return rows.select("doc_id", F.greatest(F.lit(0), F.least(F.lit(100), F.lit(35) + scoring.point_sum("n", POINTS))).cast("int").alias("score"))
+    rows = t(spark, d, "documents").withColumn("n", text.norm_key("text")).withColumn("found", phrases.found_terms("n", [term for term, *_ in POINTS]))
+    return rows.select("doc_id", F.greatest(F.lit(0), F.least(F.lit(100), F.lit(35) + phrases.points_of("found", POINTS))).cast("int").alias("score"))
+
+
+@query(f"""WITH r AS (SELECT item_id, array_to_string(string_split({norm('text')}, ' ')[1:5], ' ') AS term FROM benchmark), n AS (SELECT doc_id, {norm('text')} AS n FROM documents)
+SELECT doc_id, item_id, term FROM n JOIN r ON contains(n, term) AND regexp_matches(n, '(^|[^a-z0-9])' || regexp_escape(term) || '($|[^a-z0-9])') WHERE regexp_matches(term, '[a-z0-9]')""")
+def rule_table_hits(spark, d):
+    """A table of phrases, given at run time, found in all documents: the beginnings of the benchmark's items."""
+    rules = t(spark, d, "benchmark").select("item_id", F.array_join(F.slice(F.split(text.norm_key("text"), " "), 1, 5), " ").alias("term"))
+    texts = spread(t(spark, d, "documents")).select("doc_id", text.norm_key("text").alias("n"))
+    return phrases.rule_hits(texts, "doc_id", "n", rules)
 
 
 @query(_match_sql())
@@ -590,6 +600,27 @@ def failure_machine(spark, d):
     return machine.simulate_failures(rows).withColumns({"at": stamp("at"), "paused_until": F.coalesce(stamp("paused_until"), F.lit(""))})
 
 
+@query(SQL["failure_machine"])
+def failure_stream(spark, d):
+    """The same as a stream of several micro-batches in order of time, with state, and timers that end pauses."""
+    kind = F.when(F.col("event_type") == "purchase", "ok").when(F.col("event_type") == "error", "blocked").otherwise("error")
+    rows = t(spark, d, "events").select(F.col("user_id").cast("string").alias("source"), F.col("ts").cast("timestamp").alias("at"), kind.alias("outcome"))
+    at = _scratch(spark)
+    _in_turns(rows, "at", 3, f"{at}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    found = machine.failure_stream(stream).where(F.col("outcome") != machine.RESUMED)
+    found.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{at}/out").withColumns({"at": stamp("at"), "paused_until": F.coalesce(stamp("paused_until"), F.lit(""))})
+
+
+def _in_turns(rows: DataFrame, order: str, parts: int, path: str) -> None:
+    """Rows as so many files, each later in order than the one before and written after it."""
+    as_number = F.col(order).cast("timestamp").cast("double") if dict(rows.dtypes)[order] == "timestamp" else F.col(order).cast("double")
+    ends = rows.select(as_number.alias("x")).approxQuantile("x", [i / parts for i in range(1, parts)], 0.01)
+    for low, high in zip([float("-inf"), *ends], [*ends, float("inf")], strict=True):
+        rows.where((as_number > low) & (as_number <= high)).coalesce(1).write.mode("append").parquet(path)
+
+
 # ------------------------------------------------------------------ dates
 
 
@@ -984,8 +1015,7 @@ def _events_stream(spark, d) -> DataFrame:
 
 
 def _scratch(spark) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return place(spark, "stream")
 
 
 @query("SELECT user_id, event_type, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY 1, 2")
@@ -1000,6 +1030,47 @@ def stream_cycle(spark, d):
     return spark.read.parquet(f"{at}/out").groupBy("user_id", "event_type").agg(F.sum("n").alias("n"), F.min("first_id").alias("first_id"))
 
 
+@query(SQL["cycle_run"])
+def watch_cycles(spark, d):
+    """The watch loop over the documents as a stream of two micro-batches: each runs a cycle on the bucketed snapshots, which then hold what one cycle over all gives."""
+    at = _scratch(spark)
+    rows = schema.evolved(_batch(spark, d), schema.LISTING).select(*(f.name for f in StructType.fromDDL(schema.LISTING)))
+    _in_turns(rows, "seq", 2, f"{at}/in")
+    listings_ = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    kept = watch.store(spark, f"{at}/snapshots", buckets=8)
+    watch.watch(listings_, kept, "documents", "backend_junior", F.lit(_NOW).cast("timestamp"), f"{at}/checkpoint").awaitTermination()
+    told = lambda some, outcome: some.select(F.substring_index("normalized_url", "/", -1).cast("long").alias("doc_id"), F.lit(outcome).alias("outcome"), F.col("compatibility_score").alias("score"))
+    return told(kept.read("offers"), "offer").unionByName(told(kept.read("discarded"), "discarded"))
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, o_totalprice, o_orderdate, o_orderkey % 100 = 0 AS late FROM orders)
+SELECT o_custkey, CAST(count(*) AS BIGINT) AS orders, max(o_orderkey) AS last_key, bool_or(late) AS touched FROM o GROUP BY 1""")
+def snapshot_upserts(spark, d):
+    """Customers as bucketed snapshots: all orders but a hundredth as a first batch, those as a second that rewrites only its customers' buckets."""
+    ddl = "o_custkey long, orders long, last_key long, touched boolean"
+    kept = snapshots.Snapshots(spark, f"{_scratch(spark)}/customers", {"customers": snapshots.Table("o_custkey", StructType.fromDDL(ddl), 64)})
+    orders = t(spark, d, "orders").select("o_custkey", F.lit(1).cast("long").alias("orders"), F.col("o_orderkey").alias("last_key"), (F.col("o_orderkey") % 100 == 0).alias("touched"))
+    for number, late in enumerate((False, True)):
+        new = orders.where(F.col("touched") == late)
+        keys = new.select("o_custkey").distinct()
+        both = kept.matching("customers", keys).unionByName(new)
+        merged = both.groupBy("o_custkey").agg(F.sum("orders").alias("orders"), F.max("last_key").alias("last_key"), F.bool_or("touched").alias("touched"))
+        kept.commit("orders", number, {"customers": (keys, merged)})
+    return kept.read("customers")
+
+
+@query("""WITH RECURSIVE m AS (SELECT doc_id, 'l' || md5(split_part(text, chr(10), 1)) AS token FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id, 'e' || source || '|' || right(text, 12) FROM documents WHERE text IS NOT NULL),
+links AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM m a JOIN m b ON a.token = b.token),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents WHERE text IS NOT NULL UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT a AS doc_id, min(b) AS component FROM reach GROUP BY a""")
+def text_components(spark, d):
+    """Documents that are the same through any number of others: by their first line, or by their source and their end."""
+    rows = t(spark, d, "documents").where("text is not null")
+    by_line = rows.select("doc_id", F.concat(F.lit("l"), F.md5(F.substring_index("text", "\n", 1))).alias("token"))
+    by_end = rows.select("doc_id", F.concat(F.lit("e"), "source", F.lit("|"), F.right("text", F.lit(12))).alias("token"))
+    return identity.components(by_line.unionByName(by_end), "doc_id")
+
+
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_seen(spark, d):
     at = _scratch(spark)

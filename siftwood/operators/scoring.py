@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
+from ..functions.phrases import among, found_terms, points_of, reasons_of
 from ..functions.text import Text, col, contains_any, first_label, has_any_term, joined, keep_first, keep_first_ci, let, norm_key, norm_soft, pretty, quoted, shared_tokens, split_list, term_hits, term_test
 
 NO_TERMS = "cast(array() as array<string>)"
@@ -53,7 +54,9 @@ def with_match(offers: DataFrame, profile: DataFrame | None = None, entry=V.ENTR
         rows = rows.crossJoin(F.broadcast(one))
     else:
         rows = rows.withColumn("__profile", F.lit(None).cast("string")).withColumn("__wanted", F.expr(NO_TERMS))
-    rows = rows.withColumns({f"__hits_{t}": term_hits("__text", terms) for t, terms in keywords.items()})
+    every = [*(term for term, *_ in (*entry, *penalties)), *(term for terms in keywords.values() for term in terms)]
+    rows = rows.withColumn("__found", found_terms("__text", every))
+    rows = rows.withColumns({f"__hits_{t}": among("__found", terms) for t, terms in keywords.items()})
     inferred = F.array_compact(F.array(*(F.when(F.size(f"__hits_{t}") > 0, F.lit(t)) for t in V.INFERRED_TARGETS)))
     rows = rows.withColumn("__active", keep_first(F.concat("__wanted", inferred)))
     rows = rows.withColumn("__active", F.when(F.size("__active") > 0, F.col("__active")).otherwise(F.array(F.lit(V.DEFAULT_TARGET))))
@@ -63,8 +66,8 @@ def with_match(offers: DataFrame, profile: DataFrame | None = None, entry=V.ENTR
     target_reasons = F.transform("__told", lambda s: F.concat(F.lit("Coincide con "), s["target"], F.lit(": "), F.array_join(F.transform(F.slice(s["terms"], 1, 4), lambda t: pretty(t, V.PRETTY)), ", ")))
     shared = F.when(F.col("__profile").isNotNull(), shared_tokens("__profile", "__text", V.SKILL_STOPWORDS)).otherwise(0)
     rows = rows.withColumn("__shared", shared)
-    score = F.lit(V.BASE_SCORE) + point_sum("__text", entry) + point_sum("__text", penalties) + target_points + F.least(F.lit(V.SKILL_CAP), F.col("__shared") * V.SKILL_POINTS)
-    reasons = F.concat(point_reasons("__text", entry), point_reasons("__text", penalties), target_reasons, F.when(F.col("__shared") > 0, F.array(F.lit(V.SKILLS_REASON))).otherwise(F.expr(NO_TERMS)))
+    score = F.lit(V.BASE_SCORE) + points_of("__found", entry) + points_of("__found", penalties) + target_points + F.least(F.lit(V.SKILL_CAP), F.col("__shared") * V.SKILL_POINTS)
+    reasons = F.concat(reasons_of("__found", entry), reasons_of("__found", penalties), target_reasons, F.when(F.col("__shared") > 0, F.array(F.lit(V.SKILLS_REASON))).otherwise(F.expr(NO_TERMS)))
     rows = rows.withColumn("score", F.greatest(F.lit(0), F.least(F.lit(100), score)).cast("int")).withColumn("reasons", keep_first_ci(reasons))
     rows = rows.withColumn("reasons", F.when(F.size("reasons") > 0, F.col("reasons")).otherwise(F.array(F.lit(V.NO_REASON))))
     return rows.select(*offers.columns, "score", "reasons")
@@ -78,22 +81,28 @@ def with_relevance(listings: DataFrame, target: Text, signals_title=V.TITLE_SIGN
     a content hit, or two content hits (one for infrastructure); full stack needs a title hit or both sides.
     """
     role = target if isinstance(target, Column) else F.lit(target)
-    per_target = lambda signals, text: F.create_map(*(x for t, terms in signals.items() for x in (F.lit(t), term_hits(text, terms))))
+    per_target = lambda signals, found: F.create_map(*(x for t, terms in signals.items() for x in (F.lit(t), among(found, terms))))
     rows = listings.withColumns({
         "__target": target_of(role, tuple(signals_title)), "__title": norm_key("title"), "__content": norm_key(joined(norm_key("description"), norm_key("requirements"))),
     })
     rows = rows.withColumn("__both", norm_key(joined("__title", "__content")))
     none = F.expr(NO_TERMS)
+    one = None if isinstance(target, Column) else target.strip().lower().replace(" ", "_").replace("soporte_de_", "soporte_")
+    signs = lambda signals: [x for t, terms in signals.items() if one in (None, t) for x in terms]
     if isinstance(target, Column):
-        title_hits, content_hits = (F.coalesce(F.try_element_at(per_target(s, t), F.col("__target")), none) for s, t in ((signals_title, "__title"), (signals_content, "__content")))
+        title_hits, content_hits = (F.coalesce(F.try_element_at(per_target(s, t), F.col("__target")), none) for s, t in ((signals_title, "__ftitle"), (signals_content, "__fcontent")))
     else:
-        known = target.strip().lower().replace(" ", "_").replace("soporte_de_", "soporte_")
-        title_hits, content_hits = (term_hits(t, s[known]) if known in s else none for s, t in ((signals_title, "__title"), (signals_content, "__content")))
+        known = one
+        title_hits, content_hits = (among(t, s[known]) if known in s else none for s, t in ((signals_title, "__ftitle"), (signals_content, "__fcontent")))
     front_terms = [t for t in dict.fromkeys(signals_title.get("frontend_junior", ()) + signals_content.get("frontend_junior", ())) if t not in V.FRONT_FALSE_FRIENDS]
     rows = rows.withColumns({
-        "__senior": term_hits("__title", V.SENIOR), "__entry": term_hits("__title", V.ENTRY), "__csenior": term_hits("__content", V.SENIOR),
-        "__admin": term_hits("__title", V.ADMINISTRATIVE), "__friend": F.when(F.col("__target") == "frontend_junior", term_hits("__title", V.FRONT_FALSE_FRIENDS)).otherwise(none),
-        "__front": term_hits("__both", V.FULLSTACK_FRONT), "__back": term_hits("__both", V.FULLSTACK_BACK), "__clear": has_any_term("__both", front_terms), "__t": title_hits, "__c": content_hits,
+        "__ftitle": found_terms("__title", [*V.SENIOR, *V.ENTRY, *V.ADMINISTRATIVE, *V.FRONT_FALSE_FRIENDS, *signs(signals_title)]), "__fcontent": found_terms("__content", [*V.SENIOR, *signs(signals_content)]),
+        "__fboth": found_terms("__both", [*V.FULLSTACK_FRONT, *V.FULLSTACK_BACK, *front_terms]),
+    })
+    rows = rows.withColumns({
+        "__senior": among("__ftitle", V.SENIOR), "__entry": among("__ftitle", V.ENTRY), "__csenior": among("__fcontent", V.SENIOR),
+        "__admin": among("__ftitle", V.ADMINISTRATIVE), "__friend": F.when(F.col("__target") == "frontend_junior", among("__ftitle", V.FRONT_FALSE_FRIENDS)).otherwise(none),
+        "__front": among("__fboth", V.FULLSTACK_FRONT), "__back": among("__fboth", V.FULLSTACK_BACK), "__clear": F.size(among("__fboth", front_terms)) > 0, "__t": title_hits, "__c": content_hits,
     })
     n = lambda c: F.size(c)
     full = F.col("__target") == "fullstack_junior"

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..config import DEFAULTS
+from ..shipping import ship_package
 
 
 def run_cycles(stream: DataFrame, cycle: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None):
@@ -70,6 +71,43 @@ class FailureMachine(StatefulProcessor):
         pass
 
 
+RESUMED = "resumed"
+
+
+class TimedFailures(FailureMachine):
+    """The same with event-time timers. A pause that begins sets a timer for its end; when the watermark has passed it, a row of outcome resumed says so. A source
+    without failures has no state, so state is held for failing sources alone."""
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for told in super().handleInputRows(key, rows, timerValues):
+            for until in told["paused_until"].dropna().unique():
+                end = int(pd.Timestamp(until).timestamp() * 1000)
+                if end > timerValues.getCurrentWatermarkInMs():
+                    self.handle.registerTimer(end)
+            yield told
+        n, until = self.state.get()
+        if n == 0 and until is None:
+            self.state.clear()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
+        n, until = self.state.get() if self.state.exists() else (0, None)
+        row = pd.DataFrame([(key[0], at, RESUMED, False, n, pd.Timestamp(until) if until is not None else None)], columns=["source", "at", "outcome", "skipped", "failure_count", "paused_until"])
+        yield row.astype({"at": "datetime64[ns]", "paused_until": "datetime64[ns]"})
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle = handle
+
+
+def failure_stream(stream: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """The machine over a stream of (source, at, outcome), with timers; for append mode, on a state store of RocksDB. Events may be late by as much as the watermark allows, but
+    count in the order of their micro-batches."""
+    ship_package(stream.sparkSession)
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return stream.withWatermark("at", late).groupBy("source").transformWithStateInPandas(TimedFailures(), MACHINE_OUTPUT, "Append", "EventTime")
+
+
 MACHINE_OUTPUT = "source string, at timestamp, outcome string, skipped boolean, failure_count int, paused_until timestamp"
 
 
