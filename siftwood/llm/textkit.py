@@ -28,11 +28,13 @@ def arrow_limits(spark, rows: int = 2000) -> None:
 
 
 def ensure_checkpoint_dir(spark) -> None:
-    """Use the folder that spark.checkpoint.dir names; set a local one only where that is unset, as in tests."""
+    """Use the folder that spark.checkpoint.dir names; set a local one only where that is unset, as in tests. On a cluster without it this is an error: executors do not see the driver's disk."""
     ship_package(spark)
     if spark.conf.get("spark.checkpoint.dir", None):
         return
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "siftwood-checkpoints"))
 
 
