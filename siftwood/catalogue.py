@@ -137,7 +137,7 @@ TERMS = ("the", "of", "that", "la", "der", "mit", "que", "license", "token", "2.
 
 @query(f"SELECT term, lang, count(*) AS docs FROM (SELECT lang, unnest({sql_hits('n', TERMS)}) AS term FROM (SELECT lang, {norm('text')} AS n FROM documents)) GROUP BY ALL")
 def term_hits(spark, d):
-    rows = t(spark, d, "documents").select("lang", text.norm_key("text").alias("n")).select("lang", F.explode(phrases.found_terms("n", TERMS)).alias("term"))
+    rows = spread(t(spark, d, "documents").select("lang", "text")).select("lang", text.norm_key("text").alias("n")).select("lang", F.explode(phrases.found_terms("n", TERMS)).alias("term"))
     return rows.groupBy("term", "lang").agg(F.count(F.lit(1)).alias("docs"))
 
 

@@ -83,9 +83,10 @@ def with_relevance(listings: DataFrame, target: Text, signals_title=V.TITLE_SIGN
     role = target if isinstance(target, Column) else F.lit(target)
     per_target = lambda signals, found: F.create_map(*(x for t, terms in signals.items() for x in (F.lit(t), among(found, terms))))
     rows = listings.withColumns({
-        "__target": target_of(role, tuple(signals_title)), "__title": norm_key("title"), "__content": norm_key(joined(norm_key("description"), norm_key("requirements"))),
+        "__target": target_of(role, tuple(signals_title)), "__title": norm_key("title"), "__content": F.trim(F.concat_ws(" ", norm_key("description"), norm_key("requirements"))),
     })
-    rows = rows.withColumn("__both", norm_key(joined("__title", "__content")))
+    # normalised parts joined are normalised but for a blank at the ends
+    rows = rows.withColumn("__both", F.trim(F.concat_ws(" ", "__title", "__content")))
     none = F.expr(NO_TERMS)
     one = None if isinstance(target, Column) else target.strip().lower().replace(" ", "_").replace("soporte_de_", "soporte_")
     signs = lambda signals: [x for t, terms in signals.items() if one in (None, t) for x in terms]
