@@ -714,6 +714,27 @@ def digest_pack(spark, d):
     return out.select("company", "part", F.size("keys").cast("long").alias("entries"), F.array_join("keys", ",").alias("ids"))
 
 
+_WHOLE = f"""ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, found DESC NULLS LAST, id) AS pos, count(*) OVER () AS n FROM offers WHERE NOT notified),
+    e AS (SELECT pos, n, id, length({_ENTRY}) + 2 AS chars, length({_ENTRY}) AS own FROM ranked),
+    c AS (SELECT pos, id, n, own, sum(chars) OVER (ORDER BY pos) AS upto, sum(chars) OVER (ORDER BY pos) - chars AS before FROM e),
+    room AS (SELECT 1500 - 2 - length('Ofertas nuevas recomendadas' || chr(10) || chr(10) || 'Encontradas en este ciclo: ' || max(n) || chr(10) || 'Umbral mínimo: 65%') AS room FROM e),
+    begun(part, pos, before) AS (
+      SELECT CAST(1 AS BIGINT), pos, before FROM c WHERE pos = 1
+      UNION ALL SELECT b.part + 1, min(c.pos), arg_min(c.before, c.pos) FROM begun b, room r, c WHERE c.pos > b.pos AND c.upto - b.before - 2 > r.room GROUP BY b.part),
+    spans AS (SELECT part, pos, coalesce(lead(pos) OVER (ORDER BY part) - 1, 9223372036854775807) AS until FROM begun)"""
+
+
+@query(f"WITH RECURSIVE {_OFFERS}, {_WHOLE} SELECT CAST(s.part AS INTEGER) AS part, count(*) AS entries, sum(c.own) AS chars, string_agg(c.id, ',' ORDER BY c.pos) AS ids FROM spans s JOIN c ON c.pos BETWEEN s.pos AND s.until GROUP BY s.part")
+def digest_whole(spark, d):
+    """All offers that wait, as one digest without a bound: parts by a scan over chunks."""
+    from .config import Settings
+
+    out = digest.digest(offers(spark, d).where("not notified"), Settings(digest_max_chars=1500), last="id")
+    # of a message: heading, entries, and the line that numbers it
+    texts = F.slice(F.split("message", "\n\n"), 3, F.size("keys"))
+    return out.select("part", F.size("keys").cast("long").alias("entries"), F.aggregate(texts, F.lit(0), lambda a, x: a + F.length(x)).cast("decimal(38,0)").alias("chars"), F.array_join("keys", ",").alias("ids"))
+
+
 @query(f"WITH {_OFFERS} SELECT id, CASE WHEN id % 3 = 0 THEN 'sent' ELSE 'pending' END AS status FROM offers WHERE NOT notified AND score >= 65")
 def outbox_status(spark, d):
     tried = offers(spark, d).where(~F.col("notified") & (F.col("compatibility_score") >= 65)).select("id")

@@ -9,6 +9,8 @@ from ..config import DEFAULTS, Settings
 from ..fixed_values import EASY_APPLY
 from ..functions.dates import local_text, publication_text
 from ..functions.text import first_non_empty, text
+from ..shared import written
+from .long_digest import part_numbers, positions
 from .scoring import inferred_target
 
 SEPARATOR = "\n\n"
@@ -22,7 +24,7 @@ def rank_order(score: str = "compatibility_score", found: str = "found_at", crea
 def top_rows(rows: DataFrame, k: int, order: list[Column], by: str | None = None) -> DataFrame:
     """The first k rows (all if k <= 0), of each group if by names one, with position and overflow (rows left out).
 
-    Groups are cut by a ranked window that Spark limits before its shuffle; counts are aggregated apart.
+    Groups are cut by a ranked window that Spark limits before its shuffle; counts are aggregated apart. Null is a group.
     """
     if by is None:
         # one list over all rows: a top-k keeps k rows a task before anything is moved
@@ -31,10 +33,10 @@ def top_rows(rows: DataFrame, k: int, order: list[Column], by: str | None = None
         placed = kept.withColumn("position", F.row_number().over(Window.orderBy(*order)))
         return placed.crossJoin(F.broadcast(total)).withColumn("overflow", F.greatest(F.lit(0), F.col("__all") - k) if k > 0 else F.lit(0).cast("long")).drop("__all")
     w = Window.partitionBy(by).orderBy(*order)
-    total = rows.groupBy(by).agg(F.count(F.lit(1)).alias("__all"))
+    total = rows.groupBy(F.col(by).alias("__by")).agg(F.count(F.lit(1)).alias("__all"))
     placed = rows.withColumn("position", F.row_number().over(w))
     placed = placed.where(F.col("position") <= k) if k > 0 else placed
-    return placed.join(total, by).withColumn("overflow", F.greatest(F.lit(0), F.col("__all") - k) if k > 0 else F.lit(0).cast("long")).drop("__all")
+    return placed.join(total, F.col(by).eqNullSafe(F.col("__by"))).withColumn("overflow", F.greatest(F.lit(0), F.col("__all") - k) if k > 0 else F.lit(0).cast("long")).drop("__all", "__by")
 
 
 def reason_lines(reasons: Column | str) -> Column:
@@ -93,17 +95,47 @@ def packed(entries: Column, header: Column, footer: Column, limit: int, floor: i
     return F.aggregate(entries, start, step, lambda s: F.when(F.size(s["now"]) > 0, F.concat(s["parts"], F.array(s["now"]))).otherwise(s["parts"]))
 
 
+def heading(offers: Column, settings: Settings = DEFAULTS) -> Column:
+    """What stands above the entries of each part."""
+    return F.concat_ws("\n", F.lit(settings.digest_title), F.lit(""), F.concat(F.lit("Encontradas en este ciclo: "), offers.cast("string")), F.lit(f"Umbral mínimo: {int(settings.match_threshold)}%"))
+
+
+def numbered_part(body: Column, part: Column | str, parts: Column | str) -> Column:
+    """A message that says which of several parts it is."""
+    one, all_of = (F.col(c) if isinstance(c, str) else c for c in (part, parts))
+    return F.when(all_of > 1, F.concat(body, F.lit(SEPARATOR), F.format_string("Parte %d/%d", one, all_of))).otherwise(body)
+
+
+def _unbounded(offers: DataFrame, settings: Settings, by: str | None, last: str) -> DataFrame:
+    """Messages of lists of any length: positions by ranges of the order, parts by a scan over chunks, then a row a part."""
+    group = [by] if by else []
+    ranked = positions(offers, rank_order(last=last), by)
+    told = ranked.select(*group, "base", "position", F.col(last).alias("key"), heading(F.col("members"), settings).alias("header"), entry_text(settings).alias("entry"))
+    # texts are made once; the scan reads their lengths
+    told = written(told)
+    room = F.lit(max(settings.digest_min_chars, settings.digest_max_chars)) - F.length("header") - len(SEPARATOR)
+    cut = part_numbers(told.select("base", "position", F.length("entry").cast("long").alias("chars"), room.cast("long").alias("room")))
+    items = F.array_sort(F.collect_list(F.struct("position", "key", "entry")))
+    messages = told.join(cut, ["base", "position"]).groupBy(*group, "base", "part").agg(items.alias("items"), F.first("header").alias("header"))
+    whole = cut.groupBy("base").agg(F.max("part").alias("parts"))
+    body = F.concat_ws(SEPARATOR, F.col("header"), F.array_join(F.transform("items", lambda i: i["entry"]), SEPARATOR))
+    out = messages.join(whole, "base").select(*group, F.col("part").cast("int").alias("part"), F.col("parts").cast("int").alias("parts"), body.alias("body"), F.transform("items", lambda i: i["key"]).alias("keys"))
+    return out.select(*group, "part", "parts", numbered_part(F.col("body"), "part", "parts").alias("message"), "keys")
+
+
 def digest(offers: DataFrame, settings: Settings = DEFAULTS, by: str | None = None, last: str = "url_hash") -> DataFrame:
     """(by, part, parts, message, keys): messages of the ranked offers, of each group if by names one.
 
-    A digest is one ordered list, so its rows meet in one task; digest_max_rows bounds them, and by spreads groups.
+    A list that digest_max_rows bounds is packed where its rows meet; without a bound it is packed in chunks, at once (see long_digest).
     """
+    if settings.digest_max_rows <= 0:
+        return _unbounded(offers, settings, by, last)
     group = by or "__one"
     rows = offers if by else offers.withColumn("__one", F.lit(1))
     ranked = top_rows(rows, settings.digest_max_rows, rank_order(last=last), by=group if by else None)
     told = ranked.select(group, "position", "overflow", F.col(last).alias("key"), entry_text(settings).alias("entry"))
     lists = told.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("position", "key", "entry"))).alias("items"), F.max("overflow").alias("overflow"))
-    header = F.concat_ws("\n", F.lit(settings.digest_title), F.lit(""), F.concat(F.lit("Encontradas en este ciclo: "), F.size("items").cast("string")), F.lit(f"Umbral mínimo: {int(settings.match_threshold)}%"))
+    header = heading(F.size("items"), settings)
     footer = F.when(F.col("overflow") > 0, F.concat(F.lit("Hay "), F.col("overflow").cast("string"), F.lit(" ofertas adicionales guardadas."))).otherwise("")
     lists = lists.withColumns({"header": header, "footer": footer})
     lists = lists.withColumn("packed", packed(F.transform("items", lambda i: i["entry"]), F.col("header"), F.col("footer"), settings.digest_max_chars, settings.digest_min_chars))
@@ -111,8 +143,7 @@ def digest(offers: DataFrame, settings: Settings = DEFAULTS, by: str | None = No
     parts = lists.withColumn("__ends", ends).select(group, "items", "header", "footer", "__ends", F.size("packed").alias("parts"), F.posexplode("packed").alias("at", "entries"))
     begin = F.when(F.col("at") == 0, 0).otherwise(F.try_element_at("__ends", F.col("at")))
     body = F.concat_ws(SEPARATOR, F.col("header"), F.array_join("entries", SEPARATOR), F.when((F.col("at") == F.col("parts") - 1) & (F.col("footer") != ""), F.col("footer")))
-    message = F.when(F.col("parts") > 1, F.concat(body, F.lit(SEPARATOR), F.format_string("Parte %d/%d", F.col("at") + 1, "parts"))).otherwise(body)
-    out = parts.select(group, (F.col("at") + 1).alias("part"), "parts", message.alias("message"), F.transform(F.slice("items", begin + 1, F.size("entries")), lambda i: i["key"]).alias("keys"))
+    out = parts.select(group, (F.col("at") + 1).alias("part"), "parts", numbered_part(body, F.col("at") + 1, "parts").alias("message"), F.transform(F.slice("items", begin + 1, F.size("entries")), lambda i: i["key"]).alias("keys"))
     return out if by else out.drop("__one")
 
 
