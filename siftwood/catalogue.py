@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 from . import fixed_values as V
 from . import schema
 from .functions import dates, phrases, text, urls
-from .operators import digest, identity, merge, profile, reads, resume, resume_builder, routing, scoring, state
+from .operators import digest, identity, merge, profile, reads, resume, resume_builder, routing, scoring, similar_lines, state
 from .plans import cycle, snapshots, watch
 from .shared import place
 from .sources import details, documents, html, portals, sinks, walls
@@ -964,9 +964,31 @@ def projects_uncovered(spark, d):
     return profile.uncovered_projects(rows.select("o_custkey", "o_orderkey", F.col("o_orderpriority").alias("name")), done, "o_custkey").select("o_orderkey")
 
 
-@query()
+_SHARED = "len(list_intersect(k, r.sig))"
+_NEAR = f"len(list_filter(f.sigs, lambda k: ({_SHARED} >= least(len(k), len(r.sig)) AND least(len(k), len(r.sig)) >= 4) OR ({_SHARED} >= 4 AND {_SHARED} * 4 >= greatest(len(k), len(r.sig)) * 3))) > 0"
+_GREEDY = f"""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents),
+s AS (SELECT doc_id, i, line, list_filter(list_distinct(regexp_extract_all({norm("line")}, '[a-z0-9#+]+')), lambda w: len(w) >= 3 AND w NOT IN ('proyecto', 'linea', {", ".join(f"'{x}'" for x in V.TOKEN_STOPWORDS)})) AS sig FROM l),
+r AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n, line, sig FROM s WHERE len(sig) > 0),
+fold(doc_id, n, lines, sigs) AS (
+  SELECT doc_id, n, [line], [sig] FROM r WHERE n = 1
+  UNION ALL SELECT r.doc_id, r.n, CASE WHEN {_NEAR} THEN f.lines ELSE list_append(f.lines, r.line) END, CASE WHEN {_NEAR} THEN f.sigs ELSE list_append(f.sigs, r.sig) END FROM fold f JOIN r ON r.doc_id = f.doc_id AND r.n = f.n + 1),
+ends AS (SELECT doc_id, arg_max(lines, n) AS lines FROM fold GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(e.lines), 0) AS kept, md5(coalesce(array_to_string(e.lines, chr(10)), '')) AS kept_md5 FROM documents d LEFT JOIN ends e ON e.doc_id = d.doc_id"""
+
+
+@query(_GREEDY)
+def similar_lines_join(spark, d):
+    """Lines of each document without those similar to an earlier kept one: lines meet by their rare words."""
+    docs = spread(t(spark, d, "documents").select("doc_id", "text"))
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    kept = similar_lines.distinct_lines(lines, "doc_id", "i", "line").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "line"))).alias("kept"))
+    told = F.array_join(F.transform("kept", lambda x: x["line"]), "\n")
+    return docs.select("doc_id").join(kept, "doc_id", "left").select("doc_id", F.coalesce(F.size("kept"), F.lit(0)).alias("kept"), F.md5(F.coalesce(told, F.lit("")).cast("binary")).alias("kept_md5"))
+
+
+@query(_GREEDY)
 def near_dup_greedy(spark, d):
-    """Lines of each document without those similar to an earlier kept one: a fold in order (checked against a loop in the tests)."""
+    """The same by a fold in order over a document's lines."""
     rows = spread(t(spark, d, "documents").select("doc_id", "text")).select("doc_id", profile.distinct_bullets(F.split("text", "\n")).alias("kept"))
     return rows.select("doc_id", F.size("kept").alias("kept"), F.md5(F.array_join("kept", "\n")).alias("kept_md5"))
 
