@@ -194,7 +194,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     edges = nodes.where("rep is not null").mapInArrow(spread, "task int, keys binary, fps binary, reps binary").groupBy("task").applyInArrow(join, EDGE_SCHEMA)
-    groups = connected_components(edges)
+    # an id whose rows have several fingerprints links their classes
+    several = fps.groupBy("id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high")
+    shared = fps.join(several.select("id"), "id", "left_semi").join(nodes, "fp").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    groups = connected_components(edges.unionByName(shared))
     classes = nodes.join(groups, nodes.rep == groups.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(classes, "fp").select("id", "fp", "component_id")
 

@@ -710,3 +710,13 @@ def test_names_of_more_titles_and_forms_and_keys_without_digits(spark):
         assert re.match(r"(?:(?:Dr|Prof|Herr|Mrs?|Frau)\.? )+", s)[0] == re.match(r"(?:(?:Dr|Prof|Herr|Mrs?|Frau)\.? )+", n)[0]
     plain, owned = (pii.pseudonymised(spark.createDataFrame([(1, t)], "doc_id long, text string"), KEY).first()["text"] for t in ("Mr. Smith", "Mr. Smith's"))
     assert owned == plain + "'s"
+
+
+def test_an_id_with_several_texts_links_their_classes(spark):
+    from siftwood.llm import simhash
+
+    texts = {x: " ".join(f"{x}{i * 7919 % 1013}" for i in range(60)) for x in "abcd"}
+    rows = [(3, "a"), (5, "a"), (5, "b"), (9, "b"), (9, "b"), (7, "c"), (8, "d"), (None, "d"), (None, "c"), (2, "d"), (11, "c")]
+    df = spark.createDataFrame([(i, texts[x]) for i, x in rows], "doc_id long, text string")
+    got = {(r["id"], r["component_id"]) for r in simhash.near_duplicates(df).collect()}
+    assert got == {(3, 3), (5, 3), (9, 3), (7, 7), (11, 7), (8, 2), (2, 2), (None, 2), (None, 7)}
