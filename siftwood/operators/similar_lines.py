@@ -9,29 +9,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import fixed_values as V
+from ..functions.text import norm_key
 from ..shared import written
-from .profile import signature, similar
+from .profile import similar
 
 SHORTEST = 4  # lines of fewer words are similar to none
 
 
 def similar_pairs(nodes: DataFrame) -> DataFrame:
-    """(g, early, late): pairs of nodes(g, v, at, sig) of one list g with similar signatures, the earlier by at first, each once; v is unique in a list."""
-    words = nodes.select("g", "v", F.size("sig").alias("n"), F.explode("sig").alias("word"))
-    counts = words.groupBy("g", "word").agg(F.count(F.lit(1)).alias("count"))
-    rarest = F.array_sort(F.collect_list(F.struct("count", "word")))
-    prefix = F.slice(F.col("words"), F.lit(1), (F.size("words") - F.ceil(F.size("words") * 3 / 4) + 1).cast("int"))
-    probes = words.join(counts, ["g", "word"]).groupBy("g", "v", "n").agg(rarest.alias("words")).select("g", F.col("v").alias("a"), F.col("n").alias("na"), F.explode(F.transform(prefix, lambda x: x["word"])).alias("word"))
-    index = words.select("g", "word", F.col("v").alias("b"), F.col("n").alias("nb"))
-    met = probes.join(index, ["g", "word"]).where("na < nb or (na = nb and a < b)").select("g", "a", "b").distinct()
-    side = lambda c: nodes.select("g", F.col("v").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("at").alias(f"at_{c}"))
-    near = met.join(side("a"), ["g", "a"]).join(side("b"), ["g", "b"]).where(similar(F.col("sig_a"), F.col("sig_b")))
+    """(early, late): pairs of nodes(v, list, at, sig) of one list with similar signatures, the earlier by at first, each once; v is unique.
+
+    Words of a list meet by a 64-bit hash; every pair that met is compared by its words, so a hash of two words costs time and no result.
+    """
+    words = nodes.select("v", F.size("sig").alias("n"), "list", F.explode("sig").alias("word")).select("v", "n", F.xxhash64("list", "word").alias("key"))
+    counts = words.groupBy("key").agg(F.count(F.lit(1)).alias("count"))
+    ranked = words.join(counts, "key").groupBy("v", "n").agg(F.sort_array(F.collect_list(F.struct("count", "key"))).alias("words"))
+    prefix = F.slice("words", F.lit(1), (F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1).cast("int"))
+    # a word of one line leads nowhere
+    probes = ranked.select(F.col("v").alias("a"), F.col("n").alias("na"), F.explode(prefix).alias("w")).where("w.count > 1").select("a", "na", F.col("w.key").alias("key"))
+    index = words.select("key", F.col("v").alias("b"), F.col("n").alias("nb"))
+    met = probes.join(index, "key").where("na < nb or (na = nb and a < b)").select("a", "b").distinct()
+    side = lambda c: nodes.select(F.col("v").alias(c), F.col("list").alias(f"list_{c}"), F.col("sig").alias(f"sig_{c}"), F.col("at").alias(f"at_{c}"))
+    near = met.join(side("a"), "a").join(side("b"), "b").where(F.col("list_a").eqNullSafe(F.col("list_b")) & similar(F.col("sig_a"), F.col("sig_b")))
     first = F.col("at_a") < F.col("at_b")
-    return near.select("g", F.when(first, F.col("a")).otherwise(F.col("b")).alias("early"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("late"))
+    return near.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("early"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("late"))
 
 
 def dropped(pairs: DataFrame) -> DataFrame:
-    """(g, v): nodes that have an earlier neighbour which is kept.
+    """(v): nodes that have an earlier neighbour which is kept.
 
     In a round nodes without an earlier neighbour are kept, their neighbours go, and so do the pairs of those; there are as many rounds as links in
     the longest chain of such decisions.
@@ -39,11 +45,11 @@ def dropped(pairs: DataFrame) -> DataFrame:
     pairs = written(pairs)
     gone = []
     while not pairs.isEmpty():
-        kept = pairs.select("g", "early").distinct().join(pairs.select("g", F.col("late").alias("early")), ["g", "early"], "left_anti")
-        out = written(pairs.join(kept, ["g", "early"], "left_semi").select("g", F.col("late").alias("v")).distinct())
+        kept = pairs.select("early").distinct().join(pairs.select(F.col("late").alias("early")), "early", "left_anti")
+        out = written(pairs.join(kept, "early", "left_semi").select(F.col("late").alias("v")).distinct())
         gone.append(out)
-        pairs = written(pairs.join(out.withColumnRenamed("v", "late"), ["g", "late"], "left_anti").join(out.withColumnRenamed("v", "early"), ["g", "early"], "left_anti"))
-    found = pairs.select("g", F.col("late").alias("v"))
+        pairs = written(pairs.join(out.withColumnRenamed("v", "late"), "late", "left_anti").join(out.withColumnRenamed("v", "early"), "early", "left_anti"))
+    found = pairs.select(F.col("late").alias("v"))
     for out in gone:
         found = found.unionByName(out)
     return found
@@ -52,13 +58,16 @@ def dropped(pairs: DataFrame) -> DataFrame:
 def distinct_lines(rows: DataFrame, group: str, pos: str, line: str) -> DataFrame:
     """(group, pos, line): the lines of each group, in order of pos, without those similar to an earlier one that is kept; lines without words are dropped.
 
-    The same rule as profile.distinct_bullets. Null is a group; lines of one pos are ordered by their text; a null line has no words. Of lines with the same
-    words (four at least) the first counts, so copies meet nowhere. Other columns are ignored.
+    The same rule as profile.distinct_bullets. Null is a group; lines of one pos are ordered by their text, and equal ones count once; a null line has no
+    words. Of lines with the same words (four at least) the first counts, so copies meet nowhere. Other columns are ignored.
     """
-    name = F.md5(F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("")).cast("binary"))
-    signed = rows.select(name.alias("g"), F.col(group).alias("__group"), F.struct(F.col(pos).alias("pos"), F.col(line).alias("line")).alias("at"), F.array_sort(signature(F.col(line))).alias("sig")).where(F.size("sig") > 0)
-    few = signed.where(F.size("sig") < SHORTEST).select("__group", "at")
-    first = signed.where(F.size("sig") >= SHORTEST).groupBy("g", "sig").agg(F.min("at").alias("at"), F.first("__group").alias("__group"))
-    nodes = written(first.withColumn("v", F.md5(F.array_join("sig", " ").cast("binary"))))
-    stays = nodes.join(dropped(similar_pairs(nodes)), ["g", "v"], "left_anti").select("__group", "at")
-    return stays.unionByName(few).select(F.col("__group").alias(group), F.col("at.pos").alias(pos), F.col("at.line").alias(line))
+    # runs of three characters at least, each once, without the words that say nothing
+    found = F.regexp_extract_all(norm_key(F.col(line)), F.lit("[a-z0-9#+]{3,}"), 0)
+    sig = F.array_except(found, F.array(*(F.lit(x) for x in (*V.TOKEN_STOPWORDS, "proyecto", "linea"))))
+    signed = rows.select(F.col(group).alias("list"), F.struct(F.col(pos).alias("pos"), F.col(line).alias("line")).alias("at"), F.sort_array(sig).alias("sig"))
+    # short lines are told apart by where they are, longer ones by their words
+    here = F.when(F.size("sig") < SHORTEST, F.to_json("at"))
+    first = signed.groupBy("list", F.md5(F.concat_ws(" ", here, F.array_join("sig", " ")).cast("binary")).alias("key")).agg(F.min("at").alias("at"), F.first("sig").alias("sig"))
+    nodes = written(first.drop("key").where(F.size("sig") > 0).withColumn("v", F.monotonically_increasing_id()))
+    lost = dropped(similar_pairs(nodes.where(F.size("sig") >= SHORTEST)))
+    return nodes.join(lost, "v", "left_anti").select(F.col("list").alias(group), F.col("at.pos").alias(pos), F.col("at.line").alias(line))
