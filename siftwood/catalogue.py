@@ -6,6 +6,7 @@ checks of sources, orders are offers with a score. Every query reads whole table
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable
 
@@ -19,8 +20,8 @@ from .functions import dates, phrases, text, urls
 from .operators import digest, identity, merge, profile, reads, resume, resume_builder, routing, scoring, similar_lines, state
 from .plans import cycle, snapshots, watch
 from .shared import place
-from .sources import details, documents, html, portals, sinks, walls
-from .streaming import machine
+from .sources import delivery, details, documents, html, portals, sinks, walls
+from .streaming import machine, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -1122,6 +1123,56 @@ def stream_seen(spark, d):
     return spark.read.parquet(f"{at}/out").select("user_id", "event_type")
 
 
+def _repeated_events(spark, d, at: str) -> DataFrame:
+    """The events as a stream of three micro-batches in order of their ids, so that many are late, and a fourth that repeats a tenth of them."""
+    rows = t(spark, d, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    _in_turns(rows.withColumn("turn", F.pmod(F.xxhash64("event_id"), F.lit(1000))), "turn", 3, f"{at}/in")
+    rows.where("event_id % 10 = 0").withColumn("turn", F.lit(1000).cast("long")).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    return spark.readStream.schema(spark.read.parquet(f"{at}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+
+
+@query(f"""WITH e AS (SELECT event_type, time_bucket(INTERVAL 6 HOUR, ts) - to_hours(6 * unnest(generate_series(0, 3))) AS s FROM events WHERE ts IS NOT NULL)
+SELECT {sql_stamp("s")} AS window_start, event_type, count(*) AS n FROM e GROUP BY s, event_type""")
+def stream_windows(spark, d):
+    """Counts in windows of a day that slide by six hours, of late and repeated events; windows and ids lie in stored snapshots."""
+    at = _scratch(spark)
+    events = _repeated_events(spark, d, at)
+    kept = windows.window_store(spark, f"{at}/snapshots", events, "event_id", ["event_type"], buckets=16)
+    windows.count_windows(events, kept, "events", f"{at}/checkpoint", "event_id", "ts", "1 day", "6 hours", ["event_type"], within="3650 days").awaitTermination()
+    return kept.read("windows").select(stamp("start").alias("window_start"), "event_type", "n")
+
+
+@query(f"SELECT user_id, event_type, coalesce({sql_stamp('min(ts)')}, '') AS first_seen, coalesce({sql_stamp('max(ts)')}, '') AS last_seen FROM events GROUP BY 1, 2")
+def stream_sightings(spark, d):
+    """First and last sightings of late and repeated events, in stored snapshots."""
+    at = _scratch(spark)
+    events = _repeated_events(spark, d, at)
+    kept = windows.sighting_store(spark, f"{at}/snapshots", events, ["user_id", "event_type"], buckets=16)
+    windows.keep_sightings(events, kept, "events", f"{at}/checkpoint", "ts", ["user_id", "event_type"]).awaitTermination()
+    return kept.read("sightings").select("user_id", "event_type", F.coalesce(stamp("first_seen_at"), F.lit("")).alias("first_seen"), F.coalesce(stamp("last_seen_at"), F.lit("")).alias("last_seen"))
+
+
+def _unreachable(ends: str) -> Callable[[str, str], None]:
+    """A post that fails for texts whose MD5 begins with one of these digits."""
+
+    def post(recipient: str, message: str) -> None:
+        if hashlib.md5(message.encode()).hexdigest()[0] in ends:
+            raise ConnectionError("unreachable")
+
+    return post
+
+
+@query("""WITH m AS (SELECT CAST(doc_id AS VARCHAR) AS id, source, left(md5(coalesce(text, '')), 1) AS h FROM documents)
+SELECT id, min(source) AS recipient, CASE WHEN min(h) IN ('0', '1') THEN 2 ELSE 1 END AS posts, min(h) <> '0' AS delivered FROM m WHERE id IS NOT NULL GROUP BY id""")
+def delivery_journal(spark, d):
+    """Documents posted to their source in two runs: an eighth fails in the first, of which half is sent by the second and half is never."""
+    at = f"{_scratch(spark)}/outbox"
+    messages = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("recipient"), F.col("text").alias("message"))
+    for number, ends in enumerate(("01", "0")):
+        delivery.deliver_pending(messages, at, f"run-{number}", _unreachable(ends), every=2000)
+    return delivery.journal(spark, at).groupBy("id", "recipient").agg(F.count(F.lit(1)).cast("int").alias("posts"), F.bool_or("delivered").alias("delivered"))
+
+
 # ------------------------------------------------------------------
 
 
