@@ -31,7 +31,8 @@ SOURCE = "siftwood_outbox"
 def _files(path: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path if ":" in path else f"file://{path}")
+    local = path.removeprefix("file:")
+    return fs.FileSystem.from_uri(f"file:///{local.lstrip('/')}" if local.startswith("/") else path)
 
 
 def _put(path: str, lines: list[dict]) -> None:
