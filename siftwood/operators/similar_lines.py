@@ -20,15 +20,18 @@ SHORTEST = 4  # lines of fewer words are similar to none
 def similar_pairs(nodes: DataFrame) -> DataFrame:
     """(early, late): pairs of nodes(v, list, at, sig) of one list with similar signatures, the earlier by at first, each once; v is unique.
 
-    Words of a list meet by a 64-bit hash; every pair that met is compared by its words, so a hash of two words costs time and no result.
+    Words of a list meet by a 64-bit hash; every pair that met is compared by its words, so a hash of two words costs time and no result. A word of one
+    line leads nowhere, and most words are such: they go no further than the count, as a line's number of them says how much of its prefix they fill.
     """
     words = nodes.select("v", F.size("sig").alias("n"), "list", F.explode("sig").alias("word")).select("v", "n", F.xxhash64("list", "word").alias("key"))
-    counts = words.groupBy("key").agg(F.count(F.lit(1)).alias("count"))
-    ranked = words.join(counts, "key").groupBy("v", "n").agg(F.sort_array(F.collect_list(F.struct("count", "key"))).alias("words"))
-    prefix = F.slice("words", F.lit(1), (F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1).cast("int"))
-    # a word of one line leads nowhere
-    probes = ranked.select(F.col("v").alias("a"), F.col("n").alias("na"), F.explode(prefix).alias("w")).where("w.count > 1").select("a", "na", F.col("w.key").alias("key"))
-    index = words.select("key", F.col("v").alias("b"), F.col("n").alias("nb"))
+    counts = words.groupBy("key").agg(F.count(F.lit(1)).alias("count")).where("count > 1")
+    shared = words.join(counts, "key")
+    ranked = shared.groupBy("v", "n").agg(F.sort_array(F.collect_list(F.struct("count", "key"))).alias("words"))
+    # unique words are the rarest and come first; of the prefix that is left the shared ones are probed
+    room = F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1 - (F.col("n") - F.size("words"))
+    probes = ranked.select(F.col("v").alias("a"), F.col("n").alias("na"), F.explode(F.slice("words", F.lit(1), F.greatest(room, F.lit(0)).cast("int"))).alias("w"))
+    probes = probes.select("a", "na", F.col("w.key").alias("key"))
+    index = shared.select("key", F.col("v").alias("b"), F.col("n").alias("nb"))
     met = probes.join(index, "key").where("na < nb or (na = nb and a < b)").select("a", "b").distinct()
     side = lambda c: nodes.select(F.col("v").alias(c), F.col("list").alias(f"list_{c}"), F.col("sig").alias(f"sig_{c}"), F.col("at").alias(f"at_{c}"))
     near = met.join(side("a"), "a").join(side("b"), "b").where(F.col("list_a").eqNullSafe(F.col("list_b")) & similar(F.col("sig_a"), F.col("sig_b")))
@@ -62,12 +65,13 @@ def distinct_lines(rows: DataFrame, group: str, pos: str, line: str) -> DataFram
     words. Of lines with the same words (four at least) the first counts, so copies meet nowhere. Other columns are ignored.
     """
     # runs of three characters at least, each once, without the words that say nothing
-    found = F.regexp_extract_all(norm_key(F.col(line)), F.lit("[a-z0-9#+]{3,}"), 0)
-    sig = F.array_except(found, F.array(*(F.lit(x) for x in (*V.TOKEN_STOPWORDS, "proyecto", "linea"))))
-    signed = rows.select(F.col(group).alias("list"), F.struct(F.col(pos).alias("pos"), F.col(line).alias("line")).alias("at"), F.sort_array(sig).alias("sig"))
+    found = F.regexp_extract_all(norm_key(F.col("at.line")), F.lit("[a-z0-9#+]{3,}"), 0)
+    sig = F.sort_array(F.array_except(found, F.array(*(F.lit(x) for x in (*V.TOKEN_STOPWORDS, "proyecto", "linea")))))
+    signed = rows.select(F.col(group).alias("list"), F.struct(F.col(pos).alias("pos"), F.col(line).alias("line")).alias("at")).withColumn("sig", sig)
     # short lines are told apart by where they are, longer ones by their words
     here = F.when(F.size("sig") < SHORTEST, F.to_json("at"))
-    first = signed.groupBy("list", F.md5(F.concat_ws(" ", here, F.array_join("sig", " ")).cast("binary")).alias("key")).agg(F.min("at").alias("at"), F.first("sig").alias("sig"))
-    nodes = written(first.drop("key").where(F.size("sig") > 0).withColumn("v", F.monotonically_increasing_id()))
+    first = signed.groupBy("list", F.md5(F.concat_ws(" ", here, F.array_join("sig", " ")).cast("binary")).alias("key")).agg(F.min("at").alias("at"))
+    # words are made anew behind the aggregate: moving them would cost more
+    nodes = written(first.drop("key").withColumn("sig", sig).where(F.size("sig") > 0).withColumn("v", F.monotonically_increasing_id()))
     lost = dropped(similar_pairs(nodes.where(F.size("sig") >= SHORTEST)))
     return nodes.join(lost, "v", "left_anti").select(F.col("list").alias(group), F.col("at.pos").alias(pos), F.col("at.line").alias(line))
