@@ -304,43 +304,49 @@ def html_selectors(spark, d):
 
 
 _PORTAL_CARD = {
-    "computrabajo": '<div class="box_offer"><h2><a href="/o/{0}">T{0}</a></h2><p class="it-company">C{0}</p></div>',
-    "elempleo": '<div class="result-item"><h2><a href="/co/ofertas-empleo/{0}">T{0}</a></h2><span>C{0} SAS</span></div>',
-    "getonboard": '<li><h3><a href="/jobs/{0}">T{0}</a></h3><b class="gb-results-list__company">C{0}</b></li>',
-    "indeed": '<div class="job_seen_beacon"><h2 class="jobTitle"><a href="/rc/clk?jk=a"><span>T{0}</span></a></h2><span class="companyName">C{0}</span></div>',
-    "indeed_selenium": '<div data-jk="abcdef{0}0000"><h2><span>T{0}</span></h2><span data-testid="company-name">C{0}</span></div>',
-    "linkedin": '<div class="base-search-card"><a class="base-card__full-link" href="/jobs/view/{0}">x</a><h3>T{0}</h3><h4>C{0}</h4></div>',
-    "linkedin_selenium": '<div class="job-card-container"><a class="job-card-list__title" href="/jobs/view/{0}"><strong>T{0}</strong></a><h4>C{0}</h4><button>Easy Apply</button></div>',
-    "magneto": '<div class="card"><h2><a href="/m/{0}">T{0}</a></h2><p class="card-company">C{0}</p></div>',
-    "sena": '<li class="result-item"><h3><a href="/s/{0}">T{0}</a></h3><p class="empresa">C{0}</p></li>',
-    "torre": '<div data-testid="job-card"><h2><a href="/t/{0}">T{0}</a></h2><p class="organization">C{0}</p></div>',
+    "computrabajo": '<div class="box_offer"><h2><a href="/o/{0}">{t}</a></h2><p class="it-company">{c}</p></div>',
+    "elempleo": '<div class="result-item"><h2><a href="/co/ofertas-empleo/{0}">{t}</a></h2><span>{c} SAS</span></div>',
+    "getonboard": '<li><h3><a href="/jobs/{0}">{t}</a></h3><b class="gb-results-list__company">{c}</b></li>',
+    "indeed": '<div class="job_seen_beacon"><h2 class="jobTitle"><a href="/rc/clk?jk=a"><span>{t}</span></a></h2><span class="companyName">{c}</span></div>',
+    "indeed_selenium": '<div data-jk="abcdef{0}0000"><h2><span>{t}</span></h2><span data-testid="company-name">{c}</span></div>',
+    "linkedin": '<div class="base-search-card"><a class="base-card__full-link" href="/jobs/view/{0}">x</a><h3>{t}</h3><h4>{c}</h4></div>',
+    "linkedin_selenium": '<div class="job-card-container"><a class="job-card-list__title" href="/jobs/view/{0}"><strong>{t}</strong></a><h4>{c}</h4><button>Easy Apply</button></div>',
+    "magneto": '<div class="card"><h2><a href="/m/{0}">{t}</a></h2><p class="card-company">{c}</p></div>',
+    "sena": '<li class="result-item"><h3><a href="/s/{0}">{t}</a></h3><p class="empresa">{c}</p></li>',
+    "torre": '<div data-testid="job-card"><h2><a href="/t/{0}">{t}</a></h2><p class="organization">{c}</p></div>',
 }
 
 
-@query("""WITH p AS (SELECT page_id, (['computrabajo','elempleo','getonboard','indeed','indeed_selenium','linkedin','linkedin_selenium','magneto','sena','torre'])[page_id % 10 + 1] AS portal FROM pages), c AS (SELECT *, unnest([0, 1, 2]) AS pos FROM p)
-SELECT page_id, portal, CAST(pos AS INTEGER) AS pos, 'T' || (page_id * 10 + pos) AS title, 'C' || (page_id * 10 + pos) || CASE portal WHEN 'elempleo' THEN ' SAS' ELSE '' END AS company, CASE portal WHEN 'linkedin_selenium' THEN 'linkedin_easy_apply' ELSE 'unknown' END AS application_type FROM c""")
+@query(f"""WITH {_CARDS}, p AS (SELECT page_id, coalesce({_sql_tag("h1")}, '') AS company, (['computrabajo','elempleo','getonboard','indeed','indeed_selenium','linkedin','linkedin_selenium','magneto','sena','torre'])[page_id % 10 + 1] AS portal FROM pages)
+SELECT p.page_id, portal, CAST(row_number() OVER (PARTITION BY p.page_id ORDER BY pos) - 1 AS INTEGER) AS pos, label AS title, company || CASE portal WHEN 'elempleo' THEN ' SAS' ELSE '' END AS company,
+  CASE portal WHEN 'linkedin_selenium' THEN 'linkedin_easy_apply' ELSE 'unknown' END AS application_type FROM p JOIN rows r ON r.page_id = p.page_id WHERE label <> ''""")
 def portal_cards(spark, d):
-    """Every portal's own marks and rules, on a page of three cards for each page of the table."""
+    """Every portal's own marks and rules: the links of each page as cards of a portal, whose titles are the links' texts and whose company is the page's heading."""
     names = sorted(_PORTAL_CARD)
-    card = lambda p, k: F.replace(F.lit(_PORTAL_CARD[p]), F.lit("{0}"), (F.col("page_id") * 10 + k).cast("string"))
+    labels, heading = F.regexp_extract_all("html", F.lit(r"(?is)<li[^>]*>\s*<a [^>]*>(.*?)</a>"), 1), F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1)
+
+    def cards(p: str) -> Column:
+        number = lambda k: (F.col("page_id") * 10 + k).cast("string")
+        return F.array_join(F.transform("labels", lambda t, k: F.replace(F.replace(F.replace(F.lit(_PORTAL_CARD[p]), F.lit("{0}"), number(k)), F.lit("{c}"), F.col("heading")), F.lit("{t}"), t)), "")
+
     portal = F.element_at(F.array(*map(F.lit, names)), (F.col("page_id") % len(names) + 1).cast("int"))
     page = F.lit("")
     for p in names:
-        page = F.when(F.col("portal") == p, F.concat(*(card(p, k) for k in range(3)))).otherwise(page)
-    pages = t(spark, d, "pages").select("page_id", portal.alias("portal")).withColumn("html", page)
+        page = F.when(F.col("portal") == p, cards(p)).otherwise(page)
+    pages = t(spark, d, "pages").select("page_id", portal.alias("portal"), labels.alias("labels"), heading.alias("heading")).withColumn("html", page)
     return html.with_cards(pages, portals.SELECTORS, rules=portals.RULES).select("page_id", "portal", "pos", "title", "company", "application_type")
 
 
-@query("""WITH p AS (SELECT page_id, page_id % 4 AS k FROM pages) SELECT page_id, CASE k WHEN 1 THEN 'D' || page_id WHEN 2 THEN 'L' || page_id ELSE 'old' END AS title, CASE k WHEN 1 THEN 'Python' || chr(10) || 'SQL' WHEN 2 THEN 'LD text' ELSE '' END AS requirements,
+@query(f"""WITH p AS (SELECT page_id, page_id % 4 AS k, {_sql_tag("h1")} AS heading FROM pages) SELECT page_id, CASE k WHEN 1 THEN heading WHEN 2 THEN 'L' || page_id ELSE 'old' END AS title, CASE k WHEN 1 THEN 'Python' || chr(10) || 'SQL' WHEN 2 THEN 'LD text' ELSE '' END AS requirements,
 CASE k WHEN 1 THEN '$ ' || page_id WHEN 2 THEN 'COP ' || page_id ELSE '' END AS salary, CASE k WHEN 1 THEN 'Remoto' ELSE '' END AS modality FROM p""")
 def detail_pages(spark, d):
-    """Listings filled from detail pages: by selectors, by structured data, by an empty page, by none."""
-    rows = t(spark, d, "pages").select("page_id")
-    seen = F.concat(F.lit('<h1>D'), F.col("page_id"), F.lit('</h1><div class="box_detail"><span class="tag base">$ '), F.col("page_id"), F.lit('</span><div class="mbB">Requisitos: Python. SQL. Beneficios: x</div><p class="mb5">Remoto</p></div>'))
+    """Listings filled from detail pages: the table's own with a box of details, structured data, an empty page, none."""
+    rows = t(spark, d, "pages").select("page_id", "html")
+    seen = F.concat("html", F.lit('<div class="box_detail"><span class="tag base">$ '), F.col("page_id"), F.lit('</span><div class="mbB">Requisitos: Python. SQL. Beneficios: x</div><p class="mb5">Remoto</p></div>'))
     told = F.concat(F.lit('<script type="application/ld+json">{"@type":"JobPosting","title":"L'), F.col("page_id"), F.lit('","description":"<p>LD text</p>","baseSalary":{"currency":"COP","value":'), F.col("page_id"), F.lit("}}</script>"))
     pages = rows.where("page_id % 4 < 3").select("page_id", F.when(F.col("page_id") % 4 == 1, seen).when(F.col("page_id") % 4 == 2, told).otherwise("").alias("html"))
     empty = {c: F.lit("") for c in ("company", "location", "salary", "description", "requirements", "modality", "raw_posted_text")}
-    listed = rows.withColumn("title", F.lit("old")).withColumns(empty).withColumns({"published_at": F.lit(None).cast("timestamp"), "found_at": F.lit("2024-01-01").cast("timestamp")})
+    listed = rows.select("page_id").withColumn("title", F.lit("old")).withColumns(empty).withColumns({"published_at": F.lit(None).cast("timestamp"), "found_at": F.lit("2024-01-01").cast("timestamp")})
     return details.merged(listed, pages, "page_id").select("page_id", "title", "requirements", "salary", "modality")
 
 
