@@ -350,10 +350,19 @@ def detail_pages(spark, d):
     return details.merged(listed, pages, "page_id").select("page_id", "title", "requirements", "salary", "modality")
 
 
-@query("""SELECT page_id, CASE page_id % 5 WHEN 1 THEN 'captcha' WHEN 2 THEN 'authwall' WHEN 3 THEN 'login requerido' WHEN 4 THEN '' ELSE '' END AS reason, page_id % 5 = 0 AS public_cards, page_id % 5 = 4 AS no_results FROM pages""")
+_WALL_SIGNS = ('<div class="base-card">sign in</div>', "<p>Captcha</p>", '<div class="x-authwall">x</div>', "<p>Sign in</p>", "<p>No results found, login</p>")
+_SAYS = lambda tokens: "(" + " OR ".join("contains(said, '{}')".format(x.replace("'", "''")) for x in tokens) + ")"
+
+
+@query(f"""WITH k AS (SELECT page_id, url, ([{", ".join(f"'{x}'" for x in _WALL_SIGNS)}])[page_id % 5 + 1] || coalesce(html, '') AS html, page_id % 5 = 0 AS public, page_id % 5 = 2 AS marked FROM pages),
+s AS (SELECT page_id, public, marked, regexp_replace(lower(html || ' ' || coalesce(url, '')), '\\s+', ' ', 'g') AS said, {_sql_text("html")} AS shown FROM k),
+n AS (SELECT *, {" OR ".join(f"contains(lower(shown), '{x}')" for x in V.NO_RESULTS)} AS nothing FROM s)
+SELECT page_id, CASE WHEN public OR nothing THEN '' {" ".join(f"WHEN contains(said, '{x}') THEN '{reason}'" for x, reason, _ in V.WALL_TEXTS)} WHEN marked OR {_SAYS(V.LOGIN_WALL_TEXTS)} THEN 'authwall' WHEN {_SAYS(V.SOFT_LOGIN_TEXTS)} THEN 'login requerido' ELSE '' END AS reason,
+  public AS public_cards, nothing AS no_results FROM n""")
 def page_walls(spark, d):
-    kinds = ('<div class="base-card">sign in</div>', "<p>Captcha</p>", '<div class="x-authwall">x</div>', "<p>Sign in</p>", "<p>No results found, login</p>")
-    pages = t(spark, d, "pages").select("page_id", F.element_at(F.array(*map(F.lit, kinds)), (F.col("page_id") % 5 + 1).cast("int")).alias("html"), F.lit("https://x/").alias("url"))
+    """What each page of the table, below a sign of one of five kinds, holds back; its own text and address count too."""
+    sign = F.element_at(F.array(*map(F.lit, _WALL_SIGNS)), (F.col("page_id") % len(_WALL_SIGNS) + 1).cast("int"))
+    pages = t(spark, d, "pages").select("page_id", F.concat(sign, F.coalesce("html", F.lit(""))).alias("html"), "url")
     return walls.with_state(pages).select("page_id", "state.reason", "state.public_cards", "state.no_results")
 
 
