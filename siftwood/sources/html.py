@@ -32,6 +32,12 @@ def unescaped(c: Column) -> Column:
     return c
 
 
+def plain_references(html: Column | str) -> Column:
+    """HTML in which these entities alone, each with its semicolon, are references; any other ampersand becomes one, so that parsers which read more show it as it is."""
+    known = "|".join(entity[1:] for entity, _ in ENTITIES)
+    return F.regexp_replace(text(html), f"&(?!{known})", "&amp;")
+
+
 def visible_text(html: Column | str) -> Column:
     """Text of a page or part: scripts and styles out, tags to blanks, entities resolved, clean."""
     t = F.regexp_replace(text(html), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
@@ -327,4 +333,4 @@ def with_details(listings: DataFrame, details: DataFrame, key: str, fields: tupl
     return rows.withColumns({f: F.coalesce(F.nullif(F.col(f"__d.{f}"), F.lit("")), F.col(f)) for f in fields}).drop("__d")
 
 
-__all__ = ["application_type_of", "block_reason", "cards_of", "clean", "col", "first_tag_text", "job_posting", "json_ld", "links", "posting_fields", "scanned", "select", "tag_text", "tree", "unescaped", "visible_text", "with_cards", "with_details"]
+__all__ = ["application_type_of", "block_reason", "cards_of", "clean", "col", "first_tag_text", "job_posting", "json_ld", "links", "plain_references", "posting_fields", "scanned", "select", "tag_text", "tree", "unescaped", "visible_text", "with_cards", "with_details"]
