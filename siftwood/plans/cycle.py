@@ -26,10 +26,6 @@ class CycleResult:
     gated: DataFrame
     tokens: DataFrame | None = None
 
-    def release(self) -> None:
-        """Frees the gated batch, once the outputs are written."""
-        self.gated.unpersist()
-
 
 def run_cycle(listings: DataFrame, offers: DataFrame, rejected: DataFrame, seen: DataFrame, target: Column | str, now: Column, profile: DataFrame | None = None, settings: Settings = DEFAULTS, chains: DataFrame | None = None) -> CycleResult:
     """One cycle over a batch of listings (with seq, larger than any before) and the snapshots so far.
@@ -37,10 +33,11 @@ def run_cycle(listings: DataFrame, offers: DataFrame, rejected: DataFrame, seen:
     chains: what the offers so far are known by (seq, token). With it chains of alike listings of any length are one offer, and tokens of the result has what
     its offers and the batch's accepted listings are known by, each token with the offer that it leads to.
 
-    Running the same batch again changes no offer and queues nothing that is notified. The gated batch feeds all outputs and is
-    kept for them; release() frees it.
+    Running the same batch again changes no offer and queues nothing that is notified. The gated batch and the
+    merged offers feed several outputs and are written to the shared folder for them, each worked out once.
     """
-    gated = routed(listings, target, profile, settings.only_easy_apply).persist()
+    # worked out once each: a plan that holds the rules of the gate, of identity and of the score at once takes minutes to build
+    gated = written(routed(listings, target, profile, settings.only_easy_apply))
     yes, no = accepted(gated), discarded(gated)
     leads = None
     if chains is not None:
@@ -48,6 +45,8 @@ def run_cycle(listings: DataFrame, offers: DataFrame, rejected: DataFrame, seen:
         found = written(components(members))
         leads = members.join(found, "seq").select("token", F.col("component").alias("seq")).distinct()
     merged = merged_offers(offers, yes.drop("relevance", "score", "reasons"), found=found if chains is not None else None)
+    if chains is None:
+        merged = written(merged)
     merged = with_match(merged, profile).withColumn("compatibility_score", F.col("score").cast("double")).withColumnRenamed("reasons", "match_reason").drop("score")
     old = offers.select(F.col("seq").alias("__seq"), *(c for c in ("notified", "notified_at", "created_at") if c in offers.columns))
     if chains is not None:  # offers made one were notified if one of them was
@@ -63,8 +62,7 @@ def run_cycle(listings: DataFrame, offers: DataFrame, rejected: DataFrame, seen:
     again = yes.select("url_hash", F.col("found_at").alias("first"), F.col("found_at").alias("last"), "portal")
     old_seen = seen.select("url_hash", F.col("first_seen_at").alias("first"), F.col("last_seen_at").alias("last"), "portal")
     hashes = old_seen.unionByName(again).groupBy("url_hash").agg(F.min("first").alias("first_seen_at"), F.max("last").alias("last_seen_at"), F.min_by("portal", "first").alias("portal"))
-    if chains is not None:  # worked out once, for the snapshot and for the queue
-        merged = written(merged)
+    merged = written(merged)  # for the snapshot and for the queue
     queue = notifiable(merged, now, settings.match_threshold, settings.freshness_hours, settings.only_easy_apply)
     return CycleResult(merged, kept, hashes, run_stats(gated, "source_id", "portal"), digest(queue, settings), gated, leads)
 

@@ -64,7 +64,6 @@ def apply_batch(kept: Snapshots, stream: str, batch: int, listings: DataFrame, t
         "offers": (offers.select("seq"), merged), "tokens": (leads.select("token"), leads), "discarded": (hashes, lost), "seen": (hashes, again),
         "messages": (hashes.where("false"), told(written(out.digest), F.col("part").cast("string"))), "stats": (hashes.where("false"), told(written(out.stats), F.col("source_id").cast("string"), F.col("portal"))),
     })
-    out.release()
     return done
 
 
