@@ -32,3 +32,10 @@ def written(rows: DataFrame) -> DataFrame:
     path = place(rows.sparkSession, "table")
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession, rows: int = 250) -> None:
+    """Arrow batches of so few rows, unless fewer are set, for whole pages: a task's Python holds a batch, its strings and its results at once, and a page may be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    spark.conf.set(name, str(min(now, rows) if now > 0 else rows))

@@ -13,6 +13,7 @@ from .. import fixed_values as V
 from ..functions.dates import published
 from ..functions.text import Text, clean, col, contains_any, let, norm_soft, text
 from ..operators.scoring import modality
+from ..shared import small_batches
 from ..shipping import ship_package
 from .html import job_posting, posting_fields, select, tree
 
@@ -50,6 +51,7 @@ def requirements_in(description: Text) -> Column:
 def with_found(pages: DataFrame, html: str = "html", name: str = "found", selectors: dict | None = None) -> DataFrame:
     """pages with a struct of arrays: per field the distinct texts that its selectors find, in order."""
     ship_package(pages.sparkSession)
+    small_batches(pages.sparkSession)
     wanted = selectors or V.DETAIL_SELECTORS
 
     @F.pandas_udf("struct<" + ", ".join(f"{f}: array<string>" for f in wanted) + ">")

@@ -16,6 +16,7 @@ from ..functions.dates import published
 from ..functions.text import clean, col, contains_any, let, norm_soft, text
 from ..functions.urls import absolute_url, canonical_url
 from ..operators.scoring import modality
+from ..shared import small_batches
 from ..shipping import ship_package
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -304,6 +305,7 @@ CARD = "array<struct<title string, company string, location string, posted strin
 def with_cards(pages: DataFrame, selectors: dict[str, dict], portal: str = "portal", html: str = "html", rules: dict[str, dict] | None = None) -> DataFrame:
     """pages with a row per listing card, parsed by the selectors and rules of the page's portal; pos is its place on the page. Unknown portals give no rows."""
     ship_package(pages.sparkSession)
+    small_batches(pages.sparkSession)
     known = rules or {}
 
     @F.pandas_udf(CARD)
