@@ -7,7 +7,8 @@ fitted to those. What the driver holds is one number per language and topic, how
 A document's probability is its cell's raked share over its present one, times a rate, capped at one and calibrated
 anew after the cap. Sampling hashes the document id, so a rerun draws the same rows.
 
-Topics are clusters of hashed words (spherical k-means over tf-idf), fitted on a bounded sample; a topic that is known
+Topics are clusters of hashed words (spherical k-means over tf-idf), fitted on all distinct texts: texts become bags of
+buckets once, and a round of k-means is a pass over the bags that returns sums by topic and bucket. A topic that is known
 already can be given as a column.
 """
 
@@ -18,12 +19,12 @@ import sys
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkit import Words, arrow_limits, as_strings, bounded_rows, ensure_checkpoint_dir, give_back, row_sums, spans, written
-from .vectors import spherical_kmeans, unit
+from .textkit import Words, arrow_limits, as_strings, ensure_checkpoint_dir, give_back, row_sums, spans, written
 
 ROUNDS, INNER_ROUNDS, TOLERANCE = 200, 20, 1e-9
 #: Rounds without a gain of a thousandth after which targets that no weights can meet are given up.
@@ -35,8 +36,13 @@ TEMPERATURE = 0.7
 #: Share of all tokens that the mix should keep.
 KEEP = 0.6
 DIMS = ("source", "lang", "topic")
-#: Documents that topics are fitted on, hash buckets of words, and topics.
-TOPIC_SAMPLE, BUCKETS, TOPICS = 4000, 4096, 8
+#: Hash buckets of words, topics, rounds of k-means between two splits and after the last, and splits beyond those that doubling takes.
+BUCKETS, TOPICS = 4096, 8
+SPLIT_ROUNDS, LAST_ROUNDS, MORE_SPLITS = 2, 8, 3
+#: Components of unit vectors are added up as multiples of this share: sums of whole numbers are the same in any order.
+GRAIN = 1 << 30
+#: Numbers of a vector of sums that travel together.
+SLICE = 512
 NO_TOPIC = "none"
 
 
@@ -52,36 +58,141 @@ def _buckets(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return bucket[index], words.row_starts()
 
 
-def fitted_topics(docs: DataFrame, text_col: str = "text", topics: int = TOPICS, most: int = TOPIC_SAMPLE) -> np.ndarray:
-    """(buckets x topics) weights of words: centroids over the distinct texts with the smallest hashes, at most so many."""
-    texts = docs.select(F.col(text_col).cast("string").alias("t"))
+def _bags(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct buckets of each row, how often each is there, and the rows' starts in both."""
+    bucket, starts = _buckets(words)
+    rows = len(starts) - 1
+    found, n = np.unique(np.repeat(np.arange(rows), np.diff(starts)) * BUCKETS + bucket, return_counts=True)
+    return (found % BUCKETS).astype(np.uint16), n.astype(np.uint32), np.searchsorted(found, np.arange(rows + 1) * BUCKETS)
+
+
+def _packed(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer((starts * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+
+
+def _unpacked(b: pa.Array, n: pa.Array, rows: int = 500):
+    """(buckets, counts, starts) of so many rows at a time, which bounds the temporaries: a row has at most BUCKETS."""
+    for i in range(0, len(b), rows):
+        parts = [b.slice(i, rows), n.slice(i, rows)]
+        starts = np.concatenate([[0], np.cumsum(pc.binary_length(parts[0]).to_numpy(zero_copy_only=False))]) // 2
+        yield np.frombuffer(b"".join(parts[0].to_pylist()), np.uint16), np.frombuffer(b"".join(parts[1].to_pylist()), np.uint32), starts
+
+
+def _bagged(docs: DataFrame) -> DataFrame:
+    """docs, whose last column t is the text, with tokens, b and n (a bag: distinct buckets and their counts) instead of t."""
+    kept = docs.columns[:-1]
 
     def run(batches):
         for batch in batches:
-            col, out = as_strings(batch.column(0)), []
-            for a, b in spans(col, 1 << 20):
-                bucket, starts = _buckets(Words(col[a:b]))
-                for i, j in zip(starts[:-1], starts[1:], strict=True):
-                    u, n = np.unique(bucket[i:j], return_counts=True)
-                    out.append(u.astype(np.uint16).tobytes() + n.astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["f"])
+            col, parts = as_strings(batch.column(len(kept))), []
+            for i, j in spans(col, 1 << 20):
+                words = Words(col[i:j])
+                b, n, starts = _bags(words)
+                parts.append((pa.array(np.maximum(words.per_row, 1), pa.int64()), _packed(b, starts), _packed(n, starts)))
+            if parts:
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *(pa.concat_arrays(p) for p in zip(*parts, strict=True))], [*kept, "tokens", "b", "n"])
         give_back()
 
-    got = bounded_rows(texts, most, "t").mapInArrow(run, "f binary").toArrow()["f"].to_pylist()
-    # tasks may end in any order
-    got = sorted(b for b in got if b)
-    x = np.zeros((len(got), BUCKETS), np.float32)
-    for i, blob in enumerate(got):
-        n = len(blob) // 6
-        x[i, np.frombuffer(blob, np.uint16, n)] = np.frombuffer(blob, np.float32, n, 2 * n)
-    if not len(x):
-        return np.zeros((BUCKETS, 1), np.float32)
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0)))
-    x *= idf
-    x = x[(x != 0).any(1)]
-    if not len(x):
-        return np.zeros((BUCKETS, 1), np.float32)
-    return (spherical_kmeans(unit(x), min(topics, len(x))) * idf).T.astype(np.float32)
+    schema = T.StructType([*docs.schema.fields[:-1], T.StructField("tokens", T.LongType()), T.StructField("b", T.BinaryType()), T.StructField("n", T.BinaryType())])
+    return docs.mapInArrow(run, schema)
+
+
+def _added(rows: DataFrame, count, size: int) -> np.ndarray:
+    """The sum over tasks of count(batches), a whole-number vector of that size; slices of the vectors are added where they meet."""
+    slices = -(-size // SLICE)
+
+    def cut(batches):
+        total = np.zeros(slices * SLICE, np.int64)
+        total[:size] = count(batches)
+        at = np.flatnonzero(total.reshape(slices, SLICE).any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([total[i * SLICE : (i + 1) * SLICE].tobytes() for i in at], pa.binary())], ["at", "s"])
+        give_back()
+
+    def add(batches):
+        sums = {}
+        for batch in batches:
+            for i, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[i] = sums.get(i, 0) + np.frombuffer(s, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["at", "s"])
+
+    got = rows.mapInArrow(cut, "at long, s binary").repartition("at").mapInArrow(add, "at long, s binary").toArrow()
+    total = np.zeros(slices * SLICE, np.int64)
+    for i, s in zip(got["at"].to_pylist(), got["s"].to_pylist(), strict=True):
+        total[i * SLICE : (i + 1) * SLICE] = np.frombuffer(s, np.int64)
+    return total[:size]
+
+
+def _sums(bags: DataFrame, idf: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """(centroids x buckets) sums, in GRAINs, of the unit tf-idf vectors nearest to each centroid."""
+    k = len(centroids)
+    told = bags.sparkSession.sparkContext.broadcast((idf, centroids * idf))
+
+    def count(batches):
+        weight, w = told.value
+        total = np.zeros(k * BUCKETS, np.int64)
+        for batch in batches:
+            for b, n, starts in _unpacked(batch.column(0), batch.column(1)):
+                b, n = b.astype(np.int64), n.astype(np.float64)
+                near = np.stack([row_sums(n * c[b], starts) for c in w]).argmax(0)
+                x = n * weight[b]
+                norm, sizes = np.sqrt(row_sums(x * x, starts)), np.diff(starts)
+                # rows of words that all texts have are nowhere
+                x *= np.repeat(np.divide(GRAIN, norm, out=np.zeros_like(norm), where=norm > 0), sizes)
+                total += np.bincount(np.repeat(near * BUCKETS, sizes) + b, np.rint(x), k * BUCKETS).astype(np.int64)
+        return total
+
+    sums = _added(bags.select("b", "n"), count, k * BUCKETS)
+    told.destroy()
+    return sums.reshape(k, BUCKETS)
+
+
+def _kmeans(bags: DataFrame, idf: np.ndarray, topics: int) -> np.ndarray:
+    """Unit centroids, at most so many: the fullest are split along fixed chance directions, whose sides are about equally full, and rounds follow."""
+    rng = np.random.default_rng(17)
+    c, full = np.zeros((1, BUCKETS)), np.ones(1)
+    # a side may turn out empty and goes: some more splits than it takes to double up to topics
+    for _ in range((topics - 1).bit_length() + MORE_SPLITS):
+        most = np.argsort(-full, kind="stable")[: topics - len(c)]
+        step = 0.1 * rng.standard_normal((len(most), BUCKETS)) / np.sqrt(BUCKETS)
+        c = np.concatenate([np.delete(c, most, 0), c[most] + step, c[most] - step])
+        last = None
+        for _ in range(LAST_ROUNDS if len(c) == topics else SPLIT_ROUNDS):
+            sums = _sums(bags, idf, c)
+            if last is not None and np.array_equal(sums, last):
+                break
+            last, sums = sums, sums[(sums != 0).any(1)].astype(np.float64)
+            if not len(sums):
+                return sums
+            full = np.linalg.norm(sums, axis=1)
+            lost, c = len(c) - len(sums), sums / full[:, None]
+            if lost:
+                break
+        if len(c) == topics:
+            break
+    return c
+
+
+def fitted_topics(bags: DataFrame, topics: int = TOPICS) -> np.ndarray:
+    """(buckets x topics) weights of words: centroids over all distinct texts of bags(h, b, n), where h is a hash of the text."""
+
+    def count(batches):
+        total = np.zeros(BUCKETS + 1, np.int64)
+        for batch in batches:
+            total[:BUCKETS] += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint16), minlength=BUCKETS)
+            total[BUCKETS] += batch.num_rows
+        return total
+
+    distinct = written(bags.select("h", "b", "n").where("length(b) > 0").dropDuplicates(["h"]).select("b", "n"))
+    df = _added(distinct.select("b"), count, BUCKETS + 1)
+    idf = np.log((1 + df[BUCKETS]) / (1 + df[:BUCKETS]))
+    c = _kmeans(distinct, idf, topics) if df[BUCKETS] else []
+    return (c * idf).T.astype(np.float32) if len(c) else np.zeros((BUCKETS, 1), np.float32)
+
+
+def _topics(b: np.ndarray, n: np.ndarray, starts: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The name of each bag's topic."""
+    best = np.stack([row_sums(n * c[b], starts) for c in w.T], 1)
+    return np.where((best != 0).any(1), np.array([f"topic {i}" for i in range(w.shape[1])])[best.argmax(1)], NO_TOPIC)
 
 
 def _featured(docs: DataFrame, wanted: list[str], source_col: str, lang_col: str, text_col: str, topic_col: str | None, topics: int) -> DataFrame:
@@ -89,14 +200,32 @@ def _featured(docs: DataFrame, wanted: list[str], source_col: str, lang_col: str
     arrow_limits(docs.sparkSession)
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     inside = wanted.index(text_col) if text_col in wanted and dict(docs.dtypes)[text_col] == "string" else None
-    weights = docs.sparkSession.sparkContext.broadcast(None if topic_col else fitted_topics(docs, text_col, topics))
+    text = F.col(text_col).cast("string").alias("t")
+    h = F.xxhash64(text).alias("h")
     cols = [F.struct(*(F.col(f"`{c}`") for c in wanted)).alias("row"), key(source_col).alias("source"), key(lang_col).alias("lang")]
+    row = docs.select(cols[0]).schema["row"]
+    schema = T.StructType([row, *(T.StructField(d, T.StringType()) for d in DIMS), T.StructField("tokens", T.LongType())])
+    names = ["row", *DIMS, "tokens"]
+    if topic_col is None and inside is None:
+        ensure_checkpoint_dir(docs.sparkSession)
+        # texts are read once: bags serve the fit and the topics
+        bags = _bagged(docs.select(*cols, h, text)).checkpoint()
+        fitted = docs.sparkSession.sparkContext.broadcast(fitted_topics(bags, topics))
+
+        def named(batches):
+            for batch in batches:
+                found = [_topics(*bag, fitted.value) for bag in _unpacked(batch.column(4), batch.column(5))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.concatenate(found) if found else [], pa.string()), batch.column(3)], names)
+            give_back()
+
+        return bags.drop("h").mapInArrow(named, schema)
+
+    weights = docs.sparkSession.sparkContext.broadcast(None if topic_col else fitted_topics(_bagged(docs.select(h, text)), topics))
     cols += [key(topic_col).alias("topic")] if topic_col else []
-    cols += [F.col(text_col).cast("string").alias("t")] if inside is None else []
+    cols += [text] if inside is None else []
 
     def run(batches):
         w = weights.value
-        names = np.array([f"topic {i}" for i in range(w.shape[1])]) if w is not None else None
         for batch in batches:
             col = as_strings(batch.column(0).field(inside) if inside is not None else batch.column(batch.num_columns - 1))
             found, counts = [], []
@@ -104,16 +233,12 @@ def _featured(docs: DataFrame, wanted: list[str], source_col: str, lang_col: str
                 words = Words(col[a:b])
                 counts.append(np.maximum(words.per_row, 1))
                 if w is not None:
-                    bucket, starts = _buckets(words)
-                    best = row_sums(w[bucket], starts)
-                    found.append(np.where((best != 0).any(1), names[best.argmax(1)], NO_TOPIC))
+                    found.append(_topics(*_bags(words), w))
             topic = batch.column(3) if w is None else pa.array(np.concatenate(found) if found else [], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], topic, pa.array(np.concatenate(counts) if counts else [], pa.int64())], ["row", "source", "lang", "topic", "tokens"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], topic, pa.array(np.concatenate(counts) if counts else [], pa.int64())], names)
         give_back()
 
-    taken = docs.select(*cols)
-    schema = T.StructType([taken.schema["row"], *(T.StructField(d, T.StringType()) for d in DIMS), T.StructField("tokens", T.LongType())])
-    return taken.mapInArrow(run, schema)
+    return docs.select(*cols).mapInArrow(run, schema)
 
 
 # ---------------------------------------------------------------- raking
